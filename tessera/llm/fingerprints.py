@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import BLANK
 
-BINS, BITS, SHINGLE = 128, 8, 5
+BINS, BITS, SHINGLE = 256, 8, 5
 WIDE = 1 << (BITS + 1)
 #: Probes of each empty bin in the rounds of densification, before the rest of its sequence.
 ROUNDS = (1, 1, 1, 1, 4, 8, 16)
-_SHIFT = 63 - 7  # the bin is the top 7 of 63 bits
+_SHIFT = 63 - 8  # the bin is the top 8 of 63 bits
 _LOW = (1 << _SHIFT) - 1
 _KEY = "_fp_key"
 #: Documents in a bucket of neighbouring ids, and the most buckets; a bucket is a unit of work for one task.
