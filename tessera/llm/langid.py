@@ -96,8 +96,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     return Filters(names, table, filled**HASHES)
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """doc_id, lang_pred and score (the share of a text's n-grams that the language contains, corrected) of every row."""
+def predict(docs: DataFrame, filters: Filters, keep_text: bool = False) -> DataFrame:
+    """The columns of docs (text itself only if asked for), lang_pred and score (the share of a text's n-grams that the language contains, corrected)."""
+
+    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score") and (keep_text or f.name != "text")]
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -121,9 +124,6 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             known = (letters > 0) & (n_langs > 0)
             score = np.where(known, np.minimum(1, fixed.max(0, initial=0) / np.maximum(total, 1)), 0.0) if n_langs else np.zeros(batch.num_rows)
             pred = [filters.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(pred, pa.string()), pa.array(score)], names=[c for c in batch.schema.names if c != "text"] + ["lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(pred, pa.string()), pa.array(score)], names=schema.names)
 
-    kept = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
-    docs = docs.select(*[F.col(f"`{f.name}`") for f in kept], "text")
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)

@@ -276,13 +276,13 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
-def remove(docs: DataFrame, length: int = LENGTH, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (all if None, without text) with n_bytes, spans (maximal removed stretches) and kept (the remaining bytes)."""
+def remove(docs: DataFrame, length: int = LENGTH, columns: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """The given columns of docs (all if None, without text) with n_bytes, spans (maximal removed stretches) and kept (the remaining bytes; as_text: without characters that a cut has left in part)."""
     spans = find(docs, length).withColumnRenamed("tid", "_tid")
     columns = [c for c in docs.columns if c != "text"] if columns is None else columns
     kept = [f for f in docs.schema.fields if f.name in columns]
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
-    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tid"))
     rows = rows.join(spans, F.col("tid") == F.col("_tid"), "left").select(*schema.names[:-3], "text", "spans")
@@ -302,10 +302,11 @@ def remove(docs: DataFrame, length: int = LENGTH, columns: list[str] | None = No
                 for s in merged:
                     pieces.append(raw[at : s["start"]])
                     at = s["stop"]
-                rest.append(b"".join([*pieces, raw[at:]]))
+                left = b"".join([*pieces, raw[at:]])
+                rest.append(left.decode("utf-8", "ignore") if as_text else left)
                 found.append(merged)
                 sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-3]), pa.array(sizes, pa.int64()), pa.array(found, kind), pa.array(rest, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-3]), pa.array(sizes, pa.int64()), pa.array(found, kind), pa.array(rest, pa.string() if as_text else pa.binary())], names=schema.names)
 
     out = rows.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)], "n_bytes", "spans", "kept")
