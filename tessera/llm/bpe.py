@@ -16,7 +16,7 @@ import hashlib
 import heapq
 import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -36,7 +36,7 @@ OTHER, LETTER, NUMBER, SPACE, BLANK, JOINING, ALONE, SHORT, LONG, END = range(10
 FRESH, IN_BLANK, JOINED, IN_LETTERS, IN_NUMBERS, IN_OTHERS, ONE_MORE, TWO_MORE = range(8)
 _N_STATES, _N_SYMBOLS = 8, 10
 #: Pre-tokens that a worker remembers at once.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -290,22 +290,29 @@ def _appended(df: DataFrame, **fields: T.DataType) -> T.StructType:
     return T.StructType(kept + [T.StructField(k, v) for k, v in fields.items()])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with ids (array of int) and token_ends (for each token, the byte of the text at which it ends)."""
+Batches = Iterable[pa.RecordBatch]
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", then: Callable[[Batches], Iterator[pa.RecordBatch]] | None = None, then_schema: str | None = None) -> DataFrame:
+    """docs with ids (array of int) and token_ends (for each token, the byte of the text at which it ends).
+
+    then, a function on the encoded batches, runs in the same worker, so that ids needn't leave it.
+    """
     schema = _appended(docs, ids=T.ArrayType(T.IntegerType(), False), token_ends=T.ArrayType(T.IntegerType(), False))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Batches) -> Iterator[pa.RecordBatch]:
         enc, (_, at) = encoder(path), token_bytes(path)
-        for batch in chunks(batches, text):
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            ids, offsets = enc.encode(texts)
+        for batch in chunks(batches, text, 1 << 20):
+            ids, offsets = enc.encode([x or "" for x in batch.column(text).to_pylist()])
             ends = np.cumsum(at[ids.astype(np.int64) + 1] - at[ids])
             before = np.concatenate(([0], ends))[offsets]
             ends = ends - np.repeat(before[:-1], np.diff(offsets))
             lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, ends)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in schema.fields[:-2]), *lists], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    if then is None:
+        return docs.mapInArrow(encoded, schema)
+    return docs.mapInArrow(lambda batches: then(encoded(batches)), then_schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -322,10 +329,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids (as little-endian 32-bit integers) and of the bytes they decode to."""
+DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def digests(path: str) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """On encoded batches: doc_id, n_tokens, and the SHA-256 of the ids (as little-endian 32-bit integers) and of the bytes they decode to."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         sha = lambda raw, at: [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         for batch in batches:
             ids, offsets = list_parts(batch.column("ids"))
@@ -333,7 +343,7 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
             found = sha(memoryview(ids.astype("<u4").tobytes()), 4 * offsets), sha(memoryview(raw.tobytes()), at)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), *map(pa.array, found)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return run
 
 
 # Token counts ---------------------------------------------------------------------------------------------------

@@ -17,7 +17,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.encode(docs, path).drop("text"), path)
+    return bpe.encode(docs, path, then=bpe.digests(path), then_schema=bpe.DIGESTS)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
