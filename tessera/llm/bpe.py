@@ -203,11 +203,68 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
+class PairTable:
+    """The rank that any two adjacent tokens merge to, by binary search; merges many pre-tokens at once, a pair of each in a step."""
+
+    NONE = 1 << 40
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, merged = [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    keys.append(a << 20 | b)
+                    merged.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.append(np.array(keys, np.int64)[order], -1)
+        self.merged = np.append(np.array(merged, np.int64)[order], self.NONE)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = np.where((a >= 0) & (b >= 0), a << 20 | b, -2)
+        at = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[at] == key, self.merged[at], self.NONE)
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces one after the other, and how many each has."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(sizes.max()) + 1
+        inside = np.arange(width) < sizes[:, None]
+        out = np.full((len(pieces), width), -1, np.int64)
+        out[inside] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        rows, ids = np.arange(len(pieces)), out.copy()
+        rank = self.rank(ids[:, :-1], ids[:, 1:])
+        column = np.arange(width)
+        while len(rows):
+            at = rank.argmin(1)
+            best = rank[np.arange(len(rows)), at]
+            done = best == self.NONE
+            if done.any():
+                out[rows[done]] = ids[done]
+                rows, ids, rank, at, best = (x[~done] for x in (rows, ids, rank, at, best))
+                if not len(rows):
+                    break
+            r = np.arange(len(rows))
+            ids[r, at] = best
+            later = np.minimum(column + (column > at[:, None]), width - 1)
+            ids = np.take_along_axis(ids, later, 1)
+            ids[:, -1] = -1
+            rank = np.take_along_axis(rank, np.minimum(later[:, :-1], width - 2), 1)
+            rank[:, -1] = self.NONE
+            rank[r, at] = self.rank(best, ids[r, at + 1])
+            left = np.flatnonzero(at > 0)
+            rank[left, at[left] - 1] = self.rank(ids[left, at[left] - 1], best[left])
+        used = out >= 0
+        return out[used], used.sum(1)
+
+
 class Encoder:
     """Ids of pre-tokens, remembered per worker; flat arrays with offsets, so that texts are assembled without loops."""
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
+        self.pairs = PairTable(self.ranks)
         self.reset()
 
     def reset(self) -> None:
@@ -220,18 +277,30 @@ class Encoder:
         if len(self.index) > CACHE:
             self.reset()
         index = self.index
-        for piece in set(pieces) - index.keys():
-            ids = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
-            k, at = len(index), self.size
-            index[piece], self.size = k, at + len(ids)
-            if self.size > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * self.size)
-            if k + 1 >= len(self.offsets):
-                self.offsets = np.resize(self.offsets, 2 * len(self.offsets))
-            self.flat[at : self.size] = ids
-            self.offsets[k + 1] = self.size
+        fresh = [p for p in dict.fromkeys(pieces) if p not in index]
+        raw = [p.encode("utf-8", "surrogatepass") for p in fresh]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        for low, high in ((0, 8), (8, 16), (16, 48)):  # of like size, as shorter ones are padded
+            some = np.flatnonzero((sizes > low) & (sizes <= high)).tolist()
+            for k in range(0, len(some), 1 << 15):
+                part = some[k : k + (1 << 15)]
+                self._keep([fresh[i] for i in part], *self.pairs.merge([raw[i] for i in part]))
+        for i in np.flatnonzero(sizes > 48).tolist():
+            ids = merge(raw[i], self.ranks)
+            self._keep([fresh[i]], np.array(ids), np.array([len(ids)]))
         return np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
 
+    def _keep(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, at = len(self.index), self.size
+        self.size = at + len(ids)
+        if self.size > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * self.size)
+        if first + len(pieces) >= len(self.offsets):
+            self.offsets = np.resize(self.offsets, 2 * (first + len(pieces)))
+        self.flat[at : self.size] = ids
+        self.offsets[first + 1 : first + len(pieces) + 1] = at + np.cumsum(sizes)
+        self.index.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 offsets of the texts among them."""
         pieces, counts = pre_tokens(texts)
