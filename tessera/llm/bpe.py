@@ -442,18 +442,19 @@ def count_tokens(docs: DataFrame, path: str, special: str | None = SPECIAL) -> D
 
     Each batch of documents becomes frequencies of pre-tokens. Those common in the batch are counted there, so no hot
     pre-token is shuffled. The rest goes to the partition of its hash; there the pieces of each distinct pre-token are
-    counted once and joined to the frequencies of all documents, and sums by row come back.
+    counted once and joined to the frequencies of all documents, and sums go back to the batch, one array a partition.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "bucket int, blob binary, row bigint, doc_id bigint, n_bytes bigint, n_tokens bigint"
+    own = {"doc_id": pa.list_(pa.int64()), "n_bytes": pa.list_(pa.int64()), "n_tokens": pa.list_(pa.int64())}
+    fields = ", ".join(f"{c} array<bigint>" for c in own)
 
-    def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequencies(batches: Batches) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in chunks(batches, "text", 1 << 24):
             total, found = batch.num_rows, np.zeros(batch.num_rows, np.int64)
             table, at = Frequencies(total), 0
-            for part in chunks([batch], "text", 1 << 21):
+            for part in chunks([batch], "text", 1 << 20):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 pieces, owner, found[at : at + len(texts)] = _split_special(texts, special)
                 names, counts = pre_tokens(pieces)
@@ -464,29 +465,36 @@ def count_tokens(docs: DataFrame, path: str, special: str | None = SPECIAL) -> D
             weight = np.zeros(len(table.names), np.int64)
             weight[common] = enc.lengths([table.names[i] for i in np.flatnonzero(common)])
             local = np.bincount(table.owner, weights=weight[table.number] * table.freq, minlength=total).astype(np.int64) + found
-            ids = batch.column("row").to_numpy()
+            first = int(batch.column("row")[0].as_py())
             _, offsets = utf8(batch.column("text"))
-            none = pa.nulls(total, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array((ids % n).astype(np.int32)), none, batch.column("row"), batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(local)], names=["bucket", "blob", "row", "doc_id", "n_bytes", "n_tokens"])
-            buckets, blobs = table.blobs(n, int(ids[0]), ~common)
+            lists = [pa.array([x], t) for x, t in zip((batch.column("doc_id").to_pylist(), np.diff(offsets), local), own.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([first % n], pa.int32()), pa.array([first]), pa.nulls(1, pa.binary()), *lists], names=["bucket", "batch", "blob", *own])
+            buckets, blobs = table.blobs(n, first, ~common)
             if buckets:
-                none = pa.nulls(len(buckets), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none], names=["bucket", "blob", "row", "doc_id", "n_bytes", "n_tokens"])
+                none = [pa.nulls(len(buckets), t) for t in own.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([first] * len(buckets)), pa.array(blobs, pa.binary()), *none], names=["bucket", "batch", "blob", *own])
 
-    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Batches) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            own = batch.filter(batch.column("blob").is_null()).select(["row", "doc_id", "n_bytes", "n_tokens"])
-            if own.num_rows:
-                yield own
+            totals = []
             for blob in batch.column("blob"):
                 if blob.is_valid:
-                    first, names, _, number, owner, freq = unpack(blob.as_py())
-                    total = np.bincount(owner, weights=enc.lengths(names)[number] * freq).astype(np.int64)
-                    at = np.flatnonzero(total)
-                    none = pa.nulls(len(at), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(at + first), none, none, pa.array(total[at])], names=own.schema.names)
-
-    packed = rows.mapInArrow(frequencies, schema).repartition(n, "bucket")
-    parts = packed.mapInArrow(sums, "row bigint, doc_id bigint, n_bytes bigint, n_tokens bigint")
-    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens")).drop("row")
+                    _, names, _, number, owner, freq = unpack(blob.as_py())
+                    totals.append(np.bincount(owner, weights=enc.lengths(names)[number] * freq).astype(np.int32).tobytes())
+                else:
+                    totals.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("batch"), pa.array(totals, pa.binary()), *(batch.column(c) for c in own)], names=["batch", "totals", *own])
+
+    def finish(table: pa.Table) -> pa.Table:
+        doc_id, n_bytes, n_tokens = (next(x.values for x in table.column(c) if x.is_valid) for c in own)
+        tokens = n_tokens.to_numpy().copy()
+        for x in table.column("totals"):
+            if x.is_valid:
+                part = np.frombuffer(x.as_buffer(), np.int32)
+                tokens[: len(part)] += part
+        return pa.table({"doc_id": doc_id, "n_bytes": n_bytes, "n_tokens": tokens})
+
+    packed = rows.mapInArrow(frequencies, f"bucket int, batch bigint, blob binary, {fields}").repartition(n, "bucket")
+    parts = packed.mapInArrow(sums, f"batch bigint, totals binary, {fields}")
+    return parts.groupBy("batch").applyInArrow(finish, "doc_id bigint, n_bytes bigint, n_tokens bigint")

@@ -167,32 +167,36 @@ def lattice(vocab: Vocabulary, logp: np.ndarray, words: list[str], counts: np.nd
     return out, expected
 
 
+_OWN = {"doc_id": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "n_words": pa.list_(pa.int64())}
+_OWN_SCHEMA = "doc_id array<bigint>, held_out array<boolean>, n_words array<bigint>"
+
+
 def _packed(docs: DataFrame, modulus: int, held: int, buckets: int) -> DataFrame:
-    """Rows (row, doc_id, held_out, n_words) and, for each batch and bucket of words, a blob of frequencies with training counts."""
+    """For each batch of documents a row (batch, doc_id, held_out, n_words) of arrays and, for each bucket of its words, a blob of frequencies with training counts."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = ["bucket", "blob", "row", "doc_id", "held_out", "n_words"]
+    names = ["bucket", "batch", "blob", *_OWN]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 24):
-            ids = batch.column("row").to_numpy()
-            held_out = np.array([py_remainder(x, modulus) == held for x in batch.column("doc_id").to_pylist()])
+            first, ids = int(batch.column("row")[0].as_py()), batch.column("doc_id").to_pylist()
+            held_out = np.array([py_remainder(x, modulus) == held for x in ids])
             table, n_words, at = Frequencies(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
             for part in chunks([batch], "text", 1 << 21):
-                for text in part.column("text").to_pylist():
-                    words = _WORDS.findall((text or "").translate(_LOWER))
-                    n_words[at] = len(words)
-                    table.add(words, np.full(len(words), at))
-                    at += 1
+                found = [_WORDS.findall((text or "").translate(_LOWER)) for text in part.column("text").to_pylist()]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                n_words[at : at + len(found)] = sizes
+                table.add([w for words in found for w in words], np.repeat(np.arange(at, at + len(found)), sizes))
+                at += len(found)
             table.close()
             train = np.bincount(table.number, weights=table.freq * ~held_out[table.owner], minlength=len(table.names))
-            used, blobs = table.blobs(buckets, int(ids[0]), np.ones(len(table.names), bool), train)
-            none = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array((ids % buckets).astype(np.int32)), none, batch.column("row"), batch.column("doc_id"), pa.array(held_out), pa.array(n_words)], names=names)
+            used, blobs = table.blobs(buckets, first, np.ones(len(table.names), bool), train)
+            lists = [pa.array([x], t) for x, t in zip((ids, held_out, n_words), _OWN.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([first % buckets], pa.int32()), pa.array([first]), pa.nulls(1, pa.binary()), *lists], names=names)
             if used:
-                none = pa.nulls(len(used), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(blobs, pa.binary()), none, none, pa.nulls(len(used), pa.bool_()), none], names=names)
+                none = [pa.nulls(len(used), t) for t in _OWN.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([first] * len(used)), pa.array(blobs, pa.binary()), *none], names=names)
 
-    return rows.mapInArrow(run, "bucket int, blob binary, row bigint, doc_id bigint, held_out boolean, n_words bigint")
+    return rows.mapInArrow(run, f"bucket int, batch bigint, blob binary, {_OWN_SCHEMA}")
 
 
 def _counted(blobs: Iterable[bytes]) -> tuple[list[str], np.ndarray]:
@@ -210,8 +214,9 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2, rounds: i
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = materialize(_packed(docs, modulus, held, buckets))
     blobs = packed.filter("blob is not null").select("bucket", "blob")
-    own = packed.filter("blob is null").select("row", "doc_id", "held_out", "n_words")
-    size = own.filter("not held_out").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
+    own = packed.filter("blob is null").select("batch", *_OWN)
+    learned = own.select(F.explode(F.arrays_zip("held_out", "n_words")).alias("x")).filter("not x.held_out")
+    size = learned.agg(F.count("*").alias("docs"), F.coalesce(F.sum("x.n_words"), F.lit(0)).alias("words")).first()
 
     def types_of(table: pa.Table) -> pa.Table:
         names, counts = _counted(x.as_py() for x in table.column("blob"))
@@ -227,6 +232,8 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2, rounds: i
         logp = _maximized(vocab, _expected(types, path, logp))
     ending = (size["docs"] + 1) / (tokens + 2)  # the share of ends among tokens
 
+    sums_of = ("n_known", "base_score", "score")
+
     def sums(table: pa.Table) -> pa.Table:
         names, counts = _counted(x.as_py() for x in table.column("blob"))
         number = {w: i for i, w in enumerate(names)}
@@ -234,26 +241,32 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2, rounds: i
         marginal = lattice(vocabulary(path), logp, names)[0]
         with np.errstate(divide="ignore"):  # in log space, as a long word's lattice probability is below the least float
             model = (np.logaddexp(np.log(counts), np.log((distinct + 1) * (1 - ending)) + marginal) - np.log(tokens + distinct + 1)) / np.log(10)
-        out = []
+        out: dict[str, list] = {k: [] for k in ("batch", *sums_of)}
         for blob in table.column("blob"):
             first, words, _, entry, owner, freq = unpack(blob.as_py())
             at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))[entry]
-            rows, place = np.unique(owner, return_inverse=True)
-            add = lambda x: np.bincount(place, weights=x, minlength=len(rows))  # noqa: B023, E731
-            out.append(pa.table({"row": rows + first, "n_known": add(freq * (counts[at] > 0)).astype(np.int64), "base_score": add(freq * base[at]), "score": add(freq * model[at])}))
-        return pa.concat_tables(out)
-
-    parts = blobs.groupBy("bucket").applyInArrow(sums, "row bigint, n_known bigint, base_score double, score double")
-    nothing = own.select("row", "doc_id", "held_out", "n_words", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    total = nothing.unionByName(parts, allowMissingColumns=True).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_words").alias("n_words"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")
-    )
+            out["batch"].append(first)
+            for k, x in zip(sums_of, (freq * (counts[at] > 0), freq * base[at], freq * model[at]), strict=True):
+                out[k].append(np.bincount(owner, weights=x).tobytes())
+        return pa.table({"batch": pa.array(out["batch"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in sums_of}})
+
     end_base = float(np.log10((size["docs"] + 1) / (tokens + distinct + 1)))
     end = float(np.log10((size["docs"] + (distinct + 1) * ending) / (tokens + distinct + 1)))
-    return total.select(
-        "doc_id", "held_out", (F.col("n_words") + 1).alias("n_tokens"), (F.col("n_known") + int(size["docs"] > 0)).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + end_base).alias("base_score"), (F.col("score") + end).alias("score"),
-    )
+    known_end = int(size["docs"] > 0)
+
+    def finish(table: pa.Table) -> pa.Table:
+        doc_id, held_out, n_words = (next(x.values for x in table.column(c) if x.is_valid) for c in _OWN)
+        total = {k: np.full(len(doc_id), x) for k, x in zip(sums_of, (known_end, end_base, end), strict=True)}
+        for k in sums_of:
+            for x in table.column(k):
+                if x.is_valid:
+                    part = np.frombuffer(x.as_buffer(), np.float64)
+                    total[k][: len(part)] = total[k][: len(part)] + part
+        return pa.table({"doc_id": doc_id, "held_out": held_out, "n_tokens": n_words.to_numpy() + 1, "n_known": total["n_known"].astype(np.int64), "train_tokens": np.full(len(doc_id), int(tokens)), "base_score": total["base_score"].astype(float), "score": total["score"].astype(float)})
+
+    parts = blobs.groupBy("bucket").applyInArrow(sums, "batch bigint, n_known binary, base_score binary, score binary")
+    together = own.unionByName(parts, allowMissingColumns=True)
+    return together.groupBy("batch").applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def _expected(types: DataFrame, path: str, logp: np.ndarray) -> np.ndarray:
