@@ -56,7 +56,7 @@ def py_remainder(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about max_bytes of text (one row at least), so that the memory of a task doesn't follow the batch size."""
     for batch in batches:
         if not batch.num_rows:
