@@ -1 +1 @@
-
+"""Column functions over cross-sections."""
