@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from tessera.functions.stats import avg_rank, clip, inv_norm, rank_pct
 
 CELL = ("month_idx", "factor")
-_CELL = W.partitionBy(*CELL)
+def _cell():
+    return W.partitionBy(*CELL)
+
 
 
 def long_form(panel: DataFrame, factors: list[str], keep: list[str]) -> DataFrame:
@@ -28,21 +30,21 @@ def long_form(panel: DataFrame, factors: list[str], keep: list[str]) -> DataFram
 
 def zscore(df: DataFrame, y: str = "y", out: str = "z") -> DataFrame:
     """(y - mean) / population std; a flat cross-section gives 0, fewer than two values NULL."""
-    m, s, n = F.avg(y).over(_CELL), F.stddev_pop(y).over(_CELL), F.count(y).over(_CELL)
+    m, s, n = F.avg(y).over(_cell()), F.stddev_pop(y).over(_cell()), F.count(y).over(_cell())
     return df.withColumn(out, F.when(F.col(y).isNull() | (n < 2), F.lit(None)).when(s < 1e-8, 0.0).otherwise((F.col(y) - m) / s))
 
 
 def zscore_fill(df: DataFrame) -> DataFrame:
     """Missing values as 0 first, then (y - mean) / (population std + 1e-6)."""
     y = F.coalesce("y", F.lit(0.0))
-    return df.withColumn("z", (y - F.avg(y).over(_CELL)) / (F.stddev_pop(y).over(_CELL) + 1e-6))
+    return df.withColumn("z", (y - F.avg(y).over(_cell())) / (F.stddev_pop(y).over(_cell()) + 1e-6))
 
 
 def winsorize(df: DataFrame, n: float = 3.0, out: str = "y") -> DataFrame:
     """y within median +- n * 1.4826 * median absolute deviation; flat or single cross-sections as they are."""
-    med = F.median("y").over(_CELL)
+    med = F.median("y").over(_cell())
     df = df.withColumn("_med", med).withColumn("_dev", F.abs(F.col("y") - F.col("_med")))
-    df = df.withColumn("_mad", F.median("_dev").over(_CELL)).withColumn("_n", F.count("y").over(_CELL))
+    df = df.withColumn("_mad", F.median("_dev").over(_cell())).withColumn("_n", F.count("y").over(_cell()))
     w = n * 1.4826 * F.col("_mad")
     value = F.when((F.col("_mad") < 1e-8) | (F.col("_n") < 2), F.col("y")).otherwise(clip(F.col("y"), F.col("_med") - w, F.col("_med") + w))
     return df.withColumn(out, value).drop("_med", "_dev", "_mad", "_n")
@@ -50,7 +52,7 @@ def winsorize(df: DataFrame, n: float = 3.0, out: str = "y") -> DataFrame:
 
 def rank_normal(df: DataFrame, version: int = 1, out: str = "y") -> DataFrame:
     """Normal scores of average-tie ranks. v1: rank / (n + 1), as it is under 10 values; v2: (rank - 0.5) / n, NULL under 2. A flat cross-section gives 0."""
-    n, rank = F.count("y").over(_CELL), avg_rank("y", *CELL)
+    n, rank = F.count("y").over(_cell()), avg_rank("y", *CELL)
     df = df.withColumns({"_rank": rank, "_n": n})
     if version == 1:
         value = F.when(F.col("_n") < 10, F.col("y")).otherwise(inv_norm(F.col("_rank") / (F.col("_n") + 1)))
@@ -61,7 +63,7 @@ def rank_normal(df: DataFrame, version: int = 1, out: str = "y") -> DataFrame:
 
 def _with_base_industry(df: DataFrame) -> DataFrame:
     """A missing industry shares the intercept of the first one, as the dummies drop it."""
-    return df.withColumn("_ind", F.coalesce("industry", F.min("industry").over(_CELL)))
+    return df.withColumn("_ind", F.coalesce("industry", F.min("industry").over(_cell())))
 
 
 def _demeaned(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
@@ -75,8 +77,8 @@ def industry_size_residual(df: DataFrame, weight: str | None = None) -> DataFram
     """Residual e of y on the log of size and industry dummies (weighted if asked)."""
     df = _demeaned(_with_base_industry(df).withColumn("_x", F.log(F.greatest("market_cap", F.lit(1.0)))), ["y", "_x"], weight)
     w = F.col(weight) if weight else F.lit(1.0)
-    sxx = F.sum(w * F.col("_d_x") * F.col("_d_x")).over(_CELL)
-    sxy = F.sum(w * F.col("_d_x") * F.col("_dy")).over(_CELL)
+    sxx = F.sum(w * F.col("_d_x") * F.col("_d_x")).over(_cell())
+    sxy = F.sum(w * F.col("_d_x") * F.col("_dy")).over(_cell())
     beta = F.when(sxx > 1e-12, sxy / sxx).otherwise(0.0)
     return df.withColumn("e", F.col("_dy") - beta * F.col("_d_x")).drop("_ind", "_x", "_dy", "_d_x")
 
@@ -100,7 +102,7 @@ def neutralize_d(df: DataFrame) -> DataFrame:
 def neutralize_e(df: DataFrame) -> DataFrame:
     """Winsorised, ranked within the industry, then size alone out."""
     df = winsorize(df).withColumn("y", F.coalesce(rank_pct("y", *CELL, "industry"), F.lit(0.0))).withColumn("_x", F.log(F.greatest("market_cap", F.lit(1.0))))
-    slope, intercept = F.regr_slope("y", "_x").over(_CELL), F.regr_intercept("y", "_x").over(_CELL)
+    slope, intercept = F.regr_slope("y", "_x").over(_cell()), F.regr_intercept("y", "_x").over(_cell())
     return zscore(df.withColumn("e", F.col("y") - intercept - slope * F.col("_x")).drop("_x"), "e")
 
 
@@ -108,7 +110,7 @@ def neutralize_b2(df: DataFrame) -> DataFrame:
     """Weighted by the root of size; missing values come back as missing."""
     df = df.withColumn("_miss", F.col("y").isNull()).withColumn("y", F.coalesce("y", F.lit(0.0)))
     root = F.when(F.col("market_cap") > 0, F.sqrt("market_cap")).otherwise(0.0)
-    df = df.withColumn("_w", root / F.avg(root).over(_CELL))
+    df = df.withColumn("_w", root / F.avg(root).over(_cell()))
     df = industry_size_residual(df, "_w").withColumn("e", F.when(~F.col("_miss"), F.col("e")))
     return zscore(df.drop("_w", "_miss"), "e")
 
@@ -145,7 +147,7 @@ def neutralize_b1(df: DataFrame) -> DataFrame:
     df = df.withColumn("_miss", F.col("y").isNull())
     df = rank_normal(df, 2).withColumn("y", F.coalesce("y", F.lit(0.0)))
     x = F.log(F.greatest("market_cap", F.lit(1.0)))
-    df = df.withColumn("_s", x - F.avg(x).over(_CELL)).withColumns({"_s2": F.col("_s") ** 2, "_s3": F.col("_s") ** 3})
+    df = df.withColumn("_s", x - F.avg(x).over(_cell())).withColumns({"_s2": F.col("_s") ** 2, "_s3": F.col("_s") ** 3})
     df = block_residual(df, ["_s", "_s2", "_s3"]).withColumn("e", F.when(~F.col("_miss"), F.col("e")))
     return zscore(df.drop("_s", "_s2", "_s3", "_miss"), "e")
 
@@ -158,7 +160,7 @@ def neutralize_f(df: DataFrame, styles: list[str]) -> DataFrame:
     df = df.withColumn("_miss", F.col("y").isNull()).withColumn("y", F.coalesce("y", F.lit(0.0)))
     df = df.withColumn("_s", F.log(F.greatest("market_cap", F.lit(1.0))))
     for s in styles:
-        n = F.count(s).over(_CELL)
+        n = F.count(s).over(_cell())
         df = df.withColumn(f"_n{s}", F.coalesce(inv_norm(clip((avg_rank(s, *CELL) - 0.5) / n, 1e-6, 1 - 1e-6)), F.lit(0.0)))
     block = ["_s", *[f"_n{s}" for s in styles]]
     df = block_residual(df, block).withColumn("e", F.when(~F.col("_miss"), F.col("e")))
@@ -244,6 +246,6 @@ def quantile_spread(df: DataFrame, q: int = 5, rows: int = 50, valid: int = 20)
 
 def median_spread(df: DataFrame) -> DataFrame:
     """Mean target of the rows at or below the median of y less that of the rows above."""
-    df = df.filter("y is not null and target is not null").withColumn("_m", F.median("y").over(_CELL))
+    df = df.filter("y is not null and target is not null").withColumn("_m", F.median("y").over(_cell()))
     low = F.col("y") <= F.col("_m")
     return df.groupBy(*CELL).agg((F.avg(F.when(low, F.col("target"))) - F.avg(F.when(~low, F.col("target")))).alias("spread"))

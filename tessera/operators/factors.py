@@ -10,20 +10,42 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, functions
 from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
 from tessera.sources.tables import BARS_SQL
 
-_BY = W.partitionBy("entity").orderBy("date")
+
+class _Nothing:
+    """Stands for any column before a session exists, when only the SQL of a family is asked for."""
+
+    def _same(self, *_, **__) -> _Nothing:
+        return self
+
+    __call__ = __getattr__ = __getitem__ = __add__ = __radd__ = __sub__ = __rsub__ = __mul__ = __rmul__ = __truediv__ = __rtruediv__ = _same
+    __pow__ = __neg__ = __invert__ = __and__ = __rand__ = __or__ = __lt__ = __le__ = __gt__ = __ge__ = __eq__ = __ne__ = _same
+
+
+class _Functions:
+    def __getattr__(self, name: str):
+        return getattr(functions, name) if SparkContext._active_spark_context else _Nothing()
+
+
+F = _Functions()
+
+
+def _by():
+    return W.partitionBy("entity").orderBy("date") if SparkContext._active_spark_context else _Nothing()
+
+
 _SQL = "PARTITION BY entity ORDER BY date"
 YEAR = math.sqrt(252)
 Factor = tuple[str, Column, str]
 
 
 def over(n: int):
-    return _BY.rowsBetween(-(n - 1), 0)
+    return _by().rowsBetween(-(n - 1), 0)
 
 
 def sover(n: int) -> str:
@@ -31,7 +53,7 @@ def sover(n: int) -> str:
 
 
 def lag(c: str, n: int) -> Column:
-    return F.lag(c, n).over(_BY)
+    return F.lag(c, n).over(_by())
 
 
 def slag(c: str, n: int) -> str:
@@ -52,7 +74,7 @@ def rule(name: str, w: int, column: Column, sql: str) -> Factor:
 
 def base(bars: DataFrame, convention: str = "chronological") -> DataFrame:
     sign = -1.0 if convention == "reference" else 1.0
-    df = bars.withColumns({"rn": F.row_number().over(_BY), "r": sign * F.log(F.col("close") / lag("close", 1)), "dc": sign * (F.col("close") - lag("close", 1)), "pc": lag("close", 1), "month_end": F.coalesce(F.trunc(F.lead("date").over(_BY), "month") != F.trunc("date", "month"), F.lit(True))})
+    df = bars.withColumns({"rn": F.row_number().over(_by()), "r": sign * F.log(F.col("close") / lag("close", 1)), "dc": sign * (F.col("close") - lag("close", 1)), "pc": lag("close", 1), "month_end": F.coalesce(F.trunc(F.lead("date").over(_by()), "month") != F.trunc("date", "month"), F.lit(True))})
     return df.withColumns({
         "up": F.greatest("dc", F.lit(0.0)), "down": F.greatest(-F.col("dc"), F.lit(0.0)), "dv": F.col("volume") - lag("volume", 1),
         "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("pc")), F.abs(F.col("low") - F.col("pc"))),
@@ -188,7 +210,7 @@ def technical() -> Iterator[Factor]:
         (m, sm), (s, ss) = _mean("close", w), _std("close", w)
         yield rule(f"technical_boll_width_{w}d", w, 4 * s / m, f"4 * ({ss}) / ({sm})")
         yield rule(f"technical_boll_pos_{w}d", w, F.when(s > 1e-8, (F.col("close") - m) / (2 * s)).otherwise(0.0), f"CASE WHEN {ss} > 1e-8 THEN (close - {sm}) / (2 * ({ss})) ELSE 0.0 END")
-    yield "technical_obv", F.sum("sv").over(_BY), f"sum(sv) OVER ({_SQL})"
+    yield "technical_obv", F.sum("sv").over(_by()), f"sum(sv) OVER ({_SQL})"
     for w in (10, 20, 60, 120):
         yield rule(f"technical_willr_{w}d", w, *_place(w, -50.0, -100.0, top=True))
         yield rule(f"technical_momentum_{w}d", w, F.col("close") - lag("close", w), f"close - {slag('close', w)}")
@@ -204,12 +226,12 @@ def liquidity() -> Iterator[Factor]:
         for c in ("volume", "turnover", "amount"):
             yield rule(f"liquidity_avg_{c}_{w}d", w, *_mean(c, w))
         (m, sm) = _mean("volume", w)
-        old, sold = F.avg("volume").over(_BY.rowsBetween(-(2 * w - 1), -w)), f"avg(volume) OVER ({_SQL} ROWS BETWEEN {2 * w - 1} PRECEDING AND {w} PRECEDING)"
+        old, sold = F.avg("volume").over(_by().rowsBetween(-(2 * w - 1), -w)), f"avg(volume) OVER ({_SQL} ROWS BETWEEN {2 * w - 1} PRECEDING AND {w} PRECEDING)"
         yield rule(f"liquidity_volume_change_{w}d", 2 * w, m / old - 1, f"{sm} / ({sold}) - 1")
     for w in (5, 10, 20, 60):
         m, sm = _mean("illiq", w)
         yield rule(f"liquidity_amihud_{w}d", w, m * 1e6, f"{sm} * 1e6")
-    past, spast = F.avg("volume").over(_BY.rowsBetween(-20, -1)), f"avg(volume) OVER ({_SQL} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+    past, spast = F.avg("volume").over(_by().rowsBetween(-20, -1)), f"avg(volume) OVER ({_SQL} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
     yield rule("liquidity_shock_volume", 20, F.col("volume") / past - 1, f"volume / ({spast}) - 1")
     yield rule("liquidity_shock_corr_20d", 20, F.corr("r", "dv").over(over(20)), f"corr(r, dv) {sover(20)}")
 

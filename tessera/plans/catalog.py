@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cross, factors
+from . import cross, factors, live, reports, strategy
 
-_MODULES = (factors, cross)
+_MODULES = (factors, cross, strategy, reports, live)
 
 
 def queries() -> dict:
