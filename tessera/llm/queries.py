@@ -68,5 +68,18 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_OP7 = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+tri AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM w, unnest(generate_series(1, len(ws) - 2)) u(i)),
+dup AS (SELECT doc_id, a, b, c FROM tri GROUP BY ALL HAVING count(*) > 1),
+pos AS (SELECT DISTINCT tri.doc_id, i + k AS p FROM tri JOIN dup USING (doc_id, a, b, c), generate_series(0, 2) g(k)),
+rep AS (SELECT doc_id, count(*) AS n_repeat_words FROM pos GROUP BY 1),
+m AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, len(list_filter(ws, lambda x: lower(x) IN (STOPS))) AS n_stop, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+k AS (SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words BETWEEN 50 AND 1000000 AND word_chars / n_words BETWEEN 2.0 AND 15.0 AND n_symbols / word_chars <= 0.10 AND n_stop / n_words >= 0.02 AND n_dup_lines / len(ls) <= 0.30 AND n_repeat_words / n_words <= 0.50 AS kept FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only the rules are SQL; the other operators hash, scan or learn, and are tested against brute force."""
+    return {"op7_quality_rules": _OP7.replace("STOPS", ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS))))}
