@@ -52,7 +52,7 @@ class Filters:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     """Filters from (doc_id, text, lang); rows without a language are left out."""
-    docs = docs.filter("lang is not null and text is not null")
+    docs = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     names = sorted(sizes)
     if not names:

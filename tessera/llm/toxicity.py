@@ -55,7 +55,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     n = labels.count()
     u = F.xxhash64("doc_id", F.lit(9)).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     chosen = F.broadcast(labels.filter(u < min(1.0, sample / max(1, n))))  # about `sample` pairs of numbers
-    rows = docs.join(chosen, "doc_id").select("toxic", "text")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 << BITS), np.int64)
