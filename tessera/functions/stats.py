@@ -68,3 +68,11 @@ def rank_pct(x: str, *group: str) -> Column:
 
 def rank_pct_sql(x: str, *group: str) -> str:
     return f"({avg_rank_sql(x, *group)}) / count({x}) OVER (PARTITION BY {', '.join(group)})"
+
+
+def correlation(a: str | Column, b: str | Column, window=None) -> Column:
+    """Pearson correlation of complete pairs; NULL without spread, where the built-in one divides by zero."""
+    over = (lambda c: c) if window is None else (lambda c: c.over(window))
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(over(F.covar_pop(a, b)), over(F.stddev_pop(x)) * over(F.stddev_pop(y)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import avg_rank, clip, inv_norm, rank_pct
+from tessera.functions.stats import avg_rank, clip, correlation, inv_norm, rank_pct
 
 CELL = ("month_idx", "factor")
 def _cell():
@@ -161,7 +161,8 @@ def neutralize_f(df: DataFrame, styles: list[str]) -> DataFrame:
     df = df.withColumn("_s", F.log(F.greatest("market_cap", F.lit(1.0))))
     for s in styles:
         n = F.count(s).over(_cell())
-        df = df.withColumn(f"_n{s}", F.coalesce(inv_norm(clip((avg_rank(s, *CELL) - 0.5) / n, 1e-6, 1 - 1e-6)), F.lit(0.0)))
+        df = df.withColumn("_p", clip((avg_rank(s, *CELL) - 0.5) / n, 1e-6, 1 - 1e-6))  # a column of its own, as inv_norm reads it often
+        df = df.withColumn(f"_n{s}", F.coalesce(inv_norm(F.col("_p")), F.lit(0.0))).drop("_p")
     block = ["_s", *[f"_n{s}" for s in styles]]
     df = block_residual(df, block).withColumn("e", F.when(~F.col("_miss"), F.col("e")))
     return zscore(df.drop(*block, "_miss"), "e")
@@ -217,7 +218,7 @@ def grouped_ic(df: DataFrame, least: int = 10) -> DataFrame:
     """Spearman correlation of y and target in each cell with `least` complete pairs or more."""
     df = df.filter("y is not null and target is not null")
     df = df.withColumns({"_ry": avg_rank("y", *CELL), "_rt": avg_rank("target", *CELL)})
-    return df.groupBy(*CELL).agg(F.count("*").alias("n"), F.corr("_ry", "_rt").alias("ic")).filter(F.col("n") >= least)
+    return df.groupBy(*CELL).agg(F.count("*").alias("n"), correlation("_ry", "_rt").alias("ic")).filter(F.col("n") >= least)
 
 
 def icir(ics: DataFrame) -> DataFrame:

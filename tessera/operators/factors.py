@@ -14,6 +14,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions
 from pyspark.sql import Window as W
 
+from tessera.functions.stats import correlation
 from tessera.sources.tables import BARS_SQL
 
 
@@ -68,6 +69,10 @@ def sroll(name: str, c: str, n: int) -> str:
     return f"{name}({c}) {sover(n)}"
 
 
+def _corr(a: str, b: str, n: int) -> Column:
+    return correlation(a, b, over(n)) if SparkContext._active_spark_context else _Nothing()
+
+
 def rule(name: str, w: int, column: Column, sql: str) -> Factor:
     return name, F.when(F.col("rn") > w, column), f"CASE WHEN rn > {w} THEN {sql} END"
 
@@ -203,7 +208,7 @@ def technical() -> Iterator[Factor]:
         m, sm = _mean("close", w)
         yield rule(f"technical_price_ma_ratio_{w}d", w, F.col("close") / m, f"close / ({sm})")
         yield rule(f"technical_volume_ma_{w}d", w, *_mean("volume", w))
-        yield rule(f"technical_pv_corr_{w}d", w, F.corr("close", "volume").over(over(w)), f"corr(close, volume) {sover(w)}")
+        yield rule(f"technical_pv_corr_{w}d", w, _corr("close", "volume", w), f"corr(close, volume) {sover(w)}")
     for w in (9, 14, 20, 30):
         yield rule(f"technical_kdj_rsv_{w}d", w, *_place(w, 50.0, 100.0))
     for w in (20, 60):
@@ -233,14 +238,14 @@ def liquidity() -> Iterator[Factor]:
         yield rule(f"liquidity_amihud_{w}d", w, m * 1e6, f"{sm} * 1e6")
     past, spast = F.avg("volume").over(_by().rowsBetween(-20, -1)), f"avg(volume) OVER ({_SQL} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
     yield rule("liquidity_shock_volume", 20, F.col("volume") / past - 1, f"volume / ({spast}) - 1")
-    yield rule("liquidity_shock_corr_20d", 20, F.corr("r", "dv").over(over(20)), f"corr(r, dv) {sover(20)}")
+    yield rule("liquidity_shock_corr_20d", 20, _corr("r", "dv", 20), f"corr(r, dv) {sover(20)}")
 
 
 def alpha() -> Iterator[Factor]:
     first = F.first("r").over(over(20))
     yield rule("alpha_001", 20, F.when(first < 0, roll("stddev_pop", "r", 20)).otherwise(F.col("close")), f"CASE WHEN first_value(r) {sover(20)} < 0 THEN {sroll('stddev_pop', 'r', 20)} ELSE close END")
     yield rule("alpha_002", 1, -F.col("r"), "-r")
-    yield rule("alpha_003", 10, -F.corr("close", "volume").over(over(10)), f"-corr(close, volume) {sover(10)}")
+    yield rule("alpha_003", 10, -_corr("close", "volume", 10), f"-corr(close, volume) {sover(10)}")
     closes = F.collect_list("close").over(over(9))
     yield rule("alpha_004", 9, -F.size(F.filter(closes, lambda x: x <= F.col("close"))) / 9.0, f"-len(list_filter(list(close) {sover(9)}, lambda x: x <= close)) / 9.0")
     yield rule("alpha_005", 10, F.col("open") - roll("sum", F.least("close", "open"), 10), f"open - {sroll('sum', 'least(close, open)', 10)}")

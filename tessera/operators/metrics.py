@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.stats import correlation
+
 def _order():
     return W.partitionBy("series").orderBy("month_idx")
 
@@ -109,7 +111,7 @@ def lag_correlation(monthly: DataFrame, max_lag: int = 3, least: int = 5) -> Dat
     shifted = monthly.select("series", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"), "month_idx", F.col("portfolio_return").alias("a"))
     other = monthly.select(F.col("series").alias("_s"), F.col("month_idx").alias("_m"), F.col("benchmark_return").alias("b"))
     both = shifted.join(other, (F.col("series") == F.col("_s")) & (F.col("month_idx") + F.col("lag") == F.col("_m")))
-    return both.groupBy("series", "lag").agg(F.count("*").alias("pairs"), F.when(F.count("*") >= least, F.corr("a", "b")).alias("r"))
+    return both.groupBy("series", "lag").agg(F.count("*").alias("pairs"), F.when(F.count("*") >= least, correlation("a", "b")).alias("r"))
 
 
 def tier_returns(holdings: DataFrame) -> DataFrame:

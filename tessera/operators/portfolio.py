@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import avg_rank, clip
+from tessera.functions.stats import avg_rank, clip, correlation
 
 def _month():
     return W.partitionBy("month_idx")
@@ -60,7 +60,7 @@ def candidate_features(df: DataFrame, drop_short: bool = False) -> list[str]:
 def screen(df: DataFrame, features: list[str], label: str = "target") -> DataFrame:
     """Coverage, sample variance test and absolute correlation with the label (missing values as 0), a row for each feature; one pass."""
     rows = df.filter(F.col(label).isNotNull())
-    one = rows.agg(*[x for c in features for x in (F.avg(F.col(c).isNotNull().cast("double")).alias(f"{c}|coverage"), F.stddev_samp(c).alias(f"{c}|std"), F.abs(F.corr(F.coalesce(F.col(c), F.lit(0.0)), F.col(label))).alias(f"{c}|ic"))])
+    one = rows.agg(*[x for c in features for x in (F.avg(F.col(c).isNotNull().cast("double")).alias(f"{c}|coverage"), F.stddev_samp(c).alias(f"{c}|std"), F.abs(correlation(F.coalesce(F.col(c), F.lit(0.0)), F.col(label))).alias(f"{c}|ic"))])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}|coverage`").alias("coverage"), F.col(f"`{c}|std`").alias("std"), F.col(f"`{c}|ic`").alias("ic")) for c in features])).alias("x")).select("x.*")
 
 
@@ -68,7 +68,7 @@ def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlation of all pairs of features with missing values as 0: a row for each pair."""
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    one = df.agg(*[F.corr(zero(a), zero(b)).alias(f"{a}|{b}") for a, b in pairs])
+    one = df.agg(*[correlation(zero(a), zero(b)).alias(f"{a}|{b}") for a, b in pairs])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("x")).select("x.*")
 
 

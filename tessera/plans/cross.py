@@ -98,7 +98,7 @@ QUERIES = {
     "misvaluation": lambda s, d: cross.misvaluation(_misvaluation_input(s, d)).select("entity", "month_idx", F.round("misvaluation", 6).alias("misvaluation")),
 }
 
-_PAIRS = f"{CELLS_SQL}, p AS (SELECT * FROM c WHERE y IS NOT NULL AND target IS NOT NULL), k AS (SELECT *, {avg_rank_sql('y', 'month_idx', 'factor')} AS ry, {avg_rank_sql('target', 'month_idx', 'factor')} AS rt FROM p), ic AS (SELECT month_idx, factor, count(*) AS n, corr(ry, rt) AS ic FROM k GROUP BY 1, 2 HAVING count(*) >= 10)"
+_PAIRS = f"{CELLS_SQL}, p AS (SELECT * FROM c WHERE y IS NOT NULL AND target IS NOT NULL), k AS (SELECT *, {avg_rank_sql('y', 'month_idx', 'factor')} AS ry, {avg_rank_sql('target', 'month_idx', 'factor')} AS rt FROM p), ic AS (SELECT month_idx, factor, count(*) AS n, CASE WHEN stddev_pop(ry) > 0 AND stddev_pop(rt) > 0 THEN corr(ry, rt) END AS ic FROM k GROUP BY 1, 2 HAVING count(*) >= 10)"
 _ROOT = "CASE WHEN market_cap > 0 THEN sqrt(market_cap) ELSE 0.0 END"
 SQL = {
     "zscore": f"{CELLS_SQL} {Z('y', 'c')}",
