@@ -93,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     out = ranked(rows, per)
     same = out["doc_id"].eqNullSafe(edge["_e_doc_id"]) & out["source"].eqNullSafe(edge["_e_source"]) & (out["text_hash"] == edge["_e_text_hash"])
     out = out.join(edge, same, "left")
-    # Repeated rows at the cut: `extra` of them are taken; which doesn't matter, so they are numbered only where there are several.
+    # Identical rows at the cut are taken together.
     below = F.col("rank").isNotNull() & (F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")))
     taken = F.col("whole") + F.when(below, 1).when(F.col("extra").isNotNull(), 1).otherwise(0)
     named = [F.col(f"_in_{i}").alias(c) for i, c in enumerate(columns)]
