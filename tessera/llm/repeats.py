@@ -85,7 +85,7 @@ def contexts(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 
 def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     fresh = np.concatenate(([False], key[order][1:] != key[order][:-1]))
     rank = np.empty(len(key), np.int64)
     rank[order] = np.cumsum(fresh)
