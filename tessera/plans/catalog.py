@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import cross, factors, live, reports, strategy
+from . import align, cross, factors, live, reports, strategy
 
-_MODULES = (factors, cross, strategy, reports, live)
+_MODULES = (factors, cross, strategy, reports, live, align)
 
 
 def queries() -> dict:
