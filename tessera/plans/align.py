@@ -66,7 +66,7 @@ SQL = {
     "returns_backfill": f"WITH {PANEL_SQL} SELECT entity, month_idx, round(CASE WHEN entity % 4 <> 1 THEN coalesce(target, -target) WHEN entity % 8 = 1 THEN coalesce(target, -target) ELSE -target END, 8) AS target FROM panel",
     "returns_matrix": f"WITH {BARS_SQL}, r AS (SELECT entity, row_number() OVER w - 1 AS age, close, lead(close) OVER w AS old, count(*) OVER (PARTITION BY entity) AS n FROM bars WINDOW w AS (PARTITION BY entity ORDER BY date DESC)) SELECT entity, age, round(ln(close / old), 8) AS r FROM r WHERE age < 60 AND n >= 61",
     "sanitize": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS x FROM part",
-    "overlay_returns": f"{O} SELECT f.seq, round(sum(0.01 * CASE WHEN sold THEN 0.025 / 12 ELSE coalesce(target, 0) END), 7) AS ret, round(sum(CASE WHEN sold THEN 0.01 ELSE 0 END), 7) AS cash FROM f JOIN panel p ON p.entity = f.entity AND p.month_idx = f.seq GROUP BY 1",
+    "overlay_returns": f"{O} SELECT f.seq, round(sum(0.01 * CASE WHEN sold THEN 0.025 / 12 ELSE coalesce(target, 0) END), 7) AS ret, round(sum(CASE WHEN sold THEN 0.01::DOUBLE ELSE 0::DOUBLE END), 7) AS cash FROM f JOIN panel p ON p.entity = f.entity AND p.month_idx = f.seq GROUP BY 1",
     "extreme_months": f"{M}, z AS (SELECT series, month_idx, cum, row_number() OVER (PARTITION BY series ORDER BY cum DESC, month_idx) AS high, row_number() OVER (PARTITION BY series ORDER BY cum, month_idx) AS low FROM cv) SELECT series, month_idx, round(cum, 7) AS cum, high, low FROM z WHERE high <= 5 OR low <= 5",
     "ic_gap": f"{_PAIRS}, a AS (SELECT factor, arg_max(ic, month_idx) AS train_ic FROM ic WHERE month_idx <= 23976 GROUP BY 1), b AS (SELECT factor, avg(ic) AS val_ic FROM ic WHERE month_idx > 23976 AND month_idx <= 23988 GROUP BY 1) SELECT factor, round(train_ic, 7) AS train_ic, round(val_ic, 7) AS val_ic, round(train_ic - val_ic, 7) AS gap, CASE WHEN train_ic - val_ic > 0.15 THEN 'LOW' ELSE 'OK' END AS confidence FROM a JOIN b USING (factor)",
     "trial_range_advice": f"WITH {TR}, h AS (SELECT p_size, ntile(2) OVER (ORDER BY value, number) AS half FROM va), g AS (SELECT avg(p_size) AS m, stddev_samp(p_size) AS s FROM h WHERE half = 1) SELECT 'size' AS param, CASE WHEN s / abs(m) < 0.15 THEN 'fix' ELSE 'search' END AS advice, round(m - 2 * s, 7) AS low, round(m + 2 * s, 7) AS high FROM g",

@@ -148,5 +148,5 @@ SQL = {
     "lag_correlation": f"{M} SELECT a.series, CAST(l AS INTEGER) AS lag, count(*) AS pairs, round(CASE WHEN count(*) >= 5 THEN corr(a.portfolio_return, b.benchmark_return) END, 7) AS r FROM m a, generate_series(-3, 3) t(l), m b WHERE a.series = b.series AND b.month_idx = a.month_idx + l GROUP BY 1, 2",
     "tier_returns": f"{H} SELECT series, tier, month_idx, round(sum(weight * target) / sum(weight), 11) AS ret FROM hh WHERE target IS NOT NULL GROUP BY 1, 2, 3",
     "risk_overlay": f"{O} SELECT entity, seq, CAST(ts AS DOUBLE) AS ts, ei, CAST(sg AS INTEGER) AS sign, round(ats, 9) AS ats, round(ats - ei, 9) AS timing, sold, label FROM f",
-    "cash_pool": f"{O} SELECT seq, round(count(*) * 0.01, 8) AS cash_weight, round(0.025 / 12, 8) AS rf FROM f WHERE sold GROUP BY 1",
+    "cash_pool": f"{O} SELECT seq, round(count(*) * 0.01::DOUBLE, 8) AS cash_weight, round(0.025 / 12, 8) AS rf FROM f WHERE sold GROUP BY 1",
 }
