@@ -2,11 +2,14 @@
 
 A text is its sequence of five-word shingles, each labelled with its occurrence number. For each of SKETCHES hash
 functions the ORDER least shingles are sampled and kept in text order; their combination is a sketch. Texts that share a
-sketch are candidates: as the order counts, sketches agree as edit similarity does. A sketch's holders are all linked
-to its first and to its last holder, never to each other, so a group costs two links a member however large it is.
-A link is kept if aligning the two shingle sequences within the band that the threshold allows gives
-matches / (n_a + n_b - matches) >= THRESHOLD. Exact copies are one node from the start. Classes are the connected
-components of the links.
+sketch are candidates: as the order counts, sketches agree as edit similarity does. A link is kept if aligning the two
+shingle sequences within the band that the threshold allows gives matches / (n_a + n_b - matches) >= THRESHOLD. Exact
+copies are one node from the start. Classes are the connected components of the links.
+
+A sketch's holders are compared to its first and to its last holder. Where that leaves holders in several components,
+rounds of further pivots follow, more in each, until any two holders of a sketch are in one component or have been
+compared: the classes are those of all candidate pairs. Groups that hold together cost two comparisons a member; only
+holders that stay apart are compared in pairs, and profiles of shingle counts refuse most of those without their texts.
 
 Defined results: null texts count as empty; texts without words are equal only to their exact copies; texts of one to
 four words have one shingle; the class id is the least doc_id of the class; repeated rows are in the same class and
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import WORD, chunks, materialize, mix64, utf8
 
 SHINGLE, ORDER, SKETCHES, THRESHOLD = 5, 3, 12, 0.8
+PIVOTS, BINS = 8, 128
 _WORDS = re.compile(WORD)
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -190,6 +194,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _profiled(texts: DataFrame) -> DataFrame:
+    """tid, number of shingles and their counts in BINS bins of every text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 21):
+            shingles, at = shingle_hashes(*word_hashes(*utf8(batch.column("text"))))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            counts = np.bincount(row * BINS + (shingles % np.uint64(BINS)).astype(np.int64), minlength=batch.num_rows * BINS)
+            profile = np.minimum(counts, 65535).astype(np.uint16).tobytes()
+            size = 2 * BINS
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(np.diff(at), pa.int64()), pa.array([profile[i * size : (i + 1) * size] for i in range(batch.num_rows)], pa.binary())], names=["tid", "n", "profile"])
+
+    return texts.mapInArrow(run, "tid binary, n bigint, profile binary")
+
+
+def _possible(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose profiles don't differ by more than the unmatched items that the threshold allows; no pair that aligns is lost."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32) for c in ("profile_a", "profile_b"))
+            total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            allowed = total - 2 * np.ceil(threshold * total / (1 + threshold) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(np.abs(a - b).sum(axis=1) <= allowed))
+
+    for side in "ab":
+        pairs = pairs.join(profiles.select(F.col("tid").alias(side), F.col("n").alias(f"n_{side}"), F.col("profile").alias(f"profile_{side}")), side)
+    return pairs.mapInArrow(run, "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the connected components of (a, b): every node of an edge and the least node of its component.
 
@@ -214,19 +250,55 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def _pairs(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _completed(rest: DataFrame, pairs: DataFrame, links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) of the components of all links among texts that share a sketch, given the pairs compared so far, the links found, and the holders (band, sketch, tid) not yet compared to all others of their sketch.
+
+    A round takes up to `most` pivots a sketch whose holders are in several components, the ones with most links first,
+    and compares them to all holders of other components; then they are settled. Each round has 16 times as many, so that rounds stay few.
+    """
+    label, most, profiles = materialize(components(links)), PIVOTS, None
+    key = ["band", "sketch"]
+    while True:
+        rooted = rest.select(*key, "tid").join(label.withColumnRenamed("node", "tid"), "tid", "left").select(*key, "tid", F.coalesce("root", "tid").alias("root"))
+        parted = rooted.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(key)
+        rest = materialize(rooted.join(parted, key))
+        if rest.isEmpty():
+            return label
+        if profiles is None:
+            profiles = materialize(_profiled(texts.join(rest.select("tid").distinct(), "tid").select("tid", "text")).dropDuplicates(["tid"]))
+        degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("degree"))
+        mixed = F.xxhash64("tid", "band", F.lit(most))
+        ranked = rest.join(degree, "tid", "left").select(*key, F.pmod(mixed, F.lit(most)).alias("slot"), F.struct((-F.coalesce("degree", F.lit(0))).alias("degree"), mixed.alias("mixed"), "tid", "root").alias("rank"))
+        pivots = materialize(ranked.groupBy(*key, "slot").agg(F.min("rank").alias("rank")).select(*key, F.col("rank.tid").alias("pivot"), F.col("rank.root").alias("pivot_root")))
+        new = rest.join(pivots, key).filter("root != pivot_root").select(_pairs("tid", "pivot")).distinct()
+        new = materialize(_possible(new.join(pairs, ["a", "b"], "left_anti"), profiles, threshold))
+        found = materialize(_verified(new, texts, threshold))
+        pairs, links = pairs.unionByName(new), links.unionByName(found)
+        if not found.isEmpty():
+            label = materialize(components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)))
+        rest = rest.join(pivots.withColumnRenamed("pivot", "tid"), [*key, "tid"], "left_anti")
+        most *= 16
+
+
 def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, tid and class_id of every row of docs."""
     rows = materialize(_sketched(docs))
     nodes = rows.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("sketches").alias("sketches"))
     holders = materialize(nodes.select("tid", "rep", F.posexplode("sketches").alias("band", "sketch")))
-    groups = holders.groupBy("band", "sketch").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).filter("low != high")
+    groups = holders.groupBy("band", "sketch").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.count("*").alias("n")).filter("low != high")
     near = holders.join(groups, ["band", "sketch"])
     ends = F.explode(F.array("low", "high"))
-    pairs = materialize(near.select(F.col("tid").alias("a"), ends.alias("b")).filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = materialize(near.select(F.col("tid").alias("a"), ends.alias("b")).filter("a != b").select(_pairs("a", "b")).distinct())
     wanted = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
     wanted = wanted.join(holders.select("tid", "rep").distinct(), "tid")
     texts = _digested(docs).join(wanted.withColumnRenamed("tid", "_tid"), (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("tid", "text")
-    label = components(_verified(pairs, materialize(texts), threshold))
+    texts = materialize(texts)
+    rest = near.filter("n > 3 and tid != low and tid != high")
+    label = _completed(rest, pairs, materialize(_verified(pairs, texts, threshold)), texts, threshold)
     label = nodes.select("tid", "rep").join(label, F.col("tid") == F.col("node"), "left").select("tid", "rep", F.coalesce("root", "tid").alias("root"))
     ids = label.groupBy("root").agg(F.min("rep").alias("class_id"))
     label = label.join(ids, "root").select("tid", "class_id")

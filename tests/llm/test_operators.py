@@ -254,6 +254,33 @@ def test_large_group_of_near_copies(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_copies_near_their_base_only(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 251):
+        words = list(base)
+        for k in rng.sample(range(200), 3):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    known: dict = {}
+    seq = [neardup.sequence(t, known) for _, t in rows]
+    assert all(neardup.alignment(seq[0], s) >= 0.8 for s in seq)
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    held = neardup.sketches(np.concatenate(seq), np.cumsum([0, *map(len, seq)]))
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if (held[a] == held[b]).any() and neardup.alignment(seq[a], seq[b]) >= 0.8:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {r.doc_id: r.class_id for r in got} == {i: root(i) for i in range(len(rows))}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a bigint, b bigint")
     got = {r.node: r.root for r in neardup.components(edges).collect()}
