@@ -20,6 +20,16 @@ def train_and_score(df: DataFrame, features: list[str], label: str = "label_rank
     return blend(forest.transform(boosted.transform(df.filter("split = 'test'"))), weight).drop("_x")
 
 
+def train_windows(df: DataFrame, windows: DataFrame, features: list[str], **options) -> DataFrame:
+    """Scores of the test rows of every window of (window_id, month_idx, split), with window_id; a driver loop over jobs, as windows are few."""
+    df = df.persist()  # read by all windows
+    out = None
+    for i in sorted(r.window_id for r in windows.select("window_id").distinct().collect()):
+        one = train_and_score(df.join(windows.filter(F.col("window_id") == i), "month_idx"), features, **options)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def importance(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(model.featureImportances[i])) for i, f in enumerate(features)], "feature string, importance double")
 

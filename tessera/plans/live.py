@@ -14,8 +14,7 @@ from .strategy import _overlay_input
 
 def _scored(s, d):
     df = portfolio.label_rank(with_target(panel(s, d)))
-    window = portfolio.rolling_windows(df).filter("window_id = 0")
-    return scorers.train_and_score(df.join(window, "month_idx"), FEATURES).select("entity", "month_idx", "score_a", "score_b", "score", "score_cv")
+    return scorers.train_windows(df, portfolio.rolling_windows(df), FEATURES).select("window_id", "entity", "month_idx", "score_a", "score_b", "score", "score_cv")
 
 
 QUERIES = {

@@ -163,3 +163,19 @@ def test_align_and_asof(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 5)], "k int, t int")
     right = spark.createDataFrame([(1, 3, 7.0), (1, 5, 9.0)], "k int, a int, value double")
     assert sorted((r.k, r.t, r.value or 0) for r in ingest.asof(left, right, "k", "t", "a").collect()) == [(1, 1, 0), (1, 5, 9.0), (2, 5, 0)]
+
+
+def test_scorer_covers_every_window(spark, monkeypatch):
+    from tessera.plans import live
+
+    rows = [(e, m, float(e * m % 7), float((e + m) % 5)) for m in range(6) for e in range(20)]
+    df = spark.createDataFrame(rows, "entity int, month_idx int, x double, target double")
+    windows, fit = portfolio.rolling_windows(df, 2, 1, 1), live.scorers.train_and_score
+    monkeypatch.setattr(live, "FEATURES", ["x"])
+    monkeypatch.setattr(live, "panel", lambda s, d: df)
+    monkeypatch.setattr(live, "with_target", lambda x: x)
+    monkeypatch.setattr(live.portfolio, "rolling_windows", lambda x: windows)
+    monkeypatch.setattr(live.scorers, "train_and_score", lambda df, features: fit(df, features, trees=1, depth=1))
+    got = live.QUERIES["train_scorer"](spark, "").collect()
+    assert sorted((r.month_idx, r.entity) for r in got) == [(m, e) for m in (3, 4, 5) for e in range(20)]
+    assert {(r.window_id, r.month_idx) for r in got} == {(0, 3), (1, 4), (2, 5)}
