@@ -171,6 +171,8 @@ def neutralize_f(df: DataFrame, styles: list[str]) -> DataFrame:
 def neutralize_g(df: DataFrame, returns: DataFrame, components: int = 5) -> DataFrame:
     """Residual on the leading principal components of the entities' return vectors (month_idx, entity, returns array).
 
+    Rows without a complete return vector are kept, with NULL as residual and score.
+
     The Gram matrix of a month is summed from its rows' outer products by Spark (size x size numbers a month, however many
     entities); its eigenvectors give the scores, which are projections of each row.
     """
@@ -194,10 +196,12 @@ def neutralize_g(df: DataFrame, returns: DataFrame, components: int = 5) -> Data
     vectors = gram.select("month_idx", leading("g").alias("v"))
     dot = lambda x, v: F.aggregate(F.zip_with(x, v, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
     scores = rows.join(vectors, "month_idx").select("month_idx", "entity", *[dot(F.col("x"), F.col("v")[k]).alias(f"_p{k}") for k in range(components)])
+    nothing = F.lit(None).cast("double")
+    without = df.join(scores, ["month_idx", "entity"], "left_anti").withColumns({"e": nothing, "z": nothing})
     df = df.join(scores, ["month_idx", "entity"]).withColumn("_had", F.col("industry")).withColumn("industry", F.lit("all"))
     df = block_residual(df.withColumn("_miss", F.col("y").isNull()).withColumn("y", F.coalesce("y", F.lit(0.0))), [f"_p{k}" for k in range(components)])
     df = df.withColumn("e", F.when(~F.col("_miss"), F.col("e"))).withColumn("industry", F.col("_had"))
-    return zscore(df.drop("_had", "_miss", *[f"_p{k}" for k in range(components)]), "e")
+    return zscore(df.drop("_had", "_miss", *[f"_p{k}" for k in range(components)]), "e").unionByName(without)
 
 
 SCHEMES = {"a": neutralize_a, "b": neutralize_b, "d": neutralize_d, "e": neutralize_e, "b1": neutralize_b1, "b2": neutralize_b2, "f": neutralize_f, "g": neutralize_g}

@@ -179,3 +179,12 @@ def test_scorer_covers_every_window(spark, monkeypatch):
     got = live.QUERIES["train_scorer"](spark, "").collect()
     assert sorted((r.month_idx, r.entity) for r in got) == [(m, e) for m in (3, 4, 5) for e in range(20)]
     assert {(r.window_id, r.month_idx) for r in got} == {(0, 3), (1, 4), (2, 5)}
+
+
+def test_scheme_g_keeps_rows_without_returns(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(1, "f", i, float(rng.normal()), 100.0 + i, "a") for i in range(30)], "month_idx int, factor string, entity int, y double, market_cap double, industry string")
+    vectors = [(1, i, [None if i == 28 and k == 2 else float(rng.normal()) for k in range(6)]) for i in range(29)]
+    got = {r.entity: r for r in cross.neutralize(df, "g", spark.createDataFrame(vectors, "month_idx int, entity int, returns array<double>"), 3).collect()}
+    assert sorted(got) == list(range(30))
+    assert [i for i in got if got[i].e is None or got[i].z is None] in ([28, 29], [29, 28]) and got[28].y is not None
