@@ -7,18 +7,23 @@ shingle sequences within the band that the threshold allows gives matches / (n_a
 copies are one node from the start. Classes are the connected components of the links.
 
 A sketch's holders are compared to its first and to its last holder. Where that leaves holders in several components,
-rounds of further pivots follow, more in each, until any two holders of a sketch are in one component or have been
-compared: the classes are those of all candidate pairs. Groups that hold together cost two comparisons a member; only
-holders that stay apart are compared in pairs, and profiles of shingle counts refuse most of those without their texts.
+a second key decides: of the shingles of all these holders, ordered by how often they occur (in a table of COUNTERS
+hashed counters) and then by hash, two texts that align to the threshold share one among their first
+n - ceil(threshold * n) + 1, so only holders that share such a shingle are compared. This loses no pair, and a passage
+that very many texts have counts as frequent and makes no candidates. Rounds of pivots go over these groups until any
+two holders of one are in one component or have been compared.
 
 Defined results: null texts count as empty; texts without words are equal only to their exact copies; texts of one to
 four words have one shingle; the class id is the least doc_id of the class; repeated rows are in the same class and
-each is returned; a class without any doc_id has a null id; other columns are ignored by `classes` and kept by `distinct`.
+each is returned; a class without any doc_id has a null id; other columns, whatever their names, are ignored by `classes`
+and kept by `distinct`; an empty table gives an empty one; very long texts are aligned in a band of bits, not pair by pair
+of words; ties of sketches and pivots are settled by hash, and the classes don't depend on the order of rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import WORD, chunks, materialize, mix64, utf8
 
 SHINGLE, ORDER, SKETCHES, THRESHOLD = 5, 3, 12, 0.8
-PIVOTS, BINS = 8, 128
+PIVOTS, BINS = 16, 128
+#: Unmatched items up to which furthest reaching points are followed; counters of how often shingles occur.
+FEW, COUNTERS = 64, 1 << 20
 _WORDS = re.compile(WORD)
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -69,9 +76,9 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, size: int = SHINGLE)
     return h, out
 
 
-def sketches(shingles: np.ndarray, offsets: np.ndarray, order: int = ORDER, count: int = SKETCHES) -> np.ndarray:
-    """(rows, count) sketches of rows that have a shingle each."""
-    n, row = len(shingles), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+def labelled(shingles: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Shingles scrambled with the number of equal ones before them in their row."""
+    n = len(shingles)
     with np.errstate(over="ignore"):
         tag = mix64(shingles ^ mix64(row.astype(np.uint64)))  # equal within a row only
         by = np.argsort(tag, kind="stable")
@@ -79,11 +86,18 @@ def sketches(shingles: np.ndarray, offsets: np.ndarray, order: int = ORDER, coun
         run = np.maximum.accumulate(np.where(same, 0, np.arange(n)))
         occurrence = np.empty(n, np.uint64)
         occurrence[by] = (np.arange(n) - run).astype(np.uint64)
-        labelled = mix64(shingles + occurrence * _STEP)
+        return mix64(shingles + occurrence * _STEP)
+
+
+def sketches(shingles: np.ndarray, offsets: np.ndarray, order: int = ORDER, count: int = SKETCHES) -> np.ndarray:
+    """(rows, count) sketches of rows that have a shingle each."""
+    n, row = len(shingles), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    tagged = labelled(shingles, row)
+    with np.errstate(over="ignore"):
         out = np.zeros((len(offsets) - 1, count), np.uint64)
         top = np.uint64(0xFFFFFFFFFFFFFFFF)
         for k in range(count):
-            v = mix64(labelled ^ mix64(np.uint64([k + 1]) * _BASE))
+            v = mix64(tagged ^ mix64(np.uint64([k + 1]) * _BASE))
             places = np.full((len(offsets) - 1, order), n, np.int64)
             for j in range(order):
                 at = np.flatnonzero(v == np.repeat(np.minimum.reduceat(v, offsets[:-1]), np.diff(offsets)))
@@ -109,8 +123,9 @@ def sequence(text: str, known: dict[str, int]) -> np.ndarray:
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """matches / (n_a + n_b - matches) of the best alignment of two sequences if that is threshold or more, else 0.
 
-    Only diagonals within the number of unmatched items that the threshold allows are visited, furthest reaching
-    points first; common ends are cut beforehand, and texts whose contents can't suffice are refused at once.
+    Only diagonals within the number of unmatched items that the threshold allows are visited: furthest reaching points
+    while these are few, then a band of bits. Common ends are cut beforehand, and texts whose contents can't suffice
+    are refused at once.
     """
     n, m = len(a), len(b)
     if not n or not m:
@@ -130,7 +145,9 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> flo
     tail = int(differs.argmax()) if differs.any() else short - head
     x, y = a[head : n - tail].tolist(), b[head : m - tail].tolist()
     allowed = n + m - 2 * least
-    apart = _distance(x, y, allowed)
+    apart = _distance(x, y, min(allowed, FEW))
+    if apart is None and allowed > FEW:
+        apart = _banded(x, y, allowed)
     if apart is None:
         return 0.0
     matches = (n + m - apart) // 2
@@ -155,6 +172,59 @@ def _distance(x: list, y: list, most: int) -> int | None:
     return None
 
 
+def _banded(x: list, y: list, most: int, block: int = 2048) -> int | None:
+    """The same for many of them, by the bits of a band: bit i of `open_` is 0 where x[i] lengthens the best common subsequence.
+
+    A path with `most` unmatched items at most leaves the main diagonal by no more than `most`, so a block of rows needs
+    the bits from its first row - most to its last + most; bits before are final, bits after aren't reached yet.
+    """
+    n, m = len(x), len(y)
+    if abs(n - m) > most:
+        return None
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(x):
+        places.setdefault(v, []).append(i)
+    least = (n + m - most + 1) // 2
+    low, high, open_, matches = 0, 0, 0, 0
+    for top in range(0, m, block):
+        bottom = min(m, top + block)
+        left, right = min(n, max(0, top - most)), min(n, bottom + most + 1)
+        cut = left - low
+        if cut > 0:
+            settled = open_ & ((1 << cut) - 1)
+            matches += min(cut, high - low) - settled.bit_count()
+            open_ >>= cut
+            low = left
+            high = max(high, low)
+        if right > high:
+            open_ |= ((1 << (right - high)) - 1) << (high - low)
+            high = right
+        width = high - low
+        mask = (1 << width) - 1
+        for v in y[top:bottom]:
+            found = places.get(v)
+            if found is None:
+                continue
+            if len(found) <= 4:
+                hit = 0
+                for i in found:
+                    if low <= i < high:
+                        hit |= 1 << (i - low)
+            else:
+                inside = np.array(found[bisect_left(found, low) : bisect_left(found, high)], np.int64) - low
+                bits = np.zeros(width, np.uint8)
+                bits[inside] = 1
+                hit = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            if hit:
+                step = open_ & hit
+                open_ = ((open_ + step) | (open_ - step)) & mask
+        if matches + width - open_.bit_count() + m - bottom < least:
+            return None
+    matches += high - low - open_.bit_count()
+    apart = n + m - 2 * matches
+    return apart if apart <= most else None
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     """doc_id, tid (digest of the text) and sketches of every row."""
 
@@ -254,33 +324,81 @@ def _pairs(a: str, b: str) -> list:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
+def _counts(texts: DataFrame) -> np.ndarray:
+    """COUNTERS hashed counts of the labelled shingles of all texts: an array of fixed size."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in chunks(batches, "text", 1 << 21):
+            shingles, at = shingle_hashes(*word_hashes(*utf8(batch.column("text"))))
+            tagged = labelled(shingles, np.repeat(np.arange(batch.num_rows), np.diff(at)))
+            total += np.bincount((tagged % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int32)
+    out[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), (1 << 31) - 1)
+    return out
+
+
+def _rarest(texts: DataFrame, threshold: float) -> DataFrame:
+    """(tid, key): each text's first n - ceil(threshold * n) + 1 shingles by rising count, then by hash."""
+    counts = texts.sparkSession.sparkContext.broadcast(_counts(texts))  # COUNTERS numbers, whatever the data
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 21):
+            shingles, at = shingle_hashes(*word_hashes(*utf8(batch.column("text"))))
+            n = np.diff(at)
+            row = np.repeat(np.arange(batch.num_rows), n)
+            tagged = labelled(shingles, row)
+            order = np.lexsort((tagged, counts.value[(tagged % np.uint64(COUNTERS)).astype(np.int64)], row))
+            first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            chosen = order[np.arange(len(order)) - at[row] < first[row]]  # rows stay in their places
+            yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(row[chosen])), pa.array(tagged[chosen].view(np.int64))], names=["tid", "key"])
+
+    return texts.select("tid", "text").mapInArrow(run, "tid binary, key bigint")
+
+
+def _apart(holders: DataFrame, label: DataFrame, key: list[str]) -> DataFrame:
+    """The holders (key, tid) with their roots, of the keys whose holders are in several components."""
+    rooted = holders.select(*key, "tid").join(label.withColumnRenamed("node", "tid"), "tid", "left").select(*key, "tid", F.coalesce("root", "tid").alias("root"))
+    parted = rooted.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(key)
+    return rooted.join(parted, key)
+
+
 def _completed(rest: DataFrame, pairs: DataFrame, links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(node, root) of the components of all links among texts that share a sketch, given the pairs compared so far, the links found, and the holders (band, sketch, tid) not yet compared to all others of their sketch.
 
-    A round takes up to `most` pivots a sketch whose holders are in several components, the ones with most links first,
-    and compares them to all holders of other components; then they are settled. Each round has 16 times as many, so that rounds stay few.
+    A round takes up to `most` pivots of each key whose holders are in several components, the ones with most links
+    first, and compares them to all holders of other components; then they are settled. Each round has 16 times as
+    many, so that rounds stay few.
     """
-    label, most, profiles = materialize(components(links)), PIVOTS, None
-    key = ["band", "sketch"]
+    label = materialize(components(links))
+    wanted = materialize(_apart(rest, label, ["band", "sketch"]).select("tid").distinct())
+    if wanted.isEmpty():
+        return label
+    texts = materialize(texts.join(wanted, "tid").select("tid", "text"))
+    held = materialize(_rarest(texts, threshold))
+    shared = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    held, most, profiles = held.join(shared, "key"), PIVOTS, None
     while True:
-        rooted = rest.select(*key, "tid").join(label.withColumnRenamed("node", "tid"), "tid", "left").select(*key, "tid", F.coalesce("root", "tid").alias("root"))
-        parted = rooted.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(key)
-        rest = materialize(rooted.join(parted, key))
-        if rest.isEmpty():
+        held = materialize(_apart(held, label, ["key"]))
+        if held.isEmpty():
             return label
         if profiles is None:
-            profiles = materialize(_profiled(texts.join(rest.select("tid").distinct(), "tid").select("tid", "text")).dropDuplicates(["tid"]))
+            profiles = materialize(_profiled(texts.join(held.select("tid").distinct(), "tid").select("tid", "text")))
         degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("degree"))
-        mixed = F.xxhash64("tid", "band", F.lit(most))
-        ranked = rest.join(degree, "tid", "left").select(*key, F.pmod(mixed, F.lit(most)).alias("slot"), F.struct((-F.coalesce("degree", F.lit(0))).alias("degree"), mixed.alias("mixed"), "tid", "root").alias("rank"))
-        pivots = materialize(ranked.groupBy(*key, "slot").agg(F.min("rank").alias("rank")).select(*key, F.col("rank.tid").alias("pivot"), F.col("rank.root").alias("pivot_root")))
-        new = rest.join(pivots, key).filter("root != pivot_root").select(_pairs("tid", "pivot")).distinct()
+        mixed = F.xxhash64("tid", F.lit(most))
+        ranked = held.join(degree, "tid", "left").select("key", F.pmod(mixed, F.lit(most)).alias("slot"), F.struct((-F.coalesce("degree", F.lit(0))).alias("degree"), mixed.alias("mixed"), "tid", "root").alias("rank"))
+        pivots = materialize(ranked.groupBy("key", "slot").agg(F.min("rank").alias("rank")).select("key", F.col("rank.tid").alias("pivot"), F.col("rank.root").alias("pivot_root")))
+        new = held.join(pivots, "key").filter("root != pivot_root").select(_pairs("tid", "pivot")).distinct()
         new = materialize(_possible(new.join(pairs, ["a", "b"], "left_anti"), profiles, threshold))
         found = materialize(_verified(new, texts, threshold))
         pairs, links = pairs.unionByName(new), links.unionByName(found)
         if not found.isEmpty():
             label = materialize(components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)))
-        rest = rest.join(pivots.withColumnRenamed("pivot", "tid"), [*key, "tid"], "left_anti")
+        held = held.join(pivots.withColumnRenamed("pivot", "tid"), ["key", "tid"], "left_anti")
         most *= 16
 
 
@@ -297,7 +415,7 @@ def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
     wanted = wanted.join(holders.select("tid", "rep").distinct(), "tid")
     texts = _digested(docs).join(wanted.withColumnRenamed("tid", "_tid"), (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("tid", "text")
     texts = materialize(texts)
-    rest = near.filter("n > 3 and tid != low and tid != high")
+    rest = near.filter("n > 3 and tid != low and tid != high")  # these two are compared to all others
     label = _completed(rest, pairs, materialize(_verified(pairs, texts, threshold)), texts, threshold)
     label = nodes.select("tid", "rep").join(label, F.col("tid") == F.col("node"), "left").select("tid", "rep", F.coalesce("root", "tid").alias("root"))
     ids = label.groupBy("root").agg(F.min("rep").alias("class_id"))

@@ -247,6 +247,42 @@ def test_alignment_is_the_longest_common_subsequence():
         assert abs(neardup.alignment(a, b, 0.6) - (s if s >= 0.6 else 0.0)) < 1e-12
 
 
+def test_banded_distance_equals_the_diagonal_one():
+    rng = random.Random(12)
+    for _ in range(300):
+        k = rng.choice([2, 5, 60])
+        x = [rng.randrange(k) for _ in range(rng.randrange(1, 60))]
+        y = [v for v in x if rng.random() > 0.2] + [rng.randrange(k) for _ in range(rng.randrange(8))]
+        d = neardup._distance(x, y, len(x) + len(y))
+        for most in (d, d + 5, d - 1):
+            if y and most >= 0:
+                assert neardup._banded(x, y, most, block=rng.choice([1, 7, 64])) == (d if d <= most else None)
+
+
+def test_common_passage_hides_no_near_copies(spark):
+    """A sketch that hundreds of unlike texts share: pairs of near copies among them are still found, and no others."""
+    rng = random.Random(13)
+    passage = [f"p{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        own = [f"o{i}x{k}" for k in range(60)]
+        rows += [(2 * i, " ".join(own + passage)), (2 * i + 1, " ".join(own[:30] + ["new"] + own[31:] + passage))] if i % 10 == 0 else [(2 * i, " ".join(own + passage))]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_very_long_near_copies(spark):
+    words = [f"w{i % 7001}x{i % 31}" for i in range(60_000)]
+    changed = [f"c{i}" if i % 50 == 0 and i < 50_000 else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, "short text of six words here")]
+    known: dict = {}
+    near = neardup.alignment(neardup.sequence(rows[0][1], known), neardup.sequence(rows[1][1], known))
+    assert abs(near - 55_000 / 64_992) < 1e-9  # 1,000 words are changed: the first is in one shingle, the others in five
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_large_group_of_near_copies(spark):
     base = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(base[:k] + [f"own{i}"] + base[k + 1 :])) for i, k in enumerate(random.Random(5).choices(range(300), k=150))]
