@@ -11,7 +11,8 @@ a second key decides: of the shingles of all these holders, ordered by how often
 hashed counters) and then by hash, two texts that align to the threshold share one among their first
 n - ceil(threshold * n) + 1, so only holders that share such a shingle are compared. This loses no pair, and a passage
 that very many texts have counts as frequent and makes no candidates. Rounds of pivots go over these groups until any
-two holders of one are in one component or have been compared.
+two holders of one are in one component or have been compared (shingles are equal if their 64-bit hashes are); pairs that can't align by their sizes, by the places of
+the shared shingle or by the parities of their shingle counts aren't made.
 
 Defined results: null texts count as empty; texts without words are equal only to their exact copies; texts of one to
 four words have one shingle; the class id is the least doc_id of the class; repeated rows are in the same class and
@@ -22,22 +23,20 @@ of words; ties of sketches and pivots are settled by hash, and the classes don't
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, chunks, materialize, mix64, utf8
+from .common import chunks, materialize, mix64, utf8
 
 SHINGLE, ORDER, SKETCHES, THRESHOLD = 5, 3, 12, 0.8
-PIVOTS, BINS = 16, 128
+PIVOTS, BINS = 2, 128
 #: Unmatched items up to which furthest reaching points are followed; counters of how often shingles occur.
-FEW, COUNTERS = 64, 1 << 20
-_WORDS = re.compile(WORD)
+FEW, COUNTERS = 6, 1 << 20
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -114,12 +113,6 @@ def sketches(shingles: np.ndarray, offsets: np.ndarray, order: int = ORDER, coun
     return out
 
 
-def sequence(text: str, known: dict[str, int]) -> np.ndarray:
-    """A text's shingles as integers that are equal within one `known` where the shingles are."""
-    words = np.array([known.setdefault(w, len(known) + 1) for w in _WORDS.findall(text)], np.uint64)
-    return shingle_hashes(mix64(words), np.array([0, len(words)]))[0]
-
-
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """matches / (n_a + n_b - matches) of the best alignment of two sequences if that is threshold or more, else 0.
 
@@ -250,13 +243,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     """The pairs (a, b) of digests whose texts align."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last = [], (None, None, None)
-            for i, (b, ta, tb) in enumerate(zip(batch.column("b").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
-                if last[0] != b:
-                    known: dict[str, int] = {}
-                    last = (b, known, sequence(tb, known))
-                keep.append(alignment(sequence(ta, last[1]), last[2], threshold) >= threshold)
+        for batch in chunks(chunks(batches, "text_a"), "text_b"):
+            (sa, at), (sb, bt) = (shingle_hashes(*word_hashes(*utf8(batch.column(c)))) for c in ("text_a", "text_b"))
+            keep = [alignment(sa[at[i] : at[i + 1]], sb[bt[i] : bt[i + 1]], threshold) >= threshold for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a"))
@@ -304,8 +293,11 @@ def components(edges: DataFrame) -> DataFrame:
     join, so a node with very many edges is no single task.
     """
     edges = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     while True:
+        # Stars: no node is at once a lower and an upper end, or has two upper ends.
+        ends = edges.select("u", F.lit(1).alias("low")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("low")))
+        if ends.groupBy("u").agg(F.sum("low").alias("n"), F.min("low").alias("least")).filter("n > 1 or n = 1 and least = 0").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -313,13 +305,19 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
+    """label, (node, root), after the links found: only the roots they join are worked on."""
+    for side in "ab":
+        found = found.join(label.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    ends = found.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = materialize(components(ends)).withColumnRenamed("root", "to")
+    moved = label.join(joined, F.col("root") == joined["node"], "left").select(label["node"], F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(joined.join(label.select("node"), "node", "left_anti").select("node", F.col("to").alias("root")))
+
+
 def _pairs(a: str, b: str) -> list:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
@@ -343,7 +341,7 @@ def _counts(texts: DataFrame) -> np.ndarray:
 
 
 def _rarest(texts: DataFrame, threshold: float) -> DataFrame:
-    """(tid, key): each text's first n - ceil(threshold * n) + 1 shingles by rising count, then by hash."""
+    """Each text's first n - ceil(threshold * n) + 1 shingles by rising count, then by hash: tid, key, left (shingles from it on), n (all), and the parities of the text's counts in 256 bins."""
     counts = texts.sparkSession.sparkContext.broadcast(_counts(texts))  # COUNTERS numbers, whatever the data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,17 +350,35 @@ def _rarest(texts: DataFrame, threshold: float) -> DataFrame:
             n = np.diff(at)
             row = np.repeat(np.arange(batch.num_rows), n)
             tagged = labelled(shingles, row)
+            odd = np.bincount(row * 256 + (shingles >> np.uint64(56)).astype(np.int64), minlength=256 * batch.num_rows) & 1
+            odd = np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
             order = np.lexsort((tagged, counts.value[(tagged % np.uint64(COUNTERS)).astype(np.int64)], row))
             first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            chosen = order[np.arange(len(order)) - at[row] < first[row]]  # rows stay in their places
-            yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(row[chosen])), pa.array(tagged[chosen].view(np.int64))], names=["tid", "key"])
+            place = np.arange(len(order)) - at[row]  # rows stay in their places
+            keep = place < first[row]
+            row, key = row[keep], tagged[order[keep]].view(np.int64)
+            numbers = [key, (n[row] - place[keep]).astype(np.int32), n[row].astype(np.int32), *(odd[row, k] for k in range(4))]
+            yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(row)), *map(pa.array, numbers)], names=["tid", "key", *_SIZES])
+
+    return texts.select("tid", "text").mapInArrow(run, "tid binary, key bigint, left int, n int, p0 bigint, p1 bigint, p2 bigint, p3 bigint")
+
+
+_SIZES = ("left", "n", "p0", "p1", "p2", "p3")
+
 
-    return texts.select("tid", "text").mapInArrow(run, "tid binary, key bigint")
+def _may_align(threshold: float) -> Column:
+    """Whether a holder and a pivot can have the matches needed, if the key is the first shingle they share (some key is)."""
+    both = F.col("n") + F.col("pivot_n")
+    least = F.ceil(threshold * both / (1 + threshold) - 1e-9)
+    odd = F.lit(0)
+    for k in range(4):
+        odd = odd + F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"pivot_p{k}")))
+    return (F.least("left", "pivot_left") >= least) & (odd <= both - 2 * least)
 
 
 def _apart(holders: DataFrame, label: DataFrame, key: list[str]) -> DataFrame:
-    """The holders (key, tid) with their roots, of the keys whose holders are in several components."""
-    rooted = holders.select(*key, "tid").join(label.withColumnRenamed("node", "tid"), "tid", "left").select(*key, "tid", F.coalesce("root", "tid").alias("root"))
+    """The holders (key, tid and more) with their roots, of the keys whose holders are in several components."""
+    rooted = holders.drop("root").join(label.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     parted = rooted.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select(key)
     return rooted.join(parted, key)
 
@@ -390,15 +406,16 @@ def _completed(rest: DataFrame, pairs: DataFrame, links: DataFrame, texts: DataF
             profiles = materialize(_profiled(texts.join(held.select("tid").distinct(), "tid").select("tid", "text")))
         degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("degree"))
         mixed = F.xxhash64("tid", F.lit(most))
-        ranked = held.join(degree, "tid", "left").select("key", F.pmod(mixed, F.lit(most)).alias("slot"), F.struct((-F.coalesce("degree", F.lit(0))).alias("degree"), mixed.alias("mixed"), "tid", "root").alias("rank"))
-        pivots = materialize(ranked.groupBy("key", "slot").agg(F.min("rank").alias("rank")).select("key", F.col("rank.tid").alias("pivot"), F.col("rank.root").alias("pivot_root")))
-        new = held.join(pivots, "key").filter("root != pivot_root").select(_pairs("tid", "pivot")).distinct()
+        ranked = held.join(degree, "tid", "left").select("key", F.pmod(mixed, F.lit(most)).alias("slot"), F.struct((-F.coalesce("degree", F.lit(0))).alias("degree"), mixed.alias("mixed"), "tid", "root", *_SIZES).alias("rank"))
+        named = [F.col(f"rank.{c}").alias(f"pivot_{c}") for c in ("tid", "root", *_SIZES)]
+        pivots = materialize(ranked.groupBy("key", "slot").agg(F.min("rank").alias("rank")).select("key", *named))
+        new = held.join(pivots, "key").filter((F.col("root") != F.col("pivot_root")) & _may_align(threshold)).select(_pairs("tid", "pivot_tid")).distinct()
         new = materialize(_possible(new.join(pairs, ["a", "b"], "left_anti"), profiles, threshold))
         found = materialize(_verified(new, texts, threshold))
         pairs, links = pairs.unionByName(new), links.unionByName(found)
         if not found.isEmpty():
-            label = materialize(components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)))
-        held = held.join(pivots.withColumnRenamed("pivot", "tid"), ["key", "tid"], "left_anti")
+            label = materialize(_merged(label, found))
+        held = held.join(pivots.select("key", F.col("pivot_tid").alias("tid")), ["key", "tid"], "left_anti")
         most *= 16
 
 

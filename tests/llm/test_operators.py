@@ -39,6 +39,12 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def sequence(text, known):
+    """A text's five-word shingles in order, numbered by `known`."""
+    w = WORDS.findall(text)
+    return np.array([known.setdefault(tuple(w[i : i + 5]), len(known)) for i in range(max(1, len(w) - 4))] if w else [], np.uint64)
+
+
 # 1 -------------------------------------------------------------------------------------------------------------
 
 
@@ -214,7 +220,7 @@ def test_scores_and_base(docs):
 def test_classes_are_components_of_near_texts(docs):
     rows = rows_of(docs)
     known: dict = {}
-    seq = [neardup.sequence(t, known) for _, t in rows]
+    seq = [sequence(t, known) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):
@@ -277,7 +283,7 @@ def test_very_long_near_copies(spark):
     changed = [f"c{i}" if i % 50 == 0 and i < 50_000 else w for i, w in enumerate(words)]
     rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, "short text of six words here")]
     known: dict = {}
-    near = neardup.alignment(neardup.sequence(rows[0][1], known), neardup.sequence(rows[1][1], known))
+    near = neardup.alignment(sequence(rows[0][1], known), sequence(rows[1][1], known))
     assert abs(near - 55_000 / 64_992) < 1e-9  # 1,000 words are changed: the first is in one shingle, the others in five
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
@@ -300,10 +306,11 @@ def test_copies_near_their_base_only(spark):
             words[k] = f"own{i}x{k}"
         rows.append((i, " ".join(words)))
     known: dict = {}
-    seq = [neardup.sequence(t, known) for _, t in rows]
+    seq = [sequence(t, known) for _, t in rows]
     assert all(neardup.alignment(seq[0], s) >= 0.8 for s in seq)
     got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    held = neardup.sketches(np.concatenate(seq), np.cumsum([0, *map(len, seq)]))
+    raw = [t.encode() for _, t in rows]
+    held = neardup.sketches(*neardup.shingle_hashes(*neardup.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))))
     parent = list(range(len(rows)))
 
     def root(i):
