@@ -4,10 +4,13 @@ Every document of a source gets the whole copies that are certain, floor(target
 target is a fixed-size (in words) unequal-probability sample: documents are ranked by
 (u / (1 - u)) / (p / (1 - p)), u a hash of the id and p the inclusion probability, and the lowest ranks are taken
 up to the target. The cut is found from a histogram of ranks per source, so a hot source is never sorted in one task.
+What a source then lacks is closed by single further documents, FILLS times the one whose size comes nearest to the gap,
+as a few long documents would otherwise leave a small source off its target.
 
 Defined results: null texts have size 0; a null source is a source of its own and comes last; repeated rows count
 each; a source of size 0 has target 0 and takes nothing; an empty table gives an empty table; other columns of the
-input are ignored by `decide` and kept by `mix`.
+input are kept by `mix`, but for those named size, source_size, target or copies, which keep the input's values; very
+long texts count whole; documents of equal rank follow by id, size and text.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .common import materialize, word_count
 BINS = 4096
 #: Up to so many sources their table is broadcast, beyond it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: Documents that may close a source's gap after the cut.
+FILLS = 3
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -86,9 +91,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     # Only the documents in that bin are ordered; identical rows are interchangeable.
     edge = ranked(sized, per).filter("bin = cut_bin")
     order = W.partitionBy("source", "bin").orderBy("rank", "doc_id", "size", "text_hash").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = edge.withColumn("fits", F.sum("size").over(order) - F.col("size") / 2 <= F.col("room"))
-    edge = edge.filter("fits").groupBy("doc_id", "source", "text_hash").agg(F.count("*").alias("extra"))
-    edge = edge.select(*[F.col(c).alias(f"_e_{c}") for c in ("doc_id", "source", "text_hash")], "extra")
+    edge = edge.withColumn("fits", F.sum("size").over(order) <= F.col("room"))
+    key = ("doc_id", "source", "text_hash")
+    edge = materialize(edge.filter("fits").groupBy(*key).agg(F.count("*").alias("extra"), F.sum("size").alias("words")).select(*key, "extra", "words"))
+    gaps = per.filter("cut_bin is not null").join(small(edge.groupBy(F.col("source").alias("_s")).agg(F.sum("words").alias("taken"))), F.col("source").eqNullSafe(F.col("_s")), "left")
+    gaps = gaps.select(F.col("source").alias("_gs"), (F.col("room") - F.coalesce("taken", F.lit(0))).alias("gap"))
+    for _ in range(FILLS):
+        spare = ranked(sized, per).filter("rank is not null and bin >= cut_bin and size > 0")
+        spare = spare.join(small(gaps), F.col("source").eqNullSafe(F.col("_gs"))).filter("size < 2 * gap")
+        spare = spare.groupBy(*key).agg(F.sum("size").alias("words"), F.count("*").alias("extra"), F.first("gap").alias("gap"))
+        spare = spare.join(edge.select(*[F.col(c).alias(f"_e_{c}") for c in key]), (F.col("doc_id").eqNullSafe(F.col("_e_doc_id"))) & F.col("source").eqNullSafe(F.col("_e_source")) & (F.col("text_hash") == F.col("_e_text_hash")), "left_anti")
+        nearest = F.struct(F.abs(F.col("words") - F.col("gap")).alias("off"), F.xxhash64("doc_id", F.lit(seed)).alias("mixed"), "doc_id", "text_hash", "extra", "words")
+        best = spare.filter("words < 2 * gap").groupBy("source").agg(F.min(nearest).alias("b")).select("source", "b.doc_id", "b.text_hash", "b.extra", "b.words")
+        best = materialize(best.select(*key, "extra", "words"))
+        edge = edge.unionByName(best)
+        gaps = materialize(gaps.join(small(best.select(F.col("source").alias("_s"), "words")), F.col("_gs").eqNullSafe(F.col("_s")), "left").select("_gs", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")))
+    edge = edge.select(*[F.col(c).alias(f"_e_{c}") for c in key], "extra")
 
     out = ranked(rows, per)
     same = out["doc_id"].eqNullSafe(edge["_e_doc_id"]) & out["source"].eqNullSafe(edge["_e_source"]) & (out["text_hash"] == edge["_e_text_hash"])
