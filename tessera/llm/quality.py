@@ -2,7 +2,8 @@
 
 All measures are built-in functions over the text, its words and its lines: no user function, no shuffle.
 Null and empty texts have no word and fail the base rule. Repeated rows and ties don't matter, as rows are judged
-alone. Extra columns pass through; measures overwrite columns of the same name.
+alone. Very long texts are judged whole, like others; an empty table gives an empty one. Extra columns pass through;
+measures overwrite columns of the same name.
 """
 
 from __future__ import annotations
@@ -30,10 +31,6 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("repeat_word_ratio", "repeat_word_ratio", None, 0.50),
 )
 
-#: Bits for the position of a window beside its hash while windows are sorted.
-_AT = 20
-
-
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, BLANK), lambda w: w != "")
 
@@ -41,31 +38,20 @@ def _words(text: Column) -> Column:
 def _with_repeats(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words that lie in a 3-word window found twice or more in the text.
 
-    Each window becomes one long, its hash above its position. Sorted, equal windows are neighbours; a window is
-    repeated if it agrees with the one before or after. The repeated positions, sorted, cover min(3, gap) words each.
-    Texts of 2 ** 20 words and more use pairs of hash and position instead. Every array is a column of its own, as a
-    lambda would compute it anew for each element.
+    Each window becomes its 64-bit hash and its position. Sorted, equal windows are neighbours; a window is repeated if
+    it agrees with the one before or after. The repeated positions, sorted, cover min(3, gap) words each. Every array
+    is a column of its own, as a lambda would compute it anew for each element.
     """
     n, words = F.size("_words"), F.col("_words")
     hashed = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     at = F.sequence(F.lit(0), n - 3)
-    short, long = (n >= 4) & (n < (1 << _AT)), n >= (1 << _AT)
-    df = df.withColumns({
-        "_short": F.when(short, F.sort_array(F.transform(at, lambda i: F.shiftleft(hashed(i), _AT).bitwiseOR(i.cast("long"))))),
-        "_long": F.when(long, F.sort_array(F.transform(at, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))),
-    })
-
-    def positions(column: str, key, place) -> Column:
-        srt = F.col(column)
-        hit = F.filter(srt, lambda x, i: key(x).eqNullSafe(key(F.get(srt, i - 1))) | key(x).eqNullSafe(key(F.get(srt, i + 1))))
-        return F.sort_array(F.transform(hit, place))
-
-    packed = positions("_short", lambda x: F.shiftright(x, _AT), lambda x: x.bitwiseAND(F.lit((1 << _AT) - 1)).cast("int"))
-    paired = positions("_long", lambda x: x["h"], lambda x: x["i"])
-    df = df.withColumn("_at", F.coalesce(packed, paired, F.array().cast("array<int>")))
+    df = df.withColumn("_windows", F.when(n >= 4, F.sort_array(F.transform(at, lambda i: F.struct(hashed(i).alias("h"), i.alias("i"))))))
+    srt = F.col("_windows")
+    hit = F.filter(srt, lambda x, i: x["h"].eqNullSafe(F.get(srt, i - 1)["h"]) | x["h"].eqNullSafe(F.get(srt, i + 1)["h"]))
+    df = df.withColumn("_at", F.coalesce(F.sort_array(F.transform(hit, lambda x: x["i"])), F.array().cast("array<int>")))
     pos = F.col("_at")
     gaps = F.transform(pos, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(pos, i + 1) - p, F.lit(3))))
-    return df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)).drop("_short", "_long", "_at")
+    return df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + g)).drop("_windows", "_at")
 
 
 def measures(docs: DataFrame) -> DataFrame:
