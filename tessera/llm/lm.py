@@ -1,18 +1,21 @@
 """LM scoring by subword lattice likelihood, beside an add-one word model.
 
 The pieces of an existing vocabulary span a lattice over each word (with its leading word mark); a forward recursion in
-log space sums over all segmentations, so a word's lattice probability q is the marginal over them. Words seen in training
-are arcs of their own beside the lattice, weighed by their counts: a word's probability is
-(count + (V + 1) q) / (N + V + 1), a mixture that sums to 1. A text is its words and one end. The vocabulary's scores start the piece probabilities; ROUNDS of expectation over the training words (forward
-and backward over the same lattices, all counts, no sample) fit them to the corpus. Characters without a piece of their
-own go through the vocabulary's byte pieces, so every text has a probability.
+log space sums over all segmentations. A text is its words and one end; as the mark begins a word, the lattices of a
+text's words are independent, and its marginal probability is the product of theirs and of the end's. The score is that
+marginal alone. The vocabulary's scores start the piece probabilities; ROUNDS of expectation over the training words
+(forward and backward over the same lattices, all counts, no sample) fit them to the corpus. Characters without a piece
+of their own go through the vocabulary's byte pieces, so every text has a probability.
 
 Both models need words' counts over the whole corpus: batches of documents are packed into word frequencies, shuffled by
-hash of the word, each distinct word is counted and scored once, and sums by row come back.
+hash of the word into at most MOST_BUCKETS buckets, each distinct word is one row that is counted and scored once, and
+sums by row come back. A worker holds the distinct words of one bucket and streams the frequencies past them.
 
 Defined results: null and empty texts are one end; ids decide by their text form which rows are learned from (null: the
 empty text); repeated rows are learned from and scored each; an empty training set gives the base score
-log10(1 / 1) = 0 a token and the vocabulary's own scores for the lattice.
+log10(1 / 1) = 0 a token and the vocabulary's own scores for the lattice, with an end half of the time; an empty table
+gives an empty one; very long texts are one batch of their own, very long words are scored in lattices of their own;
+columns besides doc_id and text, whatever their names, are ignored; ties don't occur.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ ROUNDS, PRIOR = 3, 0.1
 _WORDS = re.compile(WORD)
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 _SLOTS = 20
+#: Bound of the parts that a batch is dealt to, whatever the number of partitions.
+MOST_BUCKETS = 1024
 
 
 class Vocabulary:
@@ -94,6 +99,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _by_length(words: list[str], budget: int) -> Iterator[tuple[np.ndarray, int]]:
     """Words of about equal length, few enough that their lattices fit the budget; their padded length."""
+    if not words:
+        return
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     padded = np.where(lengths <= 24, lengths, -(-lengths // 16) * 16)
     order = np.argsort(padded, kind="stable")
@@ -199,60 +206,87 @@ def _packed(docs: DataFrame, modulus: int, held: int, buckets: int) -> DataFrame
     return rows.mapInArrow(run, f"bucket int, batch bigint, blob binary, {_OWN_SCHEMA}")
 
 
-def _counted(blobs: Iterable[bytes]) -> tuple[list[str], np.ndarray]:
-    """Distinct words of blobs and their training counts."""
+def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a distinct word, with its training count, from blobs in the order of their buckets."""
+    now: int | None = None
     total: dict[str, int] = {}
-    for blob in blobs:
-        _, names, weights, *_ = unpack(blob)
-        for w, c in zip(names, weights.tolist(), strict=True):
-            total[w] = total.get(w, 0) + c
-    return list(total), np.fromiter(total.values(), np.int64, len(total))
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        words, counts = list(total), np.fromiter(total.values(), np.int64, len(total))
+        for k in range(0, len(words), 50_000):
+            part = pa.array(words[k : k + 50_000], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now, np.int32)), part, pa.array(counts[k : k + 50_000])], names=["bucket", "word", "uses"])
+
+    for batch in batches:
+        for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
+            if bucket != now:
+                yield from rows()
+                now, total = bucket, {}
+            _, names, weights, *_ = unpack(blob.as_py())
+            for w, c in zip(names, weights.tolist(), strict=True):
+                total[w] = total.get(w, 0) + c
+    yield from rows()
 
 
 def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of (doc_id, text)."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = materialize(_packed(docs, modulus, held, buckets))
-    blobs = packed.filter("blob is not null").select("bucket", "blob")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = materialize(_packed(docs, modulus, held, min(n, MOST_BUCKETS)))
+    blobs = packed.filter("blob is not null").select("bucket", "batch", "blob")
     own = packed.filter("blob is null").select("batch", *_OWN)
     learned = own.select(F.explode(F.arrays_zip("held_out", "n_words")).alias("x")).filter("not x.held_out")
     size = learned.agg(F.count("*").alias("docs"), F.coalesce(F.sum("x.n_words"), F.lit(0)).alias("words")).first()
-
-    def types_of(table: pa.Table) -> pa.Table:
-        names, counts = _counted(x.as_py() for x in table.column("blob"))
-        seen = np.flatnonzero(counts)
-        return pa.table({"words": pa.array([[names[i] for i in seen]], pa.list_(pa.string())), "counts": pa.array([counts[seen]], pa.list_(pa.int64()))})
-
-    types = materialize(blobs.groupBy("bucket").applyInArrow(types_of, "words array<string>, counts array<bigint>"))
-    distinct = types.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] + (size["docs"] > 0)
+    types = blobs.select("bucket", "blob").repartition(n, "bucket").sortWithinPartitions("bucket")
+    types = materialize(types.mapInArrow(_count_words, "bucket int, word string, uses bigint"))
+    seen = types.filter("uses > 0").select("word", "uses")
     tokens = size["words"] + size["docs"]
+    distinct = seen.count() + (size["docs"] > 0)
     vocab = vocabulary(path)
-    logp = vocab.first
+    logp = _maximized(vocab, np.exp(vocab.first), 1.0) if not tokens else np.append(vocab.first, -np.inf)
     for _ in range(rounds if tokens else 0):
-        logp = _maximized(vocab, _expected(types, path, logp))
-    ending = (size["docs"] + 1) / (tokens + 2)  # the share of ends among tokens
+        logp = _maximized(vocab, _expected(seen, path, logp), size["docs"])
+
+    def marginals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = lattice(vocabulary(path), logp, batch.column("word").to_pylist())[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found / np.log(10))], names=["bucket", "word", "uses", "marginal"])
 
     sums_of = ("n_known", "base_score", "score")
 
-    def sums(table: pa.Table) -> pa.Table:
-        names, counts = _counted(x.as_py() for x in table.column("blob"))
-        number = {w: i for i, w in enumerate(names)}
-        base = np.log10((counts + 1) / (tokens + distinct + 1))
-        marginal = lattice(vocabulary(path), logp, names)[0]
-        with np.errstate(divide="ignore"):  # in log space, as a long word's lattice probability is below the least float
-            model = (np.logaddexp(np.log(counts), np.log((distinct + 1) * (1 - ending)) + marginal) - np.log(tokens + distinct + 1)) / np.log(10)
-        out: dict[str, list] = {k: [] for k in ("batch", *sums_of)}
-        for blob in table.column("blob"):
-            first, words, _, entry, owner, freq = unpack(blob.as_py())
-            at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))[entry]
-            out["batch"].append(first)
-            for k, x in zip(sums_of, (freq * (counts[at] > 0), freq * base[at], freq * model[at]), strict=True):
-                out[k].append(np.bincount(owner, weights=x).tobytes())
-        return pa.table({"batch": pa.array(out["batch"], pa.int64()), **{k: pa.array(out[k], pa.binary()) for k in sums_of}})
-
-    end_base = float(np.log10((size["docs"] + 1) / (tokens + distinct + 1)))
-    end = float(np.log10((size["docs"] + (distinct + 1) * ending) / (tokens + distinct + 1)))
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each blob the sums of its rows; a bucket's words come before its blobs."""
+        now: int | None = None
+        number: dict[str, int] = {}
+        held_parts: list[tuple[np.ndarray, np.ndarray]] = []
+        uses = marginal = np.zeros(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, is_word = batch.column("bucket").to_numpy(), batch.column("word").is_valid().to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (is_word[1:] != is_word[:-1]))))
+            for i, j in zip(cut, [*cut[1:], len(bucket)], strict=True):
+                if bucket[i] != now:
+                    now, number, held_parts = bucket[i], {}, []
+                part = batch.slice(i, j - i)
+                if is_word[i]:
+                    first = len(number)
+                    number.update(zip(part.column("word").to_pylist(), range(first, first + part.num_rows), strict=True))
+                    held_parts.append((part.column("uses").to_numpy(), part.column("marginal").to_numpy()))
+                    continue
+                if held_parts:
+                    uses, marginal = (np.concatenate(x) for x in zip(*held_parts, strict=True))
+                    held_parts = []
+                base = np.log10((uses + 1) / (tokens + distinct + 1))
+                out: dict[str, list] = {k: [] for k in sums_of}
+                for blob in part.column("blob"):
+                    _, words, _, entry, owner, freq = unpack(blob.as_py())
+                    at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))[entry]
+                    for k, x in zip(sums_of, (freq * (uses[at] > 0), freq * base[at], freq * marginal[at]), strict=True):
+                        out[k].append(np.bincount(owner, weights=x).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("batch"), *(pa.array(out[k], pa.binary()) for k in sums_of)], names=["batch", *sums_of])
+
     known_end = int(size["docs"] > 0)
+    end_base, end = float(np.log10((size["docs"] + 1) / (tokens + distinct + 1))), float(logp[-1] / np.log(10))
 
     def finish(table: pa.Table) -> pa.Table:
         doc_id, held_out, n_words = (next(x.values for x in table.column(c) if x.is_valid) for c in _OWN)
@@ -264,31 +298,32 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2, rounds: i
                     total[k][: len(part)] = total[k][: len(part)] + part
         return pa.table({"doc_id": doc_id, "held_out": held_out, "n_tokens": n_words.to_numpy() + 1, "n_known": total["n_known"].astype(np.int64), "train_tokens": np.full(len(doc_id), int(tokens)), "base_score": total["base_score"].astype(float), "score": total["score"].astype(float)})
 
-    parts = blobs.groupBy("bucket").applyInArrow(sums, "batch bigint, n_known binary, base_score binary, score binary")
+    words = types.mapInArrow(marginals, "bucket int, word string, uses bigint, marginal double")
+    both = words.unionByName(blobs, allowMissingColumns=True).repartition(n, "bucket").sortWithinPartitions("bucket", F.col("word").isNull())
+    parts = both.mapInArrow(sums, "batch bigint, n_known binary, base_score binary, score binary")
     together = own.unionByName(parts, allowMissingColumns=True)
     return together.groupBy("batch").applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def _expected(types: DataFrame, path: str, logp: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over all training words; as many numbers as the vocabulary has pieces."""
+def _expected(seen: DataFrame, path: str, logp: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece over all training words (word, uses); as many numbers as the vocabulary has pieces."""
+    size = vocabulary(path).size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(logp))
+        total = np.zeros(size)
         for batch in batches:
-            for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                for k in range(0, len(words), 50_000):
-                    total += lattice(vocabulary(path), logp, words[k : k + 50_000], np.array(counts[k : k + 50_000], float))[1]
+            total += lattice(vocabulary(path), logp, batch.column("word").to_pylist(), batch.column("uses").to_numpy().astype(float))[1]
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
 
-    found = types.mapInArrow(run, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
-    out = np.zeros(len(logp))
+    found = seen.mapInArrow(run, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toPandas()
+    out = np.zeros(size)
     out[found["piece"].to_numpy(np.int64)] = found["uses"].to_numpy(float)
     return out
 
 
-def _maximized(vocab: Vocabulary, uses: np.ndarray) -> np.ndarray:
-    """Log probabilities of the pieces of words; the first piece of each word carries the mark, so words end by themselves."""
-    uses = np.where(vocab.usable, uses + PRIOR, 0)
+def _maximized(vocab: Vocabulary, uses: np.ndarray, ends: float) -> np.ndarray:
+    """Log probabilities of the pieces and, last, of the end; the first piece of each word carries the mark, so words end by themselves."""
+    uses = np.append(np.where(vocab.usable, uses + PRIOR, 0), ends + PRIOR)
     with np.errstate(divide="ignore"):
         return np.log(uses / uses.sum())
