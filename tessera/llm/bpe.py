@@ -6,7 +6,8 @@ composed functions (table look-ups on arrays), and a token starts where state an
 is run. A document boundary is a constant function, so a whole batch of texts is scanned at once.
 
 Defined results: null and empty texts have no tokens; rows are encoded alone, so ties and repeated rows don't matter;
-very long texts and very long pre-tokens work (merging uses a heap); other columns pass through.
+very long texts and very long pre-tokens work (merging uses a heap); an empty table gives an empty one; other columns
+pass through, but columns of the results' names (ids, token_ends, decoded) are replaced; `count_tokens` ignores others.
 """
 
 from __future__ import annotations
@@ -419,6 +420,8 @@ def digests(path: str) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
 
 #: A pre-token in more than one of so many documents of a batch is counted where it is; only the others are shuffled.
 COMMON = 64
+#: Bound of the parts that a batch's frequencies are dealt to, whatever the number of partitions.
+MOST_BUCKETS = 1024
 #: Fixed value: the special token of the vocabulary, which the library finds inside texts.
 SPECIAL = "<|endoftext|>"
 
@@ -444,7 +447,7 @@ def count_tokens(docs: DataFrame, path: str, special: str | None = SPECIAL) -> D
     pre-token is shuffled. The rest goes to the partition of its hash; there the pieces of each distinct pre-token are
     counted once and joined to the frequencies of all documents, and sums go back to the batch, one array a partition.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = {"doc_id": pa.list_(pa.int64()), "n_bytes": pa.list_(pa.int64()), "n_tokens": pa.list_(pa.int64())}
     fields = ", ".join(f"{c} array<bigint>" for c in own)

@@ -7,7 +7,9 @@ probability 2 ** -BITS, which `likeness` takes out.
 
 Defined results: null and empty texts, and texts of white space, have the fingerprint '' (likeness 1 among
 themselves, 0 to others); texts of one to four words have one shingle, the words themselves; equal texts have equal
-fingerprints; rows are fingerprinted alone, so ties and repeated rows don't matter. Only DataFrame functions are used.
+fingerprints; rows are fingerprinted alone, so ties and repeated rows don't matter; very long texts are one array of
+hashes; an empty table gives an empty one; extra columns pass through, a column named `fingerprint` is replaced. Only
+DataFrame functions are used.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ filling are taken out, and the largest count decides.
 Fitting uses a bounded sample of each language's rows (SAMPLE, by hash of the id); prediction covers every row.
 
 Defined results: null texts and texts without a letter are `und` with score 0; equal counts go to the first language by
-code point; without any learned language all is `und`; rows are judged alone, so repeated rows don't matter.
+code point; without any learned language all is `und`; rows are judged alone, so repeated rows don't matter; very long
+texts are one slice of their own; an empty table gives an empty one; extra columns pass through, those named lang_pred or
+score are replaced.
 """
 
 from __future__ import annotations

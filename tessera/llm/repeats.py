@@ -11,7 +11,10 @@ before; suffixes whose neighbours match LENGTH bytes or more are marked.
 An anchor with very many distinct contexts is not indexed in one task: its strings are compared by (place, hash) in a
 further aggregation, which combines before the shuffle.
 
-Defined results: null texts are empty; texts under LENGTH bytes lose nothing; exact copies and repeated rows of LENGTH
+Stretches count as equal if 64-bit hashes of the anchor and of the stretch both are; bytes are compared only in the index.
+
+Defined results: null texts are empty; very long texts (up to 2 GB) are one batch of their own; an empty table gives an
+empty one; columns that are named like the results are refused by Spark as ambiguous only when selected, others pass; texts under LENGTH bytes lose nothing; exact copies and repeated rows of LENGTH
 bytes and more lose everything; matches never cross documents; the order of rows and ties don't matter.
 """
 
@@ -31,7 +34,7 @@ from .common import chunks, materialize, mix64, utf8
 LENGTH, GRAM = 400, 32
 #: Bytes of contexts indexed together; contexts of one anchor beyond which its strings are aggregated instead.
 BATCH, MOST = 1 << 20, 4096
-_PLACE = 28  # bits for a position within a chunk
+_PLACE = 32  # bits for a position within a chunk, beside the upper bits of the hash
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

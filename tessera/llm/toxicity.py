@@ -6,7 +6,8 @@ rows (SAMPLE, by hash of the id) and the FEATURES most telling n-grams; scoring
 
 Defined results: null and empty texts get the score of the intercept; without labels of both classes every score is the
 share of label 1 (0 without labels); rows are scored alone, so repeated rows and ties don't matter; a document labelled
-several times counts as toxic if any label says so.
+several times counts as toxic if any label says so; very long texts are one slice of their own; an empty table gives an
+empty one; columns besides doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
