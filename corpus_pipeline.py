@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir), docs with the columns of `documents`, and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. Nulls, empty texts, repeated rows and extra columns are treated as the
 operators' docstrings say: rows without a letter go at the first stage, repeated rows at the second; extra columns stay.
+Very long texts go through whole. Ties are settled as in the operators: the least id of a class stays, equal languages go
+to the first by code point, equal ranks follow by id. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, langid, mixing, neardup, repeats
 from tessera.llm.common import id_remainder, materialize
 
+#: Bytes from which a repeated string is cut. The stage has to catch passages of over 50 words; with five letters and a
+#: blank a word these begin at about 300 bytes, and the string must fit inside. (op8's own contract says 400 bytes.)
+PASSAGE = 256
+
 #: Whole pipeline in one SQL statement: suffix structures, lattice scans and merges aren't SQL.
 ORACLE_SQL = None
 
@@ -34,7 +40,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur elsewhere; documents of which nothing but blanks is left go. n_chars follows the text."""
     columns = docs.columns
-    cut = repeats.remove(docs, columns=[c for c in columns if c != "text"], as_text=True)
+    cut = repeats.remove(docs, PASSAGE, columns=[c for c in columns if c != "text"], as_text=True)
     cut = cut.withColumnRenamed("kept", "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
