@@ -2,13 +2,19 @@
 
 Each family yields (name, column, SQL): the Spark expression, and the same formula in SQL for the oracle. A factor over
 w bars is NULL unless the entity has more than w bars. Changes run from the older to the newer day; convention
-"reference" turns their sign. One window specification (entity, date) serves all frames, so a family is one sort.
+"reference" turns their sign.
+
+Only running values (previous bars, totals so far) are windows over all bars. A frame is wanted at month ends alone, so
+each bar is dealt to the month ends whose frames may hold it, with its age there, and every rolling measure is an
+aggregate over the bars of young enough age: about a dozen rows a bar instead of a frame of up to 252 bars for each bar
+and measure. All of it works on the entity's partition, so a family is one shuffle by entity.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions
@@ -45,8 +51,23 @@ YEAR = math.sqrt(252)
 Factor = tuple[str, Column, str]
 
 
-def over(n: int):
-    return _by().rowsBetween(-(n - 1), 0)
+#: Aggregates that the family being built asks for, by name, and the greatest age it looks at.
+_ASKED: ContextVar[dict] = ContextVar("asked")
+
+
+def _ask(column: Column, oldest: int) -> Column:
+    asked = _ASKED.get(None)
+    if asked is None:  # only the SQL is wanted
+        return column
+    name = f"_a{len(asked)}"
+    asked[name] = (column, oldest)
+    return F.col(name)
+
+
+def young(c: str | Column, n: int, skip: int = 0) -> Column:
+    """c in bars of age skip to n - 1, NULL in others."""
+    age = F.col("_age")
+    return F.when((age >= skip) & (age < n), F.col(c) if isinstance(c, str) else c)
 
 
 def sover(n: int) -> str:
@@ -54,15 +75,21 @@ def sover(n: int) -> str:
 
 
 def lag(c: str, n: int) -> Column:
-    return F.lag(c, n).over(_by())
+    return _ask(F.max(young(c, n + 1, n)), n)
 
 
 def slag(c: str, n: int) -> str:
     return f"lag({c}, {n}) OVER ({_SQL})"
 
 
-def roll(name: str, c: str | Column, n: int) -> Column:
-    return getattr(F, name)(c).over(over(n))
+def roll(name: str, c: str | Column, n: int, skip: int = 0) -> Column:
+    return _ask(getattr(F, name)(young(c, n, skip)), n - 1)
+
+
+def listed(c: str, n: int) -> Column:
+    """The frame's values from the oldest to the newest."""
+    aged = F.array_sort(F.collect_list(F.when(F.col("_age") < n, F.struct((-F.col("_age")).alias("at"), F.col(c).alias("x")))))
+    return _ask(F.filter(F.transform(aged, lambda v: v["x"]), lambda x: x.isNotNull()), n - 1)
 
 
 def sroll(name: str, c: str, n: int) -> str:
@@ -70,26 +97,30 @@ def sroll(name: str, c: str, n: int) -> str:
 
 
 def _corr(a: str, b: str, n: int) -> Column:
-    return correlation(a, b, over(n)) if SparkContext._active_spark_context else _Nothing()
+    return _ask(correlation(young(a, n), young(b, n)), n - 1) if SparkContext._active_spark_context else _Nothing()
 
 
 def rule(name: str, w: int, column: Column, sql: str) -> Factor:
     return name, F.when(F.col("rn") > w, column), f"CASE WHEN rn > {w} THEN {sql} END"
 
 
+def _prev(c: str, n: int) -> Column:
+    return F.lag(c, n).over(_by())
+
+
 def base(bars: DataFrame, convention: str = "chronological") -> DataFrame:
     sign = -1.0 if convention == "reference" else 1.0
-    df = bars.withColumns({"rn": F.row_number().over(_by()), "r": sign * F.log(F.col("close") / lag("close", 1)), "dc": sign * (F.col("close") - lag("close", 1)), "pc": lag("close", 1), "month_end": F.coalesce(F.trunc(F.lead("date").over(_by()), "month") != F.trunc("date", "month"), F.lit(True))})
+    df = bars.withColumns({"rn": F.row_number().over(_by()), "r": sign * F.log(F.col("close") / _prev("close", 1)), "dc": sign * (F.col("close") - _prev("close", 1)), "pc": _prev("close", 1), "month_end": F.coalesce(F.trunc(F.lead("date").over(_by()), "month") != F.trunc("date", "month"), F.lit(True))})
     return df.withColumns({
-        "up": F.greatest("dc", F.lit(0.0)), "down": F.greatest(-F.col("dc"), F.lit(0.0)), "dv": F.col("volume") - lag("volume", 1),
+        "up": F.greatest("dc", F.lit(0.0)), "down": F.greatest(-F.col("dc"), F.lit(0.0)), "dv": F.col("volume") - _prev("volume", 1),
         "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("pc")), F.abs(F.col("low") - F.col("pc"))),
         "hl2": F.pow(F.log(F.col("high") / F.col("low")), 2), "co2": F.pow(F.log(F.col("close") / F.col("open")), 2), "tp": (F.col("high") + F.col("low") + F.col("close")) / 3,
         "rs1": F.log(F.col("high") / F.col("close")) * F.log(F.col("high") / F.col("open")) + F.log(F.col("low") / F.col("close")) * F.log(F.col("low") / F.col("open")),
-        "illiq": F.abs("r") / (lag("amount", 1) + 1e-8),
-        "pdm": F.when((F.col("high") - lag("high", 1) > lag("low", 1) - F.col("low")) & (F.col("high") > lag("high", 1)), F.col("high") - lag("high", 1)).otherwise(0.0),
-        "mdm": F.when((lag("low", 1) - F.col("low") > F.col("high") - lag("high", 1)) & (lag("low", 1) > F.col("low")), lag("low", 1) - F.col("low")).otherwise(0.0),
+        "illiq": F.abs("r") / (_prev("amount", 1) + 1e-8),
+        "pdm": F.when((F.col("high") - _prev("high", 1) > _prev("low", 1) - F.col("low")) & (F.col("high") > _prev("high", 1)), F.col("high") - _prev("high", 1)).otherwise(0.0),
+        "mdm": F.when((_prev("low", 1) - F.col("low") > F.col("high") - _prev("high", 1)) & (_prev("low", 1) > F.col("low")), _prev("low", 1) - F.col("low")).otherwise(0.0),
         "on": F.log(F.col("open") / F.col("pc")), "oc2": 0.5 * (F.pow(F.log(F.col("high") / F.col("open")), 2) + F.pow(F.log(F.col("low") / F.col("open")), 2)),
-        "sv": F.signum("dc") * F.col("volume"),
+        "sv": F.signum("dc") * F.col("volume"), "obv": F.sum(F.signum("dc") * F.col("volume")).over(_by()),
     })
 
 
@@ -165,11 +196,12 @@ def momentum_paths() -> Iterator[Factor]:
     for w in (20, 60, 120, 240):
         weights = [math.exp(-i / (w / 3)) for i in reversed(range(w))]
         total = sum(weights)
-        arr = F.collect_list("r").over(over(w))
+        arr = listed("r", w)
+        sd = roll("stddev_pop", "r", w)
         dot = F.aggregate(F.zip_with(arr, F.array(*[F.lit(x) for x in weights]), lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
         yield rule(f"momentum_weighted_{w}d", w, dot / total, f"list_sum(list_transform(generate_series(1, {w}), lambda i: coalesce(arr{w}[i], 0) * {weights!r}[i])) / {total!r}")
         yield rule(f"momentum_consistency_{w}d", w, roll("avg", (F.col("r") > 0).cast("double"), w), sroll("avg", "CAST(r > 0 AS DOUBLE)", w))
-        yield rule(f"momentum_extreme_count_{w}d", w, F.size(F.filter(arr, lambda x: F.abs(x) > F.col(f"_sd{w}"))) / float(w), f"len(list_filter(arr{w}, lambda x: abs(x) > 2 * sd{w})) / {float(w)!r}")
+        yield rule(f"momentum_extreme_count_{w}d", w, F.size(F.filter(arr, lambda x: F.abs(x) > 2 * sd)) / float(w), f"len(list_filter(arr{w}, lambda x: abs(x) > 2 * sd{w})) / {float(w)!r}")
 
 
 def volatility() -> Iterator[Factor]:
@@ -215,7 +247,7 @@ def technical() -> Iterator[Factor]:
         (m, sm), (s, ss) = _mean("close", w), _std("close", w)
         yield rule(f"technical_boll_width_{w}d", w, 4 * s / m, f"4 * ({ss}) / ({sm})")
         yield rule(f"technical_boll_pos_{w}d", w, F.when(s > 1e-8, (F.col("close") - m) / (2 * s)).otherwise(0.0), f"CASE WHEN {ss} > 1e-8 THEN (close - {sm}) / (2 * ({ss})) ELSE 0.0 END")
-    yield "technical_obv", F.sum("sv").over(_by()), f"sum(sv) OVER ({_SQL})"
+    yield "technical_obv", F.col("obv"), f"sum(sv) OVER ({_SQL})"
     for w in (10, 20, 60, 120):
         yield rule(f"technical_willr_{w}d", w, *_place(w, -50.0, -100.0, top=True))
         yield rule(f"technical_momentum_{w}d", w, F.col("close") - lag("close", w), f"close - {slag('close', w)}")
@@ -231,22 +263,22 @@ def liquidity() -> Iterator[Factor]:
         for c in ("volume", "turnover", "amount"):
             yield rule(f"liquidity_avg_{c}_{w}d", w, *_mean(c, w))
         (m, sm) = _mean("volume", w)
-        old, sold = F.avg("volume").over(_by().rowsBetween(-(2 * w - 1), -w)), f"avg(volume) OVER ({_SQL} ROWS BETWEEN {2 * w - 1} PRECEDING AND {w} PRECEDING)"
+        old, sold = roll("avg", "volume", 2 * w, w), f"avg(volume) OVER ({_SQL} ROWS BETWEEN {2 * w - 1} PRECEDING AND {w} PRECEDING)"
         yield rule(f"liquidity_volume_change_{w}d", 2 * w, m / old - 1, f"{sm} / ({sold}) - 1")
     for w in (5, 10, 20, 60):
         m, sm = _mean("illiq", w)
-        yield rule(f"liquidity_amihud_{w}d", w, m * 1e6, f"{sm} * 1e6")
-    past, spast = F.avg("volume").over(_by().rowsBetween(-20, -1)), f"avg(volume) OVER ({_SQL} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+        yield rule(f"liquidity_amihud_{w}d", w, m, sm)
+    past, spast = roll("avg", "volume", 21, 1), f"avg(volume) OVER ({_SQL} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
     yield rule("liquidity_shock_volume", 20, F.col("volume") / past - 1, f"volume / ({spast}) - 1")
     yield rule("liquidity_shock_corr_20d", 20, _corr("r", "dv", 20), f"corr(r, dv) {sover(20)}")
 
 
 def alpha() -> Iterator[Factor]:
-    first = F.first("r").over(over(20))
+    first = lag("r", 19)
     yield rule("alpha_001", 20, F.when(first < 0, roll("stddev_pop", "r", 20)).otherwise(F.col("close")), f"CASE WHEN first_value(r) {sover(20)} < 0 THEN {sroll('stddev_pop', 'r', 20)} ELSE close END")
     yield rule("alpha_002", 1, -F.col("r"), "-r")
     yield rule("alpha_003", 10, -_corr("close", "volume", 10), f"-corr(close, volume) {sover(10)}")
-    closes = F.collect_list("close").over(over(9))
+    closes = listed("close", 9)
     yield rule("alpha_004", 9, -F.size(F.filter(closes, lambda x: x <= F.col("close"))) / 9.0, f"-len(list_filter(list(close) {sover(9)}, lambda x: x <= close)) / 9.0")
     yield rule("alpha_005", 10, F.col("open") - roll("sum", F.least("close", "open"), 10), f"open - {sroll('sum', 'least(close, open)', 10)}")
     d7 = F.col("close") - lag("close", 7)
@@ -298,7 +330,7 @@ def supplement() -> Iterator[Factor]:
         (m, sm), (n, sn) = _mean("close", a), _mean("close", b)
         yield rule(f"sup_tech_ma_cross_{a}_{b}", b, m / n - 1, f"{sm} / ({sn}) - 1")
     for w in (14, 28):  # bars since the latest extreme
-        highs, lows = F.collect_list("high").over(over(w)), F.collect_list("low").over(over(w))
+        highs, lows = listed("high", w), listed("low", w)
         up = (F.array_position(highs, F.array_max(highs))).cast("double") / w * 100
         down = (F.array_position(lows, F.array_min(lows))).cast("double") / w * 100
         sup, sdown = f"list_position(list(high) {sover(w)}, max(high) {sover(w)}) / {float(w)!r} * 100", f"list_position(list(low) {sover(w)}, min(low) {sover(w)}) / {float(w)!r} * 100"
@@ -306,7 +338,7 @@ def supplement() -> Iterator[Factor]:
         yield rule(f"sup_aroon_down_{w}d", w, down, sdown)
         yield rule(f"sup_aroon_osc_{w}d", w, up - down, f"{sup} - {sdown}")
     for w in (20, 60):
-        var = F.percentile("r", 0.05).over(over(w))
+        var = _ask(F.percentile(young("r", w), 0.05), w - 1)
         yield rule(f"sup_var5_{w}d", w, var, f"quantile_cont(r, 0.05) {sover(w)}")
         yield rule(f"sup_kurt_{w}d", w, roll("kurtosis", "r", w), sroll("kurtosis_pop", "r", w))
     for w in (5, 10, 20):
@@ -327,23 +359,36 @@ def minimum() -> Iterator[Factor]:
     yield rule("hist_vol_20", 20, s * YEAR, f"{ss} * {YEAR!r}")
 
 
+#: Columns of the month end's own bar that formulas refer to.
+_OWN = ("rn", "open", "high", "low", "close", "volume", "amount", "r", "dc", "dv", "obv")
+#: Decimals of results, where it isn't 6: values far below 1.
+FINE = {f"liquidity_amihud_{w}d": 12 for w in (5, 10, 20, 60)}
+
+
 def family(bars: DataFrame, name: str, convention: str = "chronological", month_ends: bool = True) -> DataFrame:
-    """entity, date and the factors of a family; the filter to month ends comes after the windows."""
+    """entity, date and the factors of a family at month ends (or at every bar)."""
     df = base(bars, convention)
-    if name == "momentum_paths":
-        df = df.withColumns({f"_sd{w}": 2 * roll("stddev_pop", "r", w) for w in (20, 60, 120, 240)})
-    found = list(minimum() if name == "minimum" else FAMILIES[name]())
-    df = df.select("entity", "date", "month_end", *[c.alias(n) for n, c, _ in found])
-    if month_ends:
-        df = df.filter("month_end")
-    return df.select("entity", "date", *[F.round(n, 6).alias(n) for n, _, _ in found])
+    asked: dict[str, tuple[Column, int]] = {}
+    token = _ASKED.set(asked)
+    try:
+        found = list(minimum() if name == "minimum" else FAMILIES[name]())
+    finally:
+        _ASKED.reset(token)
+    oldest = max((n for _, n in asked.values()), default=0)
+    at = (df.filter("month_end") if month_ends else df).groupBy("entity").agg(F.collect_list(F.struct(F.col("rn").alias("end"), F.col("date").alias("at"))).alias("_ends"))
+    dealt = df.join(at, "entity").withColumn("_e", F.explode(F.filter("_ends", lambda m: m["end"].between(F.col("rn"), F.col("rn") + oldest)))).drop("_ends")
+    dealt = dealt.withColumn("_age", F.col("_e.end") - F.col("rn"))
+    own = [F.max(F.when(F.col("_age") == 0, F.col(c))).alias(c) for c in _OWN]
+    rows = dealt.groupBy("entity", F.col("_e.at").alias("date")).agg(*own, *[c.alias(k) for k, (c, _) in asked.items()])
+    rows = rows.select("entity", "date", *[c.alias(n) for n, c, _ in found])
+    return rows.select("entity", "date", *[F.round(n, FINE.get(n, 6)).alias(n) for n, _, _ in found])
 
 
 def family_sql(name: str) -> str:
     found = list(minimum() if name == "minimum" else FAMILIES[name]())
     more = ", ".join(f"stddev_pop(r) {sover(w)} AS sd{w}, list(r) {sover(w)} AS arr{w}" for w in (20, 60, 120, 240)) if name == "momentum_paths" else "1 AS one"
     inner = ", ".join(f"{sql} AS {n}" for n, _, sql in found)
-    outer = ", ".join(f"round({n}, 6) AS {n}" for n, _, _ in found)
+    outer = ", ".join(f"round({n}, {FINE.get(n, 6)}) AS {n}" for n, _, _ in found)
     return f"{BASE_SQL}, b1 AS (SELECT *, {more} FROM b), x AS (SELECT entity, date, month_end, {inner} FROM b1) SELECT entity, date, {outer} FROM x WHERE month_end"
 
 
