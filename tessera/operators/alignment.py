@@ -57,11 +57,12 @@ def extremes(curve: DataFrame, k: int = 5) -> DataFrame:
     return df.filter((F.col("high") <= k) | (F.col("low") <= k)).select("series", "month_idx", "cum", "high", "low")
 
 
-def ic_gap(train: DataFrame, valid: DataFrame, limit: float = 0.15) -> DataFrame:
-    """IC of the last training month less the mean validation IC of each factor, and the confidence that follows."""
-    last = train.groupBy("factor").agg(F.max_by("ic", "month_idx").alias("train_ic"))
-    mean = valid.groupBy("factor").agg(F.avg("ic").alias("val_ic"))
-    df = last.join(mean, "factor").withColumn("gap", F.col("train_ic") - F.col("val_ic"))
+def ic_gap(ics: DataFrame, windows: DataFrame, limit: float = 0.15) -> DataFrame:
+    """For each rolling window and factor: IC of the last training month, less the mean validation IC, and the confidence that follows."""
+    in_window = ics.join(windows, "month_idx").groupBy("window_id", "factor")
+    train, valid = F.col("split") == "train", F.col("split") == "valid"
+    df = in_window.agg(F.max_by(F.when(train, F.col("ic")), F.when(train, F.col("month_idx"))).alias("train_ic"), F.avg(F.when(valid, F.col("ic"))).alias("val_ic"), F.count_if(train).alias("_n"), F.count_if(valid).alias("_v"))
+    df = df.filter("_n > 0 and _v > 0").drop("_n", "_v").withColumn("gap", F.col("train_ic") - F.col("val_ic"))
     return df.withColumn("confidence", F.when(F.col("gap") > limit, "LOW").otherwise("OK"))
 
 

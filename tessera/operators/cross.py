@@ -73,14 +73,19 @@ def _demeaned(df: DataFrame, columns: list[str], weight: str | None = None) -> D
     return df.withColumns({f"_d{c}": F.col(c) - F.sum(F.col(weight) * F.col(c)).over(cell) / F.sum(weight).over(cell) for c in columns})
 
 
+def _size_unknown():
+    return F.count_if(F.col("market_cap").isNull()).over(_cell()) > 0
+
+
 def industry_size_residual(df: DataFrame, weight: str | None = None) -> DataFrame:
-    """Residual e of y on the log of size and industry dummies (weighted if asked)."""
+    """Residual e of y on the log of size and industry dummies (weighted if asked); unweighted, a cross-section with a missing size keeps y."""
     df = _demeaned(_with_base_industry(df).withColumn("_x", F.log(F.greatest("market_cap", F.lit(1.0)))), ["y", "_x"], weight)
+    unknown = F.lit(False) if weight else _size_unknown()
     w = F.col(weight) if weight else F.lit(1.0)
     sxx = F.sum(w * F.col("_d_x") * F.col("_d_x")).over(_cell())
     sxy = F.sum(w * F.col("_d_x") * F.col("_dy")).over(_cell())
     beta = F.when(sxx > 1e-12, sxy / sxx).otherwise(0.0)
-    return df.withColumn("e", F.col("_dy") - beta * F.col("_d_x")).drop("_ind", "_x", "_dy", "_d_x")
+    return df.withColumn("e", F.when(unknown, F.col("y")).otherwise(F.col("_dy") - beta * F.col("_d_x"))).drop("_ind", "_x", "_dy", "_d_x")
 
 
 def neutralize_a(df: DataFrame) -> DataFrame:
@@ -103,7 +108,7 @@ def neutralize_e(df: DataFrame) -> DataFrame:
     """Winsorised, ranked within the industry, then size alone out."""
     df = winsorize(df).withColumn("y", F.coalesce(rank_pct("y", *CELL, "industry"), F.lit(0.0))).withColumn("_x", F.log(F.greatest("market_cap", F.lit(1.0))))
     slope, intercept = F.regr_slope("y", "_x").over(_cell()), F.regr_intercept("y", "_x").over(_cell())
-    return zscore(df.withColumn("e", F.col("y") - intercept - slope * F.col("_x")).drop("_x"), "e")
+    return zscore(df.withColumn("e", F.when(_size_unknown(), F.col("y")).otherwise(F.col("y") - intercept - slope * F.col("_x"))).drop("_x"), "e")
 
 
 def neutralize_b2(df: DataFrame) -> DataFrame:

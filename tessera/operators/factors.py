@@ -304,12 +304,12 @@ def stats() -> Iterator[Factor]:
     yield rule("sent_pv_sign", 1, F.signum("dc") * F.signum("dv"), "sign(dc) * sign(dv)")
     yield rule("jq_share_up_20d", 20, roll("avg", (F.col("r") > 0).cast("double"), 20), sroll("avg", "CAST(r > 0 AS DOUBLE)", 20))
     for w in (20, 60):
-        hi, lo = roll("max", "high", w), roll("min", "low", w)
-        yield rule(f"jq_price_position_{w}d", w, (F.col("close") - lo) / (hi - lo + 1e-8), f"(close - {sroll('min', 'low', w)}) / ({sroll('max', 'high', w)} - {sroll('min', 'low', w)} + 1e-8)")
+        hi, lo = roll("max", "close", w), roll("min", "close", w)
+        yield rule(f"jq_price_position_{w}d", w, (F.col("close") - lo) / (hi - lo + 1e-8), f"(close - {sroll('min', 'close', w)}) / ({sroll('max', 'close', w)} - {sroll('min', 'close', w)} + 1e-8)")
     m, sm = _mean("close", 20)
     yield rule("jq_ma_deviation_20d", 20, F.col("close") / m - 1, f"close / ({sm}) - 1")
     m, sm = _mean("volume", 20)
-    yield rule("jq_volume_ratio_20d", 20, F.col("volume") / m, f"volume / ({sm})")
+    yield rule("jq_volume_ratio_20d", 20, F.col("volume") / m - 1, f"volume / ({sm}) - 1")
     yield rule("barra_beta_60d", 60, roll("stddev_pop", "r", 59) * YEAR, f"{sroll('stddev_pop', 'r', 59)} * {YEAR!r}")
     yield rule("barra_momentum_252d", 252, F.log(F.col("close") / lag("close", 252)), f"ln(close / {slag('close', 252)})")
     (r20, q20), (s20, t20) = _ratio("close", 20), _std("r", 20)
@@ -321,7 +321,8 @@ def supplement() -> Iterator[Factor]:
     for w in (20, 60, 120):
         up, dn = roll("sum", F.greatest("r", F.lit(0.0)), w), roll("sum", F.greatest(-F.col("r"), F.lit(0.0)), w)
         yield rule(f"sup_mom_strength_{w}d", w, F.when(dn > 1e-8, up / dn), f"CASE WHEN {sroll('sum', 'greatest(-r, 0.0)', w)} > 1e-8 THEN {sroll('sum', 'greatest(r, 0.0)', w)} / ({sroll('sum', 'greatest(-r, 0.0)', w)}) END")
-    yield rule("sup_mom_jt_12_1", 240, lag("close", 20) / lag("close", 240) - 1, f"{slag('close', 20)} / {slag('close', 240)} - 1")
+    (r20, q20), (r240, q240) = _ratio("close", 20), _ratio("close", 240)
+    yield rule("sup_mom_jt_12_1", 240, r240 - r20, f"({q240}) - ({q20})")
     ln = lambda a, b: F.log(lag("close", a) / lag("close", b)) if a else F.log(F.col("close") / lag("close", b))
     yield rule("sup_mom_accel", 60, ln(0, 20) - ln(20, 60), f"ln(close / {slag('close', 20)}) - ln({slag('close', 20)} / {slag('close', 60)})")
     for w in (5, 20):
@@ -349,7 +350,86 @@ def supplement() -> Iterator[Factor]:
     yield rule("sup_sortino_60d", 60, F.when(d > 1e-8, m / d * YEAR), f"CASE WHEN {sroll('stddev_pop', 'CASE WHEN r < 0 THEN r END', 60)} > 1e-8 THEN {sroll('avg', 'r', 60)} / ({sroll('stddev_pop', 'CASE WHEN r < 0 THEN r END', 60)}) * {YEAR!r} END")
 
 
-FAMILIES = {"momentum": momentum, "momentum_paths": momentum_paths, "volatility": volatility, "technical": technical, "liquidity": liquidity, "alpha": alpha, "stats": stats, "supplement": supplement}
+def _worst_fall(w: int) -> Column:
+    """The deepest fall from the running maximum of the frame's closes, as a share."""
+    start = F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("fall"))
+
+    def step(acc: Column, x: Column) -> Column:
+        top = F.greatest(acc["top"], x)
+        return F.struct(top.alias("top"), F.greatest(acc["fall"], 1 - x / top).alias("fall"))
+
+    return F.aggregate(listed("close", w), start, step)["fall"]
+
+
+def risk() -> Iterator[Factor]:
+    """Risk, shocks and shapes of returns."""
+    for w in (6, 14, 24):
+        yield rule(f"sup_tech_rsi_{w}", w, *_rsi(w))
+    low, slow = F.when(F.col("r") < 0, F.col("r")), "CASE WHEN r < 0 THEN r END"
+    for w in (20, 60):
+        yield rule(f"sup_mom_relative_{w}d", w, F.log(F.col("close") / lag("close", w)), f"ln(close / {slag('close', w)})")
+        yield rule(f"sup_risk_downside_{w}d", w, F.coalesce(roll("stddev_pop", low, w) * YEAR, F.lit(0.0)), f"coalesce({sroll('stddev_pop', slow, w)} * {YEAR!r}, 0.0)")
+        var, r = _ask(F.percentile(young("r", w), 0.05), w - 1), listed("r", w)
+        tail = F.filter(r, lambda x: x <= var)  # noqa: B023
+        yield rule(f"sup_risk_cvar_{w}d", w, F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / F.size(tail), f"CASE WHEN month_end THEN list_avg(list_filter(rl{w}, lambda x: x <= v{w})) END")
+        s, ss = _std("r", w)
+        yield rule(f"sup_ret_skew_{w}d", w, F.when(s > 1e-8, roll("skewness", "r", w)), f"CASE WHEN {ss} > 1e-8 THEN ({sroll('avg', 'pow(r, 3)', w)} - 3 * {sroll('avg', 'r', w)} * {sroll('avg', 'pow(r, 2)', w)} + 2 * pow({sroll('avg', 'r', w)}, 3)) / pow({ss}, 3) END")
+        old, sold = roll("stddev_pop", "r", 2 * w, w), f"stddev_pop(r) OVER ({_SQL} ROWS BETWEEN {2 * w - 1} PRECEDING AND {w} PRECEDING)"
+        yield rule(f"volatility_change_{w}d", 2 * w, F.when(old > 1e-8, s / old - 1), f"CASE WHEN {sold} > 1e-8 THEN {ss} / ({sold}) - 1 END")
+    for w in (60, 120):
+        yield rule(f"sup_risk_max_dd_{w}d", w, _worst_fall(w), _FALL.format(w=w))
+    for w in (5, 10, 20):
+        m, sm = _mean("amount", w)
+        yield rule(f"sup_liq_amount_shock_{w}d", w, F.col("amount") / m - 1, f"amount / ({sm}) - 1")
+    for w in (5, 10, 20, 60):
+        hi, lo = roll("max", "close", w), roll("min", "close", w)
+        shi, slo = sroll("max", "close", w), sroll("min", "close", w)
+        yield rule(f"sup_price_pos_{w}d", w, F.when(hi > lo, (F.col("close") - lo) / (hi - lo)).otherwise(0.5), f"CASE WHEN {shi} > {slo} THEN (close - {slo}) / ({shi} - {slo}) ELSE 0.5 END")
+    (s20, q20), (s40, q40) = _std("r", 20), _std("r", 40)
+    yield rule("sup_vol_change", 40, F.when(s40 > 1e-8, s20 / s40 - 1), f"CASE WHEN {q40} > 1e-8 THEN {q20} / ({q40}) - 1 END")
+    (m, sm), (s, ss) = _mean("r", 60), _std("r", 60)
+    yield rule("sup_sharpe_60d", 60, F.when(s > 1e-8, m / s * YEAR), f"CASE WHEN {ss} > 1e-8 THEN {sm} / ({ss}) * {YEAR!r} END")
+    (r, sr), fall = _ratio("close", 120), _worst_fall(120)
+    yield rule("sup_calmar_120d", 120, F.when(fall > 1e-8, r / fall), f"CASE WHEN {_FALL.format(w=120)} > 1e-8 THEN ({sr}) / ({_FALL.format(w=120)}) END")
+
+
+_FALL = "CASE WHEN month_end THEN list_max(list_transform(generate_series(1, len(cl{w})), lambda i: 1 - cl{w}[i] / list_max(cl{w}[1:i]))) END"
+
+
+def composite() -> Iterator[Factor]:
+    """Families that combine other factors, and the commodity channel index."""
+    for w in (5, 10, 20, 60, 120):
+        yield rule(f"jq_momentum_{w}d", w, *_ratio("close", w))
+        s, ss = _std("r", w)
+        yield rule(f"jq_volatility_{w}d", w, s * YEAR, f"{ss} * {YEAR!r}")
+        yield rule(f"jq_turnover_{w}d", w, *_mean("turnover", w))
+    yield rule("jq_range_20d", 20, (roll("max", "high", 20) - roll("min", "low", 20)) / F.col("close"), f"({sroll('max', 'high', 20)} - {sroll('min', 'low', 20)}) / close")
+    (r20, q20), (r60, q60), (r120, q120) = (_ratio("close", w) for w in (20, 60, 120))
+    yield rule("reversal_60d", 60, -r60, f"-({q60})")
+    s, ss = _std("r", 60)
+    vol, svol = s * YEAR, f"({ss} * {YEAR!r})"
+    yield rule("deriv_mom_vol_ratio", 60, F.when(vol > 1e-8, r60 / vol), f"CASE WHEN {svol} > 1e-8 THEN ({q60}) / {svol} END")
+    rsi, srsi = _rsi(14)
+    yield rule("deriv_rsi_adjusted_mom", 60, r60 * (rsi - 50) / 50, f"({q60}) * (({srsi}) - 50) / 50")
+    yield rule("deriv_vol_adjusted_return", 60, F.when(vol > 0, r60 / (vol + 0.01)), f"CASE WHEN {svol} > 0 THEN ({q60}) / ({svol} + 0.01) END")
+    agree = lambda x: (F.signum(x) == F.signum(r20)).cast("double")
+    yield rule("deriv_momentum_consistency", 120, (1 + agree(r60) + agree(r120)) / 3, f"(1 + CAST(sign({q60}) = sign({q20}) AS DOUBLE) + CAST(sign({q120}) = sign({q20}) AS DOUBLE)) / 3")
+    yield rule("deriv_risk_adjusted_mom", 60, *_sharpe(60))
+    for w in (10, 20, 60, 120):
+        typical, (m, sm) = listed("tp", w), _mean("tp", w)
+        spread = F.aggregate(F.transform(typical, lambda x: F.abs(x - m)), F.lit(0.0), lambda a, x: a + x) / w  # noqa: B023
+        own = (F.col("high") + F.col("low") + F.col("close")) / 3
+        dev = f"list_avg(list_transform(tl{w}, lambda x: abs(x - tm{w})))"
+        yield rule(f"technical_cci_{w}d", w, F.when(spread > 1e-8, (own - m) / (0.015 * spread)).otherwise(0.0), f"CASE WHEN NOT month_end THEN NULL WHEN {dev} > 1e-8 THEN (tp - tm{w}) / (0.015 * {dev}) ELSE 0.0 END")
+
+
+#: Columns that the SQL of a family refers to.
+_MORE = {
+    "momentum_paths": ", ".join(f"stddev_pop(r) {sover(w)} AS sd{w}, list(r) {sover(w)} AS arr{w}" for w in (20, 60, 120, 240)),
+    "risk": ", ".join([*(f"list(r) {sover(w)} AS rl{w}, quantile_cont(r, 0.05) {sover(w)} AS v{w}" for w in (20, 60)), *(f"list(close) {sover(w)} AS cl{w}" for w in (60, 120))]),
+    "composite": ", ".join(f"list(tp) {sover(w)} AS tl{w}, avg(tp) {sover(w)} AS tm{w}" for w in (10, 20, 60, 120)),
+}
+FAMILIES = {"momentum": momentum, "momentum_paths": momentum_paths, "volatility": volatility, "technical": technical, "liquidity": liquidity, "alpha": alpha, "stats": stats, "supplement": supplement, "risk": risk, "composite": composite}
 
 
 def minimum() -> Iterator[Factor]:
@@ -386,7 +466,7 @@ def family(bars: DataFrame, name: str, convention: str = "chronological", month_
 
 def family_sql(name: str) -> str:
     found = list(minimum() if name == "minimum" else FAMILIES[name]())
-    more = ", ".join(f"stddev_pop(r) {sover(w)} AS sd{w}, list(r) {sover(w)} AS arr{w}" for w in (20, 60, 120, 240)) if name == "momentum_paths" else "1 AS one"
+    more = _MORE.get(name, "1 AS one")
     inner = ", ".join(f"{sql} AS {n}" for n, _, sql in found)
     outer = ", ".join(f"round({n}, {FINE.get(n, 6)}) AS {n}" for n, _, _ in found)
     return f"{BASE_SQL}, b1 AS (SELECT *, {more} FROM b), x AS (SELECT entity, date, month_end, {inner} FROM b1) SELECT entity, date, {outer} FROM x WHERE month_end"

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import attribution, trials
+from tessera.operators import attribution, cross, trials
 from tessera.sources import ingest
 from tessera.sources.tables import BARS_SQL, PANEL_SQL, bars, panel, table, with_target
 
 from .strategy import H, holdings, rounded
 
 
-#: A trace is added before rounding, as the two engines break ties differently.
 EFFECTS = ("w_port", "r_port", "w_benchmark", "r_benchmark", "r_market", "allocation", "selection", "interaction")
 
 
@@ -33,7 +32,8 @@ def _statements(s, d) -> DataFrame:
 
 
 def _asof(s, d) -> DataFrame:
-    left = table(s, d, "customer").select(F.col("c_custkey").alias("entity")).withColumn("date", F.explode(F.expr("sequence(date'1997-01-15', date'1997-06-15', interval 1 month)")))
+    ends = ingest.month_end_days(_calendar(s, d)).select(F.col("last_day").alias("date"))  # one row a month
+    left = table(s, d, "customer").select(F.col("c_custkey").alias("entity")).join(F.broadcast(ends))
     return ingest.asof(left, _statements(s, d), "entity", "date", "announced")
 
 
@@ -42,6 +42,16 @@ def _adjusted(s, d) -> DataFrame:
     return ingest.adjust_prices(bars(s, d), factors).select("entity", "date", "open", "high", "low", "close")
 
 
+def ordered(s, d) -> DataFrame:
+    """Parts and the months in which they were ordered, beside the panel's, in which they were shipped."""
+    items = table(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("entity"))
+    days = table(s, d, "orders").select("o_orderkey", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("month_idx"))
+    return items.join(days, F.col("l_orderkey") == F.col("o_orderkey")).select("entity", "month_idx").distinct()
+
+
+ORDERED = "SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdate) AS month_idx, l_partkey AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
 def _effects(s, d) -> DataFrame:
     return attribution.brinson(holdings(s, d).filter("is_holding"), with_target(panel(s, d)))
 
@@ -80,6 +90,7 @@ BR = f"""{H}, tgt AS (SELECT * FROM panel WHERE target IS NOT NULL), uni AS (SEL
 po AS (SELECT series, month_idx, industry, sum(weight) AS w_port, coalesce(sum(weight * target) / sum(weight), 0) AS r_port FROM hh GROUP BY 1, 2, 3),
 br AS (SELECT series, month_idx, industry, w_port, r_port, coalesce(wb, 0) AS w_benchmark, coalesce(rb, 0) AS r_benchmark, coalesce(rm, 0) AS r_market, (w_port - coalesce(wb, 0)) * (coalesce(rb, 0) - coalesce(rm, 0)) AS allocation, coalesce(wb, 0) * (r_port - coalesce(rb, 0)) AS selection, (w_port - coalesce(wb, 0)) * (r_port - coalesce(rb, 0)) AS interaction
  FROM po LEFT JOIN uni USING (month_idx, industry) LEFT JOIN ri USING (month_idx, industry) LEFT JOIN rm USING (month_idx))"""
+STYLES = ["f_disc", "f_qty"]
 _PROXY = {"smb": ("market_cap", False), "hml": ("f_disc", True), "rmw": ("f_qty", True)}
 
 QUERIES = {
@@ -89,17 +100,17 @@ QUERIES = {
     "reject_counts": lambda s, d: ingest.reject_counts(_candidates(s, d), _rules()),
     "min_cross_section": lambda s, d: panel(s, d).groupBy("month_idx").agg(F.count("*").alias("n")).filter("n >= 15"),
     "join_financials_asof": lambda s, d: rounded(_asof(s, d), 2),
-    "adjust_prices": lambda s, d: _adjusted(s, d).select("entity", "date", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("open", "high", "low", "close")]),
+    "adjust_prices": lambda s, d: _adjusted(s, d),
     "recent_bars": lambda s, d: rounded(ingest.recent_bars(bars(s, d)).select("entity", "date", "age", "close")),
     "bars_from_events": lambda s, d: ingest.bars_from_events(table(s, d, "events").select("event_id", "ts", "user_id", "value")),
-    "validate_panel": lambda s, d: ingest.validate_months(panel(s, d).filter("entity % 50 <> 7 or month_idx % 2 = 0"), panel(s, d).filter("entity % 90 <> 11 or month_idx % 3 = 0")),
-    "incremental_months": lambda s, d: ingest.incremental_months(panel(s, d), panel(s, d).filter("month_idx % 4 <> 0")),
+    "validate_panel": lambda s, d: ingest.validate_months(panel(s, d), ordered(s, d)),
+    "incremental_months": lambda s, d: ingest.incremental_months(panel(s, d), ordered(s, d)),
     "industry_universe": lambda s, d: rounded(attribution.industry_universe(panel(s, d)), 9),
-    "brinson": lambda s, d: _effects(s, d).select("series", "month_idx", "industry", *[F.round(F.col(c) + 1e-12, 8).alias(c) for c in EFFECTS]),
+    "brinson": lambda s, d: _effects(s, d).select("series", "month_idx", "industry", *[F.round(c, 13).alias(c) for c in EFFECTS]),
     "brinson_rollup": lambda s, d: rounded(attribution.brinson_rollup(_effects(s, d)), 7),
     "proxy_factors": lambda s, d: rounded(attribution.proxy_factors(with_target(panel(s, d)), _PROXY), 7),
     "five_factor": lambda s, d: attribution.factor_regression(holdings(s, d).filter("is_holding and target is not null").groupBy("series", "month_idx").agg((F.sum(F.col("weight") * F.col("target")) - 0.0025).alias("excess")).join(attribution.proxy_factors(with_target(panel(s, d)), _PROXY), "month_idx"), ["mkt", "smb", "hml", "rmw"]),
-    "barra_exposure": lambda s, d: rounded(attribution.exposures(holdings(s, d).filter("is_holding"), attribution.proxy_factors(with_target(panel(s, d)), {"f_disc": ("f_disc", True), "f_qty": ("f_qty", True)}).select("month_idx", F.explode(F.array(*[F.struct(F.lit(k).alias("factor"), F.col(k).alias("spread")) for k in ("f_disc", "f_qty")])).alias("z")).select("month_idx", "z.*"), ["f_disc", "f_qty"]), 7),
+    "barra_exposure": lambda s, d: rounded(attribution.exposures(holdings(s, d).filter("is_holding"), cross.quantile_spread(cross.long_form(with_target(panel(s, d)), STYLES, ["entity", "month_idx", "target"])), STYLES), 7),
     "trial_quantiles": lambda s, d: rounded(trials.metric_quantiles(_trials(s, d)), 8),
     "trial_normalize_static": lambda s, d: rounded(trials.attributes(trials.valid(_trials(s, d))).select("number", "metric", trials.normalize_static(F.col("metric"), F.col("x")).alias("z")), 9),
     "trial_normalize_adaptive": lambda s, d: rounded(_normalized(s, d), 9),
@@ -118,17 +129,17 @@ SQL = {
     "filter_universe": f"{CAND} SELECT entity, month_idx FROM cd WHERE " + " AND ".join(_TESTS.values()),
     "reject_counts": f"{CAND} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (NOT coalesce({t}, false)) AS rejected FROM cd" for k, t in _TESTS.items()),
     "min_cross_section": f"WITH {PANEL_SQL} SELECT month_idx, count(*) AS n FROM panel0 GROUP BY 1 HAVING count(*) >= 15",
-    "join_financials_asof": "WITH st AS (SELECT o_custkey AS entity, CAST(o_orderdate AS DATE) AS announced, max(o_totalprice) AS value FROM orders GROUP BY 1, 2), l AS (SELECT c_custkey AS entity, make_date(1997, CAST(m AS INTEGER), 15) AS date FROM customer, generate_series(1, 6) t(m)) SELECT l.entity, l.date, round(st.value, 2) AS value FROM l ASOF LEFT JOIN st ON l.entity = st.entity AND l.date >= st.announced",
-    "adjust_prices": f"WITH {BARS_SQL}, f AS (SELECT entity, date, 1 + dayofyear(date) / 1000 AS adj FROM bars WHERE day(date) <= 10), la AS (SELECT entity, arg_max(adj, date) AS l FROM f GROUP BY 1) SELECT entity, date, " + ", ".join(f"round({c} * coalesce(adj / l, 1) + 1e-9, 6) AS {c}" for c in ("open", "high", "low", "close")) + " FROM bars LEFT JOIN f USING (entity, date) LEFT JOIN la USING (entity)",
+    "join_financials_asof": "WITH st AS (SELECT o_custkey AS entity, CAST(o_orderdate AS DATE) AS announced, max(o_totalprice) AS value FROM orders GROUP BY 1, 2), l AS (SELECT c_custkey AS entity, date FROM customer, (SELECT CAST(max(l_shipdate) AS DATE) AS date FROM lineitem GROUP BY strftime(l_shipdate, '%Y%m'))) SELECT l.entity, l.date, round(st.value, 2) AS value FROM l ASOF LEFT JOIN st ON l.entity = st.entity AND l.date >= st.announced",
+    "adjust_prices": f"WITH {BARS_SQL}, f AS (SELECT entity, date, 1 + dayofyear(date) / 1000 AS adj FROM bars WHERE day(date) <= 10), la AS (SELECT entity, arg_max(adj, date) AS l FROM f GROUP BY 1) SELECT entity, date, " + ", ".join(f"{c} * coalesce(adj / l, 1) AS {c}" for c in ("open", "high", "low", "close")) + " FROM bars LEFT JOIN f USING (entity, date) LEFT JOIN la USING (entity)",
     "recent_bars": f"WITH {BARS_SQL}, r AS (SELECT entity, date, row_number() OVER (PARTITION BY entity ORDER BY date DESC) - 1 AS age, close, count(*) OVER (PARTITION BY entity) AS n FROM bars) SELECT entity, date, age, round(close, 6) AS close FROM r WHERE age < 300 AND n >= 60",
     "bars_from_events": "SELECT user_id, date_trunc('hour', ts) AS start, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*) AS n FROM events GROUP BY 1, 2",
-    "validate_panel": f"WITH {PANEL_SQL}, a AS (SELECT month_idx, entity FROM panel0 WHERE entity % 50 <> 7 OR month_idx % 2 = 0), b AS (SELECT month_idx, entity FROM panel0 WHERE entity % 90 <> 11 OR month_idx % 3 = 0), j AS (SELECT coalesce(a.month_idx, b.month_idx) AS month_idx, a.entity AS x, b.entity AS y FROM a FULL JOIN b ON a.month_idx = b.month_idx AND a.entity = b.entity) SELECT month_idx, count(x) AS rows, count(y) AS reference_rows, count(*) FILTER (y IS NULL) AS extra_keys, count(*) FILTER (x IS NULL) AS missing_keys, count(*) FILTER (y IS NULL OR x IS NULL) = 0 AS valid FROM j GROUP BY 1",
-    "incremental_months": f"WITH {PANEL_SQL} SELECT DISTINCT month_idx FROM panel0 WHERE month_idx % 4 = 0",
+    "validate_panel": f"WITH {PANEL_SQL}, a AS (SELECT month_idx, entity FROM panel0), b AS ({ORDERED}), j AS (SELECT coalesce(a.month_idx, b.month_idx) AS month_idx, a.entity AS x, b.entity AS y FROM a FULL JOIN b ON a.month_idx = b.month_idx AND a.entity = b.entity) SELECT month_idx, count(x) AS rows, count(y) AS reference_rows, count(*) FILTER (y IS NULL) AS extra_keys, count(*) FILTER (x IS NULL) AS missing_keys, count(*) FILTER (y IS NULL OR x IS NULL) = 0 AS valid FROM j GROUP BY 1",
+    "incremental_months": f"WITH {PANEL_SQL} SELECT DISTINCT month_idx FROM panel0 WHERE month_idx NOT IN (SELECT month_idx FROM ({ORDERED}))",
     "industry_universe": f"WITH {PANEL_SQL} SELECT month_idx, industry, round(count(*) / sum(count(*)) OVER (PARTITION BY month_idx), 9) AS w_benchmark FROM panel0 GROUP BY 1, 2",
-    "brinson": f"{BR} SELECT series, month_idx, industry, " + ", ".join(f"round({c} + 1e-12, 8) AS {c}" for c in EFFECTS) + " FROM br",
+    "brinson": f"{BR} SELECT series, month_idx, industry, " + ", ".join(f"round({c}, 13) AS {c}" for c in EFFECTS) + " FROM br",
     "brinson_rollup": f"{BR} SELECT series, month_idx, industry, round(sum(allocation), 7) AS allocation, round(sum(selection), 7) AS selection, round(sum(interaction), 7) AS interaction FROM br GROUP BY GROUPING SETS ((series, month_idx), (series, industry), (series))",
     "proxy_factors": f"WITH {PANEL_SQL}, t AS (SELECT *, median(market_cap) OVER w AS m1, median(f_disc) OVER w AS m2, median(f_qty) OVER w AS m3 FROM panel WHERE target IS NOT NULL WINDOW w AS (PARTITION BY month_idx)), g AS (SELECT month_idx, count(*) AS n, avg(target) - 0.0025 AS mkt, coalesce(avg(target) FILTER (market_cap <= m1) - avg(target) FILTER (market_cap > m1), 0) AS smb, coalesce(avg(target) FILTER (f_disc > m2) - avg(target) FILTER (f_disc <= m2), 0) AS hml, coalesce(avg(target) FILTER (f_qty > m3) - avg(target) FILTER (f_qty <= m3), 0) AS rmw FROM t GROUP BY 1) SELECT month_idx, " + ", ".join(f"round(CASE WHEN n >= 30 THEN {c} ELSE 0 END, 7) AS {c}" for c in ("mkt", "smb", "hml", "rmw")) + " FROM g",
-    "barra_exposure": f"{H}, t AS (SELECT *, median(f_disc) OVER w AS m2, median(f_qty) OVER w AS m3 FROM panel WHERE target IS NOT NULL WINDOW w AS (PARTITION BY month_idx)), g AS (SELECT month_idx, count(*) AS n, coalesce(avg(target) FILTER (f_disc > m2) - avg(target) FILTER (f_disc <= m2), 0) AS d, coalesce(avg(target) FILTER (f_qty > m3) - avg(target) FILTER (f_qty <= m3), 0) AS q FROM t GROUP BY 1), e AS (SELECT series, month_idx, 'f_disc' AS factor, sum(weight * f_disc) / sum(weight) AS exposure FROM hh GROUP BY 1, 2 UNION ALL SELECT series, month_idx, 'f_qty', sum(weight * f_qty) / sum(weight) FROM hh GROUP BY 1, 2), j AS (SELECT e.*, CASE WHEN n IS NULL THEN NULL WHEN n < 30 THEN 0 WHEN factor = 'f_disc' THEN d ELSE q END AS spread FROM e LEFT JOIN g USING (month_idx)) SELECT series, month_idx, factor, round(exposure, 7) AS exposure, round(spread, 7) AS spread, round(exposure * coalesce(spread, 0), 7) AS contribution FROM j",
+    "barra_exposure": f"{H}, sl AS (UNPIVOT (SELECT month_idx, target, f_disc, f_qty FROM panel WHERE target IS NOT NULL) ON f_disc, f_qty INTO NAME factor VALUE y), sg AS (SELECT month_idx, factor, list_sort(list_distinct(quantile_cont(y, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS ed FROM sl GROUP BY 1, 2 HAVING count(*) >= 50), sp AS (SELECT month_idx, factor, avg(CASE WHEN y > ed[-2] THEN target END) - avg(CASE WHEN y <= ed[2] THEN target END) AS spread FROM sl JOIN sg USING (month_idx, factor) WHERE len(ed) > 2 GROUP BY 1, 2), e AS (SELECT series, month_idx, 'f_disc' AS factor, sum(weight * f_disc) / sum(weight) AS exposure FROM hh GROUP BY 1, 2 UNION ALL SELECT series, month_idx, 'f_qty', sum(weight * f_qty) / sum(weight) FROM hh GROUP BY 1, 2) SELECT series, month_idx, factor, round(exposure, 7) AS exposure, round(spread, 7) AS spread, round(exposure * coalesce(spread, 0), 7) AS contribution FROM e LEFT JOIN sp USING (month_idx, factor)",
     "trial_quantiles": f"WITH {TR} SELECT metric, " + _R("p5 p25 p50 p75 p95 min max mean std zero_rate missing_rate", 8, "qt"),
     "trial_normalize_static": f"WITH {TR} SELECT number, metric, round(CASE metric WHEN 'val_ic' THEN (greatest(least(coalesce(v, 0), 0.05), -0.05) + 0.05) / 0.1 - 0.5 WHEN 'icir' THEN tanh(coalesce(v, 0) / 2) WHEN 'sharpe' THEN tanh(coalesce(v, 0)) ELSE sign(v) * ln(1 + abs(v)) END, 9) AS z FROM lg",
     "trial_normalize_adaptive": f"WITH {TR} SELECT number, metric, round(z, 9) AS z FROM nz",
