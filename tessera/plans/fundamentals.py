@@ -80,17 +80,17 @@ def _macro(s, d) -> DataFrame:
 
 
 _FAMILIES = {"quality": ops.quality, "value": ops.value, "growth": ops.growth, "size": ops.size, "dividend": ops.dividend, "styles": ops.styles}
-_PREFIX = {"styles": ("aqr_", "nm_", "barra_")}
+_DIGITS = {"value": 4}  # the panel's closes are rounded averages, which may end in a tie
 
 
 def _family(name, s, d) -> DataFrame:
     before = financials(s, d)
     df = _FAMILIES[name](before)
-    return df.select("entity", "month_idx", *[F.round(c, 7).alias(c) for c in df.columns if c not in before.columns])
+    return df.select("entity", "month_idx", *[F.round(c, _DIGITS.get(name, 7)).alias(c) for c in df.columns if c not in before.columns])
 
 
-def _sql(**columns: str) -> str:
-    return f"{FINANCIALS_SQL} SELECT entity, month_idx, " + ", ".join(f"round({v}, 7) AS {k}" for k, v in columns.items()) + " FROM fi"
+def _sql(digits: int = 7, **columns: str) -> str:
+    return f"{FINANCIALS_SQL} SELECT entity, month_idx, " + ", ".join(f"round({v}, {digits}) AS {k}" for k, v in columns.items()) + " FROM fi"
 
 
 def _bound(c: str, high: int) -> str:
@@ -99,15 +99,15 @@ def _bound(c: str, high: int) -> str:
 
 _PE, _PB, _PS, _PCF = _bound("pe", 500), _bound("pb", 100), _bound("ps", 100), _bound("pcf", 500)
 QUERIES = {f"factor_{name}": partial(_family, name) for name in _FAMILIES}
-QUERIES |= {"join_attributes": _attributed, "join_macro": _macro, "join_financials": lambda s, d: rounded(financials(s, d).select("entity", "month_idx", "period", "roe", "pe", "pb", "netprofit_yoy"), 7)}
+QUERIES |= {"join_attributes": _attributed, "join_macro": _macro, "join_financials": lambda s, d: rounded(financials(s, d).select("entity", "month_idx", "period", "roe", "pe", "pb", "netprofit_yoy"), 4)}
 SQL = {
     "factor_quality": _sql(quality_roe="roe", quality_gross_margin="grossprofit_margin", quality_debt_ratio="debt_to_assets", quality_current_ratio="current_ratio", quality_quick_ratio="quick_ratio", quality_profit_growth="netprofit_yoy", quality_roe_ex_nonrecurring="roe_dt", quality_roe_weighted="roe_waa", quality_ocf_to_revenue="ocf_to_or", quality_ocf_to_profit="ocf_to_profit", quality_debt_equity_ratio="debt_eqt_ratio", quality_roa="roe * (1 - debt_to_assets / 100)", quality_inv_turnover="CASE WHEN inv_turn >= 0 THEN inv_turn END", quality_ar_turnover="CASE WHEN ar_turn >= 0 THEN ar_turn END"),
-    "factor_value": _sql(value_pe_ratio=_PE, value_pb_ratio=_PB, value_ps_ratio=_PS, value_pcf_ratio=_PCF, value_ep_ratio=f"1 / ({_PE})", value_bp_ratio=f"1 / ({_PB})", value_sp_ratio=f"1 / ({_PS})", value_cfp_ratio=f"1 / ({_PCF})", value_ep_bp_avg=f"(1 / ({_PE}) + 1 / ({_PB})) / 2"),
+    "factor_value": _sql(4, value_pe_ratio=_PE, value_pb_ratio=_PB, value_ps_ratio=_PS, value_pcf_ratio=_PCF, value_ep_ratio=f"1 / ({_PE})", value_bp_ratio=f"1 / ({_PB})", value_sp_ratio=f"1 / ({_PS})", value_cfp_ratio=f"1 / ({_PCF})", value_ep_bp_avg=f"(1 / ({_PE}) + 1 / ({_PB})) / 2"),
     "factor_growth": _sql(growth_revenue_yoy="CASE WHEN abs(or_yoy) <= 500 THEN or_yoy END", growth_netprofit_yoy="CASE WHEN abs(netprofit_yoy) <= 500 THEN netprofit_yoy END", growth_netprofit_q_yoy="CASE WHEN abs(netprofit_q_yoy) <= 500 THEN netprofit_q_yoy END", growth_eps_yoy="CASE WHEN abs(netprofit_q_yoy) <= 500 THEN netprofit_q_yoy END", growth_rev_profit_diff="CASE WHEN abs(or_yoy) <= 500 AND abs(netprofit_yoy) <= 500 THEN or_yoy - netprofit_yoy END"),
     "factor_size": _sql(size_log_mcap="ln(market_cap)", size_log_mcap_neg="-ln(market_cap)", size_sqrt_mcap="sqrt(market_cap)", size_log_mcap_cubed="pow(ln(market_cap), 3)"),
     "factor_dividend": _sql(dividend_payout_ratio="CASE WHEN dv_ratio BETWEEN 0 AND 200 THEN dv_ratio END", dividend_yield="CASE WHEN dv_ratio BETWEEN 0 AND 200 THEN dv_ratio / 100 END"),
     "factor_styles": _sql(aqr_quality="roe", aqr_profit_growth="netprofit_yoy", nm_gross_profitability="grossprofit_margin", barra_growth="netprofit_yoy", barra_quality="roe"),
-    "join_financials": f"{FINANCIALS_SQL} SELECT entity, month_idx, CASE WHEN mo <= 3 THEN (y - 1)::VARCHAR || '1231' WHEN mo <= 6 THEN y::VARCHAR || '0331' WHEN mo <= 9 THEN y::VARCHAR || '0630' ELSE y::VARCHAR || '0930' END AS period, round(roe, 7) AS roe, round(pe, 7) AS pe, round(pb, 7) AS pb, round(netprofit_yoy, 7) AS netprofit_yoy FROM fi",
+    "join_financials": f"{FINANCIALS_SQL} SELECT entity, month_idx, CASE WHEN mo <= 3 THEN (y - 1)::VARCHAR || '1231' WHEN mo <= 6 THEN y::VARCHAR || '0331' WHEN mo <= 9 THEN y::VARCHAR || '0630' ELSE y::VARCHAR || '0930' END AS period, round(roe, 4) AS roe, round(pe, 4) AS pe, round(pb, 4) AS pb, round(netprofit_yoy, 4) AS netprofit_yoy FROM fi",
     "join_attributes": f"WITH {PANEL_SQL}, f AS (SELECT l_partkey AS entity, CAST(min(l_shipdate) AS DATE) AS first FROM lineitem GROUP BY 1) SELECT a.entity, a.month_idx, p_name AS name, date_diff('day', first, last_day(make_date(CAST((a.month_idx - 1) // 12 AS INTEGER), CAST((a.month_idx - 1) % 12 + 1 AS INTEGER), 1))) AS days_listed, round(market_cap / 10000, 8) AS market_cap, round(f_qty / 100, 8) AS turnover FROM panel0 a LEFT JOIN part ON p_partkey = a.entity LEFT JOIN f ON f.entity = a.entity",
     "join_macro": f"WITH {PANEL_SQL}, m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS month_idx, count(*)::DOUBLE AS orders, round(avg(o_totalprice), 4) AS total, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1) SELECT entity, a.month_idx, orders AS macro_orders, total AS macro_total, nullif(urgent, 0)::DOUBLE AS macro_urgent, CAST(NULL AS DOUBLE) AS macro_flat FROM panel0 a LEFT JOIN m USING (month_idx)",
 }
