@@ -49,7 +49,7 @@ def _dated(s, d) -> DataFrame:
     """The panel with a date and valuations of the month; a price-earnings ratio only where several items were shipped."""
     m = F.col("month_idx") - 1
     df = panel(s, d).withColumn("date", F.last_day(F.make_date((m / 12).cast("int"), m % 12 + 1, F.lit(1))))
-    return df.withColumns({"pe": F.when(F.col("f_count") > 1, F.col("close") / 3), "pb": F.col("close") / 15 - 5, "ps": F.col("f_qty") - 2, "pcf": F.col("f_count") * 170 - 180})
+    return df.withColumns({"pe": F.when(F.col("f_count") > 1, F.col("close") / 3.17), "pb": F.col("close") / 15.37 - 5, "ps": F.col("f_qty") - 2, "pcf": F.col("f_count") * 170 - 180})
 
 
 def financials(s, d) -> DataFrame:
@@ -57,7 +57,7 @@ def financials(s, d) -> DataFrame:
 
 
 FINANCIALS_SQL = f"""WITH {PANEL_SQL}, {STATEMENTS_SQL},
-dt AS (SELECT *, (month_idx - 1) // 12 AS y, (month_idx - 1) % 12 + 1 AS mo, CASE WHEN f_count > 1 THEN close / 3 END AS v_pe, close / 15 - 5 AS pb, f_qty - 2 AS ps, f_count * 170 - 180 AS pcf FROM panel0),
+dt AS (SELECT *, (month_idx - 1) // 12 AS y, (month_idx - 1) % 12 + 1 AS mo, CASE WHEN f_count > 1 THEN close / 3.17 END AS v_pe, close / 15.37 - 5 AS pb, f_qty - 2 AS ps, f_count * 170 - 180 AS pcf FROM panel0),
 fi AS (SELECT dt.*, st.* EXCLUDE (entity, period), coalesce(v_pe, s_pe) AS pe FROM dt LEFT JOIN st ON st.entity = dt.entity
   AND st.period = CASE WHEN mo <= 3 THEN (y - 1)::VARCHAR || '1231' WHEN mo <= 6 THEN y::VARCHAR || '0331' WHEN mo <= 9 THEN y::VARCHAR || '0630' ELSE y::VARCHAR || '0930' END)"""
 
