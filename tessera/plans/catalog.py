@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import align, cross, factors, fundamentals, live, reports, strategy
+from . import align, cross, factors, fundamentals, live, reports, selection, strategy
 
-_MODULES = (factors, fundamentals, cross, strategy, reports, live, align)
+_MODULES = (factors, fundamentals, cross, strategy, reports, live, align, selection)
 
 
 def queries() -> dict:
