@@ -39,10 +39,8 @@ def brinson(holdings: DataFrame, universe: DataFrame) -> DataFrame:
 
 def brinson_rollup(effects: DataFrame) -> DataFrame:
     """Effects summed by month, by industry, and in all, in one pass over grouping sets."""
-    view = f"brinson_{id(effects)}"
-    effects.createOrReplaceTempView(view)
-    return effects.sparkSession.sql(f"""SELECT series, month_idx, industry, sum(allocation) AS allocation, sum(selection) AS selection, sum(interaction) AS interaction
-        FROM {view} GROUP BY GROUPING SETS ((series, month_idx), (series, industry), (series))""")
+    sets = [["series", "month_idx"], ["series", "industry"], ["series"]]
+    return effects.groupingSets([[F.col(c) for c in x] for x in sets], "series", "month_idx", "industry").agg(*[F.sum(c).alias(c) for c in ("allocation", "selection", "interaction")])
 
 
 def proxy_factors(df: DataFrame, columns: dict[str, tuple[str, bool]], rf_annual: float = 0.03, least: int = 30) -> DataFrame:

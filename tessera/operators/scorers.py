@@ -13,7 +13,7 @@ from .portfolio import blend
 def train_and_score(df: DataFrame, features: list[str], label: str = "label_rank", weight: float = 0.5, trees: int = 10, depth: int = 3, seed: int = 1) -> DataFrame:
     """Scores of the test rows of one window (split train, valid, test) by boosted trees with early stopping, a random forest, and their blend."""
     df = VectorAssembler(inputCols=features, outputCol="_x").transform(df.fillna(0.0, features))
-    fit = df.filter(f"split <> 'test' and {label} is not null").withColumn("_valid", F.col("split") == "valid").select("_x", label, "_valid").repartition("_valid").cache()
+    fit = df.filter(f"split <> 'test' and {label} is not null").withColumn("_valid", F.col("split") == "valid").select("_x", label, "_valid").cache()
     boosted = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="score_a", lossType="absolute", maxIter=trees, maxDepth=depth, subsamplingRate=0.8, validationIndicatorCol="_valid", seed=seed).fit(fit)
     forest = RandomForestRegressor(featuresCol="_x", labelCol=label, predictionCol="score_b", numTrees=trees, maxDepth=depth, seed=seed).fit(fit.filter("not _valid"))
     fit.unpersist()

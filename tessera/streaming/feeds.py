@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.operators.overlay import BAND, THRESHOLD
 from tessera.sources.ingest import bars_from_events
@@ -38,8 +39,22 @@ def run_once(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
+def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The same in update mode: each batch writes the rows that it changed, and the last state of each key counts. State older than the watermark ends; rows later than that are left out."""
+    spark, out, columns = stream.sparkSession, scratch(stream.sparkSession), list(stream.columns)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("append").parquet(f"{out}/rows")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(f"{out}/rows")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), "_batch").alias("_r"))
+    return last.select(*keys, "_r.*").select(*columns)
+
+
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_once(bars_from_events(event_stream(spark, sf_dir))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    bars = bars_from_events(event_stream(spark, sf_dir))
+    return run_updates(bars, ["user_id", "start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 _STATE = "seq int, sign int, ats double, sold boolean"

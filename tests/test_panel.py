@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import avg_rank, inv_norm
-from tessera.operators import attribution, cross, factors, metrics, overlay, portfolio
+from tessera.operators import attribution, cross, factors, fundamentals, metrics, overlay, portfolio, selection
 from tessera.sources import ingest
 from tessera.sources.tables import clean
 from tessera.streaming import feeds
@@ -73,6 +73,14 @@ def test_scheme_a_residual_is_least_squares(spark):
     assert max(abs(e[r[2]] - got[r[2]]) for r in rows) < 1e-9
 
 
+def test_missing_size_keeps_the_standardised_factor(spark):
+    rows, df = cells(spark)
+    df = df.withColumn("market_cap", F.when(F.col("entity") != 7, F.col("market_cap")))
+    y = np.array([r[3] or 0.0 for r in rows])
+    got = {r.entity: r.z for r in cross.neutralize(df, "a").collect()}
+    assert max(abs((y[r[2]] - y.mean()) / y.std() - got[r[2]]) for r in rows) < 1e-9
+
+
 def test_scheme_b1_residual_is_least_squares(spark):
     rows, df = cells(spark)
     got = {r.entity: r.e for r in cross.neutralize(df, "b1").collect()}
@@ -188,3 +196,30 @@ def test_scheme_g_keeps_rows_without_returns(spark):
     got = {r.entity: r for r in cross.neutralize(df, "g", spark.createDataFrame(vectors, "month_idx int, entity int, returns array<double>"), 3).collect()}
     assert sorted(got) == list(range(30))
     assert [i for i in got if got[i].e is None or got[i].z is None] in ([28, 29], [29, 28]) and got[28].y is not None
+
+
+def test_month_ends_agree_with_every_bar(spark):
+    df = bars(spark, [10 + math.sin(i) + i / 50 for i in range(150)])
+    for name in ("risk", "alpha", "composite"):
+        ends = {r.date: r for r in factors.family(df, name).collect()}
+        every = {r.date: r for r in factors.family(df, name, month_ends=False).collect()}
+        assert len(every) == 150 and ends and all(every[d] == r for d, r in ends.items())
+
+
+def test_screen_is_fitted_once_and_applied_later(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a := rng.normal()), float(a + 0.01 * rng.normal()), 1.0, float(rng.normal()) if i % 5 == 0 else None, float(a + rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "entity int, good double, twin double, flat double, sparse double, target double")
+    features = ["good", "twin", "flat", "sparse"]
+    got = {r.feature: r.verdict for r in selection.decide(df, features, min_keep=1).collect()}
+    assert got == {"good": "kept", "twin": "correlation", "flat": "variance", "sparse": "coverage"}
+    screen = selection.Screen.fit(df, features, min_keep=1)
+    assert screen.features == ["good"] and screen.apply(df.limit(3), ["entity"]).columns == ["entity", "good"]
+
+
+def test_macro_drops_zeros_of_thin_months(spark):
+    macro = spark.createDataFrame([(1, "a", 0.0), (1, "b", 2.0), (2, "a", float("inf")), (2, "b", 1.0)], "month_idx int, key string, value double")
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "month_idx int")
+    got = {r.month_idx: (r.macro_a, r.macro_b) for r in fundamentals.join_macro(rows, macro, ["a", "b"]).collect()}
+    assert got == {1: (None, 2.0), 2: (None, 1.0), 3: (None, None)}
+    assert fundamentals.join_macro(rows, macro, ["a"], full=2).filter("month_idx = 1").first().macro_a == 0.0
