@@ -472,23 +472,60 @@ def family_sql(name: str) -> str:
     return f"{BASE_SQL}, b1 AS (SELECT *, {more} FROM b), x AS (SELECT entity, date, month_end, {inner} FROM b1) SELECT entity, date, {outer} FROM x WHERE month_end"
 
 
-def ema(bars: DataFrame, spans: tuple[int, ...] = (12, 26, 50, 200)) -> DataFrame:
-    """Recursive exponential averages and MACD of each entity's closes, by a fold over the ordered array (one entity, one row)."""
-    arr = bars.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("date", "close"))).alias("x"))
-    zero = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast("array<double>").alias("out"))
-
-    def fold(values: Column, span: int) -> Column:
-        k = 2.0 / (span + 1)
-
-        def step(acc: Column, v: Column) -> Column:
-            e = F.coalesce(acc["e"] * (1 - k) + v * k, v)
-            return F.struct(e.alias("e"), F.concat(acc["out"], F.array(e)).alias("out"))
-
-        return F.aggregate(values, zero, step)["out"]
-
-    for s in spans:
-        arr = arr.withColumn(f"ema_{s}", fold(F.transform("x", lambda v: v["close"]), s))
-    arr = arr.withColumn("dif", F.zip_with(f"ema_{spans[0]}", f"ema_{spans[1]}", lambda a, b: a - b)).withColumn("dea", fold(F.col("dif"), 9))
-    names = [f"ema_{s}" for s in spans] + ["dif", "dea"]
-    rows = arr.select("entity", F.explode(F.arrays_zip("x", *names)).alias("z"))
-    return rows.select("entity", F.col("z.x.date").alias("date"), *[F.round(F.col(f"z.{n}"), 6).alias(n) for n in names], F.round(2 * (F.col("z.dif") - F.col("z.dea")), 6).alias("hist"))
+#: Bars of a block of the recursive averages: the powers of a decay over so many bars stay far within doubles.
+BLOCK = 256
+
+
+def recursive_averages(rows: DataFrame, asked: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds to rows (entity, rn from 1 on, ...) each asked name: (column, span): e = value at first, then e + (value - e) * 2 / (span + 1).
+
+    Within a block the average that starts from 0 is a running sum of values weighed by powers of the decay. What comes
+    from the blocks before is one number a block, carried on by a fold over an entity's blocks; so the work is linear in
+    bars, and an entity's bars are dealt to as many tasks as it has blocks. Values must not be NULL.
+    """
+    rows = rows.withColumn("_b", F.floor((F.col("rn") - 1) / BLOCK)).withColumn("_j", ((F.col("rn") - 1) % BLOCK).cast("double"))
+    upto = W.partitionBy("entity", "_b").orderBy("rn").rowsBetween(W.unboundedPreceding, 0)
+    own, decay = {}, {name: 1 - 2.0 / (span + 1) for name, (_, span) in asked.items()}
+    for name, (column, span) in asked.items():
+        part = F.when(F.col("rn") == 1, F.col(column)).otherwise(F.col(column) * (2.0 / (span + 1)))
+        own[f"_{name}"] = F.sum(part * F.pow(F.lit(decay[name]), -F.col("_j"))).over(upto) * F.pow(F.lit(decay[name]), F.col("_j"))
+    rows = rows.withColumns(own)
+    ends = rows.groupBy("entity", "_b").agg(F.max_by(F.struct(*own), "_j").alias("own"))
+    blocks = ends.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("_b", "own"))).alias("x"))
+    state = ", ".join(f"{name}: double" for name in asked)
+    zero = F.struct(*[F.lit(0.0).alias(name) for name in asked])
+
+    def step(acc: Column, v: Column) -> Column:
+        after = F.struct(*[(v["own"][f"_{n}"] + acc["e"][n] * decay[n] ** BLOCK).alias(n) for n in asked])
+        return F.struct(after.alias("e"), F.concat(acc["out"], F.array(F.struct(v["_b"].alias("_b"), acc["e"].alias("before")))).alias("out"))
+
+    start = F.struct(zero.alias("e"), F.array().cast(f"array<struct<_b: bigint, before: struct<{state}>>>").alias("out"))
+    carried = blocks.select("entity", F.explode(F.aggregate("x", start, step)["out"]).alias("z")).select("entity", "z._b", "z.before")
+    rows = rows.join(carried, ["entity", "_b"])
+    return rows.withColumns({n: F.col(f"_{n}") + F.col(f"before.{n}") * F.pow(F.lit(decay[n]), F.col("_j") + 1) for n in asked}).drop("_b", "_j", "before", *own)
+
+
+SPANS = (12, 26, 50, 200)
+
+
+def ema(bars: DataFrame, spans: tuple[int, ...] = SPANS, digits: int = 6) -> DataFrame:
+    """Recursive exponential averages and MACD of each entity's closes; bars without a close are left out."""
+    rows = bars.filter("close is not null").select("entity", "date", "close", F.row_number().over(W.partitionBy("entity").orderBy("date")).alias("rn"))
+    names = [f"ema_{s}" for s in spans]
+    rows = recursive_averages(rows, {n: ("close", s) for n, s in zip(names, spans, strict=True)}).withColumn("dif", F.col(names[0]) - F.col(names[1]))
+    rows = recursive_averages(rows, {"dea": ("dif", 9)}).withColumn("hist", 2 * (F.col("dif") - F.col("dea")))
+    return rows.select("entity", "date", *[F.round(n, digits).alias(n) for n in (*names, "dif", "dea", "hist")])
+
+
+def ema_sql(digits: int = 4) -> str:
+    """The recursion itself, bar by bar."""
+    one = lambda e, v, span: f"{e} + ({v} - {e}) * 2 / {span + 1}"
+    e = {s: one(f"r.e{s}", "n.close", s) for s in SPANS}
+    dif = f"(({e[12]}) - ({e[26]}))"
+    first, after = ", ".join(f"close AS e{s}" for s in SPANS), ", ".join(f"{e[s]}" for s in SPANS)
+    out = ", ".join(f"round(e{s}, {digits}) AS ema_{s}" for s in SPANS)
+    return (
+        f"WITH RECURSIVE {BARS_SQL}, n AS MATERIALIZED (SELECT entity, date, close, row_number() OVER (PARTITION BY entity ORDER BY date) AS rn FROM bars), "
+        f"r AS (SELECT entity, rn, date, {first}, CAST(0 AS DOUBLE) AS dea FROM n WHERE rn = 1 UNION ALL SELECT n.entity, n.rn, n.date, {after}, {one('r.dea', dif, 9)} FROM r JOIN n ON n.entity = r.entity AND n.rn = r.rn + 1) "
+        f"SELECT entity, date, {out}, round(e12 - e26, {digits}) AS dif, round(dea, {digits}) AS dea, round(2 * (e12 - e26 - dea), {digits}) AS hist FROM r"
+    )

@@ -120,3 +120,19 @@ def contribution_summary(contrib: DataFrame, top: int = 5, share: float = 0.3) -
     monthly = contrib.groupBy("factor", "month_idx").agg(F.avg(F.abs("value")).alias("size"), F.avg("value").alias("signed"))
     out = monthly.groupBy("factor").agg(F.avg("size").alias("mean_abs"), F.avg("signed").alias("mean_signed"), F.count("*").alias("months"))
     return out.filter(F.col("months") >= max(3, share * n)).withColumn("place", F.row_number().over(W.orderBy(F.desc("mean_abs"), "factor"))).filter(F.col("place") <= top)
+
+
+def contribution_by_month(contrib: DataFrame, top: int = 5) -> DataFrame:
+    """Each month's factors by mean absolute contribution, the first `top`."""
+    monthly = contrib.groupBy("month_idx", "factor").agg(F.avg(F.abs("value")).alias("mean_abs"), F.avg("value").alias("mean_signed"))
+    place = F.row_number().over(W.partitionBy("month_idx").orderBy(F.desc("mean_abs"), "factor"))
+    return monthly.withColumn("place", place).filter(F.col("place") <= top)
+
+
+def contribution_correlation(contrib: DataFrame, top: int = 5) -> DataFrame:
+    """Correlation over months of the mean signed contributions of the overall first factors, a missing month counting 0; all ordered pairs, `top` squared rows."""
+    names = sorted(r.factor for r in contribution_summary(contrib, top).select("factor").collect())  # top rows
+    wide = contrib.groupBy("month_idx").pivot("factor", names).agg(F.avg("value")).fillna(0.0, names)
+    pairs = [(a, b) for a in names for b in names]
+    one = wide.agg(*[F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("factor"), F.lit(b).alias("other"), F.nanvl(F.col(f"c{i}"), F.lit(None)).alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")

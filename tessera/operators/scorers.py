@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -10,24 +14,28 @@ from pyspark.sql import functions as F
 from .portfolio import blend
 
 
-def train_and_score(df: DataFrame, features: list[str], label: str = "label_rank", weight: float = 0.5, trees: int = 10, depth: int = 3, seed: int = 1) -> DataFrame:
-    """Scores of the test rows of one window (split train, valid, test) by boosted trees with early stopping, a random forest, and their blend."""
+def train_and_score(df: DataFrame, features: list[str], label: str = "label_rank", weight: float = 0.5, trees: int = 10, depth: int = 3, seed: int = 1, keys: tuple[str, ...] = ("entity", "month_idx")) -> DataFrame:
+    """Scores of the test rows of one window (split train, valid, test) by boosted trees with early stopping, a random forest, and their blend.
+
+    Training rows are dealt and sorted by their keys: samples are drawn by place, so reruns and lost executors draw the same ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = VectorAssembler(inputCols=features, outputCol="_x").transform(df.fillna(0.0, features))
-    fit = df.filter(f"split <> 'test' and {label} is not null").withColumn("_valid", F.col("split") == "valid").select("_x", label, "_valid").cache()
+    fit = df.filter(f"split <> 'test' and {label} is not null").withColumn("_valid", F.col("split") == "valid").select("_x", label, "_valid", *keys)
+    fit = fit.repartition(parts, *keys).sortWithinPartitions(*keys).select("_x", label, "_valid").cache()
     boosted = GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="score_a", lossType="absolute", maxIter=trees, maxDepth=depth, subsamplingRate=0.8, validationIndicatorCol="_valid", seed=seed).fit(fit)
     forest = RandomForestRegressor(featuresCol="_x", labelCol=label, predictionCol="score_b", numTrees=trees, maxDepth=depth, seed=seed).fit(fit.filter("not _valid"))
     fit.unpersist()
     return blend(forest.transform(boosted.transform(df.filter("split = 'test'"))), weight).drop("_x")
 
 
-def train_windows(df: DataFrame, windows: DataFrame, features: list[str], **options) -> DataFrame:
-    """Scores of the test rows of every window of (window_id, month_idx, split), with window_id; a driver loop over jobs, as windows are few."""
+def train_windows(df: DataFrame, windows: DataFrame, features: list[str], parallelism: int = 4, **options) -> DataFrame:
+    """Scores of the test rows of every window of (window_id, month_idx, split), with window_id; one job set a window, as windows are few, some at a time."""
     df = df.persist()  # read by all windows
-    out = None
-    for i in sorted(r.window_id for r in windows.select("window_id").distinct().collect()):
-        one = train_and_score(df.join(windows.filter(F.col("window_id") == i), "month_idx"), features, **options)
-        out = one if out is None else out.unionByName(one)
-    return out
+    ids = sorted(r.window_id for r in windows.select("window_id").distinct().collect())
+    one = lambda i: train_and_score(df.join(windows.filter(F.col("window_id") == i), "month_idx"), features, **options)
+    with ThreadPool(parallelism) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(one), ids))
 
 
 def importance(model, features: list[str], spark) -> DataFrame:

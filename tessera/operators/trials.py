@@ -126,3 +126,8 @@ def top_k(trials: DataFrame, k: int = 10) -> DataFrame:
     """The k best trials with their parameters as JSON: a top-k report."""
     rows = valid(trials).orderBy("value", "number").limit(k)
     return rows.select("number", "value", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("params")))).alias("params_json"))
+
+
+def warm_start(trials: DataFrame, ranges: dict[str, tuple[float, float]], k: int = 3) -> DataFrame:
+    """The k best trials whose metrics lie in the ranges: where the next search begins."""
+    return top_k(filter_trials(trials, ranges), k)

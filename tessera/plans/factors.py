@@ -13,5 +13,6 @@ def _family(name, spark, sf_dir):
 
 
 QUERIES = {f"factor_{name}": partial(_family, name) for name in ("minimum", *factors.FAMILIES)}
-QUERIES["factor_ema"] = lambda spark, sf_dir: factors.ema(bars(spark, sf_dir))
+QUERIES["factor_ema"] = lambda spark, sf_dir: factors.ema(bars(spark, sf_dir), digits=4)
 SQL = {f"factor_{name}": factors.family_sql(name) for name in ("minimum", *factors.FAMILIES)}
+SQL["factor_ema"] = factors.ema_sql()

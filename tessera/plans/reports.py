@@ -91,7 +91,49 @@ po AS (SELECT series, month_idx, industry, sum(weight) AS w_port, coalesce(sum(w
 br AS (SELECT series, month_idx, industry, w_port, r_port, coalesce(wb, 0) AS w_benchmark, coalesce(rb, 0) AS r_benchmark, coalesce(rm, 0) AS r_market, (w_port - coalesce(wb, 0)) * (coalesce(rb, 0) - coalesce(rm, 0)) AS allocation, coalesce(wb, 0) * (r_port - coalesce(rb, 0)) AS selection, (w_port - coalesce(wb, 0)) * (r_port - coalesce(rb, 0)) AS interaction
  FROM po LEFT JOIN uni USING (month_idx, industry) LEFT JOIN ri USING (month_idx, industry) LEFT JOIN rm USING (month_idx))"""
 STYLES = ["f_disc", "f_qty"]
-_PROXY = {"smb": ("market_cap", False), "hml": ("f_disc", True), "rmw": ("f_qty", True)}
+_PROXY = {"smb": ("market_cap", False), "hml": ("f_disc", True), "rmw": ("f_qty", True), "cma": ("f_tax", False), "mom": ("target", True)}
+PROXY_SQL = f"pt AS (SELECT *, {', '.join(f'median({c}) OVER w AS m_{k}' for k, (c, _) in _PROXY.items())} FROM panel WHERE target IS NOT NULL WINDOW w AS (PARTITION BY month_idx)), pg AS (SELECT month_idx, count(*) AS n, avg(target) - 0.0025 AS mkt, {', '.join(f'coalesce({1 if high else -1} * (avg(target) FILTER ({c} > m_{k}) - avg(target) FILTER ({c} <= m_{k})), 0) AS {k}' for k, (c, high) in _PROXY.items())} FROM pt GROUP BY 1), pf AS (SELECT month_idx, {', '.join(f'CASE WHEN n >= 30 THEN {k} ELSE 0 END AS {k}' for k in ('mkt', *_PROXY))} FROM pg)"
+
+
+def _excess(s, d) -> DataFrame:
+    held = holdings(s, d).filter("is_holding and target is not null")
+    return held.groupBy("series", "month_idx").agg((F.sum(F.col("weight") * F.col("target")) - 0.0025).alias("excess"))
+
+
+def _regression(s, d) -> DataFrame:
+    factors = attribution.proxy_factors(with_target(panel(s, d)), _PROXY)
+    return attribution.factor_regression(_excess(s, d).join(factors, "month_idx"), ["mkt", *_PROXY])
+
+
+def _regression_sql(ridge: float = 0.01, least: int = 6) -> str:
+    """Running sums of products, then the elimination of one unknown after another (the matrix is positive definite)."""
+    names = ["mkt", *_PROXY]
+    t = ["1.0", *names]
+    k = len(t)
+    over = "OVER (PARTITION BY series ORDER BY month_idx ROWS UNBOUNDED PRECEDING)"
+    sums = [f"sum({t[i]} * {t[j]}) {over} AS g_{i}_{j}" for i in range(k) for j in range(i, k)] + [f"sum({t[i]} * excess) {over} AS b_{i}" for i in range(k)]
+    g = lambda i, j: f"g_{min(i, j)}_{max(i, j)}"
+    kept = ", ".join(["series", "month_idx", "n", "yy", *[g(i, j) for i in range(k) for j in range(i, k)], *[f"b_{i}" for i in range(k)]])
+    steps = [f"e0 AS MATERIALIZED (SELECT {kept}, " + ", ".join(f"{g(i, j)}{f' + {ridge}' if i == j else ''} AS a_{i}_{j}" for i in range(k) for j in range(k)) + ", " + ", ".join(f"b_{i} AS a_{i}_{k}" for i in range(k)) + " FROM gs)"]
+    for p in range(k):
+        cells = [f"a_{p}_{j} / a_{p}_{p} AS a_{p}_{j}" if i == p else f"a_{i}_{j} - a_{i}_{p} * a_{p}_{j} / a_{p}_{p} AS a_{i}_{j}" for i in range(k) for j in range(p + 1, k + 1)]
+        steps.append(f"e{p + 1} AS MATERIALIZED (SELECT {kept}, {', '.join(cells)} FROM e{p})")
+    beta = [f"a_{i}_{k}" for i in range(k)]
+    rss = "yy - 2 * (" + " + ".join(f"{beta[i]} * b_{i}" for i in range(k)) + ") + " + " + ".join(f"{beta[i]} * {beta[j]} * {g(i, j)}" for i in range(k) for j in range(k))
+    pick = lambda x: f"round(CASE WHEN n < {least} THEN 0 ELSE {x} END, 7)"
+    out = ", ".join(f"{pick(beta[i + 1])} AS beta_{n}" for i, n in enumerate(names))
+    return (
+        f"{H}, {PROXY_SQL}, ex AS (SELECT series, month_idx, sum(weight * target) - 0.0025 AS excess FROM hh WHERE target IS NOT NULL GROUP BY 1, 2), x AS (SELECT * FROM ex JOIN pf USING (month_idx)), "
+        f"gs AS (SELECT series, month_idx, count(*) {over} AS n, sum(excess * excess) {over} AS yy, {', '.join(sums)} FROM x), {', '.join(steps)} "
+        f"SELECT series, month_idx, {pick(f'12 * {beta[0]}')} AS alpha, {out}, {pick(f'CASE WHEN yy - b_0 * b_0 / n > 1e-12 THEN 1 - ({rss}) / (yy - b_0 * b_0 / n) ELSE 0 END')} AS r2 FROM e{k}"
+    )
+
+
+def _filled(s, d) -> DataFrame:
+    """The panel without its latest targets, these taken from a reference that has them under the same names."""
+    full = with_target(panel(s, d))
+    return ingest.fill_cells(full.select("month_idx", "entity", "target"), full.select("entity", "month_idx", F.coalesce("target", "f_disc").alias("target"), "f_tax"), ["entity", "month_idx"])
+
 
 QUERIES = {
     "month_end_days": lambda s, d: ingest.month_end_days(_calendar(s, d)),
@@ -109,7 +151,8 @@ QUERIES = {
     "brinson": lambda s, d: _effects(s, d).select("series", "month_idx", "industry", *[F.round(c, 13).alias(c) for c in EFFECTS]),
     "brinson_rollup": lambda s, d: rounded(attribution.brinson_rollup(_effects(s, d)), 7),
     "proxy_factors": lambda s, d: rounded(attribution.proxy_factors(with_target(panel(s, d)), _PROXY), 7),
-    "five_factor": lambda s, d: attribution.factor_regression(holdings(s, d).filter("is_holding and target is not null").groupBy("series", "month_idx").agg((F.sum(F.col("weight") * F.col("target")) - 0.0025).alias("excess")).join(attribution.proxy_factors(with_target(panel(s, d)), _PROXY), "month_idx"), ["mkt", "smb", "hml", "rmw"]),
+    "five_factor": lambda s, d: rounded(_regression(s, d), 7),
+    "fill_cells": _filled,
     "barra_exposure": lambda s, d: rounded(attribution.exposures(holdings(s, d).filter("is_holding"), cross.quantile_spread(cross.long_form(with_target(panel(s, d)), STYLES, ["entity", "month_idx", "target"])), STYLES), 7),
     "trial_quantiles": lambda s, d: rounded(trials.metric_quantiles(_trials(s, d)), 8),
     "trial_normalize_static": lambda s, d: rounded(trials.attributes(trials.valid(_trials(s, d))).select("number", "metric", trials.normalize_static(F.col("metric"), F.col("x")).alias("z")), 9),
@@ -121,6 +164,7 @@ QUERIES = {
     "trial_health": lambda s, d: trials.health(_trials(s, d)),
     "trial_convergence": lambda s, d: rounded(trials.convergence(_trials(s, d)), 8),
     "trial_top_k": lambda s, d: trials.top_k(_trials(s, d)),
+    "trial_warm_start": lambda s, d: trials.warm_start(_trials(s, d), {"val_ic": (-0.05, 0.08), "sharpe": (-1.0, 1.0)}),
 }
 _R = lambda cols, n, src: ", ".join(f"round({c}, {n}) AS {c}" for c in cols.split()) + f" FROM {src}"
 SQL = {
@@ -138,7 +182,9 @@ SQL = {
     "industry_universe": f"WITH {PANEL_SQL} SELECT month_idx, industry, round(count(*) / sum(count(*)) OVER (PARTITION BY month_idx), 9) AS w_benchmark FROM panel0 GROUP BY 1, 2",
     "brinson": f"{BR} SELECT series, month_idx, industry, " + ", ".join(f"round({c}, 13) AS {c}" for c in EFFECTS) + " FROM br",
     "brinson_rollup": f"{BR} SELECT series, month_idx, industry, round(sum(allocation), 7) AS allocation, round(sum(selection), 7) AS selection, round(sum(interaction), 7) AS interaction FROM br GROUP BY GROUPING SETS ((series, month_idx), (series, industry), (series))",
-    "proxy_factors": f"WITH {PANEL_SQL}, t AS (SELECT *, median(market_cap) OVER w AS m1, median(f_disc) OVER w AS m2, median(f_qty) OVER w AS m3 FROM panel WHERE target IS NOT NULL WINDOW w AS (PARTITION BY month_idx)), g AS (SELECT month_idx, count(*) AS n, avg(target) - 0.0025 AS mkt, coalesce(avg(target) FILTER (market_cap <= m1) - avg(target) FILTER (market_cap > m1), 0) AS smb, coalesce(avg(target) FILTER (f_disc > m2) - avg(target) FILTER (f_disc <= m2), 0) AS hml, coalesce(avg(target) FILTER (f_qty > m3) - avg(target) FILTER (f_qty <= m3), 0) AS rmw FROM t GROUP BY 1) SELECT month_idx, " + ", ".join(f"round(CASE WHEN n >= 30 THEN {c} ELSE 0 END, 7) AS {c}" for c in ("mkt", "smb", "hml", "rmw")) + " FROM g",
+    "proxy_factors": f"WITH {PANEL_SQL}, {PROXY_SQL} SELECT month_idx, " + _R(" ".join(("mkt", *_PROXY)), 7, "pf"),
+    "five_factor": _regression_sql(),
+    "fill_cells": f"WITH {PANEL_SQL} SELECT entity, month_idx, coalesce(target, f_disc) AS target, f_tax FROM panel",
     "barra_exposure": f"{H}, sl AS (UNPIVOT (SELECT month_idx, target, f_disc, f_qty FROM panel WHERE target IS NOT NULL) ON f_disc, f_qty INTO NAME factor VALUE y), sg AS (SELECT month_idx, factor, list_sort(list_distinct(quantile_cont(y, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS ed FROM sl GROUP BY 1, 2 HAVING count(*) >= 50), sp AS (SELECT month_idx, factor, avg(CASE WHEN y > ed[-2] THEN target END) - avg(CASE WHEN y <= ed[2] THEN target END) AS spread FROM sl JOIN sg USING (month_idx, factor) WHERE len(ed) > 2 GROUP BY 1, 2), e AS (SELECT series, month_idx, 'f_disc' AS factor, sum(weight * f_disc) / sum(weight) AS exposure FROM hh GROUP BY 1, 2 UNION ALL SELECT series, month_idx, 'f_qty', sum(weight * f_qty) / sum(weight) FROM hh GROUP BY 1, 2) SELECT series, month_idx, factor, round(exposure, 7) AS exposure, round(spread, 7) AS spread, round(exposure * coalesce(spread, 0), 7) AS contribution FROM e LEFT JOIN sp USING (month_idx, factor)",
     "trial_quantiles": f"WITH {TR} SELECT metric, " + _R("p5 p25 p50 p75 p95 min max mean std zero_rate missing_rate", 8, "qt"),
     "trial_normalize_static": f"WITH {TR} SELECT number, metric, round(CASE metric WHEN 'val_ic' THEN (greatest(least(coalesce(v, 0), 0.05), -0.05) + 0.05) / 0.1 - 0.5 WHEN 'icir' THEN tanh(coalesce(v, 0) / 2) WHEN 'sharpe' THEN tanh(coalesce(v, 0)) ELSE sign(v) * ln(1 + abs(v)) END, 9) AS z FROM lg",
@@ -150,4 +196,5 @@ SQL = {
     "trial_health": f"WITH {TR} SELECT count(*) AS trials, count(*) FILTER (state = 'FAIL') AS failed, count(*) FILTER (state = 'RUNNING') AS running, count(*) FILTER (isn) AS nan_value, count(*) FILTER (value = -999) AS failure_value, count(*) FILTER (NOT has) AS no_metrics, count(*) FILTER (state = 'COMPLETE' AND NOT isn AND value > -999 AND has AND sign(x / 5) * sign(x * x - 0.1) < 0) AS sign_clash, min(CASE WHEN state = 'COMPLETE' AND NOT isn AND value > -999 THEN value END) AS best FROM tr",
     "trial_convergence": f"WITH {TR}, h AS (SELECT number, p_size, ntile(2) OVER (ORDER BY value, number) AS half FROM va), g AS (SELECT 'size' AS param, avg(p_size) FILTER (half = 1) AS top_mean, stddev_samp(p_size) FILTER (half = 1) AS top_std, avg(p_size) FILTER (half = 2) AS rest_mean, stddev_samp(p_size) FILTER (half = 2) AS rest_std FROM h) SELECT param, round(top_mean, 8) AS top_mean, round(top_std, 8) AS top_std, round(rest_mean, 8) AS rest_mean, round(rest_std, 8) AS rest_std, coalesce(top_std / rest_std < 0.7 AND top_std / abs(top_mean) < 0.3, false) AS converged FROM g",
     "trial_top_k": f"""WITH {TR} SELECT number, value, '{{"brand":"' || p_brand || '","kind":"' || p_type || '","size":"' || p_size || '"}}' AS params_json FROM va ORDER BY value, number LIMIT 10""",
+    "trial_warm_start": f"""WITH {TR} SELECT number, value, '{{"brand":"' || p_brand || '","kind":"' || p_type || '","size":"' || p_size || '"}}' AS params_json FROM va WHERE NOT has OR (x / 5 BETWEEN -0.05 AND 0.08 AND (number % 7 = 0 OR x * 3 BETWEEN -1 AND 1)) ORDER BY value, number LIMIT 3""",
 }

@@ -78,6 +78,11 @@ def _windows(spark, sf_dir):
     return portfolio.rolling_windows(panel(spark, sf_dir))
 
 
+def _contributions(spark, sf_dir) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("factor"), (F.col(c) - 0.05).alias("value")) for c in FEATURES])
+    return panel(spark, sf_dir).select("month_idx", F.explode(cells).alias("x")).select("month_idx", "x.*")
+
+
 def _overlay_input(spark, sf_dir) -> DataFrame:
     """Entities are parts; two category votes and two oscillators from the panel's standardised factors."""
     df = panel(spark, sf_dir)
@@ -113,7 +118,9 @@ QUERIES = {
     "turnover_cost": lambda s, d: rounded(portfolio.turnover(held(s, d)), 8),
     "val_portfolio": lambda s, d: rounded(portfolio.validation_returns(scored(s, d)), 8),
     "stitch_validation": lambda s, d: rounded(portfolio.stitch(_windows(s, d).filter("split = 'valid'").join(portfolio.validation_returns(scored(s, d)), "month_idx").select("window_id", "month_idx", (F.col("ret") + F.col("window_id") / 1000).alias("ret"))), 8),
-    "contrib_summary": lambda s, d: rounded(portfolio.contribution_summary(panel(s, d).select("month_idx", F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), (F.col(c) - 0.05).alias("value")) for c in FEATURES])).alias("x")).select("month_idx", "x.*"))),
+    "contrib_summary": lambda s, d: rounded(portfolio.contribution_summary(_contributions(s, d))),
+    "contrib_by_month": lambda s, d: rounded(portfolio.contribution_by_month(_contributions(s, d), 3)),
+    "contrib_correlation": lambda s, d: rounded(portfolio.contribution_correlation(_contributions(s, d))),
     "monthly_returns": lambda s, d: rounded(monthly(s, d), 8),
     "drawdown_curves": lambda s, d: rounded(metrics.curves(monthly(s, d)).select("series", "month_idx", "cum", "drawdown"), 7),
     "metrics": lambda s, d: rounded(metrics.measures(monthly(s, d)), 5),
@@ -140,6 +147,8 @@ SQL = {
     "turnover_cost": f"{T} SELECT series, month_idx, round(sell, 8) AS sell, round(buy, 8) AS buy, round(cost, 8) AS cost, round(rate, 8) AS rate FROM tc",
     "val_portfolio": f"WITH {PANEL_SQL}, {_VAL} SELECT month_idx, round(ret, 8) AS ret FROM vp",
     "stitch_validation": f"{_W}, {_VAL} SELECT month_idx, max(window_id) AS window_id, round(arg_max(ret + window_id / 1000, window_id), 8) AS ret FROM win JOIN vp USING (month_idx) WHERE split = 'valid' GROUP BY 1",
+    "contrib_by_month": f"WITH {PANEL_SQL}, u AS ({_FEATS(lambda c: f'''SELECT month_idx, '{c}' AS factor, {c} - 0.05 AS value FROM panel0''')}), k AS (SELECT factor, month_idx, avg(abs(value)) AS a, avg(value) AS v FROM u GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY month_idx ORDER BY a DESC, factor) AS place FROM k) SELECT month_idx, factor, round(a, 6) AS mean_abs, round(v, 6) AS mean_signed, place FROM p WHERE place <= 3",
+    "contrib_correlation": f"WITH {PANEL_SQL}, u AS ({_FEATS(lambda c: f'''SELECT month_idx, '{c}' AS factor, {c} - 0.05 AS value FROM panel0''')}), k AS (SELECT factor, month_idx, avg(value) AS v FROM u GROUP BY 1, 2) SELECT a.factor, b.factor AS other, round(corr(a.v, b.v), 6) AS corr FROM k a JOIN k b USING (month_idx) GROUP BY 1, 2",
     "contrib_summary": f"WITH {PANEL_SQL}, u AS ({_FEATS(lambda c: f'''SELECT month_idx, '{c}' AS factor, {c} - 0.05 AS value FROM panel0''')}), k AS (SELECT factor, month_idx, avg(abs(value)) AS a, avg(value) AS v FROM u GROUP BY 1, 2), g AS (SELECT factor, avg(a) AS mean_abs, avg(v) AS mean_signed, count(*) AS months FROM k GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY mean_abs DESC, factor) AS place FROM g) SELECT factor, round(mean_abs, 6) AS mean_abs, round(mean_signed, 6) AS mean_signed, months, place FROM p WHERE place <= 5",
     "monthly_returns": f"{M} SELECT series, month_idx, " + ", ".join(f"round({c}, 8) AS {c}" for c in ("portfolio_return", "benchmark_return", "turnover_cost", "excess_return", "net_return")) + " FROM m",
     "drawdown_curves": f"{M} SELECT series, month_idx, round(cum, 7) AS cum, round(drawdown, 7) AS drawdown FROM cd",

@@ -85,6 +85,26 @@ def align_schema(df: DataFrame, reference: DataFrame) -> DataFrame:
     return df.select(*first, *[F.col(f"`{c}`") for c in df.columns if c not in reference.columns])
 
 
+def fill_cells(df: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+    """df in the reference's column order; its missing columns and NULL cells come from the reference's row of the same keys (one at most), extra columns last."""
+    other = reference.select(*keys, *[F.col(f"`{c}`").alias(f"_ref_{i}") for i, c in enumerate(reference.columns) if c not in keys])
+    ref = {c: F.col(f"_ref_{i}") for i, c in enumerate(reference.columns) if c not in keys}
+    cells = [F.col(f"`{c}`") if c in keys else (F.coalesce(F.col(f"`{c}`"), ref[c]) if c in df.columns else ref[c]).alias(c) for c in reference.columns]
+    return df.join(other, keys, "left").select(*cells, *[F.col(f"`{c}`") for c in df.columns if c not in reference.columns])
+
+
+def schema_problems(df: DataFrame, reference: DataFrame, required: list[str]) -> list[str]:
+    """What is wrong with df's columns: required ones that are absent, their number, their order, their types; read from the schemas alone."""
+    own, want = dict(df.dtypes), dict(reference.dtypes)
+    out = [f"absent: {c}" for c in required if c not in own]
+    if len(own) != len(want):
+        out.append(f"columns: {len(own)}, not {len(want)}")
+    common = [c for c in df.columns if c in want]
+    if common != [c for c in reference.columns if c in own]:
+        out.append("order")
+    return out + [f"type of {c}: {own[c]}, not {want[c]}" for c in common if own[c] != want[c]]
+
+
 def validate_months(df: DataFrame, reference: DataFrame, key: str = "entity", month: str = "month_idx") -> DataFrame:
     """Rows of each month on both sides, keys on one side only, and whether the month is valid."""
     a, b = df.select(month, key, F.lit(1).alias("_a")), reference.select(month, key, F.lit(1).alias("_b"))

@@ -4,11 +4,12 @@ import math
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import avg_rank, inv_norm
-from tessera.operators import attribution, cross, factors, fundamentals, metrics, overlay, portfolio, selection
+from tessera.operators import attribution, cross, factors, fundamentals, metrics, overlay, portfolio, scorers, selection
 from tessera.sources import ingest
 from tessera.sources.tables import clean
 from tessera.streaming import feeds
@@ -223,3 +224,38 @@ def test_macro_drops_zeros_of_thin_months(spark):
     got = {r.month_idx: (r.macro_a, r.macro_b) for r in fundamentals.join_macro(rows, macro, ["a", "b"]).collect()}
     assert got == {1: (None, 2.0), 2: (None, 1.0), 3: (None, None)}
     assert fundamentals.join_macro(rows, macro, ["a"], full=2).filter("month_idx = 1").first().macro_a == 0.0
+
+
+def test_recursive_averages_cross_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = {e: 100 + rng.normal(size=n).cumsum() for e, n in (("long", 3 * factors.BLOCK + 7), ("whole", factors.BLOCK), ("one", 1))}
+    day = np.datetime64("2000-01-01")
+    rows = [(e, (day + i).astype(object), float(v)) for e, vs in x.items() for i, v in enumerate(vs)]
+    got = factors.ema(spark.createDataFrame(rows, "entity string, date date, close double")).toPandas().sort_values(["entity", "date"])
+    for e, vs in x.items():
+        mine, closes = got[got.entity == e], pd.Series(vs)
+        mean = lambda s, span: s.ewm(span=span, adjust=False).mean()
+        dif = mean(closes, 12) - mean(closes, 26)
+        for name, want in (("ema_12", mean(closes, 12)), ("ema_200", mean(closes, 200)), ("dif", dif), ("dea", mean(dif, 9))):
+            assert np.allclose(mine[name].to_numpy(), want.to_numpy(), atol=1e-4), (e, name)
+    assert factors.ema(spark.createDataFrame([], "entity string, date date, close double")).count() == 0
+
+
+def test_fill_and_schema_problems(spark):
+    df = spark.createDataFrame([(1, 10, None, "x"), (1, 11, 2.0, "y"), (2, 10, None, "z")], "entity int, month_idx int, a double, extra string")
+    ref = spark.createDataFrame([(10, 1, 5.0, 7), (11, 1, 6.0, 8)], "month_idx int, entity int, a double, b int")
+    out = ingest.fill_cells(df, ref, ["entity", "month_idx"])
+    assert out.columns == ["month_idx", "entity", "a", "b", "extra"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(10, 1, 5.0, 7, "x"), (11, 1, 2.0, 8, "y"), (10, 2, None, None, "z")], key=str)
+    assert ingest.schema_problems(ref, ref, ["entity"]) == []
+    found = ingest.schema_problems(df.withColumn("a", df["a"].cast("float")), ref, ["entity", "industry"])
+    assert found == ["absent: industry", "order", "type of a: float, not double"]
+
+
+def test_windows_are_trained_side_by_side(spark):
+    rng = np.random.default_rng(3)
+    rows = [(e, m, float(rng.normal()), float(rng.random())) for m in range(4) for e in range(30)]
+    df = spark.createDataFrame(rows, "entity int, month_idx int, f double, label_rank double")
+    windows = spark.createDataFrame([(w, w + i, s) for w in range(2) for i, s in enumerate(("train", "valid", "test"))], "window_id int, month_idx int, split string")
+    got = {p: sorted((r.window_id, r.entity, round(r.score, 9)) for r in scorers.train_windows(df, windows, ["f"], parallelism=p, trees=2, depth=2).collect()) for p in (1, 3)}
+    assert got[1] == got[3] and {w for w, *_ in got[1]} == {0, 1} and len(got[1]) == 60
