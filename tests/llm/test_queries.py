@@ -43,7 +43,8 @@ COLUMNS = {
     "op4_toxicity": "doc_id held_out score predicted", "op5_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op6_near_duplicates": "doc_id class_id", "op7_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op8_repeats": "doc_id n_bytes n_removed n_spans kept_sha256", "op9_language_id": "doc_id held_out lang_pred score",
-    "op10_mixing": "doc_id size source_size target taken",
+    "op10_mixing": "doc_id size source_size target taken", "op11_top_k": "query_id rank vec_id score",
+    "op12_prefix_trie": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256", "op13_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
 }
 
 
