@@ -27,6 +27,23 @@ def lookahead_violations(holdings: DataFrame, factors: DataFrame) -> DataFrame:
     return both.groupBy("month_idx").agg(F.count("*").alias("pairs"), F.count_if(F.col("factor_date") > F.col("holding_date")).alias("violations"))
 
 
+def require_no_lookahead(rows: DataFrame, factor_date: str = "factor_date", holding_date: str = "holding_date") -> DataFrame:
+    """rows as they are; the job fails where a factor's date is after the holding's. The test is part of the column, so it can't be planned away while the column is used."""
+    late = F.concat(F.lit("factor of "), F.col(factor_date).cast("string"), F.lit(" used on "), F.col(holding_date).cast("string"))
+    return rows.withColumn(factor_date, F.when(F.col(factor_date) > F.col(holding_date), F.raise_error(late)).otherwise(F.col(factor_date)))
+
+
+def require_months(rows: DataFrame, month: str = "pred_month") -> DataFrame:
+    """rows as they are; the job fails where a month isn't six digits of a real month."""
+    ok = F.coalesce(F.col(month).cast("string").rlike(r"^\d{4}(0[1-9]|1[0-2])$"), F.lit(False))
+    return rows.withColumn(month, F.when(ok, F.col(month)).otherwise(F.raise_error(F.concat(F.lit("not a month: "), F.coalesce(F.col(month).cast("string"), F.lit("NULL"))))))
+
+
+def join_new_columns(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with the columns of right that it lacks, by key; a key that right has several times is an error of the caller."""
+    return left.join(right.select(*keys, *[F.col(f"`{c}`") for c in right.columns if c not in left.columns]), keys, "left")
+
+
 def backfill(holdings: DataFrame, by_date: DataFrame, by_slice: DataFrame) -> DataFrame:
     """Missing targets from a table of returns by date, then from the prediction slice."""
     keys = ["entity", "month_idx"]

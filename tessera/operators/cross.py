@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,56 +158,164 @@ def neutralize_b1(df: DataFrame) -> DataFrame:
     return zscore(df.drop("_s", "_s2", "_s3", "_miss"), "e")
 
 
-def neutralize_f(df: DataFrame, styles: list[str]) -> DataFrame:
-    """Log size and a block of rank-normalised style columns out, beside industries; a missing style column is an error."""
-    absent = [s for s in styles if s not in df.columns]
+#: The slots of the style block; of each, the first name that the table has is taken.
+STYLE_SLOTS = {
+    "momentum_return_20d": ("momentum_return_20d", "momentum_log_return_20d", "momentum_20d"),
+    "momentum_return_60d": ("momentum_return_60d", "momentum_log_return_60d", "momentum_60d"),
+    "volatility_20d": ("volatility_20d", "volatility_hist_20d", "jq_volatility_20d"),
+    "volatility_60d": ("volatility_60d", "volatility_hist_60d", "jq_volatility_60d"),
+    "liquidity_turnover_20d": ("liquidity_turnover_20d", "liquidity_avg_turnover_20d", "jq_turnover_20d", "turnover_rate_20d"),
+    "liquidity_turnover_60d": ("liquidity_turnover_60d", "liquidity_avg_turnover_60d", "jq_turnover_60d", "turnover_rate_60d"),
+    "rsi_14": ("rsi_14", "technical_rsi_14"),
+    "beta_60d": ("beta_60d", "technical_beta_60d"),
+}
+
+
+def style_columns(columns: list[str], styles: list[str] | None = None) -> list[str]:
+    """The named style columns, all of which must be there, or else a column for each slot that has one; none at all is an error."""
+    if styles is None:
+        styles = [found for names in STYLE_SLOTS.values() if (found := next((n for n in names if n in columns), None))]
+    absent = [s for s in styles if s not in columns]
     if absent or not styles:
         raise ValueError(f"style columns are missing: {absent}")
-    df = df.withColumn("_miss", F.col("y").isNull()).withColumn("y", F.coalesce("y", F.lit(0.0)))
-    df = df.withColumn("_s", F.log(F.greatest("market_cap", F.lit(1.0))))
-    for s in styles:
-        n = F.count(s).over(_cell())
-        df = df.withColumn("_p", clip((avg_rank(s, *CELL) - 0.5) / n, 1e-6, 1 - 1e-6))  # a column of its own, as inv_norm reads it often
-        df = df.withColumn(f"_n{s}", F.coalesce(inv_norm(F.col("_p")), F.lit(0.0))).drop("_p")
-    block = ["_s", *[f"_n{s}" for s in styles]]
-    df = block_residual(df, block).withColumn("e", F.when(~F.col("_miss"), F.col("e")))
-    return zscore(df.drop(*block, "_miss"), "e")
-
+    return styles
 
-def neutralize_g(df: DataFrame, returns: DataFrame, components: int = 5) -> DataFrame:
-    """Residual on the leading principal components of the entities' return vectors (month_idx, entity, returns array).
 
-    Rows without a complete return vector are kept, with NULL as residual and score.
+def _inverses(gram: DataFrame, pairs: list[tuple[int, int]], k: int) -> DataFrame:
+    """month_idx, inverse: the pseudo-inverse of a month's k x k products, row by row; directions under 1e-10 of the greatest are left out."""
 
-    The Gram matrix of a month is summed from its rows' outer products by Spark (size x size numbers a month, however many
-    entities); its eigenvectors give the scores, which are projections of each row.
-    """
-    returns = returns.filter(F.forall("returns", lambda x: x.isNotNull()))
-    flat = returns.select("month_idx", "entity", F.posexplode("returns").alias("i", "x"))
-    flat = flat.withColumn("x", F.col("x") - F.avg("x").over(W.partitionBy("month_idx", "i")))
-    rows = flat.groupBy("month_idx", "entity").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x"))
-    outer = rows.select("month_idx", F.posexplode("x").alias("i", "a"), "x").select("month_idx", "i", F.posexplode("x").alias("j", "b"), "a")
-    gram = outer.groupBy("month_idx", "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("g"))
-    gram = gram.groupBy("month_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "g"))), lambda s: s["g"]).alias("g"))
-
-    @F.pandas_udf("array<array<double>>")
-    def leading(g: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<double>")
+    def inverse(*columns: pd.Series) -> pd.Series:
         out = []
-        for x in g:
-            n = int(round(len(x) ** 0.5))
-            _, v = np.linalg.eigh(np.asarray(x, float).reshape(n, n))
-            out.append([v[:, -1 - k].tolist() for k in range(min(components, n))])
+        for row in np.column_stack([c.to_numpy(float) for c in columns]):
+            a = np.zeros((k, k))
+            for (i, j), v in zip(pairs, row, strict=True):
+                a[i, j] = a[j, i] = v
+            out.append(np.linalg.pinv(a, rcond=1e-10, hermitian=True).ravel().tolist())
         return pd.Series(out)
 
-    vectors = gram.select("month_idx", leading("g").alias("v"))
+    return gram.select("month_idx", inverse(*[f"x{i}_{j}" for i, j in pairs]).alias("_inverse"))
+
+
+def neutralize_f(df: DataFrame, exposures: DataFrame, styles: list[str] | None = None) -> DataFrame:
+    """Log size, industries and a block of rank-normalised style columns out of rank-normalised factors, the styles among them.
+
+    df: entity, month_idx, factor, y; exposures: entity, month_idx, market_cap, industry and the style columns (see
+    `style_columns`), one row an entity and month. A style column is a factor to neutralise as well, whether df has it or
+    not. Missing values are 0 in the fit and come back as missing. All factors of a month share its regressors, so their
+    products are summed and inverted once a month; a factor adds one sum for each regressor.
+    """
+    styles = style_columns(exposures.columns, styles)
+    keys = ["entity", "month_idx"]
+    long = df.filter(~F.col("factor").isin(*styles)).select(*keys, "factor", F.col("y").cast("double").alias("y")).unionByName(long_form(exposures, styles, keys))
+    long = rank_normal(long, 2)
+    normal = long.filter(F.col("factor").isin(*styles)).groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("factor") == s, F.col("y"))), F.lit(0.0)).alias(f"_n{i}") for i, s in enumerate(styles)])
+    x = exposures.select(*keys, F.log(F.greatest("market_cap", F.lit(1.0))).alias("_size"), "industry").join(normal, keys)
+    columns = ["_size", *[f"_n{i}" for i in range(len(styles))]]
+    x = x.withColumn("_ind", F.coalesce("industry", F.min("industry").over(W.partitionBy("month_idx"))))
+    by_industry = W.partitionBy("month_idx", "_ind")
+    x = x.select(*keys, "_ind", *[(F.col(c) - F.avg(c).over(by_industry)).alias(c) for c in columns])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    gram = x.groupBy("month_idx").agg(*[F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"x{i}_{j}") for i, j in pairs])
+    inverses = _inverses(gram, pairs, len(columns))
+
+    rows = long.withColumn("_miss", F.col("y").isNull()).withColumn("y", F.coalesce("y", F.lit(0.0))).join(x, keys)
+    sums = rows.groupBy(*CELL).agg(F.array(*[F.sum(F.col(c) * F.col("y")) for c in columns]).alias("_xy")).join(inverses, "month_idx")
+    k = len(columns)
+    betas = sums.select(*CELL, F.array(*[reduce(lambda a, b: a + b, [F.col("_inverse")[i * k + j] * F.col("_xy")[j] for j in range(k)]) for i in range(k)]).alias("_beta"))
+    fitted = reduce(lambda a, b: a + b, [F.col("_beta")[i] * F.col(c) for i, c in enumerate(columns)])
+    left = F.col("y") - F.avg("y").over(W.partitionBy(*CELL, "_ind")) - fitted
+    rows = rows.join(betas, list(CELL)).withColumn("e", F.when(~F.col("_miss"), left))
+    return zscore(rows.select(*keys, "factor", "e"), "e")
+
+
+def returns_at_month_ends(bars: DataFrame, n: int = 60) -> DataFrame:
+    """entity, month_idx, returns: the n latest log returns at the entity's last bar of each month, newest first.
+
+    NULL as a whole where there are too few bars or a price isn't positive. Each bar is dealt to the month ends that look
+    back on it, so nothing after a month's end enters.
+    """
+    by = W.partitionBy("entity").orderBy("date")
+    df = bars.select("entity", "date", F.row_number().over(by).alias("rn"), F.when((F.col("close") > 0) & (F.lag("close").over(by) > 0), F.log(F.col("close") / F.lag("close").over(by))).alias("r"), F.lead("date").over(by).alias("_next"))
+    ends = df.filter(F.coalesce(F.trunc("_next", "month") != F.trunc("date", "month"), F.lit(True)))
+    ends = ends.groupBy("entity").agg(F.collect_list(F.struct(F.col("rn").alias("end"), (F.year("date") * 12 + F.month("date")).alias("month_idx"))).alias("_ends"))
+    dealt = df.join(ends, "entity").select("entity", "rn", "r", F.explode(F.filter("_ends", lambda m: m["end"].between(F.col("rn"), F.col("rn") + n - 1))).alias("_e"))
+    rows = dealt.groupBy("entity", F.col("_e.month_idx").alias("month_idx")).agg(F.array_sort(F.collect_list(F.struct((F.col("_e.end") - F.col("rn")).alias("age"), "r"))).alias("x"))
+    full = (F.size("x") == n) & F.forall("x", lambda v: v["r"].isNotNull())
+    return rows.select("entity", "month_idx", F.when(full, F.transform("x", lambda v: v["r"])).alias("returns"))
+
+
+def imputed(returns: DataFrame, n: int) -> DataFrame:
+    """returns with the month's median of each place where a value, or the whole vector, is missing; a place without any value stays missing."""
+    places = returns.select("month_idx", F.posexplode("returns").alias("i", "x")).groupBy("month_idx", "i").agg(F.median("x").alias("m"))
+    medians = places.groupBy("month_idx").agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("_m"))
+    whole = F.coalesce("returns", F.array_repeat(F.lit(None).cast("double"), n))
+    return returns.join(medians, "month_idx", "left").select("entity", "month_idx", F.transform(whole, lambda x, i: F.coalesce(x, F.try_element_at("_m", i))).alias("returns"))
+
+
+def components_of(returns: DataFrame, components: int) -> DataFrame:
+    """month_idx, mean, vectors, weights: the leading principal axes of a month's complete vectors, and the squared length of the scores on each.
+
+    A month's rows stream through one task, which holds the sums and products of places (a square of the vector's
+    length), never the rows.
+    """
+
+    def axes(month: int, n: int, total: np.ndarray, products: np.ndarray) -> dict:
+        mean = total / n
+        values, vectors = np.linalg.eigh(products - n * np.outer(mean, mean))
+        keep = [k for k in range(len(values) - 1, -1, -1) if values[k] > 1e-10 * max(values[-1], 0.0)][: max(1, min(components, n - 1))]
+        return {"month_idx": month, "mean": mean.tolist(), "vectors": [vectors[:, k].tolist() for k in keep], "weights": [float(values[k]) for k in keep]}
+
+    def fold(parts):
+        month, n, total, products = None, 0, None, None
+        for part in parts:
+            months = part.column("month_idx").to_numpy()
+            x = part.column("returns").flatten().to_numpy().reshape(len(months), -1) if len(months) else np.zeros((0, 0))
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(months)) + 1, [len(months)])) if len(months) else [0]
+            for a, b in zip(cuts, cuts[1:]):
+                if month is not None and months[a] != month:
+                    yield pa.RecordBatch.from_pylist([axes(month, n, total, products)], schema)
+                    month = None
+                if month is None:
+                    month, n, total, products = int(months[a]), 0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
+                n, total, products = n + int(b - a), total + x[a:b].sum(0), products + x[a:b].T @ x[a:b]
+        if month is not None:
+            yield pa.RecordBatch.from_pylist([axes(month, n, total, products)], schema)
+
+    numbers = pa.list_(pa.float64())
+    schema = pa.schema([("month_idx", pa.int32()), ("mean", numbers), ("vectors", pa.list_(numbers)), ("weights", numbers)])
+    rows = returns.select(F.col("month_idx").cast("int").alias("month_idx"), "returns").repartition("month_idx").sortWithinPartitions("month_idx")
+    return rows.mapInArrow(fold, "month_idx int, mean array<double>, vectors array<array<double>>, weights array<double>")
+
+
+def neutralize_g(df: DataFrame, returns: DataFrame, components: int = 5, alignment: str = "drop", lookback: int = 60) -> DataFrame:
+    """Rank-normalised factors less their projection on the leading principal components of the entities' return vectors.
+
+    df: entity, month_idx, factor, y; returns: entity, month_idx, returns (see `returns_at_month_ends`). Entities
+    without a complete vector keep NULL as residual and score, or with alignment "impute" take the month's medians. Ranks
+    are among all entities; the scores of components have mean 0 and are orthogonal, so a factor's coefficient is one sum
+    over their squared length. Missing values are 0 in the fit and come back as missing.
+    """
+    if alignment not in ("drop", "impute"):
+        raise ValueError(f"unknown alignment {alignment!r}")
+    if alignment == "impute":
+        keys = df.select("entity", "month_idx").distinct()
+        returns = imputed(keys.join(returns, ["entity", "month_idx"], "left"), lookback)
+    returns = returns.filter(F.col("returns").isNotNull() & (F.size("returns") == lookback) & F.forall("returns", lambda x: x.isNotNull()))
+    axes = components_of(returns, components)
     dot = lambda x, v: F.aggregate(F.zip_with(x, v, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    scores = rows.join(vectors, "month_idx").select("month_idx", "entity", *[dot(F.col("x"), F.col("v")[k]).alias(f"_p{k}") for k in range(components)])
-    nothing = F.lit(None).cast("double")
-    without = df.join(scores, ["month_idx", "entity"], "left_anti").withColumns({"e": nothing, "z": nothing})
-    df = df.join(scores, ["month_idx", "entity"]).withColumn("_had", F.col("industry")).withColumn("industry", F.lit("all"))
-    df = block_residual(df.withColumn("_miss", F.col("y").isNull()).withColumn("y", F.coalesce("y", F.lit(0.0))), [f"_p{k}" for k in range(components)])
-    df = df.withColumn("e", F.when(~F.col("_miss"), F.col("e"))).withColumn("industry", F.col("_had"))
-    return zscore(df.drop("_had", "_miss", *[f"_p{k}" for k in range(components)]), "e").unionByName(without)
+    centred = F.zip_with("returns", "mean", lambda a, b: a - b)
+    scores = returns.join(axes, "month_idx").withColumn("_c", centred).select("entity", "month_idx", F.transform("vectors", lambda v: dot(F.col("_c"), v)).alias("_p"), "weights")
+    rows = rank_normal(df.withColumn("y", F.col("y").cast("double")), 2).withColumn("_miss", F.col("y").isNull()).withColumn("y", F.coalesce("y", F.lit(0.0)))
+    rows = rows.join(scores, ["entity", "month_idx"], "left")
+    known = F.col("_p").isNotNull()
+    term = lambda k: F.when(known, F.coalesce(F.get("_p", F.lit(k)), F.lit(0.0)))
+    square = lambda k: F.get("weights", F.lit(k))
+    left = F.col("y") - F.avg(F.when(known, F.col("y"))).over(_cell())
+    for k in range(components):
+        left = left - F.coalesce(F.sum(term(k) * F.col("y")).over(_cell()) / square(k), F.lit(0.0)) * term(k)
+    rows = rows.withColumn("e", F.when(known & ~F.col("_miss"), left)).drop("_p", "weights", "_miss")
+    return zscore(rows, "e")
 
 
 SCHEMES = {"a": neutralize_a, "b": neutralize_b, "d": neutralize_d, "e": neutralize_e, "b1": neutralize_b1, "b2": neutralize_b2, "f": neutralize_f, "g": neutralize_g}

@@ -439,6 +439,23 @@ def minimum() -> Iterator[Factor]:
     yield rule("hist_vol_20", 20, s * YEAR, f"{ss} * {YEAR!r}")
 
 
+def style() -> Iterator[Factor]:
+    """Style columns of the neutralisation by style blocks, further factors to neutralise, and the close."""
+    for w in (20, 60, 120, 5):
+        yield rule(f"momentum_return_{w}d", w, *_ratio("close", w))
+    for w in (20, 60, 10):
+        s, ss = _std("r", w)
+        yield rule(f"volatility_hist_{w}d", w, s * YEAR, f"{ss} * {YEAR!r}")
+    for name, w in (("liquidity_avg_turnover_20d", 20), ("jq_turnover_60d", 60), ("liquidity_avg_turnover_5d", 5)):
+        yield rule(name, w, *_mean("turnover", w))
+    yield rule("momentum_rsi_14d", 14, *_rsi(14))
+    yield rule("momentum_price_position_20d", 20, *_place(20, 0.5))
+    yield rule("close", 0, F.col("close"), "close")
+
+
+#: Families that serve other operators; not registered on their own.
+_INNER = {"minimum": minimum, "style": style}
+
 #: Columns of the month end's own bar that formulas refer to.
 _OWN = ("rn", "open", "high", "low", "close", "volume", "amount", "r", "dc", "dv", "obv")
 #: Decimals of results, where it isn't 6: values far below 1.
@@ -451,7 +468,7 @@ def family(bars: DataFrame, name: str, convention: str = "chronological", month_
     asked: dict[str, tuple[Column, int]] = {}
     token = _ASKED.set(asked)
     try:
-        found = list(minimum() if name == "minimum" else FAMILIES[name]())
+        found = list((_INNER.get(name) or FAMILIES[name])())
     finally:
         _ASKED.reset(token)
     oldest = max((n for _, n in asked.values()), default=0)
@@ -465,7 +482,7 @@ def family(bars: DataFrame, name: str, convention: str = "chronological", month_
 
 
 def family_sql(name: str) -> str:
-    found = list(minimum() if name == "minimum" else FAMILIES[name]())
+    found = list((_INNER.get(name) or FAMILIES[name])())
     more = _MORE.get(name, "1 AS one")
     inner = ", ".join(f"{sql} AS {n}" for n, _, sql in found)
     outer = ", ".join(f"round({n}, {FINE.get(n, 6)}) AS {n}" for n, _, _ in found)

@@ -139,6 +139,21 @@ def quality_gate(trials: DataFrame, rules: dict[str, Column], least: float = -90
     return trials.filter(ok)
 
 
+def completed(trials: DataFrame, least: float = -900.0) -> DataFrame:
+    """Completed trials with a value above `least`: what the gate is applied to."""
+    return trials.filter((F.col("state") == "COMPLETE") & ~F.isnan("value") & (F.col("value") > least))
+
+
+def standard_rules(trials: DataFrame) -> dict[str, Column]:
+    """The gate's rules: information ratios over 0.05, most months ahead, under half penalised (by the first of two metrics that any trial has; none: no rule)."""
+    m = lambda name: F.nanvl(F.col("attrs")[name], F.lit(None).cast("double"))
+    rules = {"rolling": m("val_rolling6m_ir") > 0.05, "global": m("val_global_ir") > 0.05, "positive": m("pct_positive_excess") > 0.5}
+    names = ("penalized_rate", "low_confidence_months_ratio")
+    has = trials.agg(*[F.coalesce(F.bool_or(F.col("attrs")[n].isNotNull()), F.lit(False)).alias(n) for n in names]).first()
+    name = next((n for n in names if has[n]), None)
+    return rules | ({"penalized": m(name) < 0.5} if name else {})
+
+
 def reuse(trials: DataFrame, scheme: str, ranges: dict[str, tuple[float, float]], weights: dict[str, float], top: int = 10) -> DataFrame:
     """The `top` trials of a scheme whose parameters lie in the ranges, scored anew by the weights, least first (ties: by number)."""
     df = trials.filter(F.col("scheme") == scheme)
@@ -148,8 +163,16 @@ def reuse(trials: DataFrame, scheme: str, ranges: dict[str, tuple[float, float]]
     return df.withColumn("score", score).orderBy("score", "number").limit(top)
 
 
-def verdict(qualified: DataFrame, all_trials: DataFrame, least: int = 30, share: float = 0.5) -> DataFrame:
-    """One row: how many trials pass, their share, and GO or RERUN."""
+def verdict(qualified: DataFrame, all_trials: DataFrame, advice: DataFrame | None = None, least: int = 30, share: float = 0.5, converged: float = 0.7) -> DataFrame:
+    """One row: how many trials pass, their share, the share of parameters that the advice fixes, and GO or RERUN.
+
+    GO takes `least` passing trials and either more than `share` of all, or `converged` of the parameters fixed.
+    """
     n, k = all_trials.agg(F.count("*").alias("trials")), qualified.agg(F.count("*").alias("qualified"))
-    df = n.join(k).withColumn("pass_rate", F.try_divide("qualified", "trials"))
-    return df.withColumn("verdict", F.when((F.col("qualified") >= least) & (F.col("pass_rate") > share), "GO").otherwise("RERUN"))
+    df = n.join(k).withColumn("pass_rate", F.try_divide("qualified", "trials"))  # one row each
+    rate = F.lit(0.0)
+    if advice is not None:
+        df = df.join(advice.agg(F.coalesce(F.avg((F.col("advice") == "fix").cast("double")), F.lit(0.0)).alias("convergence")))
+        rate = F.col("convergence")
+    go = (F.col("qualified") >= least) & ((F.col("pass_rate") > share) | (rate >= converged))
+    return df.withColumn("verdict", F.when(go, "GO").otherwise("RERUN"))

@@ -64,5 +64,5 @@ SQL = {
     "overlay_returns": f"{O} SELECT f.seq, round(sum(0.01 * CASE WHEN sold THEN 0.025 / 12 ELSE coalesce(target, 0) END), 7) AS ret, round(sum(CASE WHEN sold THEN 0.01::DOUBLE ELSE 0::DOUBLE END), 7) AS cash FROM f JOIN panel p ON p.entity = f.entity AND p.month_idx = f.seq GROUP BY 1",
     "extreme_months": f"{M}, z AS (SELECT series, month_idx, cum, row_number() OVER (PARTITION BY series ORDER BY cum DESC, month_idx) AS high, row_number() OVER (PARTITION BY series ORDER BY cum, month_idx) AS low FROM cv) SELECT series, month_idx, round(cum, 7) AS cum, high, low FROM z WHERE high <= 5 OR low <= 5",
     "ic_gap": f"{_PAIRS}, mo AS (SELECT month_idx, row_number() OVER (ORDER BY month_idx) - 1 AS pos, count(*) OVER () AS k FROM (SELECT DISTINCT month_idx FROM panel)), wi AS (SELECT w AS window_id, month_idx, pos - w AS off FROM mo, generate_series(0, 200) g(w) WHERE w <= k - 49 AND pos BETWEEN w AND w + 47), a AS (SELECT window_id, factor, arg_max(ic, month_idx) AS train_ic FROM ic JOIN wi USING (month_idx) WHERE off < 36 GROUP BY 1, 2), b AS (SELECT window_id, factor, avg(ic) AS val_ic FROM ic JOIN wi USING (month_idx) WHERE off >= 36 GROUP BY 1, 2) SELECT window_id, factor, round(train_ic, 7) AS train_ic, round(val_ic, 7) AS val_ic, round(train_ic - val_ic, 7) AS gap, CASE WHEN train_ic - val_ic > 0.15 THEN 'LOW' ELSE 'OK' END AS confidence FROM a JOIN b USING (window_id, factor)",
-    "trial_range_advice": f"WITH {TR}, h AS (SELECT p_size, ntile(2) OVER (ORDER BY value, number) AS half FROM va), g AS (SELECT avg(p_size) AS m, stddev_samp(p_size) AS s FROM h WHERE half = 1) SELECT 'size' AS param, CASE WHEN s / abs(m) < 0.15 THEN 'fix' ELSE 'search' END AS advice, round(m - 2 * s, 7) AS low, round(m + 2 * s, 7) AS high FROM g",
+    "trial_range_advice": f"WITH {TR}, h AS (SELECT p_size, CASE WHEN p <= n // 2 THEN 1 END AS half FROM (SELECT *, row_number() OVER (ORDER BY value, number) AS p, count(*) OVER () AS n FROM va)), g AS (SELECT avg(p_size) AS m, stddev_samp(p_size) AS s FROM h WHERE half = 1) SELECT 'size' AS param, CASE WHEN s / abs(m) < 0.15 THEN 'fix' ELSE 'search' END AS advice, round(m - 2 * s, 7) AS low, round(m + 2 * s, 7) AS high FROM g",
 }

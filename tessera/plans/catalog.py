@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import align, cross, factors, fundamentals, live, reports, selection, strategy
+from . import align, cross, factors, fundamentals, live, reports, selection, storage, strategy, tuning
 
-_MODULES = (factors, fundamentals, cross, strategy, reports, live, align, selection)
+_MODULES = (factors, fundamentals, cross, strategy, reports, live, align, selection, tuning, storage)
 
 
 def queries() -> dict:

@@ -64,12 +64,12 @@ def _trials(s, d) -> DataFrame:
         key.alias("number"), F.when(key % 29 == 0, "FAIL").when(key % 31 == 0, "RUNNING").otherwise("COMPLETE").alias("state"),
         F.when(key % 23 == 0, float("nan")).when(key % 19 == 0, -999.0).otherwise(-F.col("p_retailprice")).alias("value"),
         F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"), F.lit("kind"), F.col("p_type")).alias("params"),
-        F.when(key % 41 != 0, F.create_map(F.lit("val_ic"), x / 5, F.lit("icir"), x * x - 0.1, F.lit("sharpe"), F.when(key % 7 == 0, float("nan")).otherwise(x * 3), F.lit("cagr"), F.lit(0.0))).otherwise(F.create_map().cast("map<string,double>")).alias("attrs"),
+        F.when(key % 41 != 0, F.create_map(F.lit("val_ic"), x / 5, F.lit("val_icir"), x * x - 0.1, F.lit("sharpe_ratio"), F.when(key % 7 == 0, float("nan")).otherwise(x * 3), F.lit("cagr"), F.lit(0.0))).otherwise(F.create_map().cast("map<string,double>")).alias("attrs"),
     )
 
 
 def _weights(s):
-    return s.createDataFrame([("val_ic", 2.0, 1), ("icir", 1.0, 1), ("sharpe", 0.5, -1), ("cagr", 1.0, 1)], "metric string, weight double, direction int")
+    return s.createDataFrame([("val_ic", 2.0, 1), ("val_icir", 1.0, 1), ("sharpe_ratio", 0.5, -1), ("cagr", 1.0, 1)], "metric string, weight double, direction int")
 
 
 def _normalized(s, d):
@@ -80,8 +80,8 @@ def _normalized(s, d):
 TR = """tr AS (SELECT p_partkey AS number, CASE WHEN p_partkey % 29 = 0 THEN 'FAIL' WHEN p_partkey % 31 = 0 THEN 'RUNNING' ELSE 'COMPLETE' END AS state,
  CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN -999.0 ELSE -p_retailprice END AS value, p_partkey % 23 = 0 AS isn, p_size, p_brand, p_type, p_partkey % 41 <> 0 AS has, ((p_partkey * 37) % 101 - 50) / 100 AS x FROM part),
 va AS (SELECT * FROM tr WHERE state = 'COMPLETE' AND NOT isn AND value > -999),
-lg AS (SELECT number, 'val_ic' AS metric, x / 5 AS v FROM va WHERE has UNION ALL SELECT number, 'icir', x * x - 0.1 FROM va WHERE has UNION ALL SELECT number, 'sharpe', CASE WHEN number % 7 <> 0 THEN x * 3 END FROM va WHERE has UNION ALL SELECT number, 'cagr', 0.0 FROM va WHERE has),
-qt AS (SELECT metric, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.95) AS p95, min(v) AS min, max(v) AS max, avg(v) AS mean, stddev_pop(v) AS std, avg(CAST(v = 0 AS DOUBLE)) AS zero_rate, avg(CAST(v IS NULL AS DOUBLE)) AS missing_rate FROM lg GROUP BY 1),
+lg AS (SELECT number, 'val_ic' AS metric, x / 5 AS v FROM va WHERE has UNION ALL SELECT number, 'val_icir', x * x - 0.1 FROM va WHERE has UNION ALL SELECT number, 'sharpe_ratio', CASE WHEN number % 7 <> 0 THEN x * 3 END FROM va WHERE has UNION ALL SELECT number, 'cagr', 0.0 FROM va WHERE has),
+qt AS (SELECT metric, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.95) AS p95, min(v) AS min, max(v) AS max, avg(v) AS mean, stddev_pop(v) AS std, avg(CAST(v > 0 AS DOUBLE)) AS positive_rate, avg(CAST(v = 0 AS DOUBLE)) AS zero_rate, avg(CAST(v IS NULL AS DOUBLE)) AS missing_rate FROM lg GROUP BY 1),
 nz AS (SELECT number, metric, CASE WHEN zero_rate > 0.9 OR missing_rate > 0.9 OR v IS NULL THEN 0 WHEN metric = 'val_ic' THEN (greatest(least(v, p95), p5) - p5) / (p95 - p5) - 0.5 ELSE tanh((v - p50) / greatest((p95 - p5) / 2, 1e-6)) END AS z FROM lg JOIN qt USING (metric))"""
 PR = """pm AS (SELECT number, value, 'size' AS param, CAST(p_size AS VARCHAR) AS v FROM va UNION ALL SELECT number, value, 'brand', p_brand FROM va UNION ALL SELECT number, value, 'kind', p_type FROM va)"""
 CAND = f"WITH {PANEL_SQL}, cd AS (SELECT entity, month_idx, close, CASE WHEN entity % 13 = 0 THEN 'ST x' WHEN entity % 17 <> 0 THEN industry END AS name, entity % 900 AS days_listed, f_qty / 1000 AS turnover, market_cap FROM panel0)"
@@ -156,15 +156,15 @@ QUERIES = {
     "barra_exposure": lambda s, d: rounded(attribution.exposures(holdings(s, d).filter("is_holding"), cross.quantile_spread(cross.long_form(with_target(panel(s, d)), STYLES, ["entity", "month_idx", "target"])), STYLES), 7),
     "trial_quantiles": lambda s, d: rounded(trials.metric_quantiles(_trials(s, d)), 8),
     "trial_normalize_static": lambda s, d: rounded(trials.attributes(trials.valid(_trials(s, d))).select("number", "metric", trials.normalize_static(F.col("metric"), F.col("x")).alias("z")), 9),
-    "trial_normalize_adaptive": lambda s, d: rounded(_normalized(s, d), 9),
+    "trial_normalize_adaptive": lambda s, d: rounded(_normalized(s, d).select("number", "metric", "z"), 9),
     "trial_scores": lambda s, d: rounded(trials.score(_normalized(s, d), _weights(s)), 8),
-    "trial_filter": lambda s, d: trials.filter_trials(_trials(s, d), {"val_ic": (-0.05, 0.08), "sharpe": (-1.0, 1.0)}).select("number", "value"),
+    "trial_filter": lambda s, d: trials.filter_trials(_trials(s, d), {"val_ic": (-0.05, 0.08), "sharpe_ratio": (-1.0, 1.0)}).select("number", "value"),
     "trial_metric_ranges": lambda s, d: rounded(trials.metric_ranges(_trials(s, d)), 8),
     "trial_param_ranges": lambda s, d: rounded(trials.param_ranges(_trials(s, d)), 8),
     "trial_health": lambda s, d: trials.health(_trials(s, d)),
     "trial_convergence": lambda s, d: rounded(trials.convergence(_trials(s, d)), 8),
     "trial_top_k": lambda s, d: trials.top_k(_trials(s, d)),
-    "trial_warm_start": lambda s, d: trials.warm_start(_trials(s, d), {"val_ic": (-0.05, 0.08), "sharpe": (-1.0, 1.0)}),
+    "trial_warm_start": lambda s, d: trials.warm_start(_trials(s, d), {"val_ic": (-0.05, 0.08), "sharpe_ratio": (-1.0, 1.0)}),
 }
 _R = lambda cols, n, src: ", ".join(f"round({c}, {n}) AS {c}" for c in cols.split()) + f" FROM {src}"
 SQL = {
@@ -186,15 +186,15 @@ SQL = {
     "five_factor": _regression_sql(),
     "fill_cells": f"WITH {PANEL_SQL} SELECT entity, month_idx, coalesce(target, f_disc) AS target, f_tax FROM panel",
     "barra_exposure": f"{H}, sl AS (UNPIVOT (SELECT month_idx, target, f_disc, f_qty FROM panel WHERE target IS NOT NULL) ON f_disc, f_qty INTO NAME factor VALUE y), sg AS (SELECT month_idx, factor, list_sort(list_distinct(quantile_cont(y, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS ed FROM sl GROUP BY 1, 2 HAVING count(*) >= 50), sp AS (SELECT month_idx, factor, avg(CASE WHEN y > ed[-2] THEN target END) - avg(CASE WHEN y <= ed[2] THEN target END) AS spread FROM sl JOIN sg USING (month_idx, factor) WHERE len(ed) > 2 GROUP BY 1, 2), e AS (SELECT series, month_idx, 'f_disc' AS factor, sum(weight * f_disc) / sum(weight) AS exposure FROM hh GROUP BY 1, 2 UNION ALL SELECT series, month_idx, 'f_qty', sum(weight * f_qty) / sum(weight) FROM hh GROUP BY 1, 2) SELECT series, month_idx, factor, round(exposure, 7) AS exposure, round(spread, 7) AS spread, round(exposure * coalesce(spread, 0), 7) AS contribution FROM e LEFT JOIN sp USING (month_idx, factor)",
-    "trial_quantiles": f"WITH {TR} SELECT metric, " + _R("p5 p25 p50 p75 p95 min max mean std zero_rate missing_rate", 8, "qt"),
-    "trial_normalize_static": f"WITH {TR} SELECT number, metric, round(CASE metric WHEN 'val_ic' THEN (greatest(least(coalesce(v, 0), 0.05), -0.05) + 0.05) / 0.1 - 0.5 WHEN 'icir' THEN tanh(coalesce(v, 0) / 2) WHEN 'sharpe' THEN tanh(coalesce(v, 0)) ELSE sign(v) * ln(1 + abs(v)) END, 9) AS z FROM lg",
+    "trial_quantiles": f"WITH {TR} SELECT metric, " + _R("p5 p25 p50 p75 p95 min max mean std positive_rate zero_rate missing_rate", 8, "qt"),
+    "trial_normalize_static": f"WITH {TR} SELECT number, metric, round(CASE metric WHEN 'val_ic' THEN (greatest(least(coalesce(v, 0), 0.05), -0.05) + 0.05) / 0.1 - 0.5 WHEN 'val_icir' THEN tanh(coalesce(v, 0) / 2) WHEN 'sharpe_ratio' THEN tanh(coalesce(v, 0)) ELSE sign(v) * ln(1 + abs(v)) END, 9) AS z FROM lg",
     "trial_normalize_adaptive": f"WITH {TR} SELECT number, metric, round(z, 9) AS z FROM nz",
-    "trial_scores": f"WITH {TR} SELECT number, round(sum(z * CASE metric WHEN 'val_ic' THEN 2.0 WHEN 'sharpe' THEN -0.5 ELSE 1.0 END), 8) AS score, count(*) FILTER (z <> 0) AS used FROM nz GROUP BY 1",
+    "trial_scores": f"WITH {TR} SELECT number, round(sum(z * CASE metric WHEN 'val_ic' THEN 2.0 WHEN 'sharpe_ratio' THEN -0.5 ELSE 1.0 END), 8) AS score, count(*) FILTER (z <> 0) AS used FROM nz GROUP BY 1",
     "trial_filter": f"WITH {TR} SELECT number, value FROM va WHERE NOT has OR (x / 5 BETWEEN -0.05 AND 0.08 AND (number % 7 = 0 OR x * 3 BETWEEN -1 AND 1))",
     "trial_metric_ranges": f"WITH {TR} SELECT metric, round(CASE WHEN count(v) < 2 THEN NULL WHEN min(v) = max(v) THEN 0 ELSE min(v) - (max(v) - min(v)) * 0.05 END, 8) AS low, round(CASE WHEN count(v) < 2 THEN NULL WHEN min(v) = max(v) THEN 1 ELSE max(v) + (max(v) - min(v)) * 0.05 END, 8) AS high FROM lg GROUP BY 1",
     "trial_param_ranges": f"WITH {TR}, {PR}, rk AS (SELECT number, row_number() OVER (ORDER BY value, number) AS p, count(*) OVER () AS n FROM va), b AS (SELECT pm.* FROM pm JOIN rk USING (number) WHERE p <= greatest(1, floor(n * 0.2))), k AS (SELECT param, v, count(*) AS k FROM b GROUP BY 1, 2), md AS (SELECT param, first(v ORDER BY k DESC, v DESC) AS mode, max(k) / sum(k) AS frequency FROM k GROUP BY 1) SELECT param, round(min(TRY_CAST(v AS DOUBLE)), 4) AS low, round(max(TRY_CAST(v AS DOUBLE)), 4) AS high, CASE WHEN param <> 'size' THEN any_value(md.mode) END AS mode, CASE WHEN param <> 'size' THEN round(any_value(md.frequency), 8) END AS frequency, CASE WHEN param <> 'size' THEN any_value(md.frequency) >= 0.8 END AS fixed FROM b JOIN md USING (param) GROUP BY param",
     "trial_health": f"WITH {TR} SELECT count(*) AS trials, count(*) FILTER (state = 'FAIL') AS failed, count(*) FILTER (state = 'RUNNING') AS running, count(*) FILTER (isn) AS nan_value, count(*) FILTER (value = -999) AS failure_value, count(*) FILTER (NOT has) AS no_metrics, count(*) FILTER (state = 'COMPLETE' AND NOT isn AND value > -999 AND has AND sign(x / 5) * sign(x * x - 0.1) < 0) AS sign_clash, min(CASE WHEN state = 'COMPLETE' AND NOT isn AND value > -999 THEN value END) AS best FROM tr",
-    "trial_convergence": f"WITH {TR}, h AS (SELECT number, p_size, ntile(2) OVER (ORDER BY value, number) AS half FROM va), g AS (SELECT 'size' AS param, avg(p_size) FILTER (half = 1) AS top_mean, stddev_samp(p_size) FILTER (half = 1) AS top_std, avg(p_size) FILTER (half = 2) AS rest_mean, stddev_samp(p_size) FILTER (half = 2) AS rest_std FROM h) SELECT param, round(top_mean, 8) AS top_mean, round(top_std, 8) AS top_std, round(rest_mean, 8) AS rest_mean, round(rest_std, 8) AS rest_std, coalesce(top_std / rest_std < 0.7 AND top_std / abs(top_mean) < 0.3, false) AS converged FROM g",
+    "trial_convergence": f"WITH {TR}, h AS (SELECT number, p_size, CASE WHEN p <= n // 2 THEN 1 WHEN p > n - n // 2 THEN 2 END AS half FROM (SELECT *, row_number() OVER (ORDER BY value, number) AS p, count(*) OVER () AS n FROM va)), g AS (SELECT 'size' AS param, avg(p_size) FILTER (half = 1) AS top_mean, stddev_samp(p_size) FILTER (half = 1) AS top_std, avg(p_size) FILTER (half = 2) AS rest_mean, stddev_samp(p_size) FILTER (half = 2) AS rest_std FROM h) SELECT param, round(top_mean, 8) AS top_mean, round(top_std, 8) AS top_std, round(rest_mean, 8) AS rest_mean, round(rest_std, 8) AS rest_std, coalesce(top_std / rest_std < 0.7 AND top_std / abs(top_mean) < 0.3, false) AS converged FROM g",
     "trial_top_k": f"""WITH {TR} SELECT number, value, '{{"brand":"' || p_brand || '","kind":"' || p_type || '","size":"' || p_size || '"}}' AS params_json FROM va ORDER BY value, number LIMIT 10""",
     "trial_warm_start": f"""WITH {TR} SELECT number, value, '{{"brand":"' || p_brand || '","kind":"' || p_type || '","size":"' || p_size || '"}}' AS params_json FROM va WHERE NOT has OR (x / 5 BETWEEN -0.05 AND 0.08 AND (number % 7 = 0 OR x * 3 BETWEEN -1 AND 1)) ORDER BY value, number LIMIT 3""",
 }

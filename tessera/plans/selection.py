@@ -25,7 +25,7 @@ def _tuned(s, d) -> DataFrame:
 
 def _gated(s, d) -> DataFrame:
     a = lambda m: F.nanvl(F.col("attrs")[m], F.lit(None).cast("double"))
-    return selection.quality_gate(_trials(s, d).filter("state = 'COMPLETE' and not isnan(value)"), {"ic": a("val_ic") > 0.02, "sharpe": a("sharpe") < 1.2}, least=-1500.0)
+    return selection.quality_gate(_trials(s, d).filter("state = 'COMPLETE' and not isnan(value)"), {"ic": a("val_ic") > 0.02, "sharpe": a("sharpe_ratio") < 1.2}, least=-1500.0)
 
 
 def _rates(s, d) -> DataFrame:
@@ -53,7 +53,7 @@ QUERIES = {
     "trial_cap_params": lambda s, d: selection.cap_params(_tuned(s, d), GROUPS),
     "trial_quality_gate": lambda s, d: _gated(s, d).select("number", "value"),
     "trial_verdict": lambda s, d: rounded(selection.verdict(_gated(s, d), _trials(s, d)), 9),
-    "trial_reuse": lambda s, d: rounded(selection.reuse(_trials(s, d).filter("state = 'COMPLETE'").withColumn("scheme", F.col("params")["kind"].substr(1, 5)), "PROMO", {"size": (5, 40)}, {"val_ic": 2.0, "icir": -1.0}).select("number", "score"), 9),
+    "trial_reuse": lambda s, d: rounded(selection.reuse(_trials(s, d).filter("state = 'COMPLETE'").withColumn("scheme", F.col("params")["kind"].substr(1, 5)), "PROMO", {"size": (5, 40)}, {"val_ic": 2.0, "val_icir": -1.0}).select("number", "score"), 9),
 }
 _FEATS = ", ".join(f"('{f}', {i})" for i, f in enumerate(FEATURES))
 _STATS = " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST({c} IS NOT NULL AS DOUBLE)) AS coverage, coalesce(stddev_samp({c}), 0) AS std, abs(corr(coalesce({c}, 0), target)) AS ic FROM pt" for c in FEATURES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def month_list(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -93,14 +94,15 @@ def fill_cells(df: DataFrame, reference: DataFrame, keys: list[str]) -> DataFram
     return df.join(other, keys, "left").select(*cells, *[F.col(f"`{c}`") for c in df.columns if c not in reference.columns])
 
 
-def schema_problems(df: DataFrame, reference: DataFrame, required: list[str]) -> list[str]:
-    """What is wrong with df's columns: required ones that are absent, their number, their order, their types; read from the schemas alone."""
-    own, want = dict(df.dtypes), dict(reference.dtypes)
+def schema_problems(df: DataFrame | StructType, reference: DataFrame | StructType, required: list[str]) -> list[str]:
+    """What is wrong with the columns of a table or schema: required ones that are absent, their number, their order, their types; read from the schemas alone."""
+    df, reference = (t if isinstance(t, StructType) else t.schema for t in (df, reference))
+    own, want = ({f.name: f.dataType.simpleString() for f in t.fields} for t in (df, reference))
     out = [f"absent: {c}" for c in required if c not in own]
     if len(own) != len(want):
         out.append(f"columns: {len(own)}, not {len(want)}")
-    common = [c for c in df.columns if c in want]
-    if common != [c for c in reference.columns if c in own]:
+    common = [c for c in df.names if c in want]
+    if common != [c for c in reference.names if c in own]:
         out.append("order")
     return out + [f"type of {c}: {own[c]}, not {want[c]}" for c in common if own[c] != want[c]]
 

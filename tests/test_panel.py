@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import avg_rank, inv_norm
-from tessera.operators import attribution, cross, factors, fundamentals, metrics, overlay, portfolio, scorers, selection
+from tessera.operators import attribution, cross, factors, fundamentals, metrics, overlay, portfolio, scorers, selection, trials
 from tessera.sources import ingest
 from tessera.sources.tables import clean
 from tessera.streaming import feeds
@@ -95,18 +95,73 @@ def test_scheme_b1_residual_is_least_squares(spark):
     assert all(got[r[2]] is None for r in rows if r[3] is None)
 
 
-def test_scheme_g_removes_components(spark):
-    rows, df = cells(spark, 60)
+def normal_scores(values):
+    """Inverse normal of (average rank - 0.5) / n; missing values 0."""
+    known = sorted(v for v in values if v is not None)
+    rank = lambda v: (known.index(v) + 1 + len(known) - known[::-1].index(v)) / 2
+    return np.array([0.0 if v is None else statistics.NormalDist().inv_cdf((rank(v) - 0.5) / len(known)) for v in values])
+
+
+def test_scheme_f_is_least_squares_on_styles(spark):
+    rng = np.random.default_rng(4)
+    n = 90
+    opt = lambda x, k: None if k % 11 == 3 else round(float(x), 3)
+    rows = [(1, i, float(np.exp(rng.normal(5, 1))), f"ind{i % 3}" if i % 13 else None, opt(rng.normal(), i), opt(rng.normal() ** 2, i + 1), opt(rng.normal(), i + 2)) for i in range(n)]
+    exposures = spark.createDataFrame(rows, "month_idx int, entity int, market_cap double, industry string, momentum_20d double, beta_60d double, other double")
+    assert cross.style_columns(exposures.columns) == ["momentum_20d", "beta_60d"]
+    got = {(r.factor, r.entity): r for r in cross.neutralize(cross.long_form(exposures, ["other", "beta_60d"], ["month_idx", "entity"]), "f", exposures).collect()}
+    assert {k[0] for k in got} == {"other", "momentum_20d", "beta_60d"} and len(got) == 3 * n
+    y = {"momentum_20d": normal_scores([r[4] for r in rows]), "beta_60d": normal_scores([r[5] for r in rows]), "other": normal_scores([r[6] for r in rows])}
+    ind = [r[3] or "ind0" for r in rows]
+    x = np.column_stack([np.ones(n), np.log([r[2] for r in rows]), *[[float(k == f"ind{j}") for k in ind] for j in (1, 2)], y["momentum_20d"], y["beta_60d"]])
+    for factor, at in (("other", 6), ("momentum_20d", 4), ("beta_60d", 5)):
+        e = y[factor] - x @ np.linalg.lstsq(x, y[factor], rcond=1e-5)[0]
+        assert all((got[factor, r[1]].e is None) if r[at] is None else abs(got[factor, r[1]].e - e[r[1]]) < 1e-8 for r in rows)
+    assert all(r.z in (0.0, None) for k, r in got.items() if k[0] != "other")  # a style explains itself
+
+
+@pytest.mark.parametrize("alignment", ["drop", "impute"])
+def test_scheme_g_is_least_squares_on_components(spark, alignment):
     rng = np.random.default_rng(1)
-    m = rng.normal(size=(60, 6))
-    returns = spark.createDataFrame([(1, i, m[i].tolist()) for i in range(60)], "month_idx int, entity int, returns array<double>")
-    got = {r.entity: r.e for r in cross.neutralize(df, "g", returns, 3).collect()}
-    c = m - m.mean(0)
-    scores = c @ np.linalg.svd(c, full_matrices=False)[2][:3].T
-    x = np.column_stack([np.ones(60), scores])
-    y = np.array([r[3] or 0.0 for r in rows])
-    e = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-    assert max(abs(e[r[2]] - got[r[2]]) for r in rows if r[3] is not None) < 1e-8
+    n, places = 60, 8
+    m = rng.normal(size=(n, places)) * np.linspace(3, 0.5, places)
+    vectors = [(mon, i, [None if (i, k) in ((5, 2), (9, 0)) else float(m[i, k] * mon) for k in range(places)]) for mon in (1, 2) for i in range(n - 2)]
+    rows = [(mon, "f", i, None if i % 9 == 0 else float(rng.normal())) for mon in (1, 2) for i in range(n)]
+    df = spark.createDataFrame(rows, "month_idx int, factor string, entity int, y double")
+    returns = spark.createDataFrame(vectors, "month_idx int, entity int, returns array<double>")
+    got = {(r.month_idx, r.entity): r for r in cross.neutralize(df, "g", returns, 3, alignment, places).collect()}
+    assert len(got) == 2 * n
+    for mon in (1, 2):
+        y = normal_scores([r[3] for r in rows if r[0] == mon])
+        r = np.full((n, places), np.nan)
+        for mo, i, v in vectors:
+            if mo == mon:
+                r[i] = [np.nan if x is None else x for x in v]
+        if alignment == "impute":
+            r = np.where(np.isnan(r), np.nanmedian(r, axis=0), r)
+        known = ~np.isnan(r).any(1)
+        c = r[known] - r[known].mean(0)
+        u, s, _ = np.linalg.svd(c, full_matrices=False)
+        x = np.column_stack([np.ones(known.sum()), u[:, :3] * s[:3]])
+        e = np.full(n, np.nan)
+        e[known] = y[known] - x @ np.linalg.lstsq(x, y[known], rcond=1e-5)[0]
+        for i in range(n):
+            assert (got[mon, i].e is None) if not known[i] or i % 9 == 0 else abs(got[mon, i].e - e[i]) < 1e-8
+        assert known.sum() == (n if alignment == "impute" else n - 4)
+
+
+def test_order_statistics_by_histograms(spark, monkeypatch):
+    monkeypatch.setattr(trials, "BINS", 4)
+    rng = np.random.default_rng(8)
+    values = [float(v) for v in np.round(rng.normal(size=200) ** 3, 1)] + [1e12, -998.0, 3.5, 3.5, 3.5]
+    rows = [(int(i), "COMPLETE", v, {"a": "1"}, {}) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "number bigint, state string, value double, params map<string,string>, attrs map<string,double>").repartition(3)
+    for k in (1, 7, 100, 205):
+        assert trials.kth(df, "value", k) == sorted(values)[k - 1]
+    for ascending in (True, False):
+        order = sorted(range(len(values)), key=lambda i: (values[i] if ascending else -values[i], i))
+        assert sorted(r.number for r in trials.best_share(df, 0.3, ascending).collect()) == sorted(order[:61])
+    assert trials.best_share(df.limit(0), 0.3).collect() == [] and trials.convergence(df.limit(0)).collect() == []
 
 
 def test_unknown_scheme_and_missing_style(spark):
@@ -114,7 +169,9 @@ def test_unknown_scheme_and_missing_style(spark):
     with pytest.raises(ValueError):
         cross.neutralize(df, "zz")
     with pytest.raises(ValueError):
-        cross.neutralize_f(df, ["absent"])
+        cross.neutralize_f(df, df, ["absent"])
+    with pytest.raises(ValueError):
+        cross.neutralize_f(df, df)
 
 
 def test_five_factor_is_ridge(spark):
@@ -190,15 +247,6 @@ def test_scorer_covers_every_window(spark, monkeypatch):
     assert {(r.window_id, r.month_idx) for r in got} == {(0, 3), (1, 4), (2, 5)}
 
 
-def test_scheme_g_keeps_rows_without_returns(spark):
-    rng = np.random.default_rng(3)
-    df = spark.createDataFrame([(1, "f", i, float(rng.normal()), 100.0 + i, "a") for i in range(30)], "month_idx int, factor string, entity int, y double, market_cap double, industry string")
-    vectors = [(1, i, [None if i == 28 and k == 2 else float(rng.normal()) for k in range(6)]) for i in range(29)]
-    got = {r.entity: r for r in cross.neutralize(df, "g", spark.createDataFrame(vectors, "month_idx int, entity int, returns array<double>"), 3).collect()}
-    assert sorted(got) == list(range(30))
-    assert [i for i in got if got[i].e is None or got[i].z is None] in ([28, 29], [29, 28]) and got[28].y is not None
-
-
 def test_month_ends_agree_with_every_bar(spark):
     df = bars(spark, [10 + math.sin(i) + i / 50 for i in range(150)])
     for name in ("risk", "alpha", "composite"):
