@@ -20,7 +20,8 @@ def industry_universe(df: DataFrame) -> DataFrame:
 def brinson(holdings: DataFrame, universe: DataFrame) -> DataFrame:
     """Allocation, selection and interaction of every industry held; the benchmark is the universe, equally weighted.
 
-    Cash has no selection and no interaction, and its missing returns are 0.
+    Cash has no selection and no interaction, and its missing returns are 0. In a month that the universe lacks, the
+    industries held share the benchmark's weight evenly.
     """
     cash = F.upper("industry").isin(*CASH)
     ret = F.when(cash, F.coalesce("target", F.lit(0.0))).otherwise(F.col("target"))
@@ -28,7 +29,9 @@ def brinson(holdings: DataFrame, universe: DataFrame) -> DataFrame:
     by_industry = universe.filter("target is not null").groupBy("month_idx", "industry").agg(F.avg("target").alias("r_benchmark"))
     market = universe.filter("target is not null").groupBy("month_idx").agg(F.avg("target").alias("r_market"))
     df = held.join(industry_universe(universe), ["month_idx", "industry"], "left").join(by_industry, ["month_idx", "industry"], "left").join(market, "month_idx", "left")
-    df = df.fillna(0.0, ["w_benchmark", "r_benchmark", "r_market"])
+    known = universe.select("month_idx").distinct().withColumn("_known", F.lit(True))
+    even = F.when(F.col("_known").isNull(), 1 / F.count("*").over(W.partitionBy("series", "month_idx"))).otherwise(0.0)
+    df = df.join(known, "month_idx", "left").withColumn("w_benchmark", F.coalesce("w_benchmark", even)).drop("_known").fillna(0.0, ["r_benchmark", "r_market"])
     over, better = F.col("w_port") - F.col("w_benchmark"), F.col("r_port") - F.col("r_benchmark")
     return df.withColumns({
         "allocation": over * (F.col("r_benchmark") - F.col("r_market")),

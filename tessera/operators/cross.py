@@ -12,7 +12,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -345,6 +345,12 @@ def icir(ics: DataFrame) -> DataFrame:
     return ics.groupBy("factor").agg(F.avg("ic").alias("mean_ic"), s.alias("std_ic"), F.when(s < 1e-4, 0.0).otherwise(clip(F.avg("ic") / s, -5.0, 5.0)).alias("icir"))
 
 
+def earnings_on_book(roe: Column | str, revenue_growth: Column | str) -> Column:
+    """Next year's earnings over book value: the return on equity, grown with revenue, both in per cent."""
+    roe, growth = (F.col(c) if isinstance(c, str) else c for c in (roe, revenue_growth))
+    return roe / 100 * (1 + growth / 100)
+
+
 def misvaluation(df: DataFrame) -> DataFrame:
     """(g0 + g1 x) / pb - 1 within +-5 from the month's regression of pb on x; months with under 30 usable rows or no spread of x give NULL."""
     ok = (F.col("pb") > 0) & (F.abs("x") < 10)

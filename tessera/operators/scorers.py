@@ -1,4 +1,4 @@
-"""Trained scorers on rolling windows, and trials over a grid of their parameters."""
+"""Trained scorers on rolling windows."""
 
 from __future__ import annotations
 
@@ -41,13 +41,3 @@ def train_windows(df: DataFrame, windows: DataFrame, features: list[str], parall
 def importance(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(model.featureImportances[i])) for i, f in enumerate(features)], "feature string, importance double")
 
-
-def run_trials(df: DataFrame, features: list[str], grid: list[dict], label: str = "label_rank") -> DataFrame:
-    """Mean absolute error on the validation rows for each set of parameters; a driver loop over jobs, as trials are few."""
-    out = None
-    for i, params in enumerate(grid):
-        moved = df.filter("split <> 'test'").withColumn("split", F.when(F.col("split") == "valid", "test").otherwise("train"))
-        part = moved.withColumn("split", F.when((F.col("split") == "train") & (F.col("month_idx") % 5 == 0), "valid").otherwise(F.col("split")))
-        one = train_and_score(part, features, label, **params).agg(F.avg(F.abs(F.col("score") - F.col(label))).alias("value")).select(F.lit(i).alias("number"), "value")
-        out = one if out is None else out.unionByName(one)
-    return out

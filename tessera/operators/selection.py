@@ -87,11 +87,12 @@ def with_cash(done: DataFrame, rf_annual: float = 0.025) -> DataFrame:
 
 
 def holdings_view(holdings: DataFrame, done: DataFrame) -> DataFrame:
-    """Holdings with their contribution, weight times return, and what the overlay did and why."""
+    """Holdings with their contribution (the given one, else weight times return), and what the overlay did and why."""
     reason = F.format_string("%s: timing %.4f", "label", F.round("timing", 4))
     actions = done.select("entity", F.col("seq").alias("month_idx"), F.col("label").alias("action"), reason.alias("reason"))
     df = holdings.join(actions, ["entity", "month_idx"], "left")
-    return df.withColumns({"contribution": F.col("weight") * F.col("target"), "action": F.coalesce("action", F.lit("HOLD"))})
+    made = F.col("weight") * F.col("target")
+    return df.withColumns({"contribution": F.coalesce("contribution", made) if "contribution" in holdings.columns else made, "action": F.coalesce("action", F.lit("HOLD"))})
 
 
 def validation_extras(monthly: DataFrame, rf: float = 0.0025) -> DataFrame:

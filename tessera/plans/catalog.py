@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import align, cross, factors, fundamentals, live, reports, selection, storage, strategy, tuning
+from . import align, cross, factors, fundamentals, live, reports, selection, storage, strategy, tuning, validation
 
-_MODULES = (factors, fundamentals, cross, strategy, reports, live, align, selection, tuning, storage)
+_MODULES = (factors, fundamentals, cross, strategy, reports, live, align, selection, tuning, storage, validation)
 
 
 def queries() -> dict:

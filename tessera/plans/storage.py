@@ -41,8 +41,8 @@ def _validated(s, d) -> DataFrame:
     """Months of the panel against themselves with faults by month: gone, new, another key, a column fewer, a narrower type, only another order."""
     df = panel(s, d).select("entity", "month_idx", "close", "f_qty", "market_cap")
     at, m = scratch(s), F.col("month_idx") % 7
-    df.filter(m != 1).write.partitionBy("month_idx").parquet(f"{at}/reference")
-    changed = df.filter(m != 0).withColumn("entity", F.when((m == 2) & (F.col("entity") % 50 == 3), -F.col("entity")).otherwise(F.col("entity")))
+    df.filter(m != 1).repartition("month_idx").write.partitionBy("month_idx").parquet(f"{at}/reference")
+    changed = df.filter(m != 0).repartition("month_idx").withColumn("entity", F.when((m == 2) & (F.col("entity") % 50 == 3), -F.col("entity")).otherwise(F.col("entity")))
     changed.filter(m < 3).write.partitionBy("month_idx").parquet(f"{at}/plain")
     changed.filter(m == 3).drop("market_cap").write.partitionBy("month_idx").parquet(f"{at}/short")
     changed.filter(m == 4).withColumn("f_qty", F.col("f_qty").cast("float")).write.partitionBy("month_idx").parquet(f"{at}/narrow")

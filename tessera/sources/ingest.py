@@ -25,9 +25,10 @@ def report_period(date: Column) -> Column:
     return F.when(m <= 3, F.format_string("%04d1231", y - 1)).when(m <= 6, F.format_string("%04d0331", y)).when(m <= 9, F.format_string("%04d0630", y)).otherwise(F.format_string("%04d0930", y))
 
 
-def universe_rules(low_days: int, turnover: tuple[float, float], cap: tuple[float, float], least_price: float) -> dict[str, Column]:
-    """Rules of the universe; a missing number fails its rule, a missing name passes."""
-    return {
+def universe_rules(low_days: int, turnover: tuple[float, float], cap: tuple[float, float], least_price: float, most_suspended: int | None = None) -> dict[str, Column]:
+    """Rules of the universe; a missing number fails its rule, a missing name passes. most_suspended adds the rule on suspend_days."""
+    suspended = {} if most_suspended is None else {"suspended": F.col("suspend_days") <= most_suspended}
+    return suspended | {
         "name": F.coalesce(~F.col("name").rlike("ST|PT"), F.lit(True)), "days_listed": F.col("days_listed") >= low_days,
         "turnover": F.col("turnover").between(*turnover), "market_cap": F.col("market_cap").between(*cap), "price": F.col("close") >= least_price,
     }

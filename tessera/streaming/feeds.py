@@ -6,9 +6,9 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.operators.overlay import BAND, THRESHOLD
@@ -21,6 +21,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/tessera-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a scratch folder: its lineage ends there."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def event_stream(spark: SparkSession, sf_dir: str, watermark: str = "2 hours") -> DataFrame:
     """The events table as a stream of files, with a watermark on ts."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -57,39 +64,104 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_updates(bars, ["user_id", "start"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-_STATE = "seq int, sign int, ats double, sold boolean"
 _OUT = "entity bigint, seq int, ts double, ei double, sign int, ats double, timing double, sold boolean, label string"
-
-
-def overlay_state(rows: DataFrame, threshold: float = THRESHOLD, band: float = BAND) -> DataFrame:
-    """The overlay on a stream of (entity, seq, ts, ei) whose months arrive in order: one state an entity, kept between batches."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, sign, ats, sold = state.get if state.exists else (-9, 0, 0.0, False)
-        out = []
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            kept = seq == row.seq - 1
-            new = not kept or sold
-            crossed = row.ei < -band if sign > 0 else row.ei > band
-            label_again = kept and sold
-            if new:
-                sign, ats = (1 if row.ei >= 0 else -1), row.ts
-            elif crossed:
-                sign, ats = -sign, row.ts
-            seq, sold = int(row.seq), bool(ats - row.ei < threshold)
-            out.append((key[0], seq, row.ts, row.ei, sign, ats, ats - row.ei, sold, "SELL" if sold else "REENTER" if label_again else "HOLD"))
-        state.update((seq, sign, float(ats), sold))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")])
-
-    return rows.groupBy("entity").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_overlay(spark: SparkSession, holdings: DataFrame) -> DataFrame:
-    """The overlay over holdings that arrive as files; the result equals the batch fold."""
-    folder = f"{scratch(spark)}/holdings"
-    holdings.select("entity", "seq", "ts", "ei").write.parquet(folder)
-    stream = spark.readStream.schema("entity bigint, seq int, ts double, ei double").parquet(folder)
-    return run_once(overlay_state(stream), "append")
+#: What is kept of an entity: the last month that was folded, and the months that wait for the watermark.
+_STATE = "seq int, sign int, ats double, sold boolean, waiting array<struct<seq: int, ts: double, ei: double>>"
+#: Milliseconds that a month number stands for in event time.
+_MONTH = 1000
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Overlay(StatefulProcessor):
+    """The overlay of one entity as typed state that timers on event time move on and end.
+
+    A month waits until the watermark has passed it, so months may come late, in any order, within the delay; what comes
+    after that is left out. Then the months that are due are folded in order. A month that stays absent makes the next one
+    new, so two months after the last one the state has no effect any more, and a timer clears it.
+    """
+
+    def __init__(self, threshold: float = THRESHOLD, band: float = BAND):
+        self.threshold, self.band = threshold, band
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("overlay", _STATE)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
+        r = initialState.iloc[0]
+        self.state.update((int(r.seq), int(r.sign), float(r.ats), bool(r.sold), []))
+        self.handle.registerTimer((int(r.seq) + 2) * _MONTH)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seq, *rest, waiting = self._kept()
+        for part in rows:
+            waiting += [(int(a), float(b), float(c)) for a, b, c in zip(part["seq"], part["ts"], part["ei"]) if a > seq]
+        yield self._fold(key, (seq, *rest), waiting, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        seq, *rest, waiting = self._kept()
+        now = timerValues.getCurrentWatermarkInMs()
+        if not waiting and (seq + 2) * _MONTH <= now:
+            self.state.clear()
+            yield pd.DataFrame(columns=_NAMES)
+        else:
+            yield self._fold(key, (seq, *rest), waiting, now)
+
+    def close(self) -> None:
+        pass
+
+    def _kept(self) -> tuple:
+        if not self.state.exists():
+            return -9, 0, 0.0, False, []
+        seq, sign, ats, sold, waiting = self.state.get()
+        return seq, sign, ats, sold, [tuple(w) for w in waiting or []]
+
+    def _fold(self, key: tuple, last: tuple, waiting: list[tuple], watermark: int) -> pd.DataFrame:
+        seq, sign, ats, sold = last
+        due, out = sorted(w for w in waiting if w[0] * _MONTH <= watermark), []
+        for month, ts, ei in due:
+            kept, again = seq == month - 1, sold
+            if not kept or sold:
+                sign, ats = (1 if ei >= 0 else -1), ts
+            elif ei < -self.band if sign > 0 else ei > self.band:
+                sign, ats = -sign, ts
+            seq, sold = month, ats - ei < self.threshold
+            out.append((key[0], seq, ts, ei, sign, ats, ats - ei, sold, "SELL" if sold else "REENTER" if kept and again else "HOLD"))
+        left = [w for w in waiting if w[0] * _MONTH > watermark]
+        self.state.update((seq, sign, float(ats), bool(sold), left))
+        self.handle.registerTimer(min(w[0] for w in left) * _MONTH if left else (seq + 2) * _MONTH)
+        return pd.DataFrame(out, columns=_NAMES)
+
+
+_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+
+
+def overlay_state(rows: DataFrame, late: int = 2, initial: DataFrame | None = None, **options) -> DataFrame:
+    """The overlay on a stream of (entity, seq, ts, ei) whose months may come `late` months behind the newest; initial: the state (entity, seq, sign, ats, sold) to go on from. It needs the RocksDB state store."""
+    timed = rows.withColumn("at", F.timestamp_millis(F.col("seq").cast("long") * _MONTH)).withWatermark("at", f"{late} seconds")
+    start = None if initial is None else initial.groupBy("entity")
+    return timed.groupBy("entity").transformWithStateInPandas(Overlay(**options), _OUT, "append", "EventTime", start)
+
+
+def stream_overlay(spark: SparkSession, holdings: DataFrame, parts: list[Column] | None = None, late: int = 2, initial: DataFrame | None = None) -> DataFrame:
+    """The overlay over holdings that arrive as files, a delivery for each condition of parts (None: all at once); the result equals the batch fold.
+
+    After the last delivery a row of no entity moves the watermark past all months.
+    """
+    folder, out = f"{scratch(spark)}/holdings", scratch(spark)
+    schema = "entity bigint, seq int, ts double, ei double"
+    rows = holdings.select(F.col("entity").cast("bigint").alias("entity"), F.col("seq").cast("int").alias("seq"), "ts", "ei")
+    end = (rows.agg(F.max("seq")).first()[0] or 0) + late + 3
+    closing = spark.createDataFrame([(None, end, 0.0, 0.0)], schema)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    try:
+        for delivery in [*(rows.filter(p) for p in parts or [F.lit(True)]), closing]:
+            delivery.write.mode("append").parquet(folder)
+            stream = overlay_state(spark.readStream.schema(schema).parquet(folder), late, initial)
+            stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).format("parquet").option("path", f"{out}/rows").start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(_OUT).parquet(f"{out}/rows").filter("entity is not null")
 
 
 def rounded_overlay(df: DataFrame) -> DataFrame:

@@ -199,11 +199,16 @@ def test_overlay_rules(spark):
 
 
 def test_overlay_stream_equals_batch(spark):
+    """In three deliveries, some months late, some absent; then on from a given state."""
     rng = np.random.default_rng(5)
     df = holdings(spark, [(i, m, float(rng.uniform(-1, 1)), float(rng.uniform(-1, 1))) for i in range(6) for m in range(1, 9) if (i + m) % 5])
-    a = feeds.rounded_overlay(overlay.run(df)).collect()
-    b = feeds.rounded_overlay(feeds.stream_overlay(spark, df)).collect()
-    assert sorted(a) == sorted(b)
+    want = sorted(feeds.rounded_overlay(overlay.run(df)).collect())
+    late = (F.col("seq") == 4) & (F.col("entity") % 2 == 0)
+    parts = [(F.col("seq") <= 5) & ~late, late | F.col("seq").between(6, 7), F.col("seq") > 7]
+    assert sorted(feeds.rounded_overlay(feeds.stream_overlay(spark, df, parts)).collect()) == want
+    state = overlay.run(df.filter("seq <= 4")).filter("seq = 4").select("entity", "seq", "sign", "ats", "sold")
+    got = feeds.stream_overlay(spark, df.filter("seq > 4"), initial=state)
+    assert sorted(feeds.rounded_overlay(got).collect()) == [r for r in want if r.seq > 4]
 
 
 def test_too_few_months(spark):
