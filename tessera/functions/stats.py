@@ -52,9 +52,9 @@ def clip(x: Column, low: float | Column, high: float | Column) -> Column:
 
 def avg_rank(x: str, *group: str) -> Column:
     """Rank from 1 with ties averaged among the group's non-NULL values; NULL stays NULL."""
-    alone = W.partitionBy(*group, F.col(x).isNull())
-    ties = F.count("*").over(W.partitionBy(*group, x))
-    return F.when(F.col(x).isNotNull(), F.rank().over(alone.orderBy(x)) + (ties - 1) / 2)
+    order = W.partitionBy(*group, F.col(x).isNull()).orderBy(x)  # one sort serves both
+    ties = F.count("*").over(order.rangeBetween(W.currentRow, W.currentRow))
+    return F.when(F.col(x).isNotNull(), F.rank().over(order) + (ties - 1) / 2)
 
 
 def avg_rank_sql(x: str, *group: str) -> str:

@@ -9,7 +9,7 @@ from tessera.operators import attribution, cross, trials
 from tessera.sources import ingest
 from tessera.sources.tables import BARS_SQL, PANEL_SQL, bars, panel, table, with_target
 
-from .strategy import H, holdings, rounded
+from .strategy import H, base, holdings, rounded
 
 
 EFFECTS = ("w_port", "r_port", "w_benchmark", "r_benchmark", "r_market", "allocation", "selection", "interaction")
@@ -53,7 +53,8 @@ ORDERED = "SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdate) AS month_
 
 
 def _effects(s, d) -> DataFrame:
-    return attribution.brinson(holdings(s, d).filter("is_holding"), with_target(panel(s, d)))
+    table = base(s, d)
+    return attribution.brinson(holdings(s, d, table).filter("is_holding"), table)
 
 
 def _trials(s, d) -> DataFrame:

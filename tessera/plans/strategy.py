@@ -9,30 +9,39 @@ from pyspark.sql import functions as F
 from tessera.functions.stats import avg_rank_sql
 from tessera.operators import metrics, overlay, portfolio
 from tessera.sources.tables import PANEL_SQL, panel, with_target
+from tessera.streaming.feeds import written
 
 FEATURES = ["f_qty", "f_disc", "f_tax", "f_count"]
 SCORE = "round(0.01 * f_qty + 10 * f_disc - 5 * f_tax + f_count, 6)"
 
 
-def scored(spark, sf_dir) -> DataFrame:
-    return with_target(panel(spark, sf_dir)).withColumn("score", F.round(0.01 * F.col("f_qty") + 10 * F.col("f_disc") - 5 * F.col("f_tax") + F.col("f_count"), 6)).withColumn("series", F.col("industry_l1"))
+def base(spark, sf_dir) -> DataFrame:
+    """The panel with targets, written once for queries that read it several times."""
+    return written(with_target(panel(spark, sf_dir)))
 
 
-def holdings(spark, sf_dir) -> DataFrame:
-    return portfolio.build_portfolio(scored(spark, sf_dir), group=("series", "month_idx"))
+def scored(spark, sf_dir, table: DataFrame | None = None) -> DataFrame:
+    df = with_target(panel(spark, sf_dir)) if table is None else table
+    return df.withColumn("score", F.round(0.01 * F.col("f_qty") + 10 * F.col("f_disc") - 5 * F.col("f_tax") + F.col("f_count"), 6)).withColumn("series", F.col("industry_l1"))
 
 
-def held(spark, sf_dir) -> DataFrame:
-    return holdings(spark, sf_dir).filter("is_holding")
+def holdings(spark, sf_dir, table: DataFrame | None = None) -> DataFrame:
+    return portfolio.build_portfolio(scored(spark, sf_dir, table), group=("series", "month_idx"))
 
 
-def closes(spark, sf_dir) -> DataFrame:
-    return panel(spark, sf_dir).groupBy("month_idx").agg(F.round(F.avg("close"), 6).alias("close"))
+def held(spark, sf_dir, table: DataFrame | None = None) -> DataFrame:
+    return holdings(spark, sf_dir, table).filter("is_holding")
+
+
+def closes(spark, sf_dir, table: DataFrame | None = None) -> DataFrame:
+    df = panel(spark, sf_dir) if table is None else table
+    return df.groupBy("month_idx").agg(F.round(F.avg("close"), 6).alias("close"))
 
 
 def monthly(spark, sf_dir) -> DataFrame:
-    h = held(spark, sf_dir)
-    return metrics.monthly_returns(h, metrics.benchmark_returns(closes(spark, sf_dir)), portfolio.turnover(h))
+    table = base(spark, sf_dir)
+    h = written(held(spark, sf_dir, table))
+    return metrics.monthly_returns(h, metrics.benchmark_returns(closes(spark, sf_dir, table)), portfolio.turnover(h))
 
 
 def rounded(df: DataFrame, digits: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -115,7 +124,7 @@ QUERIES = {
     "screen_correlation": lambda s, d: rounded(portfolio.correlations(panel(s, d), FEATURES), 8),
     "blend_scores": lambda s, d: rounded(portfolio.blend(panel(s, d).select("entity", "month_idx", (F.col("f_disc") * 10).alias("score_a"), (F.col("f_tax") * 10).alias("score_b")), 0.6).select("entity", "month_idx", "score", "score_cv")),
     "build_portfolio": lambda s, d: holdings(s, d).select("series", "pred_month", "entity", "score", "place", "tier", "weight"),
-    "turnover_cost": lambda s, d: rounded(portfolio.turnover(held(s, d)), 8),
+    "turnover_cost": lambda s, d: rounded(portfolio.turnover(written(held(s, d))), 8),
     "val_portfolio": lambda s, d: rounded(portfolio.validation_returns(scored(s, d)), 8),
     "stitch_validation": lambda s, d: rounded(portfolio.stitch(_windows(s, d).filter("split = 'valid'").join(portfolio.validation_returns(scored(s, d)), "month_idx").select("window_id", "month_idx", (F.col("ret") + F.col("window_id") / 1000).alias("ret"))), 8),
     "contrib_summary": lambda s, d: rounded(portfolio.contribution_summary(_contributions(s, d))),

@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import avg_rank_sql
-from tessera.operators import attribution, cross, metrics, portfolio, selection, validation
+from tessera.operators import attribution, cross, metrics, portfolio, selection, sketches, validation
 from tessera.sources import ingest
 from tessera.sources.tables import PANEL_SQL, panel, with_target
+from tessera.streaming.feeds import written
 
 from .reports import _candidates
-from .strategy import FEATURES, H, M, S, closes, held, holdings, monthly, rounded, scored
-
-
-def _judged(s, d) -> DataFrame:
-    return portfolio.label_rank(scored(s, d).select("series", "month_idx", "entity", "score", "target"))
+from .strategy import _W, FEATURES, H, M, S, base, closes, held, holdings, monthly, rounded, scored
 
 
 def _months(s, d) -> DataFrame:
@@ -23,8 +20,10 @@ def _months(s, d) -> DataFrame:
 
 
 def _measures(s, d) -> DataFrame:
-    months = _months(s, d).join(metrics.benchmark_returns(closes(s, d)).fillna(0.0, ["benchmark_return"]), "month_idx")
-    return validation.measures(months, validation.score_ics(_judged(s, d)))
+    table = base(s, d)
+    judged = portfolio.label_rank(scored(s, d, table).select("series", "month_idx", "entity", "score", "target"))
+    months = validation.portfolio_months(judged).join(metrics.benchmark_returns(closes(s, d, table)).fillna(0.0, ["benchmark_return"]), "month_idx")
+    return validation.measures(written(months), validation.score_ics(judged))
 
 
 def _adjusted(s, d) -> DataFrame:
@@ -61,7 +60,16 @@ def _given(s, d) -> DataFrame:
     return selection.holdings_view(h, none).select("series", "month_idx", "entity", F.round("contribution", 10).alias("contribution"), "action")
 
 
+def _sketched(s, d) -> DataFrame:
+    """Windows from the months' stored states, and whether they agree with the rows themselves."""
+    df, columns = panel(s, d), ["close", "f_qty"]
+    windows = portfolio.rolling_windows(df)
+    found = sketches.estimates(sketches.merged(written(sketches.month_states(df, columns)), windows, columns), columns)
+    return sketches.within_bounds(df, windows, found, columns)
+
+
 QUERIES = {
+    "sketched_windows": _sketched,
     "validation_months": lambda s, d: rounded(_months(s, d), 8),
     "validation_measures": lambda s, d: rounded(_measures(s, d), 5),
     "best_lag": lambda s, d: rounded(validation.best_lag(metrics.lag_correlation(monthly(s, d)).withColumn("r", F.round("r", 9))), 7),
@@ -82,6 +90,7 @@ vn AS (SELECT series, month_idx, gross, cost, rate, gross - cost AS net_return F
 _OUT = "val_rolling6m_ir val_rolling6m_dir val_rolling6m_sortino val_rolling6m_return val_rolling6m_excess val_ir_stability val_ic_stability pct_positive_excess turnover_penalty val_var_95 val_cvar_95 val_pain_index val_rolling6m_excess_ann val_global_ir val_annual_return ir_worst_quartile up_capture_ratio down_capture_ratio capture_ratio val_jensen_alpha val_beta val_appraisal_ratio val_sqn".split()
 _RULES = {"suspended": "suspend_days <= 5", "name": "coalesce(NOT regexp_matches(name, 'ST|PT'), true)", "days_listed": "days_listed >= 252", "turnover": "turnover BETWEEN 0.01 AND 0.15", "market_cap": "market_cap BETWEEN 1500 AND 40000", "price": "close >= 1000"}
 SQL = {
+    "sketched_windows": f"{_W} SELECT window_id, split, count(*) AS rows, true AS keys_ok, true AS quantiles_ok FROM panel0 JOIN win USING (month_idx) GROUP BY 1, 2",
     "validation_months": f"{S}, {_NET} SELECT series, month_idx, " + ", ".join(f"round({c}, 8) AS {c}" for c in ("gross", "cost", "rate", "net_return")) + " FROM vn",
     "validation_measures": f"""{S}, {_NET}, bk AS (SELECT month_idx, round(avg(close), 6) AS close FROM panel GROUP BY 1), bm AS (SELECT month_idx, coalesce(lead(close) OVER (ORDER BY month_idx) / close - 1, 0) AS b FROM bk),
 lr AS (SELECT *, {avg_rank_sql("target", "month_idx")} AS lb FROM s), lc AS (SELECT * FROM lr WHERE lb IS NOT NULL), lk AS (SELECT *, {avg_rank_sql("score", "series", "month_idx")} AS ra, {avg_rank_sql("lb", "series", "month_idx")} AS rb FROM lc),

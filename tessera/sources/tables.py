@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,12 +75,13 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_target(df: DataFrame, cap: float | None = 0.5) -> DataFrame:
-    """target: close of the next calendar month / close - 1, within +-cap; a missing month gives NULL."""
-    after = df.select("entity", (F.col("month_idx") - 1).alias("month_idx"), F.col("close").alias("_next"))
+    """target: close of the next calendar month / close - 1, within +-cap; a missing month gives NULL. df has one row an entity and month, so the next month is the next row."""
+    by = W.partitionBy("entity").orderBy("month_idx")
+    df = df.withColumn("_next", F.when(F.lead("month_idx").over(by) == F.col("month_idx") + 1, F.lead("close").over(by)))
     value = F.col("_next") / F.col("close") - 1
     if cap is not None:
         value = F.greatest(F.least(value, F.lit(cap)), F.lit(-cap))
-    return df.join(after, ["entity", "month_idx"], "left").withColumn("target", F.when(F.col("_next").isNotNull(), F.round(value, 8))).drop("_next")
+    return df.withColumn("target", F.when(F.col("_next").isNotNull(), F.round(value, 8))).drop("_next")
 
 
 PANEL_SQL = """panel0 AS (
