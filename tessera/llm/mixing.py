@@ -4,8 +4,10 @@ Every document of a source gets the whole copies that are certain, floor(target
 target is a fixed-size (in words) unequal-probability sample: documents are ranked by
 (u / (1 - u)) / (p / (1 - p)), u a hash of the id and p the inclusion probability, and the lowest ranks are taken
 up to the target. The cut is found from a histogram of ranks per source, so a hot source is never sorted in one task.
-What a source then lacks is closed by single further documents, FILLS times the one whose size comes nearest to the gap,
-as a few long documents would otherwise leave a small source off its target.
+What a source then lacks, as the prefix of ranks stops at a document that doesn't fit, is filled by up to FILLS further
+documents, none longer than what is lacking, so a fill never overshoots: of each class of sizes (CLASSES an octave) the
+first by rank are candidates, and the longest that still fits is taken, again and again. These few documents of a source are
+taken for their size first and their rank second; all others keep the odds of the Pareto order.
 
 Defined results: null texts have size 0; a null source is a source of its own and comes last; repeated rows count
 each; a source of size 0 has target 0 and takes nothing; an empty table gives an empty table; other columns of the
@@ -25,8 +27,8 @@ from .common import materialize, word_count
 BINS = 4096
 #: Up to so many sources their table is broadcast, beyond it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
-#: Documents that may close a source's gap after the cut.
-FILLS = 3
+#: Documents that may fill what a source lacks after the cut, and classes of sizes in an octave that candidates come from.
+FILLS, CLASSES = 3, 8
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -96,16 +98,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     edge = materialize(edge.filter("fits").groupBy(*key).agg(F.count("*").alias("extra"), F.sum("size").alias("words")).select(*key, "extra", "words"))
     gaps = per.filter("cut_bin is not null").join(small(edge.groupBy(F.col("source").alias("_s")).agg(F.sum("words").alias("taken"))), F.col("source").eqNullSafe(F.col("_s")), "left")
     gaps = gaps.select(F.col("source").alias("_gs"), (F.col("room") - F.coalesce("taken", F.lit(0))).alias("gap"))
-    for _ in range(FILLS):
-        spare = ranked(sized, per).filter("rank is not null and bin >= cut_bin and size > 0")
-        spare = spare.join(small(gaps), F.col("source").eqNullSafe(F.col("_gs"))).filter("size < 2 * gap")
-        spare = spare.groupBy(*key).agg(F.sum("size").alias("words"), F.count("*").alias("extra"), F.first("gap").alias("gap"))
-        spare = spare.join(edge.select(*[F.col(c).alias(f"_e_{c}") for c in key]), (F.col("doc_id").eqNullSafe(F.col("_e_doc_id"))) & F.col("source").eqNullSafe(F.col("_e_source")) & (F.col("text_hash") == F.col("_e_text_hash")), "left_anti")
-        nearest = F.struct(F.abs(F.col("words") - F.col("gap")).alias("off"), F.xxhash64("doc_id", F.lit(seed)).alias("mixed"), "doc_id", "text_hash", "extra", "words")
-        best = spare.filter("words < 2 * gap").groupBy("source").agg(F.min(nearest).alias("b")).select("source", "b.doc_id", "b.text_hash", "b.extra", "b.words")
-        best = materialize(best.select(*key, "extra", "words"))
-        edge = edge.unionByName(best)
-        gaps = materialize(gaps.join(small(best.select(F.col("source").alias("_s"), "words")), F.col("_gs").eqNullSafe(F.col("_s")), "left").select("_gs", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")))
+    spare = ranked(sized, per).filter("rank is not null and bin >= cut_bin and size > 0")
+    spare = spare.join(small(gaps), F.col("source").eqNullSafe(F.col("_gs"))).filter("size <= gap")
+    spare = spare.groupBy(*key).agg(F.sum("size").alias("words"), F.count("*").alias("extra"), F.first("rank").alias("rank"), F.first("gap").alias("gap")).filter("words <= gap")
+    spare = spare.join(edge.select(*[F.col(c).alias(f"_e_{c}") for c in key]), (F.col("doc_id").eqNullSafe(F.col("_e_doc_id"))) & F.col("source").eqNullSafe(F.col("_e_source")) & (F.col("text_hash") == F.col("_e_text_hash")), "left_anti")
+    # A bounded number of candidates a source: FILLS of each class of sizes.
+    first = F.row_number().over(W.partitionBy("source", F.floor(F.log2("words") * CLASSES)).orderBy("rank", "doc_id", "text_hash"))
+    spare = spare.withColumn("place", first).filter(F.col("place") <= FILLS)
+    item = F.struct((-F.col("words")).alias("less"), "rank", "doc_id", "text_hash", "extra", "words")
+    lists = spare.groupBy("source").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("gap").alias("gap"))
+    start = F.struct(F.col("gap").cast("long").alias("gap"), F.slice("items", 1, 0).alias("taken"))
+
+    def take(acc: Column, x: Column) -> Column:
+        fits = (x["words"] <= acc["gap"]) & (F.size(acc["taken"]) < FILLS)
+        return F.struct(F.when(fits, acc["gap"] - x["words"]).otherwise(acc["gap"]).cast("long").alias("gap"), F.when(fits, F.concat(acc["taken"], F.array(x))).otherwise(acc["taken"]).alias("taken"))
+
+    best = lists.select("source", F.explode(F.aggregate("items", start, take)["taken"]).alias("b")).select("source", "b.doc_id", "b.text_hash", "b.extra", "b.words")
+    edge = materialize(edge.unionByName(best.select(*key, "extra", "words")))
     edge = edge.select(*[F.col(c).alias(f"_e_{c}") for c in key], "extra")
 
     out = ranked(rows, per)
