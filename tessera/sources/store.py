@@ -95,11 +95,14 @@ def validate_dataset(spark: SparkSession, datasets: dict[str, str], references:
         """unit and keys of all units, a scan for each set of key types."""
         parts = [spark.createDataFrame([], ", ".join(["unit string", *[f"{k} string" for k in keys]]))]
         for types in {kind(want[u]) for u in able}:
-            some = {_bare(paths[u]): u for u in able if kind(want[u]) == types}
-            rows = spark.read.schema(StructType([StructField(k, t) for k, t in zip(keys, types, strict=True)])).parquet(*[paths[u] for u in some.values()])
+            some: dict[str, list[str]] = {}
+            for u in able:
+                if kind(want[u]) == types:
+                    some.setdefault(_bare(paths[u]), []).append(u)
+            rows = spark.read.schema(StructType([StructField(k, t) for k, t in zip(keys, types, strict=True)])).parquet(*[paths[us[0]] for us in some.values()])
             folder = F.regexp_replace(F.regexp_replace("_metadata.file_path", r"/[^/]*$", ""), _SCHEME, "")
-            names = F.create_map(*[F.lit(x) for pair in some.items() for x in pair])
-            parts.append(rows.select(names[folder].alias("unit"), *[F.col(k).cast("string").alias(k) for k in keys]))
+            names = F.create_map(*[x for path, us in some.items() for x in (F.lit(path), F.array(*map(F.lit, us)))])
+            parts.append(rows.select(F.explode(names[folder]).alias("unit"), *[F.col(k).cast("string").alias(k) for k in keys]))
         return reduce(DataFrame.unionByName, parts)
 
     mine, theirs = joined(datasets), joined(references)

@@ -24,16 +24,15 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def read_panel(spark: SparkSession, path: str, months: list[str] | None = None, last_n: int | None = None, columns: list[str] | None = None, month_column: str = "month") -> DataFrame:
-    """A panel partitioned by month: only the wanted months (a partition filter) and columns, cleaned."""
+    """A panel partitioned by month: only the wanted months (a partition filter) and columns, cleaned. Months are text, whatever their folders look like."""
     df = spark.read.parquet(path)
     if months is not None:
         df = df.filter(F.col(month_column).isin(*months))
     if last_n is not None:  # the distinct months are a small table
         recent = df.select(month_column).distinct().orderBy(F.desc(month_column)).limit(last_n)
         df = df.join(F.broadcast(recent), month_column, "left_semi")
-    if columns is not None:
-        df = df.select(*columns)
-    return clean(df)
+    df = df.withColumn(month_column, F.col(month_column).cast("string"))
+    return clean(df if columns is None else df.select(*columns))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:

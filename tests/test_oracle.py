@@ -35,7 +35,7 @@ def duck():
     return con
 
 
-SLOW = {"train_scorer", "neutralize_f", "factor_momentum_paths"}
+SLOW = {"train_scorer", "factor_momentum_paths", "boosted_scores", "boosted_importance", "run_trials"}  # scorers: test_boosting.py, test_panel.py
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
