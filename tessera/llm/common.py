@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
+#: Of each open `temporary`, the tables that it will remove.
+_TEMPORARY: list[list[str]] = []
+
+
+def materialize(df: DataFrame, stay: bool = False) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder and read it back. stay: the table outlives an enclosing `temporary`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    if _TEMPORARY and not stay:
+        _TEMPORARY[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that are materialised within. What is used afterwards must be one that stays: it has no lineage, so lost executors never need the others again."""
+    _TEMPORARY.append([])
+    try:
+        yield
+    finally:
+        for path in _TEMPORARY.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def word_count(text: Column) -> Column:
     """Words of a text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

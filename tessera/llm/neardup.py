@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix64, utf8
+from .common import chunks, materialize, mix64, temporary, utf8
 
 SHINGLE, ORDER, SKETCHES, THRESHOLD = 5, 3, 12, 0.8
 PIVOTS, BINS = 2, 128
@@ -420,7 +420,12 @@ def _completed(rest: DataFrame, pairs: DataFrame, links: DataFrame, texts: DataF
 
 
 def _labelled(docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, tid and class_id of every row of docs."""
+    """doc_id, tid and class_id of every row of docs, as a table; those it was made from are removed."""
+    with temporary(docs.sparkSession):
+        return materialize(_classified(docs, threshold), stay=True)
+
+
+def _classified(docs: DataFrame, threshold: float) -> DataFrame:
     rows = materialize(_sketched(docs))
     nodes = rows.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.first("sketches").alias("sketches"))
     holders = materialize(nodes.select("tid", "rep", F.posexplode("sketches").alias("band", "sketch")))
