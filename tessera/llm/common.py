@@ -49,6 +49,11 @@ def materialize(df: DataFrame, stay: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs at once: it does so when the driver collects garbage, by itself half-hourly. For use after `materialize`: the written table needs no shuffle any more."""
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Removes the tables that are materialised within. What is used afterwards must be one that stays: it has no lineage, so lost executors never need the others again."""
@@ -59,6 +64,7 @@ def temporary(spark: SparkSession) -> Iterator[None]:
         for path in _TEMPORARY.pop():
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        release(spark)
 
 
 def word_count(text: Column) -> Column:

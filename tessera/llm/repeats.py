@@ -14,7 +14,7 @@ further aggregation, which combines before the shuffle.
 Stretches count as equal if 64-bit hashes of the anchor and of the stretch both are; bytes are compared only in the index.
 
 Defined results: null texts are empty; very long texts (up to 2 GB) are one batch of their own; an empty table gives an
-empty one; columns that are named like the results are refused by Spark as ambiguous only when selected, others pass; texts under LENGTH bytes lose nothing; exact copies and repeated rows of LENGTH
+empty one; input columns named like a result (in any case) give way to it, others pass; texts under LENGTH bytes lose nothing; exact copies and repeated rows of LENGTH
 bytes and more lose everything; matches never cross documents; the order of rows and ties don't matter.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialize, mix64, utf8
+from .common import chunks, materialize, mix64, release, temporary, utf8
 
 LENGTH, GRAM = 400, 32
 #: Bytes of contexts indexed together; contexts of one anchor beyond which its strings are aggregated instead.
@@ -197,6 +197,11 @@ _KEYS = ["anchor", "off", "size", "ctx"]
 
 def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(tid, spans): for each text with repeats, the digest and the stretches (start, stop) that windows found elsewhere cover."""
+    with temporary(docs.sparkSession):  # contexts and shuffle files go before the texts are read for cutting
+        return materialize(_found(docs, length), stay=True)
+
+
+def _found(docs: DataFrame, length: int) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = _digested(docs)
 
@@ -256,8 +261,10 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column("anchor").take(take), pa.array(hasher.of(at, at + length).view(np.int64)), batch.column("tid").take(take), pa.array(first.astype(np.int32))], names=["anchor", "h", "tid", "start"])
 
+    spark = docs.sparkSession
     rows = materialize(docs.mapInArrow(cut_contexts, "anchor bigint, off int, size int, ctx bigint, tid binary, doc_id bigint, first int"))
     same = materialize(rows.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.min(F.struct("tid", "first")).alias("one")))
+    release(spark)
     equal = rows.join(same.filter("n > 1").select(*_KEYS), _KEYS, "left_semi").select("tid", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))
 
     groups = same.groupBy("anchor").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("single")).filter("k > 1 and single > 0").select("anchor", "k")
@@ -268,22 +275,24 @@ def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.join(by_text, (F.col("tid") == F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("tid", "text", "parts")
     parts = materialize(texts.mapInArrow(fetch, "anchor bigint, tid binary, first int, bytes binary"))
     hot = materialize(groups.filter(F.col("k") > MOST).select("anchor"))  # few: each stands for over MOST contexts
+    release(spark)
     is_hot = bool(hot.take(1))
     cold = parts.join(hot, "anchor", "left_anti") if is_hot else parts
     indexed = cold.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(index, "tid binary, start int, stop int")
     spans = equal.unionByName(indexed)
     if is_hot:
         every = materialize(parts.join(hot, "anchor", "left_semi").mapInArrow(windows, "anchor bigint, h bigint, tid binary, start int"))
+        release(spark)
         twice = every.groupBy("anchor", "h").agg(F.min(F.struct("tid", "start")).alias("a"), F.max(F.struct("tid", "start")).alias("b")).filter("a != b").select("anchor", "h")
         spans = spans.unionByName(every.join(twice, ["anchor", "h"], "left_semi").select("tid", "start", (F.col("start") + length).alias("stop")))
     return spans.groupBy("tid").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
 
 
 def remove(docs: DataFrame, length: int = LENGTH, columns: list[str] | None = None, as_text: bool = False) -> DataFrame:
-    """The given columns of docs (all if None, without text) with n_bytes, spans (maximal removed stretches) and kept (the remaining bytes; as_text: without characters that a cut has left in part)."""
+    """The given columns of docs (all if None, without text; none named like a result) with n_bytes, spans (maximal removed stretches) and kept (the remaining bytes; as_text: without characters that a cut has left in part)."""
     spans = find(docs, length).withColumnRenamed("tid", "_tid")
     columns = [c for c in docs.columns if c != "text"] if columns is None else columns
-    kept = [f for f in docs.schema.fields if f.name in columns]
+    kept = [f for f in docs.schema.fields if f.name in columns and f.name.lower() not in ("n_bytes", "spans", "kept")]
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)), T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     text = F.coalesce("text", F.lit(""))

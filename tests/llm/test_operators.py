@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, fingerprints, langid, lm, mixing, neardup, quality, repeats, toxicity
@@ -378,6 +379,13 @@ def test_repeats_are_removed_exactly(docs, hot, monkeypatch):
     assert repeats.remove(empty(docs).select("doc_id", "text")).count() == 0
 
 
+def test_columns_named_like_results_give_way(docs):
+    clash = docs.select("doc_id", "text", F.lit("x").alias("n_bytes"), F.lit("x").alias("Spans"), F.lit("x").alias("kept"), F.lit("y").alias("c0"))
+    got = repeats.remove(clash)
+    assert got.columns == ["doc_id", "c0", "n_bytes", "spans", "kept"]
+    assert got.select("c0", "n_bytes", "spans", "kept").filter("c0 = 'y' and n_bytes >= 0").count() == docs.count()
+
+
 def test_index_marks_repeats_in_repetitive_texts():
     rng = random.Random(6)
     for _ in range(25):
