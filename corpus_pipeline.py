@@ -39,12 +39,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur elsewhere; documents of which nothing but blanks is left go. n_chars follows the text."""
-    columns = docs.columns
-    cut = repeats.remove(docs, PASSAGE, columns=[c for c in columns if c != "text"], as_text=True)
-    cut = cut.withColumnRenamed("kept", "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*[F.col(f"`{c}`") for c in columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], "doc_id", "text")
+    cut = repeats.remove(held, PASSAGE, columns=names, as_text=True).filter(F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    fresh = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    return cut.select(*[fresh.get(f.name, F.col(n)).cast(f.dataType).alias(f.name) for f, n in zip(docs.schema.fields, names, strict=True)])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
