@@ -87,12 +87,10 @@ def contexts(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     return {"row": row, "first": begin - offsets[row], "off": anchor - begin, "size": stop - begin, "anchor": grams[anchor].view(np.int64), "ctx": hasher.of(begin, stop).view(np.int64)}
 
 
-def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key)
-    fresh = np.concatenate(([False], key[order][1:] != key[order][:-1]))
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(fresh)
-    return rank, order
+def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: whether each starts a group of equal ones, and whether its group has others."""
+    fresh = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+    return fresh, ~(fresh & np.append(fresh[1:], True)[: len(key)])
 
 
 class RunIndex:
@@ -101,16 +99,28 @@ class RunIndex:
     def __init__(self, symbols: np.ndarray):
         """symbols: 1 to 256, and 0 after each text."""
         n, self.symbols = len(symbols), symbols
-        packed = np.zeros(n, np.int64)
-        for k in range(7):
-            packed = (packed << 9) | np.append(symbols[k:], np.zeros(min(k, n), np.int64))[:n]
-        rank, order = _ranks(packed)
-        self.levels, size = [(7, rank)], 7
-        while n and rank[order[-1]] < n - 1:
-            after = np.full(n, -1, np.int64)
-            after[: max(0, n - size)] = rank[size:]
-            rank, order = _ranks(rank * (n + 1) + after + 1)
-            size *= 2
+        present = np.bincount(symbols, minlength=1) > 0
+        dense = (np.cumsum(present) - present[0])[symbols]
+        self.width = 62 // max(1, int(present.sum()).bit_length())  # symbols in one word
+        packed, bits = np.zeros(n, np.int64), 62 // self.width
+        for k in range(self.width):
+            packed = (packed << bits) | np.append(dense[k:], np.zeros(min(k, n), np.int64))[:n]
+        order = np.argsort(packed)
+        fresh, tied = _starts(packed[order])
+        slot, size = np.flatnonzero(tied), self.width
+        rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)  # the first place of those that agree so far
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        self.levels = [(size, rank)]
+        while len(slot):  # only those that still agree with another are sorted on
+            at = order[slot]
+            after = np.where(at + size < n, rank[np.minimum(at + size, n - 1)], -1)
+            key = rank[at].astype(np.int64) * (n + 1) + after + 1
+            by = np.argsort(key)
+            order[slot] = at = at[by]
+            fresh, tied = _starts(key[by])
+            rank = rank.copy()
+            rank[at] = np.maximum.accumulate(np.where(fresh, slot, 0))
+            slot, size = slot[tied], 2 * size
             self.levels.append((size, rank))
         self.n, self.sa, self.rank = n, order, rank
         bwt = symbols[order - 1]  # the symbol before the first suffix is the last, cyclically
@@ -130,7 +140,7 @@ class RunIndex:
             total[same] += size
             a[same] += size
             b[same] += size
-        for _ in range(6):  # what is shorter than the first level, by its symbols
+        for _ in range(self.width - 1):  # what is shorter than the first level, by its symbols
             fits = (a < self.n) & (b < self.n)
             same = fits.copy()
             same[fits] = self.symbols[a[fits]] == self.symbols[b[fits]]
