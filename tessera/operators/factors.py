@@ -311,6 +311,7 @@ def stats() -> Iterator[Factor]:
     m, sm = _mean("volume", 20)
     yield rule("jq_volume_ratio_20d", 20, F.col("volume") / m - 1, f"volume / ({sm}) - 1")
     yield rule("barra_beta_60d", 60, roll("stddev_pop", "r", 59) * YEAR, f"{sroll('stddev_pop', 'r', 59)} * {YEAR!r}")
+    yield rule("barra_liquidity", 20, *_mean("volume", 20))
     yield rule("barra_momentum_252d", 252, F.log(F.col("close") / lag("close", 252)), f"ln(close / {slag('close', 252)})")
     (r20, q20), (s20, t20) = _ratio("close", 20), _std("r", 20)
     yield rule("deriv_mom_vol", 20, F.when(s20 > 1e-8, r20 / s20), f"CASE WHEN {t20} > 1e-8 THEN ({q20}) / ({t20}) END")

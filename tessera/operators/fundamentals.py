@@ -75,3 +75,16 @@ def dividend(df: DataFrame) -> DataFrame:
 def styles(df: DataFrame) -> DataFrame:
     """Adds the members with values of the small style families; the others have no source and are always missing."""
     return df.withColumns({"aqr_quality": F.col("roe"), "aqr_profit_growth": F.col("netprofit_yoy"), "nm_gross_profitability": F.col("grossprofit_margin"), "barra_growth": F.col("netprofit_yoy"), "barra_quality": F.col("roe")})
+
+
+#: Fixed names: the supplement family's valuation and statement columns, and where they come from.
+PASSED = {
+    "sup_val_pe_ttm": "pe", "sup_val_pb": "pb", "sup_val_ps_ttm": "ps", "sup_val_pcf_ttm": "pcf", "sup_val_div_yield": "div_yield",
+    "sup_fin_roe_ttm": "roe", "sup_fin_roa_ttm": "roa", "sup_fin_gross_margin": "grossprofit_margin", "sup_fin_net_margin": "netprofit_margin", "sup_fin_asset_turnover": "asset_turnover",
+    "sup_fin_current_ratio": "current_ratio", "sup_fin_quick_ratio": "quick_ratio", "sup_fin_debt_ratio": "debt_to_assets", "sup_fin_interest_coverage": "interest_coverage", "sup_fin_operating_cf": "operating_cashflow",
+}
+
+
+def passed(df: DataFrame) -> DataFrame:
+    """Adds the valuations and statement columns that the supplement family passes on as they are; NULL where df lacks the column or it isn't a number."""
+    return df.withColumns({k: F.col(v).try_cast("double") if v in df.columns else F.lit(None).cast("double") for k, v in PASSED.items()})

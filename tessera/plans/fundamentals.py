@@ -33,6 +33,8 @@ def statements(s, d) -> DataFrame:
         (100 - F.col("disc") * 100).alias("grossprofit_margin"), (F.col("tax") * 900).alias("debt_to_assets"), (F.col("qty") / 50).alias("current_ratio"), (F.col("qty") / 80).alias("quick_ratio"),
         (F.col("qty") / F.col("n") - 20).alias("inv_turn"), (F.col("n") - 2).alias("ar_turn"), (F.col("tax") * 100).alias("ocf_to_or"), (F.col("tax") * 50 - 1).alias("ocf_to_profit"), (F.col("tax") * 9).alias("debt_eqt_ratio"),
         (F.col("disc") * F.col("n") * 900).alias("dv_ratio"), (F.col("n") * 30).alias("pe"),
+        F.when(F.col("revenue") > 0, F.col("profit") / F.col("revenue") * 100).alias("netprofit_margin"), (F.col("disc") * (300 - F.col("tax") * 2700)).alias("roa"), (F.col("revenue") / F.col("qty") / 1000).alias("asset_turnover"),
+        F.when(F.col("tax") > 0, F.col("disc") / F.col("tax")).alias("interest_coverage"), (F.col("revenue") * F.col("tax")).alias("operating_cashflow"), (F.col("disc") * 40).alias("div_yield"),
     )
 
 
@@ -41,7 +43,8 @@ STATEMENTS_SQL = """g0 AS (SELECT l_partkey AS entity, year(l_shipdate) * 4 + qu
 st AS (SELECT g0.entity, ((g0.q - 1) // 4)::VARCHAR || ['0331', '0630', '0930', '1231'][(g0.q - 1) % 4 + 1] AS period,
   CASE WHEN y.revenue > 0 THEN (g0.revenue / y.revenue - 1) * 100 END AS or_yoy, CASE WHEN y.profit > 0 THEN (g0.profit / y.profit - 1) * 100 END AS netprofit_yoy, CASE WHEN p.profit > 0 THEN (g0.profit / p.profit - 1) * 100 END AS netprofit_q_yoy,
   g0.disc * 300 AS roe, g0.disc * 280 AS roe_dt, g0.disc * 290 AS roe_waa, 100 - g0.disc * 100 AS grossprofit_margin, g0.tax * 900 AS debt_to_assets, g0.qty / 50 AS current_ratio, g0.qty / 80 AS quick_ratio,
-  g0.qty / g0.n - 20 AS inv_turn, g0.n - 2 AS ar_turn, g0.tax * 100 AS ocf_to_or, g0.tax * 50 - 1 AS ocf_to_profit, g0.tax * 9 AS debt_eqt_ratio, g0.disc * g0.n * 900 AS dv_ratio, g0.n * 30.0 AS s_pe
+  g0.qty / g0.n - 20 AS inv_turn, g0.n - 2 AS ar_turn, g0.tax * 100 AS ocf_to_or, g0.tax * 50 - 1 AS ocf_to_profit, g0.tax * 9 AS debt_eqt_ratio, g0.disc * g0.n * 900 AS dv_ratio, g0.n * 30.0 AS s_pe,
+  CASE WHEN g0.revenue > 0 THEN g0.profit / g0.revenue * 100 END AS netprofit_margin, g0.disc * (300 - g0.tax * 2700) AS roa, g0.revenue / g0.qty / 1000 AS asset_turnover, CASE WHEN g0.tax > 0 THEN g0.disc / g0.tax END AS interest_coverage, g0.revenue * g0.tax AS operating_cashflow, g0.disc * 40 AS div_yield
   FROM g0 LEFT JOIN g0 y ON y.entity = g0.entity AND y.q = g0.q - 4 LEFT JOIN g0 p ON p.entity = g0.entity AND p.q = g0.q - 1)"""
 
 
@@ -79,8 +82,8 @@ def _macro(s, d) -> DataFrame:
     return rounded(ops.join_macro(panel(s, d).select("entity", "month_idx"), long, MACRO), 4)
 
 
-_FAMILIES = {"quality": ops.quality, "value": ops.value, "growth": ops.growth, "size": ops.size, "dividend": ops.dividend, "styles": ops.styles}
-_DIGITS = {"value": 4}  # the panel's closes are rounded averages, which may end in a tie
+_FAMILIES = {"quality": ops.quality, "value": ops.value, "growth": ops.growth, "size": ops.size, "dividend": ops.dividend, "styles": ops.styles, "passed": ops.passed}
+_DIGITS = {"value": 4, "passed": 4}  # the panel's closes are rounded averages, which may end in a tie
 
 
 def _family(name, s, d) -> DataFrame:
@@ -106,6 +109,7 @@ SQL = {
     "factor_growth": _sql(growth_revenue_yoy="CASE WHEN abs(or_yoy) <= 500 THEN or_yoy END", growth_netprofit_yoy="CASE WHEN abs(netprofit_yoy) <= 500 THEN netprofit_yoy END", growth_netprofit_q_yoy="CASE WHEN abs(netprofit_q_yoy) <= 500 THEN netprofit_q_yoy END", growth_eps_yoy="CASE WHEN abs(netprofit_q_yoy) <= 500 THEN netprofit_q_yoy END", growth_rev_profit_diff="CASE WHEN abs(or_yoy) <= 500 AND abs(netprofit_yoy) <= 500 THEN or_yoy - netprofit_yoy END"),
     "factor_size": _sql(size_log_mcap="ln(market_cap)", size_log_mcap_neg="-ln(market_cap)", size_sqrt_mcap="sqrt(market_cap)", size_log_mcap_cubed="pow(ln(market_cap), 3)"),
     "factor_dividend": _sql(dividend_payout_ratio="CASE WHEN dv_ratio BETWEEN 0 AND 200 THEN dv_ratio END", dividend_yield="CASE WHEN dv_ratio BETWEEN 0 AND 200 THEN dv_ratio / 100 END"),
+    "factor_passed": _sql(4, **ops.PASSED),
     "factor_styles": _sql(aqr_quality="roe", aqr_profit_growth="netprofit_yoy", nm_gross_profitability="grossprofit_margin", barra_growth="netprofit_yoy", barra_quality="roe"),
     "join_financials": f"{FINANCIALS_SQL} SELECT entity, month_idx, CASE WHEN mo <= 3 THEN (y - 1)::VARCHAR || '1231' WHEN mo <= 6 THEN y::VARCHAR || '0331' WHEN mo <= 9 THEN y::VARCHAR || '0630' ELSE y::VARCHAR || '0930' END AS period, round(roe, 4) AS roe, round(pe, 4) AS pe, round(pb, 4) AS pb, round(netprofit_yoy, 4) AS netprofit_yoy FROM fi",
     "join_attributes": f"WITH {PANEL_SQL}, f AS (SELECT l_partkey AS entity, CAST(min(l_shipdate) AS DATE) AS first FROM lineitem GROUP BY 1) SELECT a.entity, a.month_idx, p_name AS name, date_diff('day', first, last_day(make_date(CAST((a.month_idx - 1) // 12 AS INTEGER), CAST((a.month_idx - 1) % 12 + 1 AS INTEGER), 1))) AS days_listed, round(market_cap / 10000, 8) AS market_cap, round(f_qty / 100, 8) AS turnover FROM panel0 a LEFT JOIN part ON p_partkey = a.entity LEFT JOIN f ON f.entity = a.entity",
