@@ -40,6 +40,15 @@ def brinson(holdings: DataFrame, universe: DataFrame) -> DataFrame:
     })
 
 
+def overlaid(positions: DataFrame, universe: DataFrame, series: str = "overlay") -> DataFrame:
+    """Holdings to attribute from the overlay's positions (`selection.with_cash`): industries and targets by entity and month, freed weight as an industry of its own that earns the risk-free rate."""
+    cash = F.col("entity") == CASH[1]
+    at = universe.select(F.col("entity").cast("string").alias("entity"), F.col("month_idx").cast("int").alias("seq"), "industry", "target")
+    df = positions.filter(~cash).join(at, ["entity", "seq"]).select("seq", "industry", "weight", "target")
+    freed = positions.filter(cash).select("seq", F.col("entity").alias("industry"), "weight", F.col("ret").alias("target"))
+    return df.unionByName(freed).select(F.lit(series).alias("series"), F.col("seq").alias("month_idx"), "industry", "weight", "target")
+
+
 def brinson_rollup(effects: DataFrame) -> DataFrame:
     """Effects summed by month, by industry, and in all, in one pass over grouping sets."""
     sets = [["series", "month_idx"], ["series", "industry"], ["series"]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import overlay, selection
+from tessera.operators import attribution, overlay, selection
 from tessera.sources.tables import PANEL_SQL, panel, table, with_target
 
 from .align import SQL as ALIGN
@@ -39,7 +39,14 @@ def _view(s, d) -> DataFrame:
     return df.select("series", "month_idx", "entity", "weight", F.round("contribution", 10).alias("contribution"), "action")
 
 
+def _overlaid(s, d) -> DataFrame:
+    universe = with_target(panel(s, d))
+    df = attribution.brinson(attribution.overlaid(selection.with_cash(overlay.run(_overlay_input(s, d))), universe), universe)
+    return df.select("series", "month_idx", "industry", "w_port", "r_port", "allocation", "selection", "interaction")
+
+
 QUERIES = {
+    "brinson_overlay": lambda s, d: rounded(_overlaid(s, d), 9),
     "screen_decisions": lambda s, d: selection.decide(with_target(panel(s, d)), FEATURES, max_corr=0.8),
     "screen_apply": lambda s, d: selection.Screen.fit(with_target(panel(s, d)), FEATURES, max_corr=0.8).apply(panel(s, d), ["entity", "month_idx"]),
     "last_n_windows": lambda s, d: selection.last_n_windows(panel(s, d).select("entity", "month_idx", "f_qty"), 12),
@@ -62,7 +69,14 @@ _DECIDE = f"""WITH {PANEL_SQL}, pt AS (SELECT * FROM panel WHERE target IS NOT N
 d1 AS (SELECT st.*, place, CASE WHEN coverage < 0.3 THEN 'coverage' WHEN std < 1e-6 THEN 'variance' WHEN EXISTS (SELECT 1 FROM pr JOIN st e ON e.feature = pr.a WHERE pr.b = st.feature AND abs(r) > 0.8 AND e.coverage >= 0.3 AND e.std >= 1e-6) THEN 'correlation' END AS out FROM st JOIN fs USING (feature)),
 d2 AS (SELECT *, count(*) FILTER (ic >= 0.02) OVER (PARTITION BY out IS NULL) AS good, row_number() OVER (PARTITION BY out IS NULL ORDER BY ic DESC NULLS LAST, place) AS rk FROM d1),
 verdicts AS (SELECT feature, coalesce(out, CASE WHEN good >= 2 AND ic >= 0.02 OR good < 2 AND rk <= 2 THEN 'kept' ELSE 'ic' END) AS verdict FROM d2)"""
+_OVERLAID = f"""{O}, uni AS (SELECT month_idx, industry, count(*) / sum(count(*)) OVER (PARTITION BY month_idx) AS wb FROM panel GROUP BY 1, 2),
+ri AS (SELECT month_idx, industry, avg(target) AS rb FROM panel WHERE target IS NOT NULL GROUP BY 1, 2), rm AS (SELECT month_idx, avg(target) AS rm FROM panel WHERE target IS NOT NULL GROUP BY 1),
+hh AS (SELECT f.seq AS month_idx, industry, 0.01::DOUBLE AS weight, target FROM f JOIN panel p ON p.entity = f.entity AND p.month_idx = f.seq WHERE NOT sold UNION ALL SELECT seq, 'CASH_POOL', count(*) * 0.01::DOUBLE, 0.025::DOUBLE / 12 FROM f WHERE sold GROUP BY 1),
+po AS (SELECT month_idx, industry, sum(weight) AS w, coalesce(sum(weight * target) / sum(weight), 0) AS r FROM hh GROUP BY 1, 2),
+br AS (SELECT po.*, industry = 'CASH_POOL' AS cash, coalesce(wb, 0) AS wb, coalesce(rb, 0) AS rb, coalesce(rm, 0) AS rm FROM po LEFT JOIN uni USING (month_idx, industry) LEFT JOIN ri USING (month_idx, industry) LEFT JOIN rm USING (month_idx))
+SELECT 'overlay' AS series, month_idx, industry, round(w, 9) AS w_port, round(r, 9) AS r_port, round((w - wb) * (rb - rm), 9) AS allocation, round(CASE WHEN cash THEN 0 ELSE wb * (r - rb) END, 9) AS selection, round(CASE WHEN cash THEN 0 ELSE (w - wb) * (r - rb) END, 9) AS interaction FROM br"""
 SQL = {
+    "brinson_overlay": _OVERLAID,
     "screen_decisions": f"{_DECIDE} SELECT * FROM verdicts",
     "last_n_windows": f"WITH {PANEL_SQL} SELECT entity, month_idx, f_qty FROM panel0 WHERE month_idx IN (SELECT DISTINCT month_idx FROM panel0 ORDER BY 1 DESC LIMIT 60)",
     "window_summary": "SELECT factor, count(*) AS windows, round(avg(val_ic), 7) AS mean_val_ic, round(avg(gap), 7) AS mean_gap, round(avg(CAST(confidence = 'LOW' AS DOUBLE)), 7) AS low_share FROM (" + ALIGN["ic_gap"].replace("round(train_ic, 7) AS", "train_ic AS").replace("round(val_ic, 7) AS", "val_ic AS").replace("round(train_ic - val_ic, 7)", "train_ic - val_ic") + ") GROUP BY 1",

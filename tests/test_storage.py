@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import alignment, attribution, isolated, sketches, validation
+from tessera.operators import alignment, attribution, fundamentals, isolated, selection, sketches, validation
 from tessera.sources import files, ingest, store
 from tessera.sources.tables import read_panel
 
@@ -109,6 +109,22 @@ def test_months_without_a_universe_share_evenly(spark):
     assert {r.w_benchmark for r in attribution.brinson(h, none).collect()} == {0.5}
 
 
+def test_freed_weight_is_an_industry_without_selection(spark):
+    done = spark.createDataFrame([(1, 1, 0.4, False, "HOLD"), (2, 1, 0.6, True, "SELL"), (3, 2, 1.0, False, "HOLD")], "entity long, seq int, weight double, sold boolean, label string")
+    table = spark.createDataFrame([(1, 1, "a", 0.1), (2, 1, "b", 0.3), (3, 2, "b", None)], "entity long, month_idx long, industry string, target double")
+    h = attribution.overlaid(selection.with_cash(done), table)
+    assert {r.month_idx: r.w for r in h.groupBy("month_idx").agg(F.round(F.sum("weight"), 9).alias("w")).collect()} == {1: 1.0, 2: 1.0}
+    got = {(r.month_idx, r.industry): r for r in attribution.brinson(h, table).collect()}
+    cash = got[1, "CASH_POOL"]
+    assert (cash.selection, cash.interaction, cash.w_benchmark) == (0.0, 0.0, 0.0) and abs(cash.r_port - 0.025 / 12) < 1e-12
+    assert abs(cash.allocation - 0.6 * (0 - 0.2)) < 1e-12 and set(got) == {(1, "a"), (1, "CASH_POOL"), (2, "b")} and got[2, "b"].r_port == 0.0
+
+
+def test_passed_columns_are_null_without_a_source(spark):
+    row = fundamentals.passed(spark.createDataFrame([("1.5", "none")], "pe string, roe string")).first()
+    assert row.sup_val_pe_ttm == 1.5 and row.sup_fin_roe_ttm is None and row.sup_val_pb is None and set(fundamentals.PASSED) < set(row.asDict())
+
+
 def test_sketches_stay_within_their_bounds(spark):
     df = spark.range(60_000).select((F.col("id") % 6).cast("int").alias("month_idx"), (F.col("id") % 7001).alias("entity"), F.pmod(F.xxhash64("id"), F.lit(100_000)).cast("double").alias("x"))
     windows = spark.createDataFrame([(w, m, "train") for w in (0, 1) for m in range(w, w + 5)], "window_id int, month_idx int, split string")
