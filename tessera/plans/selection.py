@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.operators import attribution, overlay, selection
 from tessera.sources.tables import PANEL_SQL, panel, table, with_target
+from tessera.streaming.feeds import written
 
 from .align import SQL as ALIGN
 from .align import _gap
 from .reports import TR, _trials
-from .strategy import FEATURES, M, O, _overlay_input, held, monthly, rounded
+from .strategy import FEATURES, M, O, _overlay_input, base, held, monthly, rounded
 
 GROUPS = {"a_": "first", "b_": "second"}
 
@@ -40,8 +41,8 @@ def _view(s, d) -> DataFrame:
 
 
 def _overlaid(s, d) -> DataFrame:
-    universe = with_target(panel(s, d))
-    df = attribution.brinson(attribution.overlaid(selection.with_cash(overlay.run(_overlay_input(s, d))), universe), universe)
+    universe, done = base(s, d), written(overlay.run(_overlay_input(s, d)).select("seq", "entity", "weight", "sold", "label"))
+    df = attribution.brinson(attribution.overlaid(selection.with_cash(done), universe), universe)
     return df.select("series", "month_idx", "industry", "w_port", "r_port", "allocation", "selection", "interaction")
 
 
