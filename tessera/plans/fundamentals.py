@@ -33,8 +33,8 @@ def statements(s, d) -> DataFrame:
         (100 - F.col("disc") * 100).alias("grossprofit_margin"), (F.col("tax") * 900).alias("debt_to_assets"), (F.col("qty") / 50).alias("current_ratio"), (F.col("qty") / 80).alias("quick_ratio"),
         (F.col("qty") / F.col("n") - 20).alias("inv_turn"), (F.col("n") - 2).alias("ar_turn"), (F.col("tax") * 100).alias("ocf_to_or"), (F.col("tax") * 50 - 1).alias("ocf_to_profit"), (F.col("tax") * 9).alias("debt_eqt_ratio"),
         (F.col("disc") * F.col("n") * 900).alias("dv_ratio"), (F.col("n") * 30).alias("pe"),
-        F.when(F.col("revenue") > 0, F.col("profit") / F.col("revenue") * 100).alias("netprofit_margin"), (F.col("disc") * (300 - F.col("tax") * 2700)).alias("roa"), (F.col("revenue") / F.col("qty") / 1000).alias("asset_turnover"),
-        F.when(F.col("tax") > 0, F.col("disc") / F.col("tax")).alias("interest_coverage"), (F.col("revenue") * F.col("tax")).alias("operating_cashflow"), (F.col("disc") * 40).alias("div_yield"),
+        F.when(F.col("revenue") > 0, F.col("profit") / F.col("revenue") * 100).alias("netprofit_margin"), (F.col("disc") * (300 - F.col("tax") * 2700) / 1.37).alias("roa"), (F.col("revenue") / F.col("qty") / 1037).alias("asset_turnover"),
+        F.when(F.col("tax") > 0, F.col("disc") / F.col("tax")).alias("interest_coverage"), (F.col("revenue") * F.col("tax") / 1.37).alias("operating_cashflow"), (F.col("disc") * 40).alias("div_yield"),
     )
 
 
@@ -44,7 +44,7 @@ st AS (SELECT g0.entity, ((g0.q - 1) // 4)::VARCHAR || ['0331', '0630', '0930',
   CASE WHEN y.revenue > 0 THEN (g0.revenue / y.revenue - 1) * 100 END AS or_yoy, CASE WHEN y.profit > 0 THEN (g0.profit / y.profit - 1) * 100 END AS netprofit_yoy, CASE WHEN p.profit > 0 THEN (g0.profit / p.profit - 1) * 100 END AS netprofit_q_yoy,
   g0.disc * 300 AS roe, g0.disc * 280 AS roe_dt, g0.disc * 290 AS roe_waa, 100 - g0.disc * 100 AS grossprofit_margin, g0.tax * 900 AS debt_to_assets, g0.qty / 50 AS current_ratio, g0.qty / 80 AS quick_ratio,
   g0.qty / g0.n - 20 AS inv_turn, g0.n - 2 AS ar_turn, g0.tax * 100 AS ocf_to_or, g0.tax * 50 - 1 AS ocf_to_profit, g0.tax * 9 AS debt_eqt_ratio, g0.disc * g0.n * 900 AS dv_ratio, g0.n * 30.0 AS s_pe,
-  CASE WHEN g0.revenue > 0 THEN g0.profit / g0.revenue * 100 END AS netprofit_margin, g0.disc * (300 - g0.tax * 2700) AS roa, g0.revenue / g0.qty / 1000 AS asset_turnover, CASE WHEN g0.tax > 0 THEN g0.disc / g0.tax END AS interest_coverage, g0.revenue * g0.tax AS operating_cashflow, g0.disc * 40 AS div_yield
+  CASE WHEN g0.revenue > 0 THEN g0.profit / g0.revenue * 100 END AS netprofit_margin, g0.disc * (300 - g0.tax * 2700) / 1.37 AS roa, g0.revenue / g0.qty / 1037 AS asset_turnover, CASE WHEN g0.tax > 0 THEN g0.disc / g0.tax END AS interest_coverage, g0.revenue * g0.tax / 1.37 AS operating_cashflow, g0.disc * 40 AS div_yield
   FROM g0 LEFT JOIN g0 y ON y.entity = g0.entity AND y.q = g0.q - 4 LEFT JOIN g0 p ON p.entity = g0.entity AND p.q = g0.q - 1)"""
 
 

@@ -47,7 +47,7 @@ def _overlaid(s, d) -> DataFrame:
 
 
 QUERIES = {
-    "brinson_overlay": lambda s, d: rounded(_overlaid(s, d), 9),
+    "brinson_overlay": lambda s, d: rounded(_overlaid(s, d), 13),
     "screen_decisions": lambda s, d: selection.decide(with_target(panel(s, d)), FEATURES, max_corr=0.8),
     "screen_apply": lambda s, d: selection.Screen.fit(with_target(panel(s, d)), FEATURES, max_corr=0.8).apply(panel(s, d), ["entity", "month_idx"]),
     "last_n_windows": lambda s, d: selection.last_n_windows(panel(s, d).select("entity", "month_idx", "f_qty"), 12),
@@ -75,7 +75,7 @@ ri AS (SELECT month_idx, industry, avg(target) AS rb FROM panel WHERE target IS
 hh AS (SELECT f.seq AS month_idx, industry, 0.01::DOUBLE AS weight, target FROM f JOIN panel p ON p.entity = f.entity AND p.month_idx = f.seq WHERE NOT sold UNION ALL SELECT seq, 'CASH_POOL', count(*) * 0.01::DOUBLE, 0.025::DOUBLE / 12 FROM f WHERE sold GROUP BY 1),
 po AS (SELECT month_idx, industry, sum(weight) AS w, coalesce(sum(weight * target) / sum(weight), 0) AS r FROM hh GROUP BY 1, 2),
 br AS (SELECT po.*, industry = 'CASH_POOL' AS cash, coalesce(wb, 0) AS wb, coalesce(rb, 0) AS rb, coalesce(rm, 0) AS rm FROM po LEFT JOIN uni USING (month_idx, industry) LEFT JOIN ri USING (month_idx, industry) LEFT JOIN rm USING (month_idx))
-SELECT 'overlay' AS series, month_idx, industry, round(w, 9) AS w_port, round(r, 9) AS r_port, round((w - wb) * (rb - rm), 9) AS allocation, round(CASE WHEN cash THEN 0 ELSE wb * (r - rb) END, 9) AS selection, round(CASE WHEN cash THEN 0 ELSE (w - wb) * (r - rb) END, 9) AS interaction FROM br"""
+SELECT 'overlay' AS series, month_idx, industry, round(w, 13) AS w_port, round(r, 13) AS r_port, round((w - wb) * (rb - rm), 13) AS allocation, round(CASE WHEN cash THEN 0 ELSE wb * (r - rb) END, 13) AS selection, round(CASE WHEN cash THEN 0 ELSE (w - wb) * (r - rb) END, 13) AS interaction FROM br"""
 SQL = {
     "brinson_overlay": _OVERLAID,
     "screen_decisions": f"{_DECIDE} SELECT * FROM verdicts",
