@@ -1,8 +1,10 @@
 """Operators on cross-sections in long form (month_idx, factor, entity, y): standardising, ranking, neutralising, testing.
 
-Work is partitioned by (month, factor). The least-squares residuals come in closed form: industry dummies are removed by
-demeaning (Frisch-Waugh-Lovell), what is left is a few sums; only schemes with a block of regressors solve small normal
-equations, one row for each (month, factor), in a pandas function.
+Rows aren't moved: what a cross-section (month, factor) says of itself is aggregated, written as a small table and joined
+back. Medians and ranks come from the distinct values of each cross-section and their counts. The least-squares residuals
+come in closed form: industry dummies are removed by demeaning (Frisch-Waugh-Lovell), what is left is a few sums; only
+schemes with a block of regressors solve small normal equations, one row for each (month, factor), in a pandas function.
+Operators read their rows several times, so these should be a stored table.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import avg_rank, clip, correlation, inv_norm, rank_pct
+from tessera.functions.stats import avg_rank, clip, correlation, inv_norm
+from tessera.streaming.feeds import written
 
 CELL = ("month_idx", "factor")
 def _cell():
@@ -29,64 +32,102 @@ def long_form(panel: DataFrame, factors: list[str], keep: list[str]) -> DataFram
     return panel.select(*keep, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("y")) for f in factors])).alias("z")).select(*keep, "z.factor", "z.y")
 
 
+def _matched(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the columns of the table, whose keys are unique; NULL keys match."""
+    right = table.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return df.join(right, same, "left").drop(*[f"_key_{k}" for k in keys])
+
+
+def _with(df: DataFrame, keys: tuple[str, ...], **aggregates: Column) -> DataFrame:
+    """df with aggregates of its groups: a row for each month, factor and at most industry, so the table is small, whatever the number of rows."""
+    return _matched(df, F.broadcast(written(df.groupBy(*keys).agg(*[v.alias(k) for k, v in aggregates.items()]))), list(keys))
+
+
+def _counts(df: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:
+    """keys, y, _k: the distinct values of each group and how often they occur."""
+    return df.filter("y is not null").groupBy(*keys, "y").agg(F.count("*").alias("_k"))
+
+
+def _ranks(counts: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:
+    """counts with _rank, the average-tie rank of each value from 1, and _n, the number of values."""
+    cell = W.partitionBy(*keys)
+    upto = F.sum("_k").over(cell.orderBy("y").rowsBetween(W.unboundedPreceding, 0))
+    return counts.withColumns({"_rank": upto - (F.col("_k") - 1) / 2, "_n": F.sum("_k").over(cell)})
+
+
+def _mapped(df: DataFrame, values: DataFrame, out: str, keys: tuple[str, ...] = CELL) -> DataFrame:
+    """df with `out` from values (keys, y, _out), written so that its size decides how it is joined; a missing y gives NULL."""
+    table = written(values.select(*keys, "y", "_out"))
+    both = _matched(df, table, [*keys, "y"])
+    return both.withColumn(out, F.col("_out")).drop("_out")
+
+
 def zscore(df: DataFrame, y: str = "y", out: str = "z") -> DataFrame:
     """(y - mean) / population std; a flat cross-section gives 0, fewer than two values NULL."""
-    m, s, n = F.avg(y).over(_cell()), F.stddev_pop(y).over(_cell()), F.count(y).over(_cell())
-    return df.withColumn(out, F.when(F.col(y).isNull() | (n < 2), F.lit(None)).when(s < 1e-8, 0.0).otherwise((F.col(y) - m) / s))
+    df = _with(df, CELL, _m=F.avg(y), _s=F.stddev_pop(y), _n=F.count(y))
+    return df.withColumn(out, F.when(F.col(y).isNull() | (F.col("_n") < 2), F.lit(None)).when(F.col("_s") < 1e-8, 0.0).otherwise((F.col(y) - F.col("_m")) / F.col("_s"))).drop("_m", "_s", "_n")
 
 
 def zscore_fill(df: DataFrame) -> DataFrame:
     """Missing values as 0 first, then (y - mean) / (population std + 1e-6)."""
     y = F.coalesce("y", F.lit(0.0))
-    return df.withColumn("z", (y - F.avg(y).over(_cell())) / (F.stddev_pop(y).over(_cell()) + 1e-6))
+    return _with(df, CELL, _m=F.avg(y), _s=F.stddev_pop(y)).withColumn("z", (y - F.col("_m")) / (F.col("_s") + 1e-6)).drop("_m", "_s")
 
 
-def winsorize(df: DataFrame, n: float = 3.0, out: str = "y") -> DataFrame:
-    """y within median +- n * 1.4826 * median absolute deviation; flat or single cross-sections as they are."""
-    med = F.median("y").over(_cell())
-    df = df.withColumn("_med", med).withColumn("_dev", F.abs(F.col("y") - F.col("_med")))
-    df = df.withColumn("_mad", F.median("_dev").over(_cell())).withColumn("_n", F.count("y").over(_cell()))
+def _winsorized(counts: DataFrame, n: float = 3.0) -> DataFrame:
+    """counts with _w, the value within the bounds of its cross-section."""
+    counts = _with(counts, CELL, _med=F.percentile("y", 0.5, F.col("_k")), _n=F.sum("_k")).withColumn("_dev", F.abs(F.col("y") - F.col("_med")))
+    counts = _with(counts, CELL, _mad=F.percentile("_dev", 0.5, F.col("_k")))
     w = n * 1.4826 * F.col("_mad")
     value = F.when((F.col("_mad") < 1e-8) | (F.col("_n") < 2), F.col("y")).otherwise(clip(F.col("y"), F.col("_med") - w, F.col("_med") + w))
-    return df.withColumn(out, value).drop("_med", "_dev", "_mad", "_n")
+    return counts.withColumn("_w", value).drop("_med", "_dev", "_mad", "_n")
 
 
-def rank_normal(df: DataFrame, version: int = 1, out: str = "y") -> DataFrame:
-    """Normal scores of average-tie ranks. v1: rank / (n + 1), as it is under 10 values; v2: (rank - 0.5) / n, NULL under 2. A flat cross-section gives 0."""
-    n, rank = F.count("y").over(_cell()), avg_rank("y", *CELL)
-    df = df.withColumns({"_rank": rank, "_n": n})
+def _normal(counts: DataFrame, version: int) -> DataFrame:
+    """counts with _out, the normal scores of the average-tie ranks."""
+    ranked = _ranks(counts)
     if version == 1:
         value = F.when(F.col("_n") < 10, F.col("y")).otherwise(inv_norm(F.col("_rank") / (F.col("_n") + 1)))
     else:
         value = F.when(F.col("_n") >= 2, inv_norm(clip((F.col("_rank") - 0.5) / F.col("_n"), 1e-6, 1 - 1e-6)))
-    return df.withColumn(out, F.when(F.col("y").isNotNull(), value)).drop("_rank", "_n")
+    return ranked.withColumn("_out", value)
+
+
+def winsorize(df: DataFrame, n: float = 3.0, out: str = "y") -> DataFrame:
+    """y within median +- n * 1.4826 * median absolute deviation; flat or single cross-sections as they are."""
+    return _mapped(df, _winsorized(written(_counts(df)), n).withColumn("_out", F.col("_w")), out)
+
+
+def rank_normal(df: DataFrame, version: int = 1, out: str = "y") -> DataFrame:
+    """Normal scores of average-tie ranks. v1: rank / (n + 1), as it is under 10 values; v2: (rank - 0.5) / n, NULL under 2. A flat cross-section gives 0."""
+    return _mapped(df, _normal(_counts(df), version), out)
+
+
+def rank_pct(df: DataFrame, keys: tuple[str, ...] = (*CELL, "industry"), out: str = "y") -> DataFrame:
+    """Average-tie rank of y in its group over the number of values there."""
+    return _mapped(df, _ranks(_counts(df, keys), keys).withColumn("_out", F.col("_rank") / F.col("_n")), out, keys)
 
 
 def _with_base_industry(df: DataFrame) -> DataFrame:
     """A missing industry shares the intercept of the first one, as the dummies drop it."""
-    return df.withColumn("_ind", F.coalesce("industry", F.min("industry").over(_cell())))
+    return _with(df, CELL, _first=F.min("industry")).withColumn("_ind", F.coalesce("industry", "_first")).drop("_first")
 
 
 def _demeaned(df: DataFrame, columns: list[str], weight: str | None = None) -> DataFrame:
-    cell = W.partitionBy(*CELL, "_ind")
-    if weight is None:
-        return df.withColumns({f"_d{c}": F.col(c) - F.avg(c).over(cell) for c in columns})
-    return df.withColumns({f"_d{c}": F.col(c) - F.sum(F.col(weight) * F.col(c)).over(cell) / F.sum(weight).over(cell) for c in columns})
-
-
-def _size_unknown():
-    return F.count_if(F.col("market_cap").isNull()).over(_cell()) > 0
+    mean = (lambda c: F.avg(c)) if weight is None else (lambda c: F.sum(F.col(weight) * F.col(c)) / F.sum(weight))
+    df = _with(df, (*CELL, "_ind"), **{f"_a{c}": mean(c) for c in columns})
+    return df.withColumns({f"_d{c}": F.col(c) - F.col(f"_a{c}") for c in columns}).drop(*[f"_a{c}" for c in columns])
 
 
 def industry_size_residual(df: DataFrame, weight: str | None = None) -> DataFrame:
     """Residual e of y on the log of size and industry dummies (weighted if asked); unweighted, a cross-section with a missing size keeps y."""
     df = _demeaned(_with_base_industry(df).withColumn("_x", F.log(F.greatest("market_cap", F.lit(1.0)))), ["y", "_x"], weight)
-    unknown = F.lit(False) if weight else _size_unknown()
     w = F.col(weight) if weight else F.lit(1.0)
-    sxx = F.sum(w * F.col("_d_x") * F.col("_d_x")).over(_cell())
-    sxy = F.sum(w * F.col("_d_x") * F.col("_dy")).over(_cell())
-    beta = F.when(sxx > 1e-12, sxy / sxx).otherwise(0.0)
-    return df.withColumn("e", F.when(unknown, F.col("y")).otherwise(F.col("_dy") - beta * F.col("_d_x"))).drop("_ind", "_x", "_dy", "_d_x")
+    df = _with(df, CELL, _sxx=F.sum(w * F.col("_d_x") * F.col("_d_x")), _sxy=F.sum(w * F.col("_d_x") * F.col("_dy")), _unknown=F.count_if(F.col("market_cap").isNull()) > 0)
+    beta = F.when(F.col("_sxx") > 1e-12, F.col("_sxy") / F.col("_sxx")).otherwise(0.0)
+    unknown = F.lit(False) if weight else F.col("_unknown")
+    return df.withColumn("e", F.when(unknown, F.col("y")).otherwise(F.col("_dy") - beta * F.col("_d_x"))).drop("_ind", "_x", "_dy", "_d_x", "_sxx", "_sxy", "_unknown")
 
 
 def neutralize_a(df: DataFrame) -> DataFrame:
@@ -95,8 +136,10 @@ def neutralize_a(df: DataFrame) -> DataFrame:
 
 
 def neutralize_b(df: DataFrame) -> DataFrame:
-    """Winsorised and rank-normalised before scheme A."""
-    return neutralize_a(rank_normal(winsorize(df), 1))
+    """Winsorised and rank-normalised before scheme A; values that are cut to one are ranked as one."""
+    cut = written(_winsorized(written(_counts(df))))
+    normal = _normal(cut.groupBy(*CELL, F.col("_w").alias("y")).agg(F.sum("_k").alias("_k")), 1).select(*CELL, F.col("y").alias("_w"), "_out")
+    return neutralize_a(_mapped(df, cut.join(normal, [*CELL, "_w"]), "y"))
 
 
 def neutralize_d(df: DataFrame) -> DataFrame:
@@ -107,16 +150,17 @@ def neutralize_d(df: DataFrame) -> DataFrame:
 
 def neutralize_e(df: DataFrame) -> DataFrame:
     """Winsorised, ranked within the industry, then size alone out."""
-    df = winsorize(df).withColumn("y", F.coalesce(rank_pct("y", *CELL, "industry"), F.lit(0.0))).withColumn("_x", F.log(F.greatest("market_cap", F.lit(1.0))))
-    slope, intercept = F.regr_slope("y", "_x").over(_cell()), F.regr_intercept("y", "_x").over(_cell())
-    return zscore(df.withColumn("e", F.when(_size_unknown(), F.col("y")).otherwise(F.col("y") - intercept - slope * F.col("_x"))).drop("_x"), "e")
+    df = rank_pct(winsorize(df)).withColumn("y", F.coalesce("y", F.lit(0.0))).withColumn("_x", F.log(F.greatest("market_cap", F.lit(1.0))))
+    df = _with(df, CELL, _slope=F.regr_slope("y", "_x"), _intercept=F.regr_intercept("y", "_x"), _unknown=F.count_if(F.col("market_cap").isNull()) > 0)
+    e = F.when(F.col("_unknown"), F.col("y")).otherwise(F.col("y") - F.col("_intercept") - F.col("_slope") * F.col("_x"))
+    return zscore(df.withColumn("e", e).drop("_x", "_slope", "_intercept", "_unknown"), "e")
 
 
 def neutralize_b2(df: DataFrame) -> DataFrame:
     """Weighted by the root of size; missing values come back as missing."""
     df = df.withColumn("_miss", F.col("y").isNull()).withColumn("y", F.coalesce("y", F.lit(0.0)))
     root = F.when(F.col("market_cap") > 0, F.sqrt("market_cap")).otherwise(0.0)
-    df = df.withColumn("_w", root / F.avg(root).over(_cell()))
+    df = _with(df, CELL, _root=F.avg(root)).withColumn("_w", root / F.col("_root")).drop("_root")
     df = industry_size_residual(df, "_w").withColumn("e", F.when(~F.col("_miss"), F.col("e")))
     return zscore(df.drop("_w", "_miss"), "e")
 
@@ -143,9 +187,9 @@ def block_residual(df: DataFrame, regressors: list[str], out: str = "e") -> Data
         return pd.Series(out)
 
     names = [f"x{i}_{j}" for i, j in pairs] + [f"y{i}" for i in range(k)]
-    betas = gram.select(*CELL, solve(*names).alias("_beta"))
+    betas = F.broadcast(written(gram.select(*CELL, solve(*names).alias("_beta"))))  # a row for each month and factor
     fitted = reduce(lambda a, b: a + b, [F.col("_beta")[i] * F.col(c) for i, c in enumerate(d)])
-    return df.join(betas, list(CELL)).withColumn(out, F.col("_dy") - fitted).drop("_beta", "_ind", "_dy", *d)
+    return _matched(df, betas, list(CELL)).withColumn(out, F.col("_dy") - fitted).drop("_beta", "_ind", "_dy", *d)
 
 
 def neutralize_b1(df: DataFrame) -> DataFrame:
@@ -153,9 +197,9 @@ def neutralize_b1(df: DataFrame) -> DataFrame:
     df = df.withColumn("_miss", F.col("y").isNull())
     df = rank_normal(df, 2).withColumn("y", F.coalesce("y", F.lit(0.0)))
     x = F.log(F.greatest("market_cap", F.lit(1.0)))
-    df = df.withColumn("_s", x - F.avg(x).over(_cell())).withColumns({"_s2": F.col("_s") ** 2, "_s3": F.col("_s") ** 3})
+    df = _with(df, CELL, _mx=F.avg(x)).withColumn("_s", x - F.col("_mx")).withColumns({"_s2": F.col("_s") ** 2, "_s3": F.col("_s") ** 3})
     df = block_residual(df, ["_s", "_s2", "_s3"]).withColumn("e", F.when(~F.col("_miss"), F.col("e")))
-    return zscore(df.drop("_s", "_s2", "_s3", "_miss"), "e")
+    return zscore(df.drop("_s", "_s2", "_s3", "_miss", "_mx"), "e")
 
 
 #: The slots of the style block; of each, the first name that the table has is taken.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.stats import avg_rank_sql, inv_norm_sql, rank_pct_sql
 from tessera.operators import cross, factors
 from tessera.sources.tables import BARS_SQL, PANEL_SQL, bars, panel, table, with_target
+from tessera.streaming.feeds import written
 
 FACTORS = ["f_qty", "f_disc", "f_tax", "f_count"]
 CELL = "PARTITION BY month_idx, factor"
@@ -17,6 +18,7 @@ def cells(spark, sf_dir, target: bool = False) -> DataFrame:
     """The panel in long form; values of every seventh part are missing, every eleventh has no industry."""
     df = panel(spark, sf_dir)
     df = with_target(df) if target else df.withColumn("target", F.lit(None).cast("double"))
+    df = written(df.select("entity", "month_idx", "industry", "market_cap", "target", *FACTORS))  # read several times
     df = cross.long_form(df, FACTORS, ["entity", "month_idx", "industry", "market_cap", "target"])
     return df.withColumn("y", F.when(F.col("entity") % 7 != 3, F.col("y"))).withColumn("industry", F.when(F.col("entity") % 11 != 5, F.col("industry")))
 
@@ -65,13 +67,13 @@ def brands(spark, sf_dir) -> DataFrame:
 
 
 def _scheme_f(spark, sf_dir):
-    df = brands(spark, sf_dir)
+    df = written(brands(spark, sf_dir))
     return cross.neutralize_f(cross.long_form(df, TARGETS, ["entity", "month_idx"]), df).select("entity", "month_idx", "factor", F.round("z", 5).alias("z"))
 
 
 def _scheme_g(alignment):
     def run(spark, sf_dir):
-        df = cross.long_form(brands(spark, sf_dir), [*TARGETS, *STYLES], ["entity", "month_idx"])
+        df = cross.long_form(written(brands(spark, sf_dir)), [*TARGETS, *STYLES], ["entity", "month_idx"])
         return cross.neutralize_g(df, cross.returns_at_month_ends(bars(spark, sf_dir)), alignment=alignment).select("entity", "month_idx", "factor", F.round("z", 5).alias("z"))
 
     return run
@@ -108,7 +110,7 @@ QUERIES = {
     "mad_winsorize": values(cross.winsorize),
     "rank_normal_v1": values(lambda df: cross.rank_normal(df, 1), 9),
     "rank_normal_v2": values(lambda df: cross.rank_normal(df, 2), 9),
-    "rank_pct_industry": lambda s, d: cells(s, d).select("entity", "month_idx", "factor", F.round(cross.rank_pct("y", "month_idx", "factor", "industry"), 9).alias("pct")),
+    "rank_pct_industry": lambda s, d: cross.rank_pct(cells(s, d)).select("entity", "month_idx", "factor", F.round("y", 9).alias("pct")),
     "neutralize_a": scores(lambda df: cross.neutralize(df, "a")),
     "neutralize_b": scores(lambda df: cross.neutralize(df, "b")),
     "neutralize_d": scores(lambda df: cross.neutralize(df, "d")),
