@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import clip
+from tessera.streaming.feeds import written
 
 FAILED = -999.0
 
@@ -154,7 +155,7 @@ def first_rows(rows: DataFrame, k: int, ascending: bool = True) -> Column:
     """Whether a row is among the k first by value, ties by number: the value at the cut by `kth`, then the number at the cut among its ties. No row is moved."""
     if k < 1:
         return F.lit(False)
-    df = rows.select((F.col("value") if ascending else -F.col("value")).alias("_v"), "number")
+    df = written(rows.select((F.col("value") if ascending else -F.col("value")).alias("_v"), "number"))  # what the histograms read again and again
     at = kth(df, "_v", k)
     if at is None:
         return F.lit(False)

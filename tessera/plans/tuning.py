@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import selection, trials
 from tessera.sources.tables import table
+from tessera.streaming.feeds import written
 
 from .strategy import rounded
 
@@ -18,7 +19,7 @@ WHOLE = ("depth", "leaf")
 
 def study(s, d) -> DataFrame:
     """One trial a part, with every kind of fault that trials have."""
-    p, key = table(s, d, "part"), F.col("p_partkey")
+    p, key = table(s, d, "part").repartition("p_partkey"), F.col("p_partkey")  # a small file is one task's, its trials aren't
     x, y = ((key * 37) % 101 - 50) / 100, ((key * 53) % 97) / 97
     nan, nothing = F.lit(float("nan")), F.lit(None).cast("double")
     metrics = {
@@ -27,19 +28,19 @@ def study(s, d) -> DataFrame:
     }
     params = {"depth": (F.col("p_size") % 8 + 2).cast("string"), "leaf": (F.col("p_size") / 4).cast("string"), "rate": (0.1 + y / 50).cast("string"), "kind": F.split("p_type", " ")[0], "flag": F.when(key % 12 == 0, "false").otherwise("true")}
     pairs = lambda m: F.create_map(*[v for k, c in m.items() for v in (F.lit(k), c)])
-    return p.select(
+    return written(p.select(
         key.alias("number"), F.when(key % 29 == 0, "FAIL").when(key % 31 == 0, "RUNNING").otherwise("COMPLETE").alias("state"),
         F.when(key % 23 == 0, nan).when(key % 19 == 0, -999.0).when(key % 37 == 0, float("inf")).otherwise(F.round(2 * x + y, 6)).alias("value"),
         pairs(params).alias("params"), F.when(key % 41 != 0, pairs(metrics)).otherwise(F.create_map().cast("map<string,double>")).alias("attrs"),
-    )
+    ))
 
 
 def _stage1(s, d) -> DataFrame:
     return selection.completed(study(s, d)).filter("value < double('inf')")
 
 
-def _stage2(s, d) -> DataFrame:
-    one = _stage1(s, d)
+def _stage2(s, d, one: DataFrame | None = None) -> DataFrame:
+    one = _stage1(s, d) if one is None else one
     return selection.quality_gate(one, selection.standard_rules(one))
 
 
@@ -47,6 +48,12 @@ def _advice(s, d) -> DataFrame:
     return trials.search_advice(_stage2(s, d), whole=WHOLE, **KINDS)
 
 
+def _verdict(s, d) -> DataFrame:
+    one = _stage1(s, d)
+    two = _stage2(s, d, one)
+    return selection.verdict(two, one, trials.search_advice(two, whole=WHOLE, **KINDS))
+
+
 def _scores(s, d) -> DataFrame:
     df = study(s, d)
     return trials.score_trials(df, WEIGHTS, trials.metric_quantiles(df.filter("number % 2 = 0")).filter("metric <> 'ic_gap_penalty'"), trials.metric_quantiles(df))
@@ -61,7 +68,7 @@ QUERIES = {
     "study_param_ranges": lambda s, d: rounded(trials.param_ranges(trials.filter_trials(study(s, d), RANGES), 0.1, ascending=False, whole=WHOLE), 6),
     "study_convergence": lambda s, d: rounded(trials.convergence(_stage2(s, d), **KINDS), 7),
     "study_advice": lambda s, d: rounded(_advice(s, d), 5),
-    "study_verdict": lambda s, d: rounded(selection.verdict(_stage2(s, d), _stage1(s, d), _advice(s, d)), 7),
+    "study_verdict": lambda s, d: rounded(_verdict(s, d), 7),
 }
 
 _ST = """st AS (SELECT *, CASE WHEN k % 13 <> 0 THEN x * x * 4 - 0.2 END AS icir, CASE WHEN k % 17 = 0 THEN 'nan'::DOUBLE WHEN k % 43 = 0 THEN (y - 0.2) * 100 ELSE y - 0.2 END AS roll, y * 0.8 - 0.1 AS gl, 0.3 + y * 0.5 AS pos, CASE WHEN k % 11 <> 0 THEN y * 0.6 END AS pen, CASE WHEN k % 47 <> 0 THEN -y END AS mdd,
