@@ -36,13 +36,19 @@ def estimates(states: DataFrame, columns: list[str], probabilities: tuple[float,
 
 def within_bounds(df: DataFrame, windows: DataFrame, found: DataFrame, columns: list[str], probabilities: tuple[float, ...] = (0.05, 0.5, 0.95), key: str = "entity") -> DataFrame:
     """window_id, split, rows, keys_ok, quantiles_ok: estimates against the rows themselves. Keys within four standard errors (one at least); a quantile's rank within twice RANK_ERROR, among ties anywhere."""
-    rows = df.join(windows, "month_idx").join(found.drop("rows"), ["window_id", "split"])
+    # windows and their estimates are small tables; a row meets those of its months and goes into sums at once
+    rows = df.join(F.broadcast(windows.join(found.drop("rows"), ["window_id", "split"])), "month_idx")
     share = lambda c, i, op: F.avg(op(F.col(c), F.get(f"{c}_q", F.lit(i))).cast("double"))
     tests = []
     for c in columns:
         for i, p in enumerate(probabilities):
             below, upto = share(c, i, lambda a, b: a < b), share(c, i, lambda a, b: a <= b)
             tests.append((below <= p + 2 * RANK_ERROR) & (upto >= p - 2 * RANK_ERROR))
-    n = F.count_distinct(key)
+    sums = rows.groupBy("window_id", "split").agg(F.count("*").alias("rows"), F.max("distinct_keys").alias("_about"), reduce(lambda a, b: a & b, tests).alias("quantiles_ok"))
+    # a key's months first, then the windows that have any of them: rows aren't copied into windows to be told apart
+    of = windows.groupBy("month_idx").agg(F.collect_list(F.struct("window_id", "split")).alias("_w"))
+    seen = df.filter(F.col(key).isNotNull()).select(key, "month_idx").distinct().join(F.broadcast(of), "month_idx").groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("_w"))).alias("_w"))
+    keys = seen.select(F.explode("_w").alias("w")).groupBy("w.window_id", "w.split").agg(F.count("*").alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
     error = F.greatest(F.lit(1.0), n * 4 * 1.04 / 2 ** (HLL_BITS / 2))
-    return rows.groupBy("window_id", "split").agg(F.count("*").alias("rows"), (F.abs(n - F.max("distinct_keys")) <= error).alias("keys_ok"), reduce(lambda a, b: a & b, tests).alias("quantiles_ok"))
+    return sums.join(keys, ["window_id", "split"], "left").select("window_id", "split", "rows", (F.abs(n - F.col("_about")) <= error).alias("keys_ok"), "quantiles_ok")

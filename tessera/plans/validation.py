@@ -62,9 +62,9 @@ def _given(s, d) -> DataFrame:
 
 def _sketched(s, d) -> DataFrame:
     """Windows from the months' stored states, and whether they agree with the rows themselves."""
-    df, columns = panel(s, d), ["close", "f_qty"]
-    windows = portfolio.rolling_windows(df)
-    found = sketches.estimates(sketches.merged(written(sketches.month_states(df, columns)), windows, columns), columns)
+    df, columns = written(panel(s, d).select("entity", "month_idx", "close", "f_qty")), ["close", "f_qty"]
+    windows = written(portfolio.rolling_windows(df))
+    found = written(sketches.estimates(sketches.merged(written(sketches.month_states(df, columns)), windows, columns), columns))
     return sketches.within_bounds(df, windows, found, columns)
 
 
