@@ -6,6 +6,8 @@ never by row order. Portfolios carry a `series` key, so many strategies are one
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,9 +82,10 @@ def blend(df: DataFrame, weight: float) -> DataFrame:
 
 def build_portfolio(df: DataFrame, top: int = 20, weights: tuple[float, ...] = TIERS, least: int = 15, group: tuple[str, ...] = ("month_idx",)) -> DataFrame:
     """The best `top` rows of each cross-section of `least` rows or more, with tiers and weights; ties go by entity."""
-    cell = W.partitionBy(*group)
-    df = df.withColumn("_n", F.count("*").over(cell)).withColumn("place", F.row_number().over(cell.orderBy(F.desc("score"), "entity")))
-    df = df.filter((F.col("place") <= top) & (F.col("_n") >= least)).drop("_n")
+    sizes = df.groupBy(*[F.col(c).alias(f"_g{c}") for c in group]).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    df = df.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.desc("score"), "entity"))).filter(F.col("place") <= top)  # alone, so that each task keeps its best only
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g{c}")) for c in group])
+    df = df.join(sizes, same, "left_semi")
     half = len(weights) // 2
     weight = F.coalesce(F.get(F.array(*[F.lit(w) for w in weights]), F.col("place") - 1), F.lit(0.0))
     tier = F.when(F.col("place") <= half, "High").when(F.col("place") <= len(weights), "Low").otherwise("Reserve")

@@ -9,7 +9,7 @@ from tessera.sources.tables import BARS_SQL, PANEL_SQL, bars, clean, panel, tabl
 
 from .cross import _PAIRS, _ic
 from .reports import ORDERED, TR, _trials, ordered
-from .strategy import M, O, _overlay_input, monthly, rounded
+from .strategy import M, O, _overlay_input, base, monthly, rounded
 
 
 def _returns(s, d):
@@ -29,8 +29,9 @@ def _guard(s, d):
 
 
 def _overlay_returns(s, d):
-    targets = with_target(panel(s, d)).select("entity", F.col("month_idx").cast("int").alias("seq"), "target")
-    return alignment.overlay_returns(overlay.run(_overlay_input(s, d)), targets)
+    universe = base(s, d)
+    targets = universe.select("entity", F.col("month_idx").cast("int").alias("seq"), "target")
+    return alignment.overlay_returns(overlay.run(_overlay_input(s, d, universe)), targets)
 
 
 def _gap(s, d):

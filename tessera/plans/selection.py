@@ -36,12 +36,19 @@ def _rates(s, d) -> DataFrame:
 
 
 def _view(s, d) -> DataFrame:
-    df = selection.holdings_view(held(s, d), overlay.run(_overlay_input(s, d)))
+    universe = base(s, d)
+    df = selection.holdings_view(held(s, d, universe), overlay.run(_overlay_input(s, d, universe)))
     return df.select("series", "month_idx", "entity", "weight", F.round("contribution", 10).alias("contribution"), "action")
 
 
+def _done(s, d, universe: DataFrame | None = None) -> DataFrame:
+    """What the overlay did, written once for those who read it twice."""
+    return written(overlay.run(_overlay_input(s, d, universe)).select("seq", "entity", "weight", "sold", "label"))
+
+
 def _overlaid(s, d) -> DataFrame:
-    universe, done = base(s, d), written(overlay.run(_overlay_input(s, d)).select("seq", "entity", "weight", "sold", "label"))
+    universe = base(s, d)
+    done = _done(s, d, universe)
     df = attribution.brinson(attribution.overlaid(selection.with_cash(done), universe), universe)
     return df.select("series", "month_idx", "industry", "w_port", "r_port", "allocation", "selection", "interaction")
 
@@ -55,7 +62,7 @@ QUERIES = {
     "mode_schema": lambda s, d: selection.mode_schema(with_target(panel(s, d)), ["target", *FEATURES]),
     "monthly_rf": lambda s, d: rounded(selection.monthly_rf(_rates(s, d), ["short", "long"]), 9),
     "month_keys": lambda s, d: selection.month_keys(panel(s, d).select("entity", "pred_month", F.when(F.col("f_count") > 1, F.col("industry")).alias("name"))),
-    "overlay_with_cash": lambda s, d: rounded(selection.with_cash(overlay.run(_overlay_input(s, d))), 8),
+    "overlay_with_cash": lambda s, d: rounded(selection.with_cash(_done(s, d)), 8),
     "holdings_view": _view,
     "validation_extras": lambda s, d: rounded(selection.validation_extras(monthly(s, d)), 6),
     "trial_cap_params": lambda s, d: selection.cap_params(_tuned(s, d), GROUPS),

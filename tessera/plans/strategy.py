@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import avg_rank_sql
@@ -26,7 +25,7 @@ def scored(spark, sf_dir, table: DataFrame | None = None) -> DataFrame:
 
 
 def holdings(spark, sf_dir, table: DataFrame | None = None) -> DataFrame:
-    return portfolio.build_portfolio(scored(spark, sf_dir, table), group=("series", "month_idx"))
+    return portfolio.build_portfolio(scored(spark, sf_dir, base(spark, sf_dir) if table is None else table), group=("series", "month_idx"))
 
 
 def held(spark, sf_dir, table: DataFrame | None = None) -> DataFrame:
@@ -92,11 +91,12 @@ def _contributions(spark, sf_dir) -> DataFrame:
     return panel(spark, sf_dir).select("month_idx", F.explode(cells).alias("x")).select("month_idx", "x.*")
 
 
-def _overlay_input(spark, sf_dir) -> DataFrame:
-    """Entities are parts; two category votes and two oscillators from the panel's standardised factors."""
-    df = panel(spark, sf_dir)
-    w = W.partitionBy("month_idx")
-    z = lambda c: (F.col(c) - F.avg(c).over(w)) / (F.stddev_pop(c).over(w) + 1e-6)
+def _overlay_input(spark, sf_dir, table: DataFrame | None = None) -> DataFrame:
+    """Entities are parts; two category votes and two oscillators from the panel's standardised factors. A month's means and deviations are a row that meets its rows."""
+    df = (written(panel(spark, sf_dir).select("entity", "month_idx", *FEATURES)) if table is None else table).select("entity", "month_idx", *FEATURES)
+    months = df.groupBy("month_idx").agg(*[x for c in FEATURES for x in (F.avg(c).alias(f"_m{c}"), F.stddev_pop(c).alias(f"_s{c}"))])
+    df = df.join(F.broadcast(written(months)), "month_idx")  # a row a month
+    z = lambda c: (F.col(c) - F.col(f"_m{c}")) / (F.col(f"_s{c}") + 1e-6)
     df = df.withColumns({"zq": F.round(z("f_qty"), 6), "zd": F.round(z("f_disc"), 6), "zt": F.round(z("f_tax"), 6), "zc": F.round(z("f_count"), 6)})
     df = df.withColumn("zt", F.when(F.col("entity") % 5 != 0, F.col("zt")))
     ts = overlay.trend_score([[F.col("zq") > 0, F.col("zt") > 0], [F.col("zc") > F.col("zq")]])
