@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.streaming.feeds import written
+
 CASH = ("CASH", "CASH_POOL")
 
 
@@ -58,8 +60,8 @@ def brinson_rollup(effects: DataFrame) -> DataFrame:
 def proxy_factors(df: DataFrame, columns: dict[str, tuple[str, bool]], rf_annual: float = 0.03, least: int = 30) -> DataFrame:
     """Monthly factor returns: the market over the risk-free rate, and for each name the mean target at or below the median of a column less that above (or the reverse if `high`); months under `least` rows give 0."""
     df = df.filter("target is not null")
-    cell = W.partitionBy("month_idx")
-    df = df.withColumns({f"_m_{k}": F.median(c).over(cell) for k, (c, _) in columns.items()})
+    medians = df.groupBy("month_idx").agg(*[F.median(c).alias(f"_m_{k}") for k, (c, _) in columns.items()])
+    df = df.join(F.broadcast(written(medians)), "month_idx")  # a row a month
     aggs = [(F.avg("target") - rf_annual / 12).alias("mkt")]
     for k, (c, high) in columns.items():
         low = F.avg(F.when(F.col(c) <= F.col(f"_m_{k}"), F.col("target")))

@@ -52,9 +52,9 @@ def ordered(s, d) -> DataFrame:
 ORDERED = "SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdate) AS month_idx, l_partkey AS entity FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
-def _effects(s, d) -> DataFrame:
-    table = base(s, d)
-    return attribution.brinson(holdings(s, d, table).filter("is_holding"), table)
+def _effects(s, d, table: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+    table = base(s, d) if table is None else table
+    return attribution.brinson(holdings(s, d, table).filter("is_holding") if of is None else of, table)
 
 
 def _trials(s, d) -> DataFrame:
@@ -96,14 +96,15 @@ _PROXY = {"smb": ("market_cap", False), "hml": ("f_disc", True), "rmw": ("f_qty"
 PROXY_SQL = f"pt AS (SELECT *, {', '.join(f'median({c}) OVER w AS m_{k}' for k, (c, _) in _PROXY.items())} FROM panel WHERE target IS NOT NULL WINDOW w AS (PARTITION BY month_idx)), pg AS (SELECT month_idx, count(*) AS n, avg(target) - 0.0025 AS mkt, {', '.join(f'coalesce({1 if high else -1} * (avg(target) FILTER ({c} > m_{k}) - avg(target) FILTER ({c} <= m_{k})), 0) AS {k}' for k, (c, high) in _PROXY.items())} FROM pt GROUP BY 1), pf AS (SELECT month_idx, {', '.join(f'CASE WHEN n >= 30 THEN {k} ELSE 0 END AS {k}' for k in ('mkt', *_PROXY))} FROM pg)"
 
 
-def _excess(s, d) -> DataFrame:
-    held = holdings(s, d).filter("is_holding and target is not null")
+def _excess(s, d, table: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+    held = (holdings(s, d, table).filter("is_holding") if of is None else of).filter("target is not null")
     return held.groupBy("series", "month_idx").agg((F.sum(F.col("weight") * F.col("target")) - 0.0025).alias("excess"))
 
 
-def _regression(s, d) -> DataFrame:
-    factors = attribution.proxy_factors(with_target(panel(s, d)), _PROXY)
-    return attribution.factor_regression(_excess(s, d).join(factors, "month_idx"), ["mkt", *_PROXY])
+def _regression(s, d, table: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+    table = base(s, d) if table is None else table
+    factors = attribution.proxy_factors(table, _PROXY)
+    return attribution.factor_regression(_excess(s, d, table, of).join(factors, "month_idx"), ["mkt", *_PROXY])
 
 
 def _regression_sql(ridge: float = 0.01, least: int = 6) -> str:

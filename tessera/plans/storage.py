@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from tessera.operators import alignment, isolated
 from tessera.sources import files, store
 from tessera.sources.tables import PANEL_SQL, panel, read_panel, table, with_target
-from tessera.streaming.feeds import scratch
+from tessera.streaming.feeds import scratch, written
 
 from .reports import BR, PROXY_SQL, _effects, _regression
-from .strategy import holdings, rounded
+from .strategy import base, held, rounded
 
 
 def _z(df: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def _ingested(s, d) -> DataFrame:
 
 def _validated(s, d) -> DataFrame:
     """Months of the panel against themselves with faults by month: gone, new, another key, a column fewer, a narrower type, only another order."""
-    df = panel(s, d).select("entity", "month_idx", "close", "f_qty", "market_cap")
+    df = written(panel(s, d).select("entity", "month_idx", "close", "f_qty", "market_cap"))  # read by every delivery
     at, m = scratch(s), F.col("month_idx") % 7
     df.filter(m != 1).repartition("month_idx").write.partitionBy("month_idx").parquet(f"{at}/reference")
     changed = df.filter(m != 0).repartition("month_idx").withColumn("entity", F.when((m == 2) & (F.col("entity") % 50 == 3), -F.col("entity")).otherwise(F.col("entity")))
@@ -85,9 +85,10 @@ def _guarded(s, d) -> DataFrame:
 
 def _parts(s, d) -> DataFrame:
     """The attribution's parts, one of them asking for a column that isn't there."""
-    h = holdings(s, d).filter("is_holding")
+    universe = base(s, d)
+    h = written(held(s, d, universe))
     parts = {
-        "brinson": lambda: _effects(s, d), "five_factor": lambda: _regression(s, d), "broken": lambda: h.select("no_such_column"),
+        "brinson": lambda: _effects(s, d, universe, h), "five_factor": lambda: _regression(s, d, universe, h), "broken": lambda: h.select("no_such_column"),
         "fails_late": lambda: h.select(F.assert_true(F.col("weight") < 0)), "empty": lambda: h.filter("weight > 2"),
     }
     return isolated.run_all(s, parts)[0].select("part", "status", "rows")
