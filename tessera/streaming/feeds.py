@@ -65,19 +65,22 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OUT = "entity bigint, seq int, ts double, ei double, sign int, ats double, timing double, sold boolean, label string"
-#: What is kept of an entity: the last month that was folded, and the months that wait for the watermark.
-_STATE = "seq int, sign int, ats double, sold boolean, waiting array<struct<seq: int, ts: double, ei: double>>"
+#: What is kept of a bucket of entities: the last month that was folded of each, and the months that wait for the watermark.
+_STATE = "last array<struct<entity: bigint, seq: int, sign: int, ats: double, sold: boolean>>, waiting array<struct<entity: bigint, seq: int, ts: double, ei: double>>"
+#: A key of the state is 2 ** _BUCKET neighbouring entities: a call, a state and a timer serve them all.
+_BUCKET = 8
 #: Milliseconds that a month number stands for in event time.
 _MONTH = 1000
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Overlay(StatefulProcessor):
-    """The overlay of one entity as typed state that timers on event time move on and end.
+    """The overlay of a bucket of entities as typed state that timers on event time move on and end.
 
     A month waits until the watermark has passed it, so months may come late, in any order, within the delay; what comes
-    after that is left out. Then the months that are due are folded in order. A month that stays absent makes the next one
-    new, so two months after the last one the state has no effect any more, and a timer clears it.
+    after that is left out. Then the months that are due are folded in order, entity by entity. A month that stays absent
+    makes the next one new, so two months after the last one an entity's state has no effect any more, and a timer clears
+    it. Rows of no entity only move the watermark.
     """
 
     def __init__(self, threshold: float = THRESHOLD, band: float = BAND):
@@ -87,48 +90,60 @@ class Overlay(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("overlay", _STATE)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
-        r = initialState.iloc[0]
-        self.state.update((int(r.seq), int(r.sign), float(r.ats), bool(r.sold), []))
-        self.handle.registerTimer((int(r.seq) + 2) * _MONTH)
+        last, waiting = self._kept()
+        for r in initialState.itertuples(index=False):
+            last[int(r.entity)] = (int(r.seq), int(r.sign), float(r.ats), bool(r.sold))
+        self._keep(last, waiting)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seq, *rest, waiting = self._kept()
+        if pd.isna(key[0]):
+            for _ in rows:
+                pass
+            yield pd.DataFrame(columns=_NAMES)
+            return
+        last, waiting = self._kept()
         for part in rows:
-            waiting += [(int(a), float(b), float(c)) for a, b, c in zip(part["seq"], part["ts"], part["ei"]) if a > seq]
-        yield self._fold(key, (seq, *rest), waiting, timerValues.getCurrentWatermarkInMs())
+            new = zip(part["entity"].tolist(), part["seq"].tolist(), part["ts"].tolist(), part["ei"].tolist())
+            waiting += [w for w in new if w[0] not in last or w[1] > last[w[0]][0]]
+        yield self._fold(last, waiting, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        seq, *rest, waiting = self._kept()
+        last, waiting = self._kept()
         now = timerValues.getCurrentWatermarkInMs()
-        if not waiting and (seq + 2) * _MONTH <= now:
-            self.state.clear()
-            yield pd.DataFrame(columns=_NAMES)
-        else:
-            yield self._fold(key, (seq, *rest), waiting, now)
+        waits = {w[0] for w in waiting}
+        last = {e: x for e, x in last.items() if e in waits or (x[0] + 2) * _MONTH > now}
+        yield self._fold(last, waiting, now)
 
     def close(self) -> None:
         pass
 
-    def _kept(self) -> tuple:
+    def _kept(self) -> tuple[dict, list[tuple]]:
         if not self.state.exists():
-            return -9, 0, 0.0, False, []
-        seq, sign, ats, sold, waiting = self.state.get()
-        return seq, sign, ats, sold, [tuple(w) for w in waiting or []]
-
-    def _fold(self, key: tuple, last: tuple, waiting: list[tuple], watermark: int) -> pd.DataFrame:
-        seq, sign, ats, sold = last
-        due, out = sorted(w for w in waiting if w[0] * _MONTH <= watermark), []
-        for month, ts, ei in due:
+            return {}, []
+        last, waiting = self.state.get()
+        return {x[0]: tuple(x[1:]) for x in last or []}, [tuple(w) for w in waiting or []]
+
+    def _keep(self, last: dict, waiting: list[tuple]) -> None:
+        if not last and not waiting:
+            self.state.clear()
+            return
+        self.state.update(([(e, *x) for e, x in last.items()], waiting))
+        waits = {w[0] for w in waiting}
+        self.handle.registerTimer(min([*(w[1] for w in waiting), *(x[0] + 2 for e, x in last.items() if e not in waits)]) * _MONTH)
+
+    def _fold(self, last: dict, waiting: list[tuple], watermark: int) -> pd.DataFrame:
+        due, out = sorted(w for w in waiting if w[1] * _MONTH <= watermark), []
+        for entity, month, ts, ei in due:
+            seq, sign, ats, sold = last.get(entity, (-9, 0, 0.0, False))
             kept, again = seq == month - 1, sold
             if not kept or sold:
                 sign, ats = (1 if ei >= 0 else -1), ts
             elif ei < -self.band if sign > 0 else ei > self.band:
                 sign, ats = -sign, ts
-            seq, sold = month, ats - ei < self.threshold
-            out.append((key[0], seq, ts, ei, sign, ats, ats - ei, sold, "SELL" if sold else "REENTER" if kept and again else "HOLD"))
-        left = [w for w in waiting if w[0] * _MONTH > watermark]
-        self.state.update((seq, sign, float(ats), bool(sold), left))
-        self.handle.registerTimer(min(w[0] for w in left) * _MONTH if left else (seq + 2) * _MONTH)
+            sold = ats - ei < self.threshold
+            last[entity] = (month, sign, ats, sold)
+            out.append((entity, month, ts, ei, sign, ats, ats - ei, sold, "SELL" if sold else "REENTER" if kept and again else "HOLD"))
+        self._keep(last, [w for w in waiting if w[1] * _MONTH > watermark])
         return pd.DataFrame(out, columns=_NAMES)
 
 
@@ -138,8 +153,9 @@ _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 def overlay_state(rows: DataFrame, late: int = 2, initial: DataFrame | None = None, **options) -> DataFrame:
     """The overlay on a stream of (entity, seq, ts, ei) whose months may come `late` months behind the newest; initial: the state (entity, seq, sign, ats, sold) to go on from. It needs the RocksDB state store."""
     timed = rows.withColumn("at", F.timestamp_millis(F.col("seq").cast("long") * _MONTH)).withWatermark("at", f"{late} seconds")
-    start = None if initial is None else initial.groupBy("entity")
-    return timed.groupBy("entity").transformWithStateInPandas(Overlay(**options), _OUT, "append", "EventTime", start)
+    bucket = F.shiftright("entity", _BUCKET)
+    start = None if initial is None else initial.withColumn("bucket", bucket).groupBy("bucket")
+    return timed.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(Overlay(**options), _OUT, "append", "EventTime", start)
 
 
 def stream_overlay(spark: SparkSession, holdings: DataFrame, parts: list[Column] | None = None, late: int = 2, initial: DataFrame | None = None) -> DataFrame:

@@ -67,3 +67,15 @@ def test_parts_read_a_stored_panel(spark, monkeypatch):
         monkeypatch.setattr(m, "panel", lambda s, d, f=m.panel: made.append(1) or f(s, d))
     catalog.queries()["attribution_run_all"](spark, SMALL)
     assert len(made) == 1
+
+
+def test_entities_share_the_calls_of_the_overlay_stream(spark):
+    """State is kept by buckets of entities, so calls and timers don't grow with each entity; several buckets equal the batch fold."""
+    from tessera.operators import overlay
+    from tessera.streaming import feeds
+
+    assert feeds._STATE.startswith("last array<struct<entity")
+    rows = [(e, m, ((e * 7 + m * 5) % 19 - 9) / 9, ((e * 3 + m * 11) % 17 - 8) / 8, 0.1) for e in (0, 1, 255, 256, 700, 70000) for m in range(1, 9) if (e + m) % 5]
+    df = spark.createDataFrame(rows, "entity long, seq int, ts double, ei double, weight double")
+    want = sorted(feeds.rounded_overlay(overlay.run(df)).collect())
+    assert sorted(feeds.rounded_overlay(feeds.stream_overlay(spark, df)).collect()) == want
