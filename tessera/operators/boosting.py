@@ -1,9 +1,11 @@
 """Boosted trees on absolute error for all rolling windows at once, with a learning rate that decays in steps.
 
-A stage fits one tree a window to the signs of the residuals. A level of all trees is one aggregation: counts and sums of
-signs by window, node, feature and bin, whole numbers, so their sums don't depend on how rows are dealt and reruns give
-the same trees. The driver holds the splits and the leaves alone (windows times 2 ** depth rows at most); rows learn their
-node by a join with these. A leaf's value is the median residual of its rows. Each stage is written, so lineage doesn't grow.
+Rows are stored once, whatever number of windows they are in: keys, label, and for each feature the number of the
+windows' bin edges below its value. A stage fits one tree a window to the signs of the residuals, which every pass works
+out anew from the trees so far, so rows are never copied into windows or written again. A level of all trees is one pass:
+tasks count signs by window, node, feature and bin, Spark adds these counts up; they are whole numbers, so they don't
+depend on how rows are dealt and reruns give the same trees. A leaf's value is the median residual of its rows, exactly,
+by histograms of narrower ranges and then the values of the one cell. The driver holds edges, splits and leaves alone.
 
 Missing features count as 0; rows without a label are scored but not fitted; a window without labelled training rows
 scores NULL.
@@ -12,8 +14,13 @@ scores NULL.
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import batched
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,6 +28,11 @@ from pyspark.sql import functions as F
 from tessera.functions.stats import avg_rank, correlation
 from tessera.streaming.feeds import written
 
+#: Cells of a leaf's histogram, the rows of a cell below which its values are listed, and the histograms at most (values are listed after these in any case).
+CELLS, FEW, NARROWED = 512, 1 << 16, 4
+#: Shares of a month that are dealt apart when rows are stored.
+SHARES = 2
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -47,25 +59,192 @@ class Settings:
         return max(self.rate * self.decay ** (stage // self.decay_every), self.rate * self.rate_floor)
 
 
-def binned(df: DataFrame, windows: DataFrame, features: list[str], label: str, s: Settings, keys: list[str]) -> DataFrame:
-    """window_id, split, keys, y, b (bins of the features) of every window's rows, by quantiles of its own training rows."""
-    rows = df.select(*keys, F.col(label).cast("double").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]).join(windows, "month_idx")
+@dataclass
+class Model:
+    """What tasks get: the windows of each month, places of a window's edges among all edges, first scores, trees as (splits, steps of the leaves)."""
+
+    months: dict[int, list[tuple[int, str]]]
+    codes: list[int] = field(default_factory=list)  # of each feature
+    edges: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    base: dict[int, float] = field(default_factory=dict)
+    trees: dict[int, list[tuple[dict, np.ndarray]]] = field(default_factory=dict)
+
+    def score(self, window: int, codes: list[np.ndarray], upto: int | None = None) -> np.ndarray:
+        f = np.full(len(codes[0]), self.base[window])
+        for splits, steps in self.trees.get(window, [])[:upto]:
+            f += _node(codes, splits, len(steps).bit_length() - 1, steps)
+        return f
+
+
+@lru_cache(4096)
+def _table(asked: tuple[int, ...], levels: int) -> np.ndarray:
+    """The leaf, from 0, for every set of answers (bits) to the splits of these nodes; where a node isn't split rows go left."""
+    out = []
+    for x in range(1 << len(asked)):
+        node = 1
+        for _ in range(levels):
+            node = 2 * node + (x >> asked.index(node) & 1 if node in asked else 0)
+        out.append(node - (1 << levels))
+    return np.array(out, np.int32)
+
+
+def _node(codes: list[np.ndarray], splits: dict, levels: int, steps: np.ndarray | None = None) -> np.ndarray:
+    """The node of every row, `levels` below the root, or the step of its leaf: the answers to all splits are bits of a number, which a table takes to the node."""
+    first, asked = 1 << levels, tuple(k for k in sorted(splits) if k < 1 << levels)
+    if len(asked) > 12:  # deep trees: level by level
+        node = np.ones(len(codes[0]), np.int32)
+        for level in range(levels):
+            step = np.zeros(len(node), np.int32)
+            for k in (k for k in asked if k >> level == 1):
+                at = np.flatnonzero(node == k)
+                step[at] = codes[splits[k][0]][at] > splits[k][1]
+            node = 2 * node + step
+        return node if steps is None else steps[node - first]
+    bits = np.zeros(len(codes[0]), np.uint8 if len(asked) <= 8 else np.uint16)
+    for i, k in enumerate(asked):
+        bits |= (codes[splits[k][0]] > splits[k][1]).view(np.uint8).astype(bits.dtype, copy=False) << bits.dtype.type(i)
+    table = _table(asked, levels)
+    return (table + first if steps is None else steps[table])[bits]
+
+
+_P = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _turned(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _mixed(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """What xxhash64 makes of integers before the seed comes in, and their bytes: 4 for int32, else 8."""
+    if values.dtype == np.int32:
+        return values.view(np.uint32).astype(np.uint64) * _P[0], 4
+    return _turned(values.view(np.uint64) * _P[1], 31) * _P[0], 8
+
+
+def _hashed(mixed: tuple[np.ndarray, int], seed: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of integers, chained by the seed."""
+    h, size = (seed + (_P[4] + np.uint64(mixed[1]))) ^ mixed[0], mixed[1]
+    h = _turned(h, 23 if size == 4 else 27)
+    h *= _P[1] if size == 4 else _P[0]
+    h += _P[2] if size == 4 else _P[3]
+    for shift, by in ((33, _P[1]), (29, _P[2]), (32, None)):
+        h ^= h >> np.uint64(shift)
+        if by is not None:
+            h *= by
+    return h
+
+
+def _drawn(window: int, keys: list[tuple[np.ndarray, int]], stage: int, s: Settings) -> np.ndarray:
+    """Whether a row is drawn for a window's tree: pmod(xxhash64(window, keys, stage, seed), 10000) under the share."""
+    h = _hashed(_mixed(np.array([window], np.int64)), np.array([42], np.uint64))
+    for k in (*keys, _mixed(np.array([stage], np.int32)), _mixed(np.array([s.seed], np.int32))):
+        h = _hashed(k, h)
+    return h.view(np.int64) % 10_000 < int(s.rows * 10_000)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], n: int) -> Iterator[tuple]:
+    """month, keys, label (NaN: none), codes of rows that follow each other in one month."""
+    for b in batches:
+        month, y = b["month_idx"].to_numpy(), b["y"].to_numpy(zero_copy_only=False)
+        columns, codes = [b[f"k{i}"].to_numpy() for i in range(len(keys))], [b[f"c{i}"].to_numpy() for i in range(n)]
+        cuts = [0, *(np.flatnonzero(np.diff(month)) + 1).tolist(), len(month)]
+        for i, j in zip(cuts, cuts[1:]):
+            if j > i:
+                yield int(month[i]), b.slice(i, j - i), [k[i:j] for k in columns], y[i:j], [c[i:j] for c in codes]
+
+
+@dataclass
+class Stored:
+    """The rows of all windows, once; a pass gives each task's counts or rows."""
+
+    rows: DataFrame
+    keys: list[str]
+    n: int
+
+    def _labelled(self, split: str, model: Model, active: set[int]) -> Callable:
+        """window, keys (mixed for the hash), labels and codes of the labelled rows of that split of the active windows, run by run."""
+        months = {m: [w for w, k in found if k == split and w in active] for m, found in model.months.items()}
+        keys, n = self.keys, self.n
+
+        def found(batches):
+            for month, _, k, y, codes in _runs(batches, keys, n):
+                if months.get(month):
+                    known = ~np.isnan(y)
+                    if not known.all():
+                        k, y, codes = [x[known] for x in k], y[known], [c[known] for c in codes]
+                    k = [_mixed(x) for x in k]
+                    if len(y):
+                        yield from ((w, k, y, codes) for w in months[month])
+
+        return found
+
+    def summed(self, one: Callable, cells: Callable, columns: str, split: str, model: Model, active: set[int]) -> DataFrame:
+        """The arrays that `one(window, keys, y, codes)` gives, added up by window in each task; `cells` names those that aren't 0 (its last two columns are sums), and Spark adds up the tasks'."""
+        found, names = self._labelled(split, model, active), [c.split()[0] for c in columns.split(", ")]
+
+        def task(batches):
+            sums: dict[int, np.ndarray] = {}
+            for w, k, y, codes in found(batches):
+                part = one(w, k, y, codes)
+                sums[w] = sums[w] + part if w in sums else part
+            for w, part in sums.items():
+                out = cells(part)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(out[0]), w, np.int64), *out)], names=names)
+
+        out = self.rows.mapInArrow(task, columns)
+        return out.groupBy(*names[:-2]).agg(*[F.sum(c).alias(c) for c in names[-2:]])
+
+    def listed(self, one: Callable, split: str, model: Model, active: set[int]) -> DataFrame:
+        """window_id, node, value, n: how often each of the values that `one` lists comes; equal ones are counted within a task first."""
+        found = self._labelled(split, model, active)
+
+        def task(batches):
+            for some in batched(found(batches), 1024):
+                parts = [(w, *one(w, k, y, codes)) for w, k, y, codes in some]
+                t = pa.table({"window_id": np.concatenate([np.full(len(v), w, np.int64) for w, _, v in parts]), "node": np.concatenate([x for _, x, _ in parts]).astype(np.int64), "value": np.concatenate([v for _, _, v in parts]) + 0.0})
+                yield from t.group_by(["window_id", "node", "value"]).aggregate([([], "count_all")]).select(["window_id", "node", "value", "count_all"]).rename_columns(["window_id", "node", "value", "n"]).to_batches()
+
+        return self.rows.mapInArrow(task, "window_id bigint, node bigint, value double, n bigint").groupBy("window_id", "node", "value").agg(F.sum("n").alias("n"))
+
+
+def stored(df: DataFrame, windows: DataFrame, features: list[str], label: str, s: Settings, keys: list[str]) -> tuple[Stored, Model]:
+    """Rows by month with their places among the edges; edges are quantiles of each window's own training rows, from the counts of each month's values."""
+    months: dict[int, list[tuple[int, str]]] = {}
+    for r in windows.select("month_idx", F.col("window_id").cast("bigint"), "split").collect():  # windows times months
+        months.setdefault(r[0], []).append((r[1], r[2]))
+    types = dict(df.dtypes)
+    whole = lambda c: F.col(c).cast("int") if types[c] in ("tinyint", "smallint") else F.col(c) if types[c] in ("int", "bigint") else F.xxhash64(c)
+    raw = written(df.select(*keys, *[whole(c).alias(f"k{i}") for i, c in enumerate(keys)], *([] if "month_idx" in keys else ["month_idx"]), F.col(label).cast("double").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]))
+    model, n = Model(months), len(features)
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"x{i}").alias("x")) for i in range(n)]))
+    counts = raw.filter("y is not null").select("month_idx", values.alias("v")).groupBy("month_idx", "v.feature", "v.x").agg(F.count("*").alias("n"))
+    train = F.broadcast(windows.filter("split = 'train'").select(F.col("window_id").cast("bigint").alias("window_id"), "month_idx"))  # windows times months
     probs = [i / s.bins for i in range(1, s.bins)]
-    fit = (F.col("split") == "train") & F.col("y").isNotNull()
-    edges = rows.filter(fit).groupBy("window_id").agg(F.median("y").alias("f"), *[F.array_distinct(F.percentile(f"x{i}", probs)).alias(f"e{i}") for i in range(len(features))])
-    place = lambda i: F.size(F.filter(f"e{i}", lambda e: e < F.col(f"x{i}")))
-    rows = rows.join(edges, "window_id", "left")
-    return rows.select("window_id", "split", *keys, "y", F.array(*[place(i) for i in range(len(features))]).alias("b"), "f", F.col("f").alias("best"))
+    edges = counts.join(train, "month_idx").groupBy("window_id", "feature").agg(F.array_distinct(F.percentile("x", probs, F.col("n"))).alias("e")).collect()
+    every = [np.unique(np.array([e for r in edges if r.feature == i for e in r.e], np.float64)) for i in range(n)]
+    model.codes = [len(e) + 1 for e in every]
+    for r in edges:
+        model.edges.setdefault(r.window_id, [np.zeros(0, np.int64)] * n)[r.feature] = np.searchsorted(every[r.feature], np.unique(np.array(r.e, np.float64)))
+
+    def placed(batches):
+        for b in batches:
+            codes = [pa.array(np.searchsorted(every[i], b[f"x{i}"].to_numpy()).astype(np.int32)) for i in range(n)]
+            left = [c for c in b.schema.names if c not in {f"x{i}" for i in range(n)}]
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in left], *codes], names=[*left, *[f"c{i}" for i in range(n)]])
+
+    kept = [f for f in raw.schema.fields if f.name not in {f"x{i}" for i in range(n)}]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"c{i} int" for i in range(n)]])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = raw.mapInArrow(placed, schema).repartition(parts, "month_idx", F.pmod(F.xxhash64(*keys), F.lit(SHARES))).sortWithinPartitions("month_idx")
+    return Stored(written(rows), keys, n), model
 
 
 def _worth(g: Column, n: Column, s: Settings) -> Column:
     return F.pow(F.greatest(F.abs(g) - s.alpha, F.lit(0.0)), 2) / (n + s.ridge)
 
 
-def _splits(rows: DataFrame, columns: list[int], s: Settings) -> list[tuple[int, int, int, int, float]]:
+def _splits(hist: DataFrame, s: Settings) -> list[tuple[int, int, int, int, float]]:
     """The best split of each window and node: (window, node, feature, bin, gain); equal gains go to the first feature and bin."""
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.get("b", F.lit(i)).alias("bin")) for i in columns]))
-    hist = rows.select("window_id", "node", "g", cells.alias("c")).groupBy("window_id", "node", F.col("c.feature").alias("feature"), F.col("c.bin").alias("bin")).agg(F.sum("g").alias("g"), F.count("*").alias("n"))
     cell = W.partitionBy("window_id", "node", "feature")
     upto = cell.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     hist = hist.withColumns({"gl": F.sum("g").over(upto), "nl": F.sum("n").over(upto), "ga": F.sum("g").over(cell), "na": F.sum("n").over(cell)})
@@ -75,12 +254,112 @@ def _splits(rows: DataFrame, columns: list[int], s: Settings) -> list[tuple[int,
     return [(r.window_id, r.node, -r.m.f, -r.m.b, r.m.gain) for r in best.collect()]  # a row a node
 
 
-def _descend(rows: DataFrame, splits: list[tuple]) -> DataFrame:
-    """Rows with the node of the next level; where a node isn't split they go left."""
-    table = rows.sparkSession.createDataFrame([x[:4] for x in splits], "window_id bigint, node bigint, feature int, at int")
-    rows = rows.join(F.broadcast(table), ["window_id", "node"], "left")  # windows times nodes
-    right = F.coalesce(F.get("b", F.col("feature")) > F.col("at"), F.lit(False)).cast("bigint")
-    return rows.withColumn("node", F.col("node") * 2 + right).drop("feature", "at")
+def _histogram(data: Stored, model: Model, active: set[int], grown: dict, level: int, columns: list[int], stage: int, s: Settings) -> DataFrame:
+    """Sums of signs and counts of the drawn training rows by window, node, feature and bin."""
+    first, bins, places = 1 << level, s.bins, {}
+
+    def one(w, keys, y, codes):
+        at = np.flatnonzero(_drawn(w, keys, stage, s))
+        codes = [c[at] for c in codes]
+        sign = np.sign(y[at] - model.score(w, codes)).astype(np.int32) + 1
+        place, out = ((_node(codes, grown.get(w, {}), level) - first) * (3 * bins)) + sign, []
+        for i in columns:
+            if (w, i) not in places:
+                places[w, i] = 3 * np.searchsorted(model.edges[w][i], np.arange(model.codes[i])).astype(np.int32)
+            out.append(np.bincount(place + places[w, i][codes[i]], minlength=first * bins * 3))
+        return np.array(out).reshape(len(columns), first, bins, 3)
+
+    def cells(part):
+        n = part.sum(axis=3)
+        i, node, place = np.nonzero(n)
+        return node + first, np.array(columns, np.int32)[i], place.astype(np.int32), (part[..., 2] - part[..., 0])[i, node, place], n[i, node, place]
+
+    return data.summed(one, cells, "window_id bigint, node bigint, feature int, bin int, g bigint, n bigint", "train", model, active)
+
+
+def _medians(data: Stored, model: Model, active: set[int], grown: dict, depth: int, drawn: Callable, span: dict[int, tuple[float, float]]) -> dict[tuple[int, int], float]:
+    """The median residual of the drawn training rows of each (window, node), exactly; span: bounds of a window's residuals."""
+    first = 1 << depth
+    # windows' histograms so far, each as rows by leaf: lowest value, width of a cell, first and last cell kept
+    ranges = {w: [np.tile([span[w][0], (span[w][1] - span[w][0]) / CELLS, 0, CELLS - 1], (first, 1))] for w in active}
+
+    def residuals(w, keys, y, codes):
+        """Leaf, residual and cell in the newest histogram of the drawn rows that the ones before kept."""
+        at = np.flatnonzero(drawn(w, keys))
+        codes = [c[at] for c in codes]
+        res, leaf = y[at] - (model.score(w, codes) if w in model.base else 0.0), _node(codes, grown.get(w, {}), depth) - first
+        for i, chain in enumerate(ranges[w]):
+            if i:
+                kept = np.flatnonzero((cell >= last[2][leaf]) & (cell <= last[3][leaf]))
+                res, leaf = res[kept], leaf[kept]
+            last = np.ascontiguousarray(chain.T)
+            low, width = (last[0][leaf], last[1][leaf]) if i else last[:2, 0]  # the first histogram has one range
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cell = np.nan_to_num((res - low) / width).clip(0, CELLS - 1).astype(np.int32)
+        return leaf, res, cell
+
+    def histogram(w, keys, y, codes):
+        leaf, _, cell = residuals(w, keys, y, codes)
+        return np.bincount(leaf * CELLS + cell, minlength=first * CELLS)
+
+    def cells(part):
+        at = np.flatnonzero(part)
+        return at // CELLS + first, at % CELLS, part[at], part[at]
+
+    def middle(w, keys, y, codes):
+        leaf, res, cell = residuals(w, keys, y, codes)
+        last = ranges[w][-1].T
+        kept = (cell >= last[2][leaf]) & (cell <= last[3][leaf])
+        return leaf[kept] + first, res[kept]
+
+    def at_middle(counts: DataFrame, by: str, before: dict | None) -> list:
+        """The cells or values that hold the two middle rows of each window and node; before: rows under what is counted, and all rows."""
+        node = W.partitionBy("window_id", "node")
+        rows = counts.withColumns({"upto": F.sum("n").over(node.orderBy(by)), "all": F.sum("n").over(node)})
+        if before is not None:
+            table = counts.sparkSession.createDataFrame([(w, k, b, a) for (w, k), (b, a) in before.items()], "window_id bigint, node bigint, under bigint, total bigint")
+            rows = rows.join(F.broadcast(table), ["window_id", "node"]).withColumn("upto", F.col("upto") + F.col("under")).withColumn("all", F.col("total"))  # windows times leaves
+        holds = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("n") <= k)
+        return rows.filter(holds(F.floor((F.col("all") - 1) / 2)) | holds(F.floor(F.col("all") / 2))).select("window_id", "node", by, "n", "upto", "all").collect()
+
+    under: dict[tuple[int, int], tuple[int, int]] | None = None
+    for turn in range(NARROWED):
+        found = at_middle(data.summed(histogram, cells, "window_id bigint, node bigint, cell bigint, n bigint, same bigint", "train", model, active), "cell", under)
+        under, most = {}, 0
+        for r in found:
+            lower, total = under.get((r.window_id, r.node), (r.upto, r.all))
+            under[r.window_id, r.node] = min(lower, r.upto - r.n), total
+            most = max(most, r.n)
+        for w, chains in ranges.items():
+            for leaf in range(first):
+                mine = [r.cell for r in found if (r.window_id, r.node) == (w, leaf + first)]
+                if mine:
+                    chains[-1][leaf, 2:] = min(mine), max(mine)
+        if most <= FEW or turn == NARROWED - 1:
+            break
+        for w, chains in ranges.items():
+            low, width, i, j = chains[-1].T
+            chains.append(np.stack([low + i * width, (j + 1 - i) * width / CELLS, np.zeros(first), np.full(first, CELLS - 1)], axis=1))
+    out: dict[tuple[int, int], list[float]] = {}
+    for r in at_middle(data.listed(middle, "train", model, active), "value", under) if under else []:
+        out.setdefault((r.window_id, r.node), []).append(r.value)
+    return {key: v[0] if len(v) == 1 else 0.5 * min(v) + 0.5 * max(v) for key, v in out.items()}
+
+
+def _scores(data: Stored, model: Model, best: dict[int, int], split: str) -> DataFrame:
+    """The rows of a split of all windows with their scores by the best stage."""
+    months = {m: [w for w, k in found if k == split] for m, found in model.months.items()}
+    keys, n = data.keys, data.n
+
+    def task(batches):
+        for month, rows, _, _, codes in _runs(batches, keys, n):
+            for w in months.get(month, []):
+                score = pa.array(model.score(w, codes, best.get(w, 0))) if w in model.base else pa.nulls(len(rows), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), w, np.int64)), *[rows[c] for c in (*keys, "y")], score], names=["window_id", *keys, "y", "score"])
+
+    types = {f.name: f.dataType.simpleString() for f in data.rows.schema.fields}
+    out = data.rows.mapInArrow(task, ", ".join(["window_id bigint", *[f"`{c}` {types[c]}" for c in keys], "y double", "score double"]))
+    return out.select("window_id", F.lit(split).alias("split"), *keys, "y", "score")
 
 
 def fit_windows(df: DataFrame, windows: DataFrame, features: list[str], label: str = "label_rank", settings: Settings | None = None, keys: tuple[str, ...] = ("entity", "month_idx")) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -90,37 +369,47 @@ def fit_windows(df: DataFrame, windows: DataFrame, features: list[str], label: s
     importances: window_id, feature, gain up to that stage; histories: window_id, stage, rate, error (stage 0: the median).
     """
     s, spark, keys = settings or Settings(), df.sparkSession, list(keys)
-    state = written(binned(df, windows, features, label, s, keys).withColumn("window_id", F.col("window_id").cast("bigint")))
-    error = lambda rows, f: {r.window_id: r.e for r in rows.filter((F.col("split") == "valid") & F.col("y").isNotNull() & F.col(f).isNotNull()).groupBy("window_id").agg(F.avg(F.abs(F.col("y") - F.col(f))).alias("e")).collect()}
-    least, best_stage = error(state, "f"), {}
+    data, model = stored(df, windows, features, label, s, keys)
+    low, high = data.rows.agg(F.min("y"), F.max("y")).first()
+    every = {w for found in model.months.values() for w, _ in found}
+    anyone = lambda w, k: np.ones(len(k[0][0]), bool)
+    model.base = {w: v for (w, _), v in _medians(data, model, every, {}, 0, anyone, dict.fromkeys(every, (low, high))).items()} if low is not None else {}
+    reach = {w: (f, f) for w, f in model.base.items()}  # least and greatest score of a window
+
+    def errors_of(active: set[int]) -> dict[int, float]:
+        one = lambda w, keys, y, codes: np.array([np.abs(y - model.score(w, codes)).sum(), len(y)])
+        return {r.window_id: r.e / r.n for r in data.summed(one, lambda part: (part[:1], part[1:]), "window_id bigint, e double, n double", "valid", model, active).collect()}
+
+    least, best_stage = errors_of(set(model.base)), {}
     history = [(w, 0, 0.0, e) for w, e in least.items()]
     gains: list[tuple[int, int, int, float]] = []
     for stage in range(s.rounds):
-        active = [w for w in least if stage - best_stage.get(w, 0) < s.patience]
+        active = {w for w in least if stage - best_stage.get(w, 0) < s.patience}
         if not active:
             break
         columns = sorted(random.Random(s.seed * 1_000_003 + stage).sample(range(len(features)), max(1, round(s.columns * len(features)))))
-        rows = state.filter(F.col("window_id").isin(active)).withColumn("node", F.lit(1).cast("bigint")).withColumn("res", F.col("y") - F.col("f")).withColumn("g", F.signum("res").cast("bigint"))
-        drawn = F.col("res").isNotNull() & (F.col("split") == "train") & (F.pmod(F.xxhash64("window_id", *keys, F.lit(stage), F.lit(s.seed)), F.lit(10_000)) < int(s.rows * 10_000))
-        for _ in range(s.depth):
-            found = _splits(rows.filter(drawn), columns, s)
+        grown: dict[int, dict[int, tuple[int, int]]] = {}
+        for level in range(s.depth):
+            found = _splits(_histogram(data, model, active, grown, level, columns, stage, s), s)
             gains += [(w, stage + 1, f, gain) for w, _, f, _, gain in found]
-            rows = _descend(rows, found)
-        leaves = rows.filter(drawn).groupBy("window_id", "node").agg(F.median("res").alias("leaf"))
-        leaves = spark.createDataFrame(leaves.collect(), leaves.schema)  # windows times leaves
-        stepped = rows.join(F.broadcast(leaves), ["window_id", "node"], "left").withColumn("f", F.col("f") + s.rate_at(stage) * F.coalesce("leaf", F.lit(0.0)))
-        errors = error(stepped, "f")
+            for w, node, f, at, _ in found:
+                grown.setdefault(w, {})[node] = (f, int(model.edges[w][f][at]))
+        span = {w: (low - reach[w][1], high - reach[w][0]) for w in active}
+        leaves = _medians(data, model, active, grown, s.depth, lambda w, k, stage=stage: _drawn(w, k, stage, s), span)
+        for w in active:
+            steps = np.array([s.rate_at(stage) * leaves.get((w, (1 << s.depth) + i), 0.0) for i in range(1 << s.depth)])
+            model.trees.setdefault(w, []).append((grown.get(w, {}), steps))
+            reach[w] = (reach[w][0] + steps.min(), reach[w][1] + steps.max())
+        errors = errors_of(active)
         history += [(w, stage + 1, s.rate_at(stage), e) for w, e in errors.items()]
         better = [w for w, e in errors.items() if e < least[w] - 1e-12]  # sums of doubles differ that much by their order
         least |= {w: errors[w] for w in better}
         best_stage |= {w: stage + 1 for w in better}
-        stepped = stepped.withColumn("best", F.when(F.col("window_id").isin(better), F.col("f")).otherwise(F.col("best")) if better else F.col("best"))
-        state = written(stepped.select(*state.columns).unionByName(state.filter(~F.col("window_id").isin(active))))
     sums: dict[tuple[int, str], float] = {(w, f): 0.0 for w in least for f in features}
     for w, stage, f, gain in gains:
         if stage <= best_stage.get(w, 0):
             sums[w, features[f]] += gain
-    scores = state.filter("split <> 'train'").select("window_id", "split", *keys, "y", F.col("best").alias("score"))
+    scores = _scores(data, model, best_stage, "valid").unionByName(_scores(data, model, best_stage, "test"))  # a filter on split leaves one
     importances = spark.createDataFrame([(w, f, g) for (w, f), g in sums.items()], "window_id bigint, feature string, gain double")
     return scores, importances, spark.createDataFrame(history, "window_id bigint, stage int, rate double, error double")
 

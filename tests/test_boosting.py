@@ -76,3 +76,32 @@ def test_windows_without_labels_score_null(spark, table):
     df, windows = table
     scores, _, history = boosting.fit_windows(df.withColumn("label_rank", F.lit(None).cast("double")), windows, ["a"], settings=ALL)
     assert {r.score for r in scores.collect()} == {None} and history.collect() == []
+
+
+def test_rows_are_stored_once_whatever_the_windows(spark, table, monkeypatch):
+    """They were written again for each window and stage."""
+    df, windows = table
+    sizes, write = [], boosting.written
+    monkeypatch.setattr(boosting, "written", lambda rows: sizes.append((out := write(rows)).count()) or out)
+    boosting.fit_windows(df, windows, ["a", "b"], settings=Settings(rounds=2, depth=1, least=4))
+    assert sizes == [5 * 64] * 2
+
+
+def test_medians_are_exact_in_narrow_cells(spark, monkeypatch):
+    """Far values put all others in one cell, so that ranges are narrowed; ties, an even count and a single row."""
+    monkeypatch.setattr(boosting, "CELLS", 4)
+    monkeypatch.setattr(boosting, "FEW", 3)
+    labels = {0: [0.1 * i for i in range(40)] + [1e6], 1: [0.5] * 30 + [-9.0, 0.7], 2: [1.0, 2.0, 4.0, 1e9], 3: [7.0]}
+    rows = [(w * 100 + i, w, 0.0, y) for w, ys in labels.items() for i, y in enumerate(ys)]
+    df = spark.createDataFrame(rows, "entity bigint, month_idx int, a double, label_rank double")
+    windows = spark.createDataFrame([(w, w, "train") for w in labels], "window_id int, month_idx int, split string")
+    data, model = boosting.stored(df, windows, ["a"], "label_rank", ALL, ["entity", "month_idx"])
+    got = boosting._medians(data, model, set(labels), {}, 0, lambda w, k: np.ones(len(k[0][0]), bool), dict.fromkeys(labels, (-9.0, 1e9)))
+    assert {w: v for (w, _), v in got.items()} == {w: float(np.median(ys)) for w, ys in labels.items()}
+
+
+def test_draws_are_those_of_sparks_hash(spark):
+    rows = spark.range(500).selectExpr("id * 7919 - 900 entity", "cast(id % 90 - 5 as int) month_idx")
+    got = rows.withColumn("d", F.pmod(F.xxhash64(F.lit(3).cast("bigint"), "entity", "month_idx", F.lit(2), F.lit(1)), F.lit(10_000)) < 8000).collect()
+    keys = [boosting._mixed(np.array([r.entity for r in got], np.int64)), boosting._mixed(np.array([r.month_idx for r in got], np.int32))]
+    assert boosting._drawn(3, keys, 2, Settings()).tolist() == [r.d for r in got]
