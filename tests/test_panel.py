@@ -252,6 +252,18 @@ def test_scorer_covers_every_window(spark, monkeypatch):
     assert {(r.window_id, r.month_idx) for r in got} == {(0, 3), (1, 4), (2, 5)}
 
 
+def test_scorer_deals_rows_evenly(spark, monkeypatch):
+    """Windows met rows as ranks had left them, whole months in one task."""
+    from tessera.operators import scorers
+
+    monkeypatch.setattr(scorers, "ROWS", 50)
+    df = portfolio.label_rank(spark.range(1200).selectExpr("id entity", "cast(id % 2 as int) month_idx", "cast(id % 17 as double) target"))
+    sizes, windows = [], spark.createDataFrame([(0, 0, "train"), (0, 1, "test")], "window_id bigint, month_idx int, split string")
+    monkeypatch.setattr(scorers, "train_and_score", lambda rows, features: sizes.extend(rows.rdd.glom().map(len).collect()) or rows)
+    scorers.train_windows(df, windows, [])
+    assert sum(sizes) == 1200 and len(sizes) >= 24 and max(sizes) < 120
+
+
 def test_month_ends_agree_with_every_bar(spark):
     df = bars(spark, [10 + math.sin(i) + i / 50 for i in range(150)])
     for name in ("risk", "alpha", "composite"):
