@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, langid, lm, mixing, neardup, negatives, quality, repeats, topk, toxicity, trie
+from . import bpe, fingerprints, langid, lm, mixing, neardup, negatives, passages, quality, repeats, topk, toxicity, trie
 from .common import id_remainder, materialize, read
 
 
@@ -82,6 +82,19 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+def repeats_and_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8_repeats, and the words of passages of over 50 words that another document holds too, which 400 bytes often don't reach."""
+    shared = passages.shared(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc_id", "_doc_id")
+    found = op8_repeats(spark, sf_dir)
+    n = F.coalesce("n_shared_words", F.lit(0).cast("long"))
+    return found.join(shared, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left").select(*found.columns, n.alias("n_shared_words"), (n > 0).alias("shares_passage"))
+
+
+def registered() -> dict:
+    """What the driver runs: the queries, op8 with its further columns."""
+    return queries() | {"op8_repeats": repeats_and_passages}
+
+
 _OP7 = r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 tri AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM w, unnest(generate_series(1, len(ws) - 2)) u(i)),
 dup AS (SELECT doc_id, a, b, c FROM tri GROUP BY ALL HAVING count(*) > 1),

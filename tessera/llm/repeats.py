@@ -48,13 +48,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Hasher:
-    """Hashes of any stretch of a byte array."""
+    """Hashes of any stretch of an array of bytes, or of 64-bit hashes (words)."""
 
     def __init__(self, raw: np.ndarray):
         size = 1 << max(10, int(len(raw)).bit_length())
         value, up, self.down = _powers(size) if size <= 1 << 23 else _powers.__wrapped__(len(raw))
         with np.errstate(over="ignore"):
-            self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[raw] * up[: len(raw)], dtype=np.uint64)))
+            self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((value[raw] if raw.dtype == np.uint8 else raw) * up[: len(raw)], dtype=np.uint64)))
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
