@@ -1,10 +1,12 @@
 """Boosted trees on absolute error for all rolling windows at once, with a learning rate that decays in steps.
 
-Rows are stored once, whatever number of windows they are in: keys, label, and for each feature the number of the
-windows' bin edges below its value. A stage fits one tree a window to the signs of the residuals, which every pass works
-out anew from the trees so far, so rows are never copied into windows or written again. A level of all trees is one pass:
-tasks count signs by window, node, feature and bin, Spark adds these counts up; they are whole numbers, so they don't
-depend on how rows are dealt and reruns give the same trees. A leaf's value is the median residual of its rows, exactly,
+Rows are stored once, whatever number of windows they are in: keys, label, for each feature the number of the windows'
+bin edges below its value, and for each stage a bit a window that says whether the row is drawn. They lie by month and
+by features, so that rows with the same ones follow each other: trees are walked once for such a run (a cell), and
+what is left for a row and window is a comparison. A stage fits one tree a window to the signs of the residuals, which
+every pass works out anew from the trees so far, so rows are never copied into windows or written again. A level of all
+trees is one pass: tasks count signs by window, node, feature and bin, Spark adds these counts up; they are whole
+numbers, so they don't depend on how rows are dealt and reruns give the same trees. A leaf's value is the median residual of its rows, exactly,
 by histograms of narrower ranges and then the values of the one cell. The driver holds edges, splits and leaves alone.
 
 Missing features count as 0; rows without a label are scored but not fitted; a window without labelled training rows
@@ -15,9 +17,10 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from itertools import batched
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import avg_rank, correlation
+from tessera.functions.stats import avg_rank
 from tessera.streaming.feeds import written
 
 #: Cells of a leaf's histogram, the rows of a cell below which its values are listed, and the histograms at most (values are listed after these in any case).
 CELLS, FEW, NARROWED = 512, 1 << 16, 4
-#: Shares of a month that are dealt apart when rows are stored.
-SHARES = 2
+#: Shares of a month that are dealt apart when rows are stored, at least; rows of a share on average, at most; rows that a pass takes at a time.
+SHARES, SHARE, BLOCK = 2, 500_000, 1 << 16
+#: Stages whose draws are stored with the rows (a pass works out those of later ones), and windows to a column of bits.
+STAGES, BITS = 16, 63
 
 
 @dataclass(frozen=True)
@@ -61,13 +66,18 @@ class Settings:
 
 @dataclass
 class Model:
-    """What tasks get: the windows of each month, places of a window's edges among all edges, first scores, trees as (splits, steps of the leaves)."""
+    """What tasks get: the windows of each month, places of a window's edges among all edges, first scores, trees as (splits, steps of the leaves), the best stage."""
 
     months: dict[int, list[tuple[int, str]]]
     codes: list[int] = field(default_factory=list)  # of each feature
     edges: dict[int, list[np.ndarray]] = field(default_factory=dict)
     base: dict[int, float] = field(default_factory=dict)
     trees: dict[int, list[tuple[dict, np.ndarray]]] = field(default_factory=dict)
+    best: dict[int, int] = field(default_factory=dict)
+
+    def fresh(self) -> Model:
+        """The same table's model before any fit."""
+        return replace(self, base={}, trees={}, best={})
 
     def score(self, window: int, codes: list[np.ndarray], upto: int | None = None) -> np.ndarray:
         f = np.full(len(codes[0]), self.base[window])
@@ -134,109 +144,213 @@ def _hashed(mixed: tuple[np.ndarray, int], seed: np.ndarray) -> np.ndarray:
     return h
 
 
-def _drawn(window: int, keys: list[tuple[np.ndarray, int]], stage: int, s: Settings) -> np.ndarray:
-    """Whether a row is drawn for a window's tree: pmod(xxhash64(window, keys, stage, seed), 10000) under the share."""
+def _keyed(window: int, keys: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """xxhash64(window, keys), which all stages share."""
     h = _hashed(_mixed(np.array([window], np.int64)), np.array([42], np.uint64))
-    for k in (*keys, _mixed(np.array([stage], np.int32)), _mixed(np.array([s.seed], np.int32))):
+    for k in keys:
+        h = _hashed(k, h)
+    return h
+
+
+def _shared(h: np.ndarray, stage: int, s: Settings) -> np.ndarray:
+    for k in (_mixed(np.array([stage], np.int32)), _mixed(np.array([s.seed], np.int32))):
         h = _hashed(k, h)
     return h.view(np.int64) % 10_000 < int(s.rows * 10_000)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], n: int) -> Iterator[tuple]:
-    """month, keys, label (NaN: none), codes of rows that follow each other in one month."""
-    for b in batches:
-        month, y = b["month_idx"].to_numpy(), b["y"].to_numpy(zero_copy_only=False)
-        columns, codes = [b[f"k{i}"].to_numpy() for i in range(len(keys))], [b[f"c{i}"].to_numpy() for i in range(n)]
+def _drawn(window: int, keys: list[tuple[np.ndarray, int]], stage: int, s: Settings) -> np.ndarray:
+    """Whether a row is drawn for a window's tree: pmod(xxhash64(window, keys, stage, seed), 10000) under the share."""
+    return _shared(_keyed(window, keys), stage, s)
+
+
+class Cells(NamedTuple):
+    """Rows that follow each other and have the same codes: where each cell begins, its number of rows, its codes."""
+
+    starts: np.ndarray
+    lengths: np.ndarray
+    codes: list[np.ndarray]
+
+    def spread(self, x: np.ndarray) -> np.ndarray:
+        return np.repeat(x, self.lengths)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.starts, dtype=np.int64 if x.dtype == bool else x.dtype)
+
+
+def _cells(columns: dict[str, np.ndarray], edges: list[np.ndarray]) -> Cells:
+    """The cells of rows that are sorted by their features."""
+    x = [columns[f"x{i}"] for i in range(len(edges))]
+    new = np.zeros(len(columns["month_idx"]), bool)
+    new[:1] = True
+    for v in x:
+        new[1:] |= v[1:] != v[:-1]
+    starts = np.flatnonzero(new)
+    return Cells(starts, np.diff(starts, append=len(new)), [np.searchsorted(e, v[starts]).astype(np.int32) for e, v in zip(edges, x)])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, dict[str, np.ndarray]]]:
+    """month, rows that follow each other in one month, some BLOCK at most, and their columns."""
+
+    def blocks():
+        some, n = [], 0
+        for b in batches:
+            some.append(b)
+            n += b.num_rows
+            if n >= BLOCK:
+                yield some
+                some, n = [], 0
+        if n:
+            yield some
+
+    for some in blocks():
+        t = pa.Table.from_batches(some).combine_chunks()
+        columns = {f.name: t[f.name].to_numpy() for f in t.schema if pa.types.is_primitive(f.type)}
+        month = columns["month_idx"]
         cuts = [0, *(np.flatnonzero(np.diff(month)) + 1).tolist(), len(month)]
         for i, j in zip(cuts, cuts[1:]):
             if j > i:
-                yield int(month[i]), b.slice(i, j - i), [k[i:j] for k in columns], y[i:j], [c[i:j] for c in codes]
+                yield int(month[i]), t.slice(i, j - i), {c: v[i:j] for c, v in columns.items()}
+
+
+def _trained(months: dict[int, list[tuple[int, str]]]) -> dict[int, list[int]]:
+    """The windows that train on each month, in the order of their bits."""
+    return {m: sorted(w for w, k in found if k == "train") for m, found in months.items()}
 
 
 @dataclass
 class Stored:
-    """The rows of all windows, once; a pass gives each task's counts or rows."""
+    """The rows of all windows, once, and the labelled ones packed for passes; a pass gives each task's counts or rows.
+
+    packed: a row for some rows of a month, with the bytes of their columns: a value takes a microsecond to get to Python
+    alone and next to nothing so. stages: those whose draws are stored; edges: all windows' bin edges of each feature.
+    """
 
     rows: DataFrame
+    packed: DataFrame
     keys: list[str]
-    n: int
+    edges: list[np.ndarray]
+    stages: int
+    base: tuple | None = None  # bounds of labels and the windows' first scores, which all settings share
 
-    def _labelled(self, split: str, model: Model, active: set[int]) -> Callable:
-        """window, keys (mixed for the hash), labels and codes of the labelled rows of that split of the active windows, run by run."""
+    def unpacked(self, names: list[str]) -> tuple[DataFrame, Callable]:
+        """The packed columns that a pass reads; month, these columns and cells, pack by pack."""
+        n, types = len(self.edges), dict(self.rows.dtypes)
+        kinds = {c: np.int32 if types.get(c) == "int" else np.float64 if types.get(c) == "double" else np.int64 for c in names}
+
+        def found(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    held = lambda c, kind: np.frombuffer(b[c][i].as_buffer(), kind)  # noqa: B023, E731
+                    lengths = held("lengths", np.int32)
+                    yield b["month_idx"][i].as_py(), {c: held(c, kinds[c]) for c in names}, Cells(np.cumsum(lengths) - lengths, lengths, [held(f"c{j}", np.int32) for j in range(n)])
+
+        return self.packed.select("month_idx", "lengths", *[f"c{j}" for j in range(n)], *names), found
+
+    def _labelled(self, split: str, model: Model, active: set[int], stage: int | None) -> tuple[DataFrame, Callable]:
+        """The columns that a pass reads; window, marks (see drawn), labels and cells of the labelled rows of that split of the active windows, pack by pack."""
         months = {m: [w for w, k in found if k == split and w in active] for m, found in model.months.items()}
-        keys, n = self.keys, self.n
+        months, slots = {m: found for m, found in months.items() if found}, _trained(model.months)
+        words = -(-max(map(len, slots.values()), default=0) // BITS)
+        kept, hashed = stage is not None and stage < self.stages, stage is not None and stage >= self.stages
+        hashes = [f"k{i}" for i in range(len(self.keys))]
+        rows, unpack = self.unpacked(["y", *([f"d{stage}_{i}" for i in range(words)] if kept else hashes if hashed else [])])
 
         def found(batches):
-            for month, _, k, y, codes in _runs(batches, keys, n):
-                if months.get(month):
-                    known = ~np.isnan(y)
-                    if not known.all():
-                        k, y, codes = [x[known] for x in k], y[known], [c[known] for c in codes]
-                    k = [_mixed(x) for x in k]
-                    if len(y):
-                        yield from ((w, k, y, codes) for w in months[month])
+            for month, c, cell in unpack(batches):
+                keys = [_mixed(c[k]) for k in hashes] if hashed else None
+                for w in months[month]:
+                    at = slots[month].index(w) if kept else 0
+                    yield w, keys if hashed else [(c[f"d{stage}_{at // BITS}"] if kept else c["y"], at % BITS)], c["y"], cell
+
+        return rows.filter(F.col("month_idx").isin(*months)), found
 
-        return found
+    def drawn(self, stage: int, s: Settings) -> Callable:
+        """Whether rows are drawn for a window's tree, from a pass's marks: stored bits and the window's place among them, or keys."""
+        if stage < self.stages:
+            return lambda w, marks: marks[0][0] & np.int64(1 << marks[0][1]) != 0
+        return lambda w, marks: _drawn(w, marks, stage, s)
 
-    def summed(self, one: Callable, cells: Callable, columns: str, split: str, model: Model, active: set[int]) -> DataFrame:
-        """The arrays that `one(window, keys, y, codes)` gives, added up by window in each task; `cells` names those that aren't 0 (its last two columns are sums), and Spark adds up the tasks'."""
-        found, names = self._labelled(split, model, active), [c.split()[0] for c in columns.split(", ")]
+    def summed(self, one: Callable, cells: Callable, columns: str, split: str, model: Model, active: set[int], stage: int | None = None) -> DataFrame:
+        """The arrays that `one(window, marks, y, cells)` gives, added up by window in each task; `cells` names those that aren't 0 (its last two columns are sums), and Spark adds up the tasks'."""
+        (rows, found), names = self._labelled(split, model, active, stage), [c.split()[0] for c in columns.split(", ")]
 
         def task(batches):
             sums: dict[int, np.ndarray] = {}
-            for w, k, y, codes in found(batches):
-                part = one(w, k, y, codes)
-                sums[w] = sums[w] + part if w in sums else part
+            for w, k, y, cell in found(batches):
+                part = one(w, k, y, cell)
+                if w in sums:
+                    sums[w] += part
+                else:
+                    sums[w] = part
             for w, part in sums.items():
                 out = cells(part)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(out[0]), w, np.int64), *out)], names=names)
 
-        out = self.rows.mapInArrow(task, columns)
+        out = rows.mapInArrow(task, columns)
         return out.groupBy(*names[:-2]).agg(*[F.sum(c).alias(c) for c in names[-2:]])
 
-    def listed(self, one: Callable, split: str, model: Model, active: set[int]) -> DataFrame:
+    def listed(self, one: Callable, split: str, model: Model, active: set[int], stage: int | None = None) -> DataFrame:
         """window_id, node, value, n: how often each of the values that `one` lists comes; equal ones are counted within a task first."""
-        found = self._labelled(split, model, active)
+        rows, found = self._labelled(split, model, active, stage)
 
         def task(batches):
-            for some in batched(found(batches), 1024):
-                parts = [(w, *one(w, k, y, codes)) for w, k, y, codes in some]
+            for some in batched(found(batches), 256):
+                parts = [(w, *one(w, k, y, cell)) for w, k, y, cell in some]
                 t = pa.table({"window_id": np.concatenate([np.full(len(v), w, np.int64) for w, _, v in parts]), "node": np.concatenate([x for _, x, _ in parts]).astype(np.int64), "value": np.concatenate([v for _, _, v in parts]) + 0.0})
                 yield from t.group_by(["window_id", "node", "value"]).aggregate([([], "count_all")]).select(["window_id", "node", "value", "count_all"]).rename_columns(["window_id", "node", "value", "n"]).to_batches()
 
-        return self.rows.mapInArrow(task, "window_id bigint, node bigint, value double, n bigint").groupBy("window_id", "node", "value").agg(F.sum("n").alias("n"))
+        return rows.mapInArrow(task, "window_id bigint, node bigint, value double, n bigint").groupBy("window_id", "node", "value").agg(F.sum("n").alias("n"))
 
 
-def stored(df: DataFrame, windows: DataFrame, features: list[str], label: str, s: Settings, keys: list[str]) -> tuple[Stored, Model]:
-    """Rows by month with their places among the edges; edges are quantiles of each window's own training rows, from the counts of each month's values."""
+def stored(df: DataFrame, windows: DataFrame, features: list[str], label: str, s: Settings, keys: list[str], ranked: bool = False) -> tuple[Stored, Model]:
+    """Rows by month and cell with their places among the edges and their draws; edges are quantiles of each window's own training rows, from the counts of each month's values.
+
+    ranked: with r, the rank of the label among its month's less the mean rank.
+    """
+    spark, types = df.sparkSession, dict(df.dtypes)
     months: dict[int, list[tuple[int, str]]] = {}
     for r in windows.select("month_idx", F.col("window_id").cast("bigint"), "split").collect():  # windows times months
         months.setdefault(r[0], []).append((r[1], r[2]))
-    types = dict(df.dtypes)
     whole = lambda c: F.col(c).cast("int") if types[c] in ("tinyint", "smallint") else F.col(c) if types[c] in ("int", "bigint") else F.xxhash64(c)
     raw = written(df.select(*keys, *[whole(c).alias(f"k{i}") for i, c in enumerate(keys)], *([] if "month_idx" in keys else ["month_idx"]), F.col(label).cast("double").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]))
     model, n = Model(months), len(features)
     values = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"x{i}").alias("x")) for i in range(n)]))
-    counts = raw.filter("y is not null").select("month_idx", values.alias("v")).groupBy("month_idx", "v.feature", "v.x").agg(F.count("*").alias("n"))
-    train = F.broadcast(windows.filter("split = 'train'").select(F.col("window_id").cast("bigint").alias("window_id"), "month_idx"))  # windows times months
+    cells = raw.filter("y is not null").groupBy("month_idx", *[f"x{i}" for i in range(n)]).agg(F.count("*").alias("n"))
+    counts = cells.select("month_idx", "n", values.alias("v")).groupBy("month_idx", "v.feature", "v.x").agg(F.sum("n").alias("n"))
+    train = F.broadcast(spark.createDataFrame([(w, m) for m, found in months.items() for w, k in found if k == "train"], f"window_id bigint, month_idx {types['month_idx']}"))  # windows times months
     probs = [i / s.bins for i in range(1, s.bins)]
     edges = counts.join(train, "month_idx").groupBy("window_id", "feature").agg(F.array_distinct(F.percentile("x", probs, F.col("n"))).alias("e")).collect()
     every = [np.unique(np.array([e for r in edges if r.feature == i for e in r.e], np.float64)) for i in range(n)]
     model.codes = [len(e) + 1 for e in every]
     for r in edges:
         model.edges.setdefault(r.window_id, [np.zeros(0, np.int64)] * n)[r.feature] = np.searchsorted(every[r.feature], np.unique(np.array(r.e, np.float64)))
-
-    def placed(batches):
-        for b in batches:
-            codes = [pa.array(np.searchsorted(every[i], b[f"x{i}"].to_numpy()).astype(np.int32)) for i in range(n)]
-            left = [c for c in b.schema.names if c not in {f"x{i}" for i in range(n)}]
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in left], *codes], names=[*left, *[f"c{i}" for i in range(n)]])
-
-    kept = [f for f in raw.schema.fields if f.name not in {f"x{i}" for i in range(n)}]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"c{i} int" for i in range(n)]])
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = raw.mapInArrow(placed, schema).repartition(parts, "month_idx", F.pmod(F.xxhash64(*keys), F.lit(SHARES))).sortWithinPartitions("month_idx")
-    return Stored(written(rows), keys, n), model
+    if ranked:
+        month = W.partitionBy("month_idx")
+        raw = raw.repartition("month_idx").withColumn("r", avg_rank("y", "month_idx") - (F.count("y").over(month) + 1) / 2)
+    total = raw.count()
+    shares = max(SHARES, -(-total // (SHARE * max(1, len(months)))))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE))
+    rows = written(raw.repartition(parts, "month_idx", F.pmod(F.xxhash64(*keys), F.lit(shares))).sortWithinPartitions("month_idx", *[f"x{i}" for i in range(n)]))
+
+    trained, stages = _trained(months), min(s.rounds, STAGES)
+    words = -(-max(map(len, trained.values()), default=0) // BITS)
+    bits = [f"d{stage}_{i}" for stage in range(stages) for i in range(words)]
+    hashes = [f"k{i}" for i in range(len(keys))]
+    held = ["y", *(["r"] if ranked else []), *(hashes if s.rounds > stages else [])]  # later stages are drawn by the keys
+    names = ["lengths", *[f"c{i}" for i in range(n)], *held, *bits]
+
+    def pack(batches):
+        for month, _, c in _runs(batches):
+            cell, mixed, marks = _cells(c, every), [_mixed(c[k]) for k in hashes], np.zeros((stages, words, len(c["y"])), np.int64)
+            for at, w in enumerate(trained.get(month, [])):
+                h = _keyed(w, mixed)
+                for stage in range(stages):
+                    marks[stage, at // BITS] |= _shared(h, stage, s).astype(np.int64) << np.int64(at % BITS)
+            columns = [cell.lengths.astype(np.int32), *cell.codes, *[c[k] for k in held], *marks.reshape(-1, len(c["y"]))]
+            yield pa.RecordBatch.from_arrays([pa.array([month], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in columns]], names=["month_idx", *names])
+
+    packed = rows.filter("y is not null and not isnan(y)").select(*dict.fromkeys(["month_idx", *hashes, *held, *[f"x{i}" for i in range(n)]])).mapInArrow(pack, ", ".join(["month_idx bigint", *[f"{c} binary" for c in names]])).persist()
+    return Stored(rows, packed, keys, every, stages), model
 
 
 def _worth(g: Column, n: Column, s: Settings) -> Column:
@@ -256,38 +370,37 @@ def _splits(hist: DataFrame, s: Settings) -> list[tuple[int, int, int, int, floa
 
 def _histogram(data: Stored, model: Model, active: set[int], grown: dict, level: int, columns: list[int], stage: int, s: Settings) -> DataFrame:
     """Sums of signs and counts of the drawn training rows by window, node, feature and bin."""
-    first, bins, places = 1 << level, s.bins, {}
+    first, bins, places, drawn = 1 << level, s.bins, {}, data.drawn(stage, s)
 
-    def one(w, keys, y, codes):
-        at = np.flatnonzero(_drawn(w, keys, stage, s))
-        codes = [c[at] for c in codes]
-        sign = np.sign(y[at] - model.score(w, codes)).astype(np.int32) + 1
-        place, out = ((_node(codes, grown.get(w, {}), level) - first) * (3 * bins)) + sign, []
+    def one(w, marks, y, cell):
+        at, f = drawn(w, marks), cell.spread(model.score(w, cell.codes))
+        n, g = cell.sums(at), cell.sums((y > f) & at) - cell.sums((y < f) & at)
+        node, out = (_node(cell.codes, grown.get(w, {}), level) - first) * bins, []
         for i in columns:
             if (w, i) not in places:
-                places[w, i] = 3 * np.searchsorted(model.edges[w][i], np.arange(model.codes[i])).astype(np.int32)
-            out.append(np.bincount(place + places[w, i][codes[i]], minlength=first * bins * 3))
-        return np.array(out).reshape(len(columns), first, bins, 3)
+                places[w, i] = np.searchsorted(model.edges[w][i], np.arange(model.codes[i])).astype(np.int32)
+            place = node + places[w, i][cell.codes[i]]
+            out.append([np.bincount(place, x, first * bins) for x in (g, n)])
+        return np.array(out).astype(np.int64).reshape(len(columns), 2, first, bins)
 
     def cells(part):
-        n = part.sum(axis=3)
-        i, node, place = np.nonzero(n)
-        return node + first, np.array(columns, np.int32)[i], place.astype(np.int32), (part[..., 2] - part[..., 0])[i, node, place], n[i, node, place]
+        i, node, place = np.nonzero(part[:, 1])
+        return node + first, np.array(columns, np.int32)[i], place.astype(np.int32), part[:, 0][i, node, place], part[:, 1][i, node, place]
 
-    return data.summed(one, cells, "window_id bigint, node bigint, feature int, bin int, g bigint, n bigint", "train", model, active)
+    return data.summed(one, cells, "window_id bigint, node bigint, feature int, bin int, g bigint, n bigint", "train", model, active, stage)
 
 
-def _medians(data: Stored, model: Model, active: set[int], grown: dict, depth: int, drawn: Callable, span: dict[int, tuple[float, float]]) -> dict[tuple[int, int], float]:
+def _medians(data: Stored, model: Model, active: set[int], grown: dict, depth: int, drawn: Callable, span: dict[int, tuple[float, float]], stage: int | None = None) -> dict[tuple[int, int], float]:
     """The median residual of the drawn training rows of each (window, node), exactly; span: bounds of a window's residuals."""
     first = 1 << depth
     # windows' histograms so far, each as rows by leaf: lowest value, width of a cell, first and last cell kept
     ranges = {w: [np.tile([span[w][0], (span[w][1] - span[w][0]) / CELLS, 0, CELLS - 1], (first, 1))] for w in active}
 
-    def residuals(w, keys, y, codes):
+    def residuals(w, marks, y, rows):
         """Leaf, residual and cell in the newest histogram of the drawn rows that the ones before kept."""
-        at = np.flatnonzero(drawn(w, keys))
-        codes = [c[at] for c in codes]
-        res, leaf = y[at] - (model.score(w, codes) if w in model.base else 0.0), _node(codes, grown.get(w, {}), depth) - first
+        at = np.flatnonzero(drawn(w, marks))
+        res = y[at] - (rows.spread(model.score(w, rows.codes))[at] if w in model.base else 0.0)
+        leaf = rows.spread(_node(rows.codes, grown.get(w, {}), depth) - first)[at]
         for i, chain in enumerate(ranges[w]):
             if i:
                 kept = np.flatnonzero((cell >= last[2][leaf]) & (cell <= last[3][leaf]))
@@ -298,16 +411,16 @@ def _medians(data: Stored, model: Model, active: set[int], grown: dict, depth: i
                 cell = np.nan_to_num((res - low) / width).clip(0, CELLS - 1).astype(np.int32)
         return leaf, res, cell
 
-    def histogram(w, keys, y, codes):
-        leaf, _, cell = residuals(w, keys, y, codes)
+    def histogram(w, marks, y, rows):
+        leaf, _, cell = residuals(w, marks, y, rows)
         return np.bincount(leaf * CELLS + cell, minlength=first * CELLS)
 
     def cells(part):
         at = np.flatnonzero(part)
         return at // CELLS + first, at % CELLS, part[at], part[at]
 
-    def middle(w, keys, y, codes):
-        leaf, res, cell = residuals(w, keys, y, codes)
+    def middle(w, marks, y, rows):
+        leaf, res, cell = residuals(w, marks, y, rows)
         last = ranges[w][-1].T
         kept = (cell >= last[2][leaf]) & (cell <= last[3][leaf])
         return leaf[kept] + first, res[kept]
@@ -324,7 +437,7 @@ def _medians(data: Stored, model: Model, active: set[int], grown: dict, depth: i
 
     under: dict[tuple[int, int], tuple[int, int]] | None = None
     for turn in range(NARROWED):
-        found = at_middle(data.summed(histogram, cells, "window_id bigint, node bigint, cell bigint, n bigint, same bigint", "train", model, active), "cell", under)
+        found = at_middle(data.summed(histogram, cells, "window_id bigint, node bigint, cell bigint, n bigint, same bigint", "train", model, active, stage), "cell", under)
         under, most = {}, 0
         for r in found:
             lower, total = under.get((r.window_id, r.node), (r.upto, r.all))
@@ -341,46 +454,51 @@ def _medians(data: Stored, model: Model, active: set[int], grown: dict, depth: i
             low, width, i, j = chains[-1].T
             chains.append(np.stack([low + i * width, (j + 1 - i) * width / CELLS, np.zeros(first), np.full(first, CELLS - 1)], axis=1))
     out: dict[tuple[int, int], list[float]] = {}
-    for r in at_middle(data.listed(middle, "train", model, active), "value", under) if under else []:
+    for r in at_middle(data.listed(middle, "train", model, active, stage), "value", under) if under else []:
         out.setdefault((r.window_id, r.node), []).append(r.value)
     return {key: v[0] if len(v) == 1 else 0.5 * min(v) + 0.5 * max(v) for key, v in out.items()}
 
 
-def _scores(data: Stored, model: Model, best: dict[int, int], split: str) -> DataFrame:
+def _scores(data: Stored, model: Model, split: str) -> DataFrame:
     """The rows of a split of all windows with their scores by the best stage."""
     months = {m: [w for w, k in found if k == split] for m, found in model.months.items()}
-    keys, n = data.keys, data.n
+    months, keys, edges = {m: found for m, found in months.items() if found}, data.keys, data.edges
 
     def task(batches):
-        for month, rows, _, _, codes in _runs(batches, keys, n):
-            for w in months.get(month, []):
-                score = pa.array(model.score(w, codes, best.get(w, 0))) if w in model.base else pa.nulls(len(rows), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), w, np.int64)), *[rows[c] for c in (*keys, "y")], score], names=["window_id", *keys, "y", "score"])
+        for month, rows, c in _runs(batches):
+            cell = _cells(c, edges)
+            for w in months[month]:
+                score = pa.array(cell.spread(model.score(w, cell.codes, model.best.get(w, 0)))) if w in model.base else pa.nulls(rows.num_rows, pa.float64())
+                yield from pa.table([pa.array(np.full(rows.num_rows, w, np.int64)), *[rows[k] for k in (*keys, "y")], score], names=["window_id", *keys, "y", "score"]).to_batches()
 
     types = {f.name: f.dataType.simpleString() for f in data.rows.schema.fields}
-    out = data.rows.mapInArrow(task, ", ".join(["window_id bigint", *[f"`{c}` {types[c]}" for c in keys], "y double", "score double"]))
+    rows = data.rows.filter(F.col("month_idx").isin(*months)).select(*dict.fromkeys([*keys, "month_idx"]), "y", *[f"x{i}" for i in range(len(edges))])
+    out = rows.mapInArrow(task, ", ".join(["window_id bigint", *[f"`{c}` {types[c]}" for c in keys], "y double", "score double"]))
     return out.select("window_id", F.lit(split).alias("split"), *keys, "y", "score")
 
 
-def fit_windows(df: DataFrame, windows: DataFrame, features: list[str], label: str = "label_rank", settings: Settings | None = None, keys: tuple[str, ...] = ("entity", "month_idx")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def fit_windows(df: DataFrame, windows: DataFrame, features: list[str], label: str = "label_rank", settings: Settings | None = None, keys: tuple[str, ...] = ("entity", "month_idx"), given: tuple[Stored, Model] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores, importances and histories of all windows (window_id, month_idx, split).
 
     Scores: window_id, split, keys, y, score for validation and test rows, by the stage with the least validation error;
     importances: window_id, feature, gain up to that stage; histories: window_id, stage, rate, error (stage 0: the median).
+    given: these rows as stored for such settings (rows, bins and seed) before, and the model that is to be fitted.
     """
     s, spark, keys = settings or Settings(), df.sparkSession, list(keys)
-    data, model = stored(df, windows, features, label, s, keys)
-    low, high = data.rows.agg(F.min("y"), F.max("y")).first()
-    every = {w for found in model.months.values() for w, _ in found}
-    anyone = lambda w, k: np.ones(len(k[0][0]), bool)
-    model.base = {w: v for (w, _), v in _medians(data, model, every, {}, 0, anyone, dict.fromkeys(every, (low, high))).items()} if low is not None else {}
+    data, model = given or stored(df, windows, features, label, s, keys)
+    if data.base is None:
+        low, high = data.rows.agg(F.min("y"), F.max("y")).first()
+        every = {w for found in model.months.values() for w, _ in found}
+        anyone = lambda w, k: np.ones(len(k[0][0]), bool)
+        data.base = low, high, {w: v for (w, _), v in _medians(data, model, every, {}, 0, anyone, dict.fromkeys(every, (low, high))).items()} if low is not None else {}
+    low, high, model.base = data.base
     reach = {w: (f, f) for w, f in model.base.items()}  # least and greatest score of a window
 
     def errors_of(active: set[int]) -> dict[int, float]:
-        one = lambda w, keys, y, codes: np.array([np.abs(y - model.score(w, codes)).sum(), len(y)])
+        one = lambda w, marks, y, cell: np.array([np.abs(y - cell.spread(model.score(w, cell.codes))).sum(), len(y)])
         return {r.window_id: r.e / r.n for r in data.summed(one, lambda part: (part[:1], part[1:]), "window_id bigint, e double, n double", "valid", model, active).collect()}
 
-    least, best_stage = errors_of(set(model.base)), {}
+    least, best_stage = errors_of(set(model.base)), model.best
     history = [(w, 0, 0.0, e) for w, e in least.items()]
     gains: list[tuple[int, int, int, float]] = []
     for stage in range(s.rounds):
@@ -395,7 +513,7 @@ def fit_windows(df: DataFrame, windows: DataFrame, features: list[str], label: s
             for w, node, f, at, _ in found:
                 grown.setdefault(w, {})[node] = (f, int(model.edges[w][f][at]))
         span = {w: (low - reach[w][1], high - reach[w][0]) for w in active}
-        leaves = _medians(data, model, active, grown, s.depth, lambda w, k, stage=stage: _drawn(w, k, stage, s), span)
+        leaves = _medians(data, model, active, grown, s.depth, data.drawn(stage, s), span, stage)
         for w in active:
             steps = np.array([s.rate_at(stage) * leaves.get((w, (1 << s.depth) + i), 0.0) for i in range(1 << s.depth)])
             model.trees.setdefault(w, []).append((grown.get(w, {}), steps))
@@ -404,29 +522,51 @@ def fit_windows(df: DataFrame, windows: DataFrame, features: list[str], label: s
         history += [(w, stage + 1, s.rate_at(stage), e) for w, e in errors.items()]
         better = [w for w, e in errors.items() if e < least[w] - 1e-12]  # sums of doubles differ that much by their order
         least |= {w: errors[w] for w in better}
-        best_stage |= {w: stage + 1 for w in better}
+        best_stage.update(dict.fromkeys(better, stage + 1))
+    if given is None:
+        data.packed.unpersist()
     sums: dict[tuple[int, str], float] = {(w, f): 0.0 for w in least for f in features}
     for w, stage, f, gain in gains:
         if stage <= best_stage.get(w, 0):
             sums[w, features[f]] += gain
-    scores = _scores(data, model, best_stage, "valid").unionByName(_scores(data, model, best_stage, "test"))  # a filter on split leaves one
+    scores = _scores(data, model, "valid").unionByName(_scores(data, model, "test"))  # a filter on split leaves one
     importances = spark.createDataFrame([(w, f, g) for (w, f), g in sums.items()], "window_id bigint, feature string, gain double")
     return scores, importances, spark.createDataFrame(history, "window_id bigint, stage int, rate double, error double")
 
 
-def judge(scores: DataFrame) -> DataFrame:
-    """window_id, error, ic of the validation rows: mean absolute error, and the mean over months of the rank correlation."""
-    rows = scores.filter("split = 'valid' and y is not null and score is not null")
-    ranked = rows.withColumns({"_a": avg_rank("score", "window_id", "month_idx"), "_b": avg_rank("y", "window_id", "month_idx")})
-    months = ranked.groupBy("window_id", "month_idx").agg(F.sum(F.abs(F.col("y") - F.col("score"))).alias("e"), F.count("*").alias("n"), F.coalesce(correlation("_a", "_b"), F.lit(0.0)).alias("ic"))
-    return months.groupBy("window_id").agg((F.sum("e") / F.sum("n")).alias("error"), F.avg("ic").alias("ic"))
+def judge(data: Stored, model: Model) -> DataFrame:
+    """window_id, error, ic of the validation rows (stored with r): mean absolute error, and the mean over months of the rank correlation.
+
+    Scores are few, one a set of leaves: tasks add up ranks and errors by window, month and score, and ranks of scores come from their counts.
+    """
+    months = {m: [w for w, k in found if k == "valid" and w in model.base] for m, found in model.months.items()}
+    months = {m: found for m, found in months.items() if found}
+    rows, unpack = data.unpacked(["y", "r"])
+
+    def task(batches):
+        for month, c, cell in unpack(batches):
+            b, bb = cell.sums(c["r"]), cell.sums(c["r"] ** 2)
+            for w in months[month]:
+                f = model.score(w, cell.codes, model.best.get(w, 0))
+                score, at = np.unique(f, return_inverse=True)
+                sums = [np.bincount(at, x, len(score)) for x in (cell.lengths, b, bb, cell.sums(np.abs(c["y"] - cell.spread(f))))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(score), w, np.int64), np.full(len(score), month, np.int64), score, *sums)], names=["window_id", "month_idx", "score", "n", "b", "bb", "e"])
+
+    rows = rows.filter(F.col("month_idx").isin(*months)).mapInArrow(task, "window_id bigint, month_idx bigint, score double, n double, b double, bb double, e double")
+    rows = rows.groupBy("window_id", "month_idx", "score").agg(*[F.sum(c).alias(c) for c in ("n", "b", "bb", "e")])
+    month = W.partitionBy("window_id", "month_idx")
+    rows = rows.withColumn("a", F.sum("n").over(month.orderBy("score")) - F.col("n") / 2 - F.sum("n").over(month) / 2)  # mean rank of the score's rows, less that of all
+    cross = F.try_divide(F.sum(F.col("a") * F.col("b")), F.sqrt(F.sum(F.col("n") * F.col("a") ** 2)) * F.sqrt(F.sum("bb")))
+    found = rows.groupBy("window_id", "month_idx").agg(F.sum("e").alias("e"), F.sum("n").alias("n"), F.coalesce(cross, F.lit(0.0)).alias("ic"))
+    return found.groupBy("window_id").agg((F.sum("e") / F.sum("n")).alias("error"), F.avg("ic").alias("ic"))
 
 
 def run_trials(df: DataFrame, windows: DataFrame, features: list[str], grid: list[Settings], results: str, label: str = "label_rank") -> DataFrame:
     """number, window_id, error, ic for every candidate of the grid and every window; `results` is the table of what is done.
 
     Each candidate's rows are appended as it ends, as a partition of their own; one that is there already, from a run
-    that was cut off, isn't run again. The number is the candidate's place in the grid.
+    that was cut off, isn't run again. The number is the candidate's place in the grid. Rows are stored once for all
+    candidates that share bins and draws.
     """
     spark = df.sparkSession
     schema = "window_id bigint, error double, ic double, number int"
@@ -439,9 +579,18 @@ def run_trials(df: DataFrame, windows: DataFrame, features: list[str], grid: lis
                 return set()
             raise
 
-    there = done()
+    there, keys, kept = done(), ("entity", "month_idx"), {}
+    alike = lambda s: (s.bins, s.rows, s.seed)
     for number, settings in enumerate(grid):
         if number not in there:
-            part = judge(fit_windows(df, windows, features, label, settings)[0]).withColumn("number", F.lit(number))
+            if alike(settings) not in kept:
+                most = max(s.rounds for i, s in enumerate(grid) if i not in there and alike(s) == alike(settings))
+                kept[alike(settings)] = stored(df, windows, features, label, replace(settings, rounds=most), list(keys), ranked=True)
+            data, model = kept[alike(settings)]
+            model = model.fresh()
+            fit_windows(df, windows, features, label, settings, keys, (data, model))
+            part = judge(data, model).withColumn("number", F.lit(number))
             part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("number").parquet(results)
+    for data, _ in kept.values():
+        data.packed.unpersist()
     return spark.read.schema(schema).parquet(results).select("number", "window_id", "error", "ic")

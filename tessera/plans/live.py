@@ -20,8 +20,10 @@ def _scored(s, d):
 
 
 def _labelled(s, d):
-    df = portfolio.label_rank(with_target(panel(s, d)))
-    return df, portfolio.rolling_windows(df)
+    """Rows with labels, written once, and the small table of windows."""
+    df = feeds.written(portfolio.label_rank(with_target(panel(s, d))).select("entity", "month_idx", "label_rank", *FEATURES))
+    windows = portfolio.rolling_windows(df)
+    return df, s.createDataFrame(windows.collect(), windows.schema)
 
 
 def _boosted(s, d):

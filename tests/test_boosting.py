@@ -105,3 +105,28 @@ def test_draws_are_those_of_sparks_hash(spark):
     got = rows.withColumn("d", F.pmod(F.xxhash64(F.lit(3).cast("bigint"), "entity", "month_idx", F.lit(2), F.lit(1)), F.lit(10_000)) < 8000).collect()
     keys = [boosting._mixed(np.array([r.entity for r in got], np.int64)), boosting._mixed(np.array([r.month_idx for r in got], np.int32))]
     assert boosting._drawn(3, keys, 2, Settings()).tolist() == [r.d for r in got]
+
+
+def test_trials_store_rows_once_and_are_judged_by_ranks(spark, table, tmp_path, monkeypatch):
+    """Each candidate stored the rows anew, and rows were sorted for each window."""
+    df, windows = table
+    grid, writes, write = [Settings(rounds=2, depth=2, least=4), Settings(rounds=1, depth=1, least=4)], [], boosting.written
+    monkeypatch.setattr(boosting, "written", lambda rows: writes.append(1) or write(rows))
+    got = {(r.number, r.window_id): r for r in boosting.run_trials(*table, ["a", "b"], grid, f"{tmp_path}/results").collect()}
+    assert len(got) == 4 and len(writes) == 2
+    for number, settings in enumerate(grid):
+        scores = boosting.fit_windows(df, windows, ["a", "b"], settings=settings)[0].filter("split = 'valid'").toPandas()
+        for w, rows in scores.groupby("window_id"):
+            months = [m.score.rank().corr(m.y.rank()) for _, m in rows.groupby("month_idx")]
+            assert abs(got[number, w].ic - np.mean(np.nan_to_num(months))) < 1e-9 and abs(got[number, w].error - (rows.y - rows.score).abs().mean()) < 1e-9
+
+
+def test_draws_are_the_same_in_more_columns_and_later_stages(spark, table, monkeypatch):
+    """A bit a window and stage; stages beyond those stored are drawn in each pass."""
+    df, windows = table
+    s = Settings(rounds=3, depth=2, least=4)
+    fit = lambda: sorted(map(tuple, boosting.fit_windows(df, windows, ["a", "b"], settings=s)[0].collect()), key=str)
+    want = fit()
+    monkeypatch.setattr(boosting, "BITS", 1)
+    monkeypatch.setattr(boosting, "STAGES", 1)
+    assert fit() == want
