@@ -15,6 +15,7 @@ scores NULL.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -85,6 +86,10 @@ class Model:
             f += _node(codes, splits, len(steps).bit_length() - 1, steps)
         return f
 
+    def final(self, window: int, codes: list[np.ndarray]) -> np.ndarray | None:
+        """Scores by the best stage; None for a window without training rows."""
+        return self.score(window, codes, self.best.get(window, 0)) if window in self.base else None
+
 
 @lru_cache(4096)
 def _table(asked: tuple[int, ...], levels: int) -> np.ndarray:
@@ -235,7 +240,7 @@ class Stored:
     def unpacked(self, names: list[str]) -> tuple[DataFrame, Callable]:
         """The packed columns that a pass reads; month, these columns and cells, pack by pack."""
         n, types = len(self.edges), dict(self.rows.dtypes)
-        kinds = {c: np.int32 if types.get(c) == "int" else np.float64 if types.get(c) == "double" else np.int64 for c in names}
+        kinds = {c: np.int32 if types.get(c) == "int" else np.float64 if types.get(c) == "double" or c in ("w", "wy") else np.int64 for c in names}
 
         def found(batches):
             for b in batches:
@@ -272,22 +277,7 @@ class Stored:
 
     def summed(self, one: Callable, cells: Callable, columns: str, split: str, model: Model, active: set[int], stage: int | None = None) -> DataFrame:
         """The arrays that `one(window, marks, y, cells)` gives, added up by window in each task; `cells` names those that aren't 0 (its last two columns are sums), and Spark adds up the tasks'."""
-        (rows, found), names = self._labelled(split, model, active, stage), [c.split()[0] for c in columns.split(", ")]
-
-        def task(batches):
-            sums: dict[int, np.ndarray] = {}
-            for w, k, y, cell in found(batches):
-                part = one(w, k, y, cell)
-                if w in sums:
-                    sums[w] += part
-                else:
-                    sums[w] = part
-            for w, part in sums.items():
-                out = cells(part)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(out[0]), w, np.int64), *out)], names=names)
-
-        out = rows.mapInArrow(task, columns)
-        return out.groupBy(*names[:-2]).agg(*[F.sum(c).alias(c) for c in names[-2:]])
+        return added(*self._labelled(split, model, active, stage), one, cells, columns)
 
     def listed(self, one: Callable, split: str, model: Model, active: set[int], stage: int | None = None) -> DataFrame:
         """window_id, node, value, n: how often each of the values that `one` lists comes; equal ones are counted within a task first."""
@@ -302,10 +292,42 @@ class Stored:
         return rows.mapInArrow(task, "window_id bigint, node bigint, value double, n bigint").groupBy("window_id", "node", "value").agg(F.sum("n").alias("n"))
 
 
-def stored(df: DataFrame, windows: DataFrame, features: list[str], label: str, s: Settings, keys: list[str], ranked: bool = False) -> tuple[Stored, Model]:
+def added(rows: DataFrame, found: Callable, one: Callable, cells: Callable, columns: str) -> DataFrame:
+    """See `summed`; `found` gives what `one` takes from a task's batches."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def task(batches):
+        sums: dict[int, np.ndarray] = {}
+        for w, k, y, cell in found(batches):
+            part = one(w, k, y, cell)
+            if w in sums:
+                sums[w] += part
+            else:
+                sums[w] = part
+        for w, part in sums.items():
+            out = cells(part)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(out[0]), w, np.int64), *out)], names=names)
+
+    return rows.mapInArrow(task, columns).groupBy(*names[:-2]).agg(*[F.sum(c).alias(c) for c in names[-2:]])
+
+
+#: Below these a Poisson variable of mean 1 is 0, 1, ... at most.
+POISSON = np.cumsum([1 / math.factorial(i) for i in range(18)]) / math.e
+
+
+def _bagged(mixed: list[tuple[np.ndarray, int]], tree: int, seed: int) -> np.ndarray:
+    """How often the rows of these keys are in a tree's bootstrap sample: a Poisson variable of mean 1, by their hash."""
+    h = np.array([42], np.uint64)
+    for k in (*mixed, _mixed(np.array([tree], np.int32)), _mixed(np.array([seed], np.int32))):
+        h = _hashed(k, h)
+    return np.searchsorted(POISSON, (h >> np.uint64(11)) * 2.0**-53, side="right").astype(np.float64)
+
+
+def stored(df: DataFrame, windows: DataFrame, features: list[str], label: str, s: Settings, keys: list[str], ranked: bool = False, bagged: int = 0) -> tuple[Stored, Model]:
     """Rows by month and cell with their places among the edges and their draws; edges are quantiles of each window's own training rows, from the counts of each month's values.
 
-    ranked: with r, the rank of the label among its month's less the mean rank.
+    ranked: with r, the rank of the label among its month's less the mean rank; bagged: with w and wy, the sums of weights
+    and of weights times labels of each cell in the bootstrap samples of so many trees.
     """
     spark, types = df.sparkSession, dict(df.dtypes)
     months: dict[int, list[tuple[int, str]]] = {}
@@ -337,7 +359,7 @@ def stored(df: DataFrame, windows: DataFrame, features: list[str], label: str, s
     bits = [f"d{stage}_{i}" for stage in range(stages) for i in range(words)]
     hashes = [f"k{i}" for i in range(len(keys))]
     held = ["y", *(["r"] if ranked else []), *(hashes if s.rounds > stages else [])]  # later stages are drawn by the keys
-    names = ["lengths", *[f"c{i}" for i in range(n)], *held, *bits]
+    names = ["lengths", *[f"c{i}" for i in range(n)], *held, *bits, *(["w", "wy"] if bagged else [])]
 
     def pack(batches):
         for month, _, c in _runs(batches):
@@ -347,6 +369,9 @@ def stored(df: DataFrame, windows: DataFrame, features: list[str], label: str, s
                 for stage in range(stages):
                     marks[stage, at // BITS] |= _shared(h, stage, s).astype(np.int64) << np.int64(at % BITS)
             columns = [cell.lengths.astype(np.int32), *cell.codes, *[c[k] for k in held], *marks.reshape(-1, len(c["y"]))]
+            if bagged:
+                weights = [_bagged(mixed, tree, s.seed) for tree in range(bagged)]
+                columns += [np.concatenate([cell.sums(x) for x in weights]), np.concatenate([cell.sums(x * c["y"]) for x in weights])]
             yield pa.RecordBatch.from_arrays([pa.array([month], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in columns]], names=["month_idx", *names])
 
     packed = rows.filter("y is not null and not isnan(y)").select(*dict.fromkeys(["month_idx", *hashes, *held, *[f"x{i}" for i in range(n)]])).mapInArrow(pack, ", ".join(["month_idx bigint", *[f"{c} binary" for c in names]])).persist()
@@ -459,22 +484,24 @@ def _medians(data: Stored, model: Model, active: set[int], grown: dict, depth: i
     return {key: v[0] if len(v) == 1 else 0.5 * min(v) + 0.5 * max(v) for key, v in out.items()}
 
 
-def _scores(data: Stored, model: Model, split: str) -> DataFrame:
-    """The rows of a split of all windows with their scores by the best stage."""
+def _scores(data: Stored, model: Model, split: str, scorers: dict[str, Callable] | None = None) -> DataFrame:
+    """The rows of a split of all windows with the scores that each scorer (of window and codes; None: NULL) gives, by default those of the best stage."""
     months = {m: [w for w, k in found if k == split] for m, found in model.months.items()}
     months, keys, edges = {m: found for m, found in months.items() if found}, data.keys, data.edges
+    scorers = scorers or {"score": model.final}
 
     def task(batches):
         for month, rows, c in _runs(batches):
             cell = _cells(c, edges)
             for w in months[month]:
-                score = pa.array(cell.spread(model.score(w, cell.codes, model.best.get(w, 0)))) if w in model.base else pa.nulls(rows.num_rows, pa.float64())
-                yield from pa.table([pa.array(np.full(rows.num_rows, w, np.int64)), *[rows[k] for k in (*keys, "y")], score], names=["window_id", *keys, "y", "score"]).to_batches()
+                found = [one(w, cell.codes) for one in scorers.values()]
+                found = [pa.nulls(rows.num_rows, pa.float64()) if x is None else pa.array(cell.spread(x)) for x in found]
+                yield from pa.table([pa.array(np.full(rows.num_rows, w, np.int64)), *[rows[k] for k in (*keys, "y")], *found], names=["window_id", *keys, "y", *scorers]).to_batches()
 
     types = {f.name: f.dataType.simpleString() for f in data.rows.schema.fields}
     rows = data.rows.filter(F.col("month_idx").isin(*months)).select(*dict.fromkeys([*keys, "month_idx"]), "y", *[f"x{i}" for i in range(len(edges))])
-    out = rows.mapInArrow(task, ", ".join(["window_id bigint", *[f"`{c}` {types[c]}" for c in keys], "y double", "score double"]))
-    return out.select("window_id", F.lit(split).alias("split"), *keys, "y", "score")
+    out = rows.mapInArrow(task, ", ".join(["window_id bigint", *[f"`{c}` {types[c]}" for c in keys], "y double", *[f"{c} double" for c in scorers]]))
+    return out.select("window_id", F.lit(split).alias("split"), *keys, "y", *scorers)
 
 
 def fit_windows(df: DataFrame, windows: DataFrame, features: list[str], label: str = "label_rank", settings: Settings | None = None, keys: tuple[str, ...] = ("entity", "month_idx"), given: tuple[Stored, Model] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -547,7 +574,7 @@ def judge(data: Stored, model: Model) -> DataFrame:
         for month, c, cell in unpack(batches):
             b, bb = cell.sums(c["r"]), cell.sums(c["r"] ** 2)
             for w in months[month]:
-                f = model.score(w, cell.codes, model.best.get(w, 0))
+                f = model.final(w, cell.codes)
                 score, at = np.unique(f, return_inverse=True)
                 sums = [np.bincount(at, x, len(score)) for x in (cell.lengths, b, bb, cell.sums(np.abs(c["y"] - cell.spread(f))))]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(score), w, np.int64), np.full(len(score), month, np.int64), score, *sums)], names=["window_id", "month_idx", "score", "n", "b", "bb", "e"])

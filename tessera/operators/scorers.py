@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting, forest
 from .portfolio import blend
 
 #: Rows of a dealt partition at most, so that no task reads more as tables grow.
@@ -37,7 +38,7 @@ def train_and_score(df: DataFrame, features: list[str], label: str = "label_rank
 
 
 def train_windows(df: DataFrame, windows: DataFrame, features: list[str], parallelism: int = 4, **options) -> DataFrame:
-    """Scores of the test rows of every window of (window_id, month_idx, split), with window_id; one job set a window, as windows are few, some at a time."""
+    """Scores of the test rows of every window of (window_id, month_idx, split), with window_id, by the estimators of Spark ML; one job set a window, some at a time: for few windows."""
     keys = options.get("keys", ("entity", "month_idx"))
     df = dealt(df, keys, df.count()).persist()  # read by all windows; whole months would lie in one task after ranks
     windows = windows.sparkSession.createDataFrame(windows.collect(), windows.schema)  # windows times months; joined by broadcast, as a shuffle would put whole months in one task
@@ -47,6 +48,20 @@ def train_windows(df: DataFrame, windows: DataFrame, features: list[str], parall
         return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(one), ids))
 
 
+def score_windows(df: DataFrame, windows: DataFrame, features: list[str], label: str = "label_rank", weight: float = 0.5, trees: int = 10, depth: int = 3, seed: int = 1, keys: tuple[str, ...] = ("entity", "month_idx")) -> DataFrame:
+    """Scores of the test rows of every window by boosted trees with early stopping, a random forest, and their blend.
+
+    Trees of all windows grow together on rows that are stored once (see `boosting` and `forest`), where `train_windows`
+    makes some hundred jobs and a copy of its rows for each window.
+    """
+    s = boosting.Settings(rounds=trees, depth=depth, seed=seed)
+    given = data, model = boosting.stored(df, windows, features, label, s, list(keys), bagged=trees)
+    boosting.fit_windows(df, windows, features, label, s, keys, given)
+    grown = forest.fit(data, model, trees, depth, s.bins, seed)
+    data.packed.unpersist()
+    return blend(boosting._scores(data, model, "test", {"score_a": model.final, "score_b": grown.score}), weight)
+
+
 def importance(model, features: list[str], spark) -> DataFrame:
     return spark.createDataFrame([(f, float(model.featureImportances[i])) for i, f in enumerate(features)], "feature string, importance double")
 

@@ -15,8 +15,7 @@ from .strategy import _overlay_input
 
 
 def _scored(s, d):
-    df = portfolio.label_rank(with_target(panel(s, d))).select("entity", "month_idx", "label_rank", *FEATURES)
-    return scorers.train_windows(df, portfolio.rolling_windows(df), FEATURES).select("window_id", "entity", "month_idx", "score_a", "score_b", "score", "score_cv")
+    return scorers.score_windows(*_labelled(s, d), FEATURES).select("window_id", "entity", "month_idx", "score_a", "score_b", "score", "score_cv")
 
 
 def _labelled(s, d):
